@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlens.llm import chat, embed_dedup, simhash, warc
+from arborlens.llm import chat, decontam, embed_dedup, mixing, quality, simhash, substring, warc
 from arborlens.llm.work import new_path, table
 
 
@@ -32,6 +32,22 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS h, max(page_id) OVER (PARTITION BY sha1(html)) AS first FROM p),
@@ -64,10 +80,63 @@ SELECT e.vec_id, coalesce(n.n, 0) AS n_links, low.root AS component_id, low.root
 FROM embeddings e JOIN low ON low.node = e.vec_id LEFT JOIN n ON n.u = e.vec_id
 """
 
+OP5_SQL = """
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+    (CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u
+  FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
+), w AS (
+  SELECT *, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM s
+), k AS (
+  SELECT *, CAST(2 * source_size AS DOUBLE) / w AS level_at,
+    row_number() OVER (ORDER BY CAST(2 * source_size AS DOUBLE) / w, source) AS n,
+    sum(source_size) OVER () AS total
+  FROM w
+), levels AS (  -- the level if exactly the n - 1 sources with the lowest ceilings stop at them
+  SELECT n, level_at, (1.5 * CAST(total AS DOUBLE)
+      - CAST(coalesce(sum(2 * source_size) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE))
+      / CAST(sum(w) OVER (ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level
+  FROM k
+), l AS (
+  SELECT level FROM levels WHERE level <= level_at ORDER BY n LIMIT 1
+), t AS (
+  SELECT w.source, w.source_size, least(w.w * l.level, CAST(2 * w.source_size AS DOUBLE)) AS target FROM w, l
+), r AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t
+), q AS (
+  SELECT *, target - whole * source_size AS rest FROM r
+), x AS (
+  SELECT d.doc_id, d.size, q.source, q.source_size, q.target, q.whole, q.rest,
+    CASE WHEN q.rest > 0 AND q.source_size > 0
+      THEN (d.u / (1 - d.u)) / (least(q.rest / q.source_size, 1 - 1e-9) / (1 - least(q.rest / q.source_size, 1 - 1e-9))) END AS odds
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
+), o AS (
+  SELECT *, coalesce(odds / (1 + odds), 1.0) AS r, row_number() OVER (PARTITION BY source ORDER BY coalesce(odds / (1 + odds), 1.0), doc_id, size) AS place
+  FROM x
+), c AS (
+  SELECT *, CAST(sum(size) OVER (PARTITION BY source ORDER BY place) AS BIGINT) AS upto FROM o
+), g AS (
+  SELECT *, r < 1 AND upto <= rest AS picked,
+    rest - coalesce(max(CASE WHEN r < 1 AND upto <= rest THEN upto END) OVER (PARTITION BY source), 0) AS gap
+  FROM c
+), f AS (
+  SELECT *, NOT picked AND r < 1 AND abs(gap - size) < gap AS near FROM g
+), e AS (
+  SELECT *, near AND row_number() OVER (PARTITION BY source, near ORDER BY abs(gap - size), place) = 1 AS closing FROM f
+)
+SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN picked OR closing THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM e
+"""
+
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_decontamination": op2_decontamination,
     "op3_chat_windows": op3_chat_windows,
+    "op5_mixing": op5_mixing,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_simhash_dedup": op8_simhash_dedup,
+    "op9_quality": op9_quality,
+    "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLE_SQL = {"op1_warc": OP1_SQL, "op7_embedding_dedup": OP7_SQL}
+ORACLE_SQL = {"op1_warc": OP1_SQL, "op5_mixing": OP5_SQL, "op7_embedding_dedup": OP7_SQL}
