@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlens.llm import chat, decontam, embed_dedup, mixing, quality, simhash, substring, warc
+from arborlens.llm import chat, decontam, embed_dedup, mixing, pii, quality, secrets, simhash, substring, warc
 from arborlens.llm.work import new_path, table
 
 
@@ -23,6 +23,10 @@ def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_and_read(turns.unionByName(own)).drop("n_windows")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.embedding_dedup(table(spark, sf_dir, "embeddings"))
 
@@ -36,6 +40,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    every = F.array_sort(F.concat("base", "found"))
+    return found.select("doc_id", *[c.alias(n) for n, c in pii.counts(F.col("base")).items()], F.sha2(pii.spans_text(F.col("base")), 256).alias("base_sha256"), pii.spans_text(every).alias("spans"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -133,7 +143,9 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op2_decontamination": op2_decontamination,
     "op3_chat_windows": op3_chat_windows,
+    "op4_pii": op4_pii,
     "op5_mixing": op5_mixing,
+    "op6_secrets": op6_secrets,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_quality": op9_quality,
