@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlens.llm.work import materialize
+from arborlens.llm.work import fresh, materialize
 
 #: ASCII punctuation and space part words; letters beyond ASCII are kept as they are.
 _PARTS = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
@@ -186,6 +186,7 @@ def contaminated(
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """docs without those that hold a benchmark item; columns and all other rows unchanged."""
-    bad = contaminated(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("_bad")).distinct()
+    name = fresh(docs, "_bad")
+    bad = contaminated(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias(name)).distinct()
     bad = materialize(bad, "contaminated")
-    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col(name)), "left_anti")

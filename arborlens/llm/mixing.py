@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborlens.llm.work import materialize, text_or_empty
+from arborlens.llm.work import fresh, materialize, text_or_empty
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -105,3 +105,12 @@ def mix(
     extra = F.col("picked") | F.coalesce(F.col("row") == F.col("close"), F.lit(False))
     n = F.col("whole") + extra.cast("long")
     return marked.select("doc_id", "size", "source_size", "target", (F.col("size") * n).alias("taken"), n.alias("copies"), "row")
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """docs that the mix takes, with `copies`, the number of times (in place of any such column). Rows are matched by
+    doc_id: of rows that share one, all follow the one taken most."""
+    key, n = fresh(docs, "_id"), fresh(docs, "_copies")
+    taken = mix(docs, id_col=id_col, **options).where("copies > 0")
+    taken = materialize(taken.groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(n)), "copies")
+    return docs.join(taken, F.col(id_col).cast("long").eqNullSafe(F.col(key))).withColumn("copies", F.col(n)).drop(key, n)

@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborlens.llm.work import materialize
+from arborlens.llm.work import fresh, materialize
 
 #: The score at which the cut lies.
 CUT = 0.3
@@ -122,6 +122,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs that quality_scores predicts as 1, columns unchanged. Of rows that share a doc_id all go if one goes; rows
     without doc_id stay."""
-    good = quality_scores(docs, labels, id_col, text_col, **options).where("predicted = 0").select(F.col("doc_id").alias("_bad"))
-    good = materialize(good.where("_bad is not null").distinct(), "rejected")
-    return docs.join(good, F.col(id_col).cast("long") == F.col("_bad"), "left_anti")
+    name = fresh(docs, "_bad")
+    bad = quality_scores(docs, labels, id_col, text_col, **options).where("predicted = 0 and doc_id is not null")
+    bad = materialize(bad.select(F.col("doc_id").alias(name)).distinct(), "rejected")
+    return docs.join(bad, F.col(id_col).cast("long") == F.col(name), "left_anti")

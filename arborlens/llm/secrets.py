@@ -7,7 +7,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arborlens.llm.work import materialize
+from arborlens.llm.work import fresh, materialize
 
 #: Words that name a secret when they stand before it.
 KEY_WORDS = "token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key|client[_-]?secret"
@@ -136,10 +136,11 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", id_col: str = "doc_id", text
     Rows without doc_id stay as they are.
     """
     found = find_secrets(docs, id_col=id_col, text_col=text_col, **options).where("is_secret and doc_id is not null")
-    values = found.groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_set("value"), lambda a, b: F.char_length(b) - F.char_length(a)).alias("_values"))
-    values = materialize(values, "secrets")
-    text = F.aggregate(F.coalesce("_values", F.array().cast("array<string>")), F.col(text_col), lambda t, v: F.replace(t, v, F.lit(mask)))
-    rows = docs.join(values, F.col(id_col).cast("long") == F.col("_id"), "left").withColumn(text_col, text)
+    key, held = fresh(docs, "_id"), fresh(docs, "_values")
+    longest_first = F.array_sort(F.collect_set("value"), lambda a, b: F.char_length(b) - F.char_length(a))
+    values = materialize(found.groupBy(F.col("doc_id").alias(key)).agg(longest_first.alias(held)), "secrets")
+    text = F.aggregate(F.coalesce(held, F.array().cast("array<string>")), F.col(text_col), lambda t, v: F.replace(t, v, F.lit(mask)))
+    rows = docs.join(values, F.col(id_col).cast("long") == F.col(key), "left").withColumn(text_col, text)
     if size_col in docs.columns:
-        rows = rows.withColumn(size_col, F.when(F.col("_id").isNotNull(), F.char_length(text_col).cast(docs.schema[size_col].dataType)).otherwise(F.col(size_col)))
+        rows = rows.withColumn(size_col, F.when(F.col(key).isNotNull(), F.char_length(text_col).cast(docs.schema[size_col].dataType)).otherwise(F.col(size_col)))
     return rows.select(*docs.columns)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from arborlens.llm.components import connected_components
 from arborlens.llm.runs import min_labels, whole_runs
-from arborlens.llm.work import materialize
+from arborlens.llm.work import fresh, materialize
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 _LANES = 256 * np.arange(8)
@@ -182,9 +182,10 @@ def simhash_dedup(
     rows with one doc_id one stays.
     """
     groups = simhash_components(docs, shingle, radius, width, id_col, text_col)
-    keep = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept_id")).distinct()
+    kept, place = fresh(docs, "_kept_id"), fresh(docs, "_place")
+    keep = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(kept)).distinct()
     keep = materialize(keep, "kept")
-    one = docs.join(keep, F.col(id_col).cast("long") == keep["_kept_id"], "left_semi")
+    one = docs.join(keep, F.col(id_col).cast("long") == F.col(kept), "left_semi")
     nth = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(F.col(text_col))))
-    one = one.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+    one = one.withColumn(place, nth).where(F.col(place) == 1).drop(place)
     return one.unionByName(docs.where(F.col(id_col).isNull()))
