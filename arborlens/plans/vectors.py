@@ -86,7 +86,7 @@ def geo_geom_repair(spark, d):
 _X2, _Y2 = "least(lon + 1, 180)", "least(lat + 1, 90)"
 
 
-@query("SELECT tile, round(radians(0.5) * abs(2 * sin(radians(lat + 0.5)) - 2 * sin(radians(lat))) * 6371.0088 * 6371.0088, 1) AS km2, CAST(0.25 AS DOUBLE) AS planar FROM tiles WHERE lat < 89")
+@query("SELECT tile, round(radians(0.5) * abs(sin(radians(lat + 0.5)) - sin(radians(lat))) * 6371.0088 * 6371.0088, 1) AS km2, CAST(0.25 AS DOUBLE) AS planar FROM tiles WHERE lat < 89")
 def geo_area(spark, d):
     x, y = F.col("lon"), F.col("lat")
     p = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
