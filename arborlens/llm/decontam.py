@@ -120,6 +120,8 @@ def _windows(docs: DataFrame, items: DataFrame, shingle: int, similarity: float,
                             continue
                         m, own = n - min(shingle, n) + 1, size - k + 1
                         need = math.ceil(similarity * m - 1e-9) if size < n else math.ceil(2 * similarity / (1 + similarity) * m - 1e-9)
+                        if sums[k][-1] < need:
+                            continue
                         count = sums[k][own:] - sums[k][: len(sums[k]) - own]
                         for s in np.flatnonzero(count >= max(1, need)).tolist():
                             out.append({"doc_id": doc, "start": s, "n": n, "fp": simhash(grams[k][s : s + own]), "words": b" ".join(words[s : s + size]).decode("utf-8", "surrogatepass")})
