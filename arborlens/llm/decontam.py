@@ -26,14 +26,8 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").translate(_PARTS).split()
 
 
-class _Hashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -61,13 +55,12 @@ def weighted_similarity(a: list[bytes], b: list[bytes], k: int) -> float:
 
 def _items(benchmark: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         for b in batches:
             out = []
             for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = words_of(text)
                 if words:
-                    h = shingle_hashes(np.array([hashes[w] for w in words], np.uint64), min(shingle, len(words)))
+                    h = shingle_hashes(word_hashes(words), min(shingle, len(words)))
                     bits = np.unique(h >> np.uint64(64 - _MASK_BITS)).astype(np.int64)
                     out.append({"item_id": item, "n": len(words), "fp": simhash(h), "words": b" ".join(words).decode("utf-8", "surrogatepass"), "bits": bits.tolist()})
             schema = pa.schema([("item_id", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("words", pa.string()), ("bits", pa.list_(pa.int64()))])
@@ -97,7 +90,6 @@ def _windows(docs: DataFrame, items: DataFrame, shingle: int, similarity: float,
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed, lengths = send.value
         seen = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
-        hashes = _Hashes()
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("fp", pa.int64()), ("words", pa.string())])
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -106,7 +98,7 @@ def _windows(docs: DataFrame, items: DataFrame, shingle: int, similarity: float,
                     words = words_of(text)
                     if not words:
                         continue
-                    h = np.array([hashes[w] for w in words], np.uint64)
+                    h = word_hashes(words)
                     grams, sums = {}, {}
                     for k in ks:
                         if k <= len(words):
