@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from arborlens.functions import geo
+from arborlens.functions import geo, vector
 from arborlens.operators.ranking import affinities, leaf_scores, quantity_bands
 from arborlens.operators.relational import (
-    best_per_group, like_any, native_status, not_like_all, page, percentile_place, price_in_credits, stratified, tier, top,
+    best_per_group, like_any, match_quality, native_status, not_like_all, page, percentile_place, price_in_credits, stratified, tier, top,
 )
-from arborlens.plans.analogue import claims, occ, species, table, tiles
+from arborlens.plans.analogue import centroids, claims, occ, species, table, tiles
 from arborlens.plans.filters import _HAV, NATIVE_SQL
 from arborlens.plans.registry import query
 
@@ -246,3 +246,38 @@ def q_ecoregion_export(spark, d):
     here = tiles(spark, d).where("eco < 3").select("tile", "eco")
     g = occ(spark, d).join(here, "tile").groupBy("eco", "taxon").agg(F.sum("n").alias("n"))
     return g.withColumn("total", F.sum("n").over(Window.partitionBy("eco"))).select("eco", "taxon", "n", "total")
+
+
+@query(", b AS (SELECT eco, min(lon) AS x1, max(lon) AS x2 FROM tiles GROUP BY eco) SELECT eco, round(x1, 6) AS x1, round(x2 - x1, 6) AS width FROM b")
+def src_svg_paths(spark, d):
+    """Rings written as SVG path text (M, L, Z) and read back by splitting it, then moved by an affine map."""
+    g = tiles(spark, d).groupBy("eco").agg(F.min("lon").alias("x1"), F.max("lon").alias("x2"))
+    number = lambda c: ((c + 180) * 2).cast("string")
+    path = F.concat(F.lit("M"), number(F.col("x1")), F.lit(",0 L"), number(F.col("x2")), F.lit(",0 L"), number(F.col("x2")), F.lit(",9 Z"))
+    points = F.regexp_extract_all(F.col("path"), F.lit(r"[ML]([0-9.E-]+),"), F.lit(1))
+    rows = g.select("eco", path.alias("path")).select("eco", F.transform(points, lambda p: p.cast("double") / 2 - 180).alias("xs"))
+    return rows.select("eco", F.round(F.array_min("xs"), 6).alias("x1"), F.round(F.array_max("xs") - F.array_min("xs"), 6).alias("width"))
+
+
+@query(", q AS (SELECT v AS q FROM centroids WHERE cluster = 7), s AS (SELECT taxon, cluster, list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q))) AS sim FROM centroids, q WHERE taxon = 5) SELECT cluster, round(sim, 6) AS similarity, CASE WHEN sim >= 0.9 THEN 'excellent' WHEN sim >= 0.8 THEN 'good' WHEN sim >= 0.7 THEN 'moderate' WHEN sim >= 0.6 THEN 'marginal' ELSE 'poor' END AS quality FROM s ORDER BY sim DESC, cluster LIMIT 10")
+def q_habitat_match(spark, d):
+    """How well a place suits one taxon: its clusters by similarity."""
+    c = centroids(spark, d)
+    rows = vector.similar_to(c.where("taxon = 5"), c.where("cluster = 7").select(F.col("v").alias("q")))
+    best = top(rows, 10, F.col("similarity").desc(), F.col("cluster"))
+    return best.select("cluster", F.round("similarity", 6).alias("similarity"), match_quality(F.col("similarity")).alias("quality"))
+
+
+@query(", q AS (SELECT v AS q FROM centroids WHERE cluster = 7), s AS (SELECT taxon, count(*) OVER (PARTITION BY taxon) = 1 AS single, list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q))) AS sim FROM centroids, q) SELECT taxon, bool_or(single) AS single, round(max(sim), 6) AS similarity FROM s GROUP BY taxon HAVING max(sim) >= 0.1")
+def q_from_embedding(spark, d):
+    """The best similarity of each taxon to a given vector, and whether one cluster is all there is of it."""
+    c = centroids(spark, d)
+    rows = vector.similar_to(c, c.where("cluster = 7").select(F.col("v").alias("q"))).groupBy("taxon")
+    return rows.agg((N() == 1).alias("single"), F.round(F.max("similarity"), 6).alias("similarity")).where("similarity >= 0.1")
+
+
+@query("SELECT c_custkey, c_name, count(o_orderkey) AS contributions FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_custkey = 11 GROUP BY 1, 2")
+def q_user(spark, d):
+    who = table(spark, d, "customer").where("c_custkey = 11").select("c_custkey", "c_name")
+    o = table(spark, d, "orders").where("o_custkey = 11").select("o_custkey", "o_orderkey")
+    return who.join(o, F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_custkey", "c_name").agg(F.count("o_orderkey").alias("contributions"))
