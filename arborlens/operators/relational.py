@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arborlens.workspace import materialize
+
 
 def optional(df: DataFrame, column: str, low=None, high=None) -> DataFrame:
     """A range filter whose bounds count only where they are given, so that an absent one leaves no predicate behind."""
@@ -106,13 +108,29 @@ def stratified(df: DataFrame, stratum: str, key: str, n: int, seed: str = "s1",
     return best_per_group(df, [stratum], F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), F.col(key), n=n)
 
 
+def ranked(rows: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
+    """rows with their 0-based place in a total order, without a single-task sort: places within range partitions plus
+    the sizes of the partitions before (as many rows as there are partitions)."""
+    parts = rows.orderBy(*order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"))
+    parts = materialize(parts, "ranked")
+    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy("_at"))
+    return parts.join(sizes, "_part").withColumn(name, F.col("_before") + within - 1).drop("_part", "_at", "_before")
+
+
 def percentile_place(df: DataFrame, score: str, tie: str, keys: Sequence[str] = ()) -> DataFrame:
     """`place` 0..100 of each row by ascending score, ties in the order of `tie`: i / (n - 1), 100 for a single row,
-    to one decimal, halves up."""
-    w = Window.partitionBy(*keys)
-    i, n = F.row_number().over(w.orderBy(score, tie)) - 1, F.count(F.lit(1)).over(w)
-    value = F.when(n == 1, F.lit(100.0)).otherwise(i * 100.0 / (n - 1))
-    return df.withColumn("place", F.floor(value * 10 + 0.5) / 10)
+    to one decimal, halves up. Over the whole table the order is found partition by partition."""
+    if keys:
+        w = Window.partitionBy(*keys)
+        df = df.withColumns({"_i": F.row_number().over(w.orderBy(score, tie)) - 1, "_n": F.count(F.lit(1)).over(w)})
+    else:
+        df = ranked(df, F.col(score), F.col(tie), name="_i")
+        df = df.crossJoin(df.agg(F.count(F.lit(1)).alias("_n")))
+    value = F.when(F.col("_n") == 1, F.lit(100.0)).otherwise(F.col("_i") * 100.0 / (F.col("_n") - 1))
+    return df.withColumn("place", F.floor(value * 10 + 0.5) / 10).drop("_i", "_n")
 
 
 def tier(score: Column) -> Column:
