@@ -185,7 +185,8 @@ def simhash_dedup(
     kept, place = fresh(docs, "_kept_id"), fresh(docs, "_place")
     keep = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(kept)).distinct()
     keep = materialize(keep, "kept")
-    one = docs.join(keep, F.col(id_col).cast("long") == F.col(kept), "left_semi")
+    # a merge join at every size: the kept ids grow with the documents, so no size of theirs is ever small
+    one = docs.join(keep.hint("merge"), F.col(id_col).cast("long") == F.col(kept), "left_semi")
     nth = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(F.col(text_col))))
     one = one.withColumn(place, nth).where(F.col(place) == 1).drop(place)
     return one.unionByName(docs.where(F.col(id_col).isNull()))
