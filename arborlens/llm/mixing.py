@@ -6,22 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborlens.llm.work import fresh, materialize, text_or_empty
+from arborlens.operators.relational import ranked
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def ranked(rows: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
-    """rows with their 0-based place in a total order, without a single-task sort: places within range partitions plus
-    the sizes of the partitions before (as many rows as there are partitions)."""
-    parts = rows.orderBy(*order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"))
-    parts = materialize(parts, "ranked")
-    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_part").orderBy("_at"))
-    return parts.join(sizes, "_part").withColumn(name, F.col("_before") + within - 1).drop("_part", "_at", "_before")
-
-
 def source_targets(sources: DataFrame, weights: tuple[int, ...], share: float, most: int) -> DataFrame:
     """(source, source_size) -> sno, source, source_size, target: the share of all sizes dealt by weight, no target above
     most times its source's size. Each round adds up two numbers over the sources until no source is above."""
@@ -41,76 +30,116 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...], share: float, m
     return by.withColumn("target", F.least(F.col("w") * F.lit(level), F.col("cap").cast("double"))).drop("w", "cap")
 
 
-def mix(
+def _rank_key(doc_id: Column, x: Column, rest: Column, source_size: Column) -> Column:
+    """Odds of the document's fixed random number over its inclusion odds, folded into 0..1; 1 where nothing is drawn."""
+    bits = F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("null"))), 1, 13), 16, 10).cast("double")
+    u = (bits + 0.5) / float(1 << 52)
+    p = F.least(rest / source_size * x, F.lit(1 - 1e-9))
+    odds = F.when((rest > 0) & (source_size > 0) & (p > 0), (u / (1 - u)) / (p / (1 - p)))
+    return F.coalesce(odds / (1 + odds), F.lit(1.0))
+
+
+def _size(text_col: str) -> Column:
+    return F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long")
+
+
+def _weight(inclusion: Column | None) -> Column:
+    return F.lit(1.0) if inclusion is None else inclusion.cast("double")
+
+
+def _cell(r: Column, fan: int, level: int) -> Column:
+    return F.least(F.floor(r * float(fan**level)), F.lit(fan**level - 1))
+
+
+def source_cuts(
     docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, inclusion: Column | None = None,
     id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", levels: int = 2, fan: int = 256,
-) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies per row of docs.
+) -> tuple[DataFrame, DataFrame]:
+    """The rank key of every row (doc_id, row, sno, size, r), and a row for each source: its sizes, how often it is taken
+    whole, and the last rank key (`end`) and the closing one (`close`) of its sample.
 
-    size counts the text's words (null: 0). Sources in code point order, null last, carry the weights in turn. A source
-    first gets every document as many whole times as its target holds its size; the rest is a Pareto order sample:
-    documents rank by u/(1-u) over p/(1-p), u a fixed hash of doc_id, p the inclusion probability (the rest's share of
-    the source, times `inclusion` relative to 1 where given, below 1), and the leading ones are taken whose words fit
-    the rest; then the one further document that closes the gap best, if it helps.
-
-    The cut in each source is found by radix: words by `fan` ranges of the rank key, then by `fan` ranges inside the
-    range that holds the cut, then row by row inside the last range, so that a source with any share of the rows never
-    meets in one task. A null doc_id hashes as 'null'; repeated rows are separate rows; reruns agree.
+    The cut is found by radix: words by `fan` ranges of the rank key, then by `fan` ranges inside the range that holds
+    the cut, then row by row inside the last range, so that a source with any share of the rows never meets in one task.
     """
-    size = F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long")
     sized = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"),
-        (F.lit(1.0) if inclusion is None else inclusion.cast("double")).alias("x"), F.monotonically_increasing_id().alias("row"),
+        F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), _size(text_col).alias("size"),
+        _weight(inclusion).alias("x"), F.monotonically_increasing_id().alias("row"),
     )
     sized = materialize(sized, "sized")
     sources = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    # whole copies, and the words that remain
     copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     sources = sources.withColumn("whole", copies).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    sources = materialize(sources, "targets")
-    bits = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), 1, 13), 16, 10).cast("double")
-    u = (bits + 0.5) / float(1 << 52)
-    p = F.least(F.col("rest") / F.col("source_size") * F.col("x"), F.lit(1 - 1e-9))
-    odds = F.when((F.col("rest") > 0) & (F.col("source_size") > 0) & (p > 0), (u / (1 - u)) / (p / (1 - p)))
-    rows = sized.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-    rows = rows.select("doc_id", "row", "sno", "size", F.coalesce(odds / (1 + odds), F.lit(1.0)).alias("r"))
+    sources = materialize(sources.withColumnRenamed("source", "s"), "targets")
+    rows = sized.join(sources, F.col("source").eqNullSafe(F.col("s")))
+    rows = rows.select("doc_id", "row", "sno", "size", _rank_key(F.col("doc_id"), F.col("x"), F.col("rest"), F.col("source_size")).alias("r"))
     rows = materialize(rows, "keyed")
     cut = materialize(sources.select("sno", "rest", F.lit(0).cast("long").alias("before"), F.lit(0).cast("long").alias("cell")), "cut")
     for level in range(1, levels + 1):
-        scale = float(fan**level)
-        own = rows.withColumn("b", F.least(F.floor(F.col("r") * scale), F.lit(fan**level - 1)))
+        own = rows.withColumn("b", _cell(F.col("r"), fan, level))
         own = own.join(cut, "sno").where(F.floor(F.col("b") / fan) == F.col("cell")) if level > 1 else own
-        words = own.groupBy("sno", "b").agg(F.sum("size").alias("n"))
-        words = materialize(words, "words").join(cut, "sno")
-        upto = F.col("before") + F.sum("n").over(Window.partitionBy("sno").orderBy("b"))
-        words = words.withColumn("upto", upto)
-        last = F.coalesce(F.min(F.when(F.col("upto") > F.col("rest"), F.struct("b", (F.col("upto") - F.col("n")).alias("n")))), F.max(F.struct("b", (F.col("upto") - F.col("n")).alias("n"))))
+        words = materialize(own.groupBy("sno", "b").agg(F.sum("size").alias("n")), "words").join(cut, "sno")
+        words = words.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("sno").orderBy("b")))
+        at = F.struct("b", (F.col("upto") - F.col("n")).alias("n"))
+        last = F.coalesce(F.min(F.when(F.col("upto") > F.col("rest"), at)), F.max(at))
         cut = words.groupBy("sno", "rest").agg(last.alias("at")).select("sno", "rest", F.col("at.n").alias("before"), F.col("at.b").alias("cell"))
         cut = materialize(cut, "cut")
-    own = rows.withColumn("b", F.least(F.floor(F.col("r") * float(fan**levels)), F.lit(fan**levels - 1))).join(cut, "sno").where(F.col("b") == F.col("cell"))
+    own = rows.withColumn("b", _cell(F.col("r"), fan, levels)).join(cut, "sno").where(F.col("b") == F.col("cell"))
     key = F.struct("r", "doc_id", "size", "row")
     upto = F.col("before") + F.sum("size").over(Window.partitionBy("sno").orderBy("r", "doc_id", "size", "row"))
-    inside = own.withColumn("upto", upto).groupBy("sno", "rest", "before", "cell")
     fits = F.col("upto") <= F.col("rest")
-    ends = inside.agg(F.max(F.when(fits, key)).alias("end"), F.max(F.when(fits, F.col("upto"))).alias("upto"))
+    ends = own.withColumn("upto", upto).groupBy("sno", "rest", "before", "cell")
+    ends = ends.agg(F.max(F.when(fits, key)).alias("end"), F.max(F.when(fits, F.col("upto"))).alias("upto"))
     ends = materialize(ends.select("sno", "cell", "end", (F.col("rest") - F.coalesce("upto", "before")).alias("gap")), "ends")
-    b = F.least(F.floor(F.col("r") * float(fan**levels)), F.lit(fan**levels - 1))
-    taken = F.coalesce((b < F.col("cell")) | ((b == F.col("cell")) & (key <= F.col("end"))), F.lit(False))
-    marked = rows.join(ends, "sno").withColumn("picked", taken)
     left = F.abs(F.col("gap") - F.col("size"))
-    closing = marked.where(~F.col("picked") & (F.col("r") < 1) & (left < F.col("gap")))
-    closing = closing.groupBy("sno").agg(F.min(F.struct(left.alias("left"), "r", "doc_id", "size", "row")).alias("close"))
-    closing = materialize(closing.select(F.col("sno").alias("c"), F.col("close.row").alias("close")), "closing")
-    marked = marked.join(closing, F.col("sno") == F.col("c"), "left").join(sources.drop("source", "rest"), "sno")
-    extra = F.col("picked") | F.coalesce(F.col("row") == F.col("close"), F.lit(False))
+    later = rows.join(ends, "sno").where(~_leading(F.col("r"), key, F.col("cell"), F.col("end"), fan, levels) & (F.col("r") < 1) & (left < F.col("gap")))
+    closing = later.groupBy("sno").agg(F.min(F.struct(left.alias("left"), "r", "doc_id", "size", "row")).alias("close"))
+    closing = closing.select("sno", F.struct("close.r", "close.doc_id", "close.size", "close.row").alias("close"))
+    cuts = sources.join(ends, "sno", "left").join(materialize(closing, "closing"), "sno", "left")
+    return rows, materialize(cuts.drop("gap"), "cuts")
+
+
+def _leading(r: Column, key: Column, cell: Column, end: Column, fan: int, levels: int) -> Column:
+    """Whether a rank key lies before its source's cut."""
+    b = _cell(r, fan, levels)
+    return F.coalesce((b < cell) | ((b == cell) & (key <= end)), F.lit(False))
+
+
+def mix(docs: DataFrame, fan: int = 256, levels: int = 2, **options) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies per row of docs; options as in source_cuts.
+
+    size counts the text's words (null: 0). Sources in code point order, null last, carry the weights in turn. A source
+    first gets every document as many whole times as its target holds its size; the rest is a Pareto order sample:
+    documents rank by u/(1-u) over p/(1-p), u a fixed hash of doc_id, p the inclusion probability (the rest's share of
+    the source, times `inclusion` where given, below 1), and the leading ones are taken whose words fit the rest; then
+    the one further document that closes the gap best, if it helps. A null doc_id hashes as 'null'; repeated rows are
+    separate rows; reruns agree.
+    """
+    rows, cuts = source_cuts(docs, fan=fan, levels=levels, **options)
+    marked = rows.join(cuts.drop("rest", "s"), "sno")
+    extra = _leading(F.col("r"), F.struct("r", "doc_id", "size", "row"), F.col("cell"), F.col("end"), fan, levels) | F.coalesce(F.col("row") == F.col("close.row"), F.lit(False))
     n = F.col("whole") + extra.cast("long")
-    return marked.select("doc_id", "size", "source_size", "target", (F.col("size") * n).alias("taken"), n.alias("copies"), "row")
+    return marked.select("doc_id", "size", "source_size", "target", (F.col("size") * n).alias("taken"), n.alias("copies"))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs that the mix takes, with `copies`, the number of times (in place of any such column). Rows are matched by
-    doc_id: of rows that share one, all follow the one taken most."""
-    key, n = fresh(docs, "_id"), fresh(docs, "_copies")
-    taken = mix(docs, id_col=id_col, **options).where("copies > 0")
-    taken = materialize(taken.groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(n)), "copies")
-    return docs.join(taken, F.col(id_col).cast("long").eqNullSafe(F.col(key))).withColumn("copies", F.col(n)).drop(key, n)
+def mixed(
+    docs: DataFrame, fan: int = 256, levels: int = 2, inclusion: Column | None = None, id_col: str = "doc_id", source_col: str = "source",
+    text_col: str = "text", **options,
+) -> DataFrame:
+    """docs that the mix takes, with `copies`, the number of times (in place of any such column).
+
+    Each row is decided as it is read, from its own rank key and its source's cut, so no text is shuffled while the
+    sources are few; rows with one doc_id and size in a source are taken alike.
+    """
+    _, cuts = source_cuts(docs, fan=fan, levels=levels, inclusion=inclusion, id_col=id_col, source_col=source_col, text_col=text_col, **options)
+    name = fresh(docs, "_mix")
+    own = docs.withColumn(name, F.struct(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), _size(text_col).alias("size"), _weight(inclusion).alias("x")))
+    packed = cuts.select(F.struct(*cuts.columns).alias(f"{name}_cut"))
+    rows = own.join(packed, F.col(f"{name}.source").eqNullSafe(F.col(f"{name}_cut.s")))
+    c, d = (lambda n: F.col(f"{name}_cut.{n}")), (lambda n: F.col(f"{name}.{n}"))
+    r = _rank_key(d("doc_id"), d("x"), c("rest"), c("source_size"))
+    key = lambda r, at: F.struct(r.alias("r"), at("doc_id").alias("doc_id"), at("size").alias("size"))
+    part = lambda of: lambda n: F.col(f"{name}_cut.{of}.{n}")
+    lead = _leading(r, key(r, d), c("cell"), key(c("end.r"), part("end")), fan, levels) & c("end").isNotNull() | F.coalesce(_cell(r, fan, levels) < c("cell"), F.lit(False))
+    closing = c("close").isNotNull() & key(r, d).eqNullSafe(key(c("close.r"), part("close")))
+    n = c("whole") + (lead | closing).cast("long")
+    return rows.withColumn("copies", n).where("copies > 0").drop(name, f"{name}_cut")
