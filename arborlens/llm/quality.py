@@ -6,13 +6,14 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborlens.llm.work import fresh, materialize
+from arborlens.llm.work import materialize
 
 #: The score at which the cut lies.
 CUT = 0.3
@@ -101,6 +102,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def training_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Features with labels, without the documents that are held out."""
+    own = labels.select(F.col("doc_id").cast("long").alias("l"), F.col("quality").cast("int").alias("quality"))
+    own = own.where("l is not null and quality is not null")
+    return rows.join(own, F.col("doc_id") == F.col("l")).where(~held_out(F.col("doc_id"))).select("doc_id", "f", "quality")
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, held_out, score, predicted per row of docs.
 
@@ -110,19 +118,20 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     without labels of both kinds every score is 0.3.
     """
     rows = materialize(feature_table(docs, id_col, text_col), "features")
-    own = labels.select(F.col("doc_id").cast("long").alias("l"), F.col("quality").cast("int").alias("quality"))
-    own = own.where("l is not null and quality is not null")
-    labelled = rows.join(own, F.col("doc_id") == F.col("l")).where(~held_out(F.col("doc_id"))).select("doc_id", "f", "quality")
-    weights, cut = fit(materialize(labelled, "labelled"), **options)
+    weights, cut = fit(materialize(training_rows(rows, labels), "labelled"), **options)
     z = strength_of(F.col("f"), weights) - F.lit(cut) + F.lit(math.log(CUT / (1 - CUT)))
     score = F.when(strength_of(F.col("f"), weights) >= cut, F.greatest(F.lit(CUT), 1 / (1 + F.exp(-z)))).otherwise(F.least(F.lit(CUT - 1e-9), 1 / (1 + F.exp(-z))))
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs that quality_scores predicts as 1, columns unchanged. Of rows that share a doc_id all go if one goes; rows
-    without doc_id stay."""
-    name = fresh(docs, "_bad")
-    bad = quality_scores(docs, labels, id_col, text_col, **options).where("predicted = 0 and doc_id is not null")
-    bad = materialize(bad.select(F.col("doc_id").alias(name)).distinct(), "rejected")
-    return docs.join(bad, F.col(id_col).cast("long") == F.col(name), "left_anti")
+    """docs whose text scores at least 0.3, columns unchanged. Each row is decided by its own text as it is read, so no
+    text is shuffled."""
+    rows = materialize(feature_table(docs, id_col, text_col), "features")
+    weights, cut = fit(materialize(training_rows(rows, labels), "labelled"), **options)
+
+    @F.pandas_udf("array<double>")
+    def of(texts: pd.Series) -> pd.Series:
+        return texts.map(features)
+
+    return docs.where(strength_of(of(F.col(text_col)), weights) >= cut)
