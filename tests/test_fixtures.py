@@ -161,3 +161,42 @@ def test_best_per_group_plan_limits_early(spark):
     rows = spark.range(100).selectExpr("id", "id % 5 as g")
     plan = best_per_group(rows, ["g"], F.col("id"))._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_ranked_and_workspace(spark):
+    from arborlens import workspace
+    from arborlens.operators.relational import ranked
+
+    rows = spark.createDataFrame([(f"s{i:03d}",) for i in range(200)] + [(None,)], "s string").repartition(5)
+    got = [(r.s, r["rank"]) for r in ranked(rows, F.col("s").asc_nulls_last()).orderBy("rank").collect()]
+    assert got == [(f"s{i:03d}", i) for i in range(200)] + [(None, 200)]
+    table = workspace.materialize(rows, "x")
+    assert workspace.shared_dir(spark) in table.inputFiles()[0] and table.count() == 201
+    workspace.clear(spark)
+    assert not workspace.materialize(rows.limit(0), "x").count()
+
+
+def test_kml_and_readers(spark):
+    from arborlens.sources import readers
+
+    kml = "<kml><Document><Placemark><name>a</name><Polygon><outerBoundaryIs><LinearRing><coordinates> 0,0,0 1,0,0 1,1,0 </coordinates></LinearRing></outerBoundaryIs></Polygon></Placemark></Document></kml>"
+    got = readers.kml_polygons(spark.createDataFrame([(kml,)], "value string")).first()
+    assert got["name"] == "a" and [tuple(p) for p in got.ring] == [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)]
+    rows = spark.createDataFrame([(1, 2019, "a"), (1, 2020, "b"), (2, 2018, "c")], "k int, year int, v string")
+    assert {r.k: r.v for r in readers.best_year(rows, ["k"], 2019, "v").collect()} == {1: "a", 2: "c"}
+
+
+def test_topological_overlap_and_nearest(spark):
+    a = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 10.0)], "a int, x1 double, y1 double, x2 double, y2 double")
+    b = spark.createDataFrame([(7, 8.0, 8.0, 20.0, 20.0), (8, 0.0, 0.0, 5.0, 5.0), (9, 5.0, 5.0, 10.0, 10.0)], "b int, x1 double, y1 double, x2 double, y2 double")
+    best = spatial.largest_overlap(a, b, "a", "b", 3.0).first()
+    assert (best.b, best.area) == (8, 25.0)  # of equal parts the lower key
+
+
+def test_research_rules(spark):
+    rows = [(1, 1, "x", 0.9), (1, 2, "x", 0.5), (1, 3, "y", 0.9), (2, 4, "x", 0.4)]
+    c = spark.createDataFrame(rows, "taxon int, id int, claim_type string, confidence double")
+    got = {(r.taxon, r.field): r.state for r in C.research_context(c, ["x", "y"]).collect()}
+    assert got == {(1, "x"): "disputed", (1, "y"): "strong", (2, "x"): "weak", (2, "y"): "missing"}
+    a = spark.createDataFrame([(1, '["p","q"]', "u"), (2, "plain", None), (3, "[]", None)], "k int, v string, h string")
+    assert sorted((r.k, r.claim, r.confidence) for r in C.atomic_claims(a, "k", "v", "h").collect()) == [(1, "p", 0.8), (1, "q", 0.8), (2, "plain", 0.75)]
