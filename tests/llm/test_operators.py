@@ -248,6 +248,8 @@ def test_mixing(spark, data):
         assert target <= 2 * size and abs(sum(r.taken for r in own) - target) <= max([r.size for r in own], default=0)
     assert sum(t for _, t in by) == pytest.approx(1.5 * sum(s for s, _ in by))
     assert mixing.mix(frame.where("false")).count() == 0
+    taken = {r.doc_id: r.copies for r in mixing.mix(docs).collect() if r.copies}
+    assert {r.doc_id: r.copies for r in mixing.mixed(docs).collect()} == taken
     assert mixing.mixed(docs_frame(spark, [(1, "a b"), (2, "c d")], clash=True)).columns == docs_frame(spark, [], clash=True).columns
 
 
