@@ -165,7 +165,6 @@ def top_common_names(blob: Column, most: int = 5, longest: int = 200) -> Column:
     there, then any of new roots; cut at `longest` characters with dots behind."""
     root = lambda n: F.trim(F.regexp_replace(F.lower(n), r"\s*\(.*?\)\s*", ""))
     language = lambda n: F.lower(F.regexp_extract(n, r"\((.*?)\)", 1))
-    none = F.array().cast("array<string>")
     names = scored_names(blob)
     state = lambda chosen, roots, langs: F.struct(chosen.alias("chosen"), roots.alias("roots"), langs.alias("langs"))
     first = F.slice(names, 1, 3)
