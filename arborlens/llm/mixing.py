@@ -131,15 +131,16 @@ def mixed(
     sources are few; rows with one doc_id and size in a source are taken alike.
     """
     _, cuts = source_cuts(docs, fan=fan, levels=levels, inclusion=inclusion, id_col=id_col, source_col=source_col, text_col=text_col, **options)
-    name = fresh(docs, "_mix")
-    own = docs.withColumn(name, F.struct(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), _size(text_col).alias("size"), _weight(inclusion).alias("x")))
-    packed = cuts.select(F.struct(*cuts.columns).alias(f"{name}_cut"))
-    rows = own.join(packed, F.col(f"{name}.source").eqNullSafe(F.col(f"{name}_cut.s")))
-    c, d = (lambda n: F.col(f"{name}_cut.{n}")), (lambda n: F.col(f"{name}.{n}"))
-    r = _rank_key(d("doc_id"), d("x"), c("rest"), c("source_size"))
-    key = lambda r, at: F.struct(r.alias("r"), at("doc_id").alias("doc_id"), at("size").alias("size"))
-    part = lambda of: lambda n: F.col(f"{name}_cut.{of}.{n}")
-    lead = _leading(r, key(r, d), c("cell"), key(c("end.r"), part("end")), fan, levels) & c("end").isNotNull() | F.coalesce(_cell(r, fan, levels) < c("cell"), F.lit(False))
-    closing = c("close").isNotNull() & key(r, d).eqNullSafe(key(c("close.r"), part("close")))
+    id_, size, rank, cut = (fresh(docs, n) for n in ("_mix_id", "_mix_size", "_mix_rank", "_mix_cut"))
+    own = docs.withColumns({id_: F.col(id_col).cast("long"), size: _size(text_col)})
+    packed = cuts.select(F.struct(*cuts.columns).alias(cut))
+    rows = own.join(packed, F.col(source_col).eqNullSafe(F.col(f"{cut}.s")))
+    c = lambda n: F.col(f"{cut}.{n}")
+    # a column of its own, since the rank is used several times below
+    rows = rows.withColumn(rank, _rank_key(F.col(id_), _weight(inclusion), c("rest"), c("source_size")))
+    key = F.struct(F.col(rank).alias("r"), F.col(id_).alias("doc_id"), F.col(size).alias("size"))
+    part = lambda of: F.when(c(of).isNotNull(), F.struct(c(f"{of}.r").alias("r"), c(f"{of}.doc_id").alias("doc_id"), c(f"{of}.size").alias("size")))
+    lead = _leading(F.col(rank), key, c("cell"), part("end"), fan, levels)
+    closing = F.coalesce(c("close").isNotNull() & key.eqNullSafe(part("close")), F.lit(False))
     n = c("whole") + (lead | closing).cast("long")
-    return rows.withColumn("copies", n).where("copies > 0").drop(name, f"{name}_cut")
+    return rows.withColumn("copies", n).where("copies > 0").drop(id_, size, rank, cut)
