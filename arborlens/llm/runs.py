@@ -38,18 +38,16 @@ def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[t
 
 
 def min_labels(n: int, left: np.ndarray, right: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
-    """Smallest member index of each of n nodes' components under the links left-right; label carries earlier links."""
+    """Smallest member index of each of n nodes' components under the links left-right; label carries earlier links,
+    as this function returned it. Only roots are hooked, to lower roots, so no earlier link is lost."""
     label = np.arange(n) if label is None else label
-    while len(left):
-        low = np.minimum(label[left], label[right])
-        before = label.copy()
-        np.minimum.at(label, before[left], low)
-        np.minimum.at(label, before[right], low)
-        np.minimum.at(label, left, low)
-        np.minimum.at(label, right, low)
-        label = label[label]
-        if np.array_equal(label, before):
-            break
-    while not np.array_equal(label[label], label):
-        label = label[label]
-    return label
+    while True:
+        a, b = label[left], label[right]
+        apart = a != b
+        if not apart.any():
+            return label
+        left, right, a, b = left[apart], right[apart], a[apart], b[apart]
+        label = label.copy()
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(label[label], label):
+            label = label[label]

@@ -73,6 +73,20 @@ def test_min_labels():
     assert min_labels(50, i, j).tolist() == [want[n] for n in range(50)]
 
 
+def test_min_labels_carries_earlier_links():
+    label = min_labels(4, np.array([2]), np.array([3]))
+    assert min_labels(4, np.array([3, 2]), np.array([1, 0]), label).tolist() == [0] * 4
+    rng = np.random.default_rng(1)
+    for n, block in ((6, 2), (40, 3), (300, 25), (300, 150)):
+        for _ in range(40):
+            i, j = rng.integers(0, n, n), rng.integers(0, n, n)
+            label = None
+            for k in range(0, n, block):
+                label = min_labels(n, i[k : k + block], j[k : k + block], label)
+            want = classes(range(n), zip(i.tolist(), j.tolist(), strict=True))
+            assert label.tolist() == [want[x] for x in range(n)]
+
+
 # 1
 
 
