@@ -28,17 +28,23 @@ def _mixed(h: np.ndarray, word: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def fingerprint(text: str | None, shingle: int = 3, width: int = 1) -> list[int]:
-    """SimHash of the text's word shingles as `width` signed 64-bit words; zeros for a text without words."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of the text's word shingles in their order; a shorter text is one shingle, one without words none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z and ASCII space count
     if not words:
-        return [0] * width
+        return np.zeros(0, "<u8")
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     k = min(shingle, len(words))
     starts = [0, *(ends[: len(words) - k] + 1).tolist()]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[s:e], 42) for s, e in zip(starts, ends[k - 1 :].tolist(), strict=True)], dtype="<u8")
+    return np.array([digest(line[s:e], 42) for s, e in zip(starts, ends[k - 1 :].tolist(), strict=True)], dtype="<u8")
+
+
+def simhash(hashes: np.ndarray, width: int) -> list[int]:
+    """Majority of each bit of the hashes, as `width` signed 64-bit words; zeros for none."""
+    if not len(hashes):
+        return [0] * width
     out = []
     for word in range(width):
         octets = _mixed(hashes, word).view(np.uint8).reshape(-1, 8) + _LANES
@@ -47,6 +53,11 @@ def fingerprint(text: str | None, shingle: int = 3, width: int = 1) -> list[int]
     return out
 
 
+def fingerprint(text: str | None, shingle: int = 3, width: int = 1) -> list[int]:
+    """SimHash of the text's word shingles as `width` signed 64-bit words; zeros for a text without words."""
+    return simhash(shingle_hashes(text, shingle), width)
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, width: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp array of `width` longs) per row, in one pass without a shuffle."""
 
@@ -171,22 +182,104 @@ def simhash_components(
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def shingle_classes(docs: DataFrame, shingle: int, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, key, node, fp) per row: hash of the text, 64 bits that name its set of shingles, and the set's SimHash."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nodes, fps = [], []
+            for t in b.column(2):
+                own = np.unique(shingle_hashes(t.as_py(), shingle))
+                nodes.append(xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63))
+                fps.append(simhash(own, width))
+            columns = [b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(fps, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "node", "fp"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(kernel, "doc_id long, key long, node long, fp array<long>")
+
+
+def similar_links(members: DataFrame, radius: int, similarity: float, tile: int) -> DataFrame:
+    """(root, node, fp, grams) of groups of candidates -> links (u, v) of nodes of one root that join exactly those
+    within radius whose sets of grams have a Jaccard similarity of at least `similarity`, transitively.
+
+    A group of more than `tile` nodes is split by hash into parts whose pairs are compared as groups of their own, so
+    no task holds more than two parts of one. Each returns a forest; pairs that it joins already are not compared.
+    """
+    sizes = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("parts"))
+    rows = members.join(materialize(sizes, "groups"), "root").withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int"))
+    rows = rows.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("root", F.least("p", "q").alias("p1"), F.greatest("p", "q").alias("p2"), (F.col("p") > F.col("q")).cast("int").alias("side"), "node", "fp", "grams")
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in whole_runs(batches, ["root", "p1", "p2"]):
+            p1, p2, side, nodes = (rows.column(c).to_numpy() for c in ("p1", "p2", "side", "node"))
+            words = rows.column("fp").combine_chunks().flatten().to_numpy().reshape(len(nodes), -1).view(np.uint64)
+            lists = rows.column("grams").combine_chunks()
+            flat, at = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+            u, v = [], []
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), rows.num_rows], strict=True):
+                same = p1[s] == p2[s]
+                cut = e if same else s + int(np.count_nonzero(side[s:e] == 0))
+                kinds, gram = np.unique(flat[at[s] : at[e]], return_inverse=True)
+                own = [gram[a - at[s] : b - at[s]] for a, b in zip(at[s:e], at[s + 1 : e + 1], strict=True)]
+                label, size = np.arange(e - s), np.diff(at[s : e + 1])
+                for i in range(s, cut):
+                    b = i + 1 if same else cut
+                    near = np.bitwise_count(words[b:e] ^ words[i]).sum(1) <= radius
+                    x, mark = i - s, np.zeros(len(kinds), bool)
+                    mark[own[x]] = True
+                    for y in (b - s + np.flatnonzero(near & (label[b - s :] != label[x]))).tolist():
+                        if label[x] == label[y]:
+                            continue
+                        both = np.count_nonzero(mark[own[y]])
+                        if both and both >= similarity * (size[x] + size[y] - both) - 1e-9:
+                            label[label == label[y]] = label[x]
+                            u.append(nodes[i])
+                            v.append(nodes[s + y])
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return rows.repartition("root", "p1", "p2").sortWithinPartitions("root", "p1", "p2", "side").mapInArrow(kernel, "u long, v long")
+
+
 def simhash_dedup(
-    docs: DataFrame, shingle: int = 5, radius: int = 32, width: int = 3, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
+    docs: DataFrame, shingle: int = 5, radius: int = 48, width: int = 3, similarity: float = 0.8, tile: int = 256,
+    id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest doc_id. Columns as in docs.
 
-    The defaults compare 192 bits over five-word shingles: texts whose shingle sets are similar by 0.8 differ in about
-    a sixth of the bits, unrelated ones in a half, so that 32 bits tell them apart without chance links at any size.
-    Rows without doc_id are kept as they are, since no group can name them. A doc_id names one document: of repeated
-    rows with one doc_id one stays.
+    Texts link when their sets of five-word shingles have a Jaccard similarity of at least `similarity`, computed for
+    every pair whose SimHashes lie within radius: at 0.8 about 29 to 36 of the 192 bits differ, and in unrelated texts
+    a half. Rows without doc_id are kept as they are and link nothing. Rows are decided by doc_id and text: different
+    texts with one doc_id are different documents, of equal rows one stays. Texts without words are one group.
     """
-    groups = simhash_components(docs, shingle, radius, width, id_col, text_col)
-    kept, place = fresh(docs, "_kept_id"), fresh(docs, "_place")
-    keep = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(kept)).distinct()
+    grouped = docs.where(F.col(id_col).isNotNull())
+    rows = materialize(shingle_classes(grouped, shingle, width, id_col, text_col), "fingerprints")
+    classes = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.min(F.struct("doc_id", "key")).alias("first"))
+    classes = materialize(classes, "classes")
+    groups = connected_components(tile_links(classes.select("node", "fp"), radius))
+    groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
+    groups = classes.join(groups, "node").select("node", "fp", "root", F.col("first.doc_id").alias("doc_id"), F.col("first.key").alias("key"))
+    groups = materialize(groups, "candidates")
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in b.column(3)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sets, pa.list_(pa.int64()))], names=["root", "node", "fp", "grams"])
+
+    texts = grouped.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    # merge joins at every size: what they find grows with the documents, so no size of theirs is ever small
+    members = texts.join(groups.hint("merge"), ["doc_id", "key"]).select("root", "node", "fp", "text")
+    members = materialize(members.mapInArrow(grams, "root long, node long, fp array<long>, grams array<long>"), "members")
+    roots = connected_components(similar_links(members, radius, similarity, tile))
+    named = classes.join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
+    kept, text_key, place = fresh(docs, "_kept_id"), fresh(docs, "_text_key"), fresh(docs, "_place")
+    keep = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias(kept), F.col("first.key").alias(text_key))
     keep = materialize(keep, "kept")
-    # a merge join at every size: the kept ids grow with the documents, so no size of theirs is ever small
-    one = docs.join(keep.hint("merge"), F.col(id_col).cast("long") == F.col(kept), "left_semi")
-    nth = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(F.col(text_col))))
+    same = (F.col(id_col).cast("long") == F.col(kept)) & (F.xxhash64(F.col(text_col)) == F.col(text_key))
+    one = docs.join(keep.hint("merge"), same, "left_semi")
+    text_hash = F.xxhash64(F.col(text_col))
+    nth = F.row_number().over(Window.partitionBy(id_col, text_hash).orderBy(text_hash))
     one = one.withColumn(place, nth).where(F.col(place) == 1).drop(place)
     return one.unionByName(docs.where(F.col(id_col).isNull()))

@@ -372,6 +372,28 @@ def test_simhash_dedup(spark):
     assert simhash.simhash_dedup(frame.where("false")).count() == 0
 
 
+def test_simhash_dedup_computes_similarity(spark):
+    rng = random.Random(19)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    docs = {}
+    for k, tail in enumerate([*[8] * 12, *[17] * 12, *[22] * 12, *[28] * 12, *[36] * 12, *[45] * 12]):  # similarity 0.92 to 0.63
+        base = words(200)
+        docs[2 * k], docs[2 * k + 1] = base, base[: 200 - tail] + words(tail)
+    for k in range(20):  # four shingles, one of them changed: 0.6
+        base = words(8)
+        docs[1000 + 2 * k], docs[1001 + 2 * k] = base, [*base[:7], "other"]
+    base = words(100)
+    for k in range(30):  # a chain
+        docs[2000 + k] = base[k : k + 60]
+    grams = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in docs.items()}
+    ids = sorted(docs)
+    want = classes(ids, [(a, b) for a in ids for b in ids if a < b and 10 * len(grams[a] & grams[b]) >= 8 * len(grams[a] | grams[b])])
+    assert 0.2 < sum(want[i] == i for i in ids) / len(ids) < 0.9
+    frame = docs_frame(spark, [(i, " ".join(w)) for i, w in docs.items()], clash=True)
+    for tile in (256, 4):
+        assert sorted(r.doc_id for r in simhash.simhash_dedup(frame, tile=tile).collect()) == sorted(set(want.values()))
+
+
 # 9
 
 
