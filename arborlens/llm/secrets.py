@@ -20,7 +20,14 @@ DICTIONARY = (
 #: Prefixes that issuers give their keys.
 PREFIXES = r"^(AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|xox[abprs]-|sk_live_|sk-|rk_live_|AIza|ya29\.|npm_|eyJ)"
 #: A candidate: a run of characters that keys are made of, with a digit or an issuer's prefix, not inside a longer run.
-RUN = r"[A-Za-z0-9_+/=.~-]{16,}"
+#: '=' parts a name from its value and belongs to a run only as padding at its end; in an address '/' parts runs too.
+RUN = r"[A-Za-z0-9_+/.~-]{16,}"
+_PAD = r"(?:={1,2}(?![A-Za-z0-9_+/.~=-]))?"
+_ADDRESS = r"://[^\s\"'`<>]{0,500}"  # a lookbehind needs a bound
+_FIND = (
+    rf"(?<![A-Za-z0-9_+/.~-])(?!(?<=:)//)(?={RUN})(?<!{_ADDRESS})({RUN}{_PAD})"
+    rf"|(?<![A-Za-z0-9_+.~-])(?=[A-Za-z0-9_+.~-]{{16}})(?<={_ADDRESS})([A-Za-z0-9_+.~-]{{16,}}{_PAD})"
+)
 FEATURES = (
     "length", "class_changes", "digit_share", "upper_share", "lower_share", "vowel_share", "other_share", "distinct", "hex", "dictionary",
     "prefix", "key_word", "assigned", "quoted", "mail", "path_test", "path_code", "all_digits",
@@ -37,19 +44,21 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     a mark character that stands in the text itself is swapped for another one first, which no candidate holds either.
     """
     text = F.translate(F.col(text_col), _MARK, _SAFE)
-    marked = F.regexp_replace(text, f"(?<![A-Za-z0-9_+/=.~-])({RUN})", f"{_MARK}$1{_MARK}")
+    marked = F.regexp_replace(text, _FIND, f"{_MARK}$1$2{_MARK}")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).alias("text"))
     rows = rows.where(F.col("text").rlike(RUN)).select("doc_id", "path", F.split(marked.cast("string"), _MARK).alias("pieces"))
     # pieces 0, 2, 4, ... lie between candidates 1, 3, 5, ...; one running sum gives every place
     sums = F.aggregate(
         "pieces", F.array(F.lit(0)), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + F.char_length(p)))
     )
+    # what stands before a candidate may begin inside the one before it: LONG_NAME_1=value
+    ahead = lambda i: F.concat(F.coalesce(F.get("pieces", i - 2), F.lit("")), F.get("pieces", i - 1))
     odd = F.filter(F.sequence(F.lit(1), F.size("pieces") - 1), lambda i: i % 2 == 1)
     found = F.transform(
         odd,
         lambda i: F.struct(
             F.get("sums", i).alias("start"), F.get("sums", i + 1).alias("end"), F.get("pieces", i).alias("value"),
-            F.right(F.get("pieces", i - 1), F.lit(AROUND)).alias("before"), F.left(F.get("pieces", i + 1), F.lit(AROUND)).alias("after"),
+            F.right(ahead(i), F.lit(AROUND)).alias("before"), F.left(F.get("pieces", i + 1), F.lit(AROUND)).alias("after"),
         ),
     )
     rows = rows.where(F.size("pieces") > 1).withColumn("sums", sums)

@@ -297,6 +297,28 @@ def test_secrets(spark, texts):
     assert secrets.find_secrets(frame.where("false")).count() == 0
 
 
+def test_secrets_in_assignments_and_addresses(spark, texts):
+    rng = random.Random(16)
+    key = lambda n, of="abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789": "".join(rng.choice(of) for _ in range(n))
+    forms = [
+        ("API_KEY={} # env", lambda: key(32, "0123456789abcdef")),
+        ("export SERVICE_2_PRODUCTION_SECRET={}\nnext", lambda: key(30) + "7=="),
+        ("GITHUB_TOKEN={}", lambda: "ghp_" + key(35) + "5"),
+        ("see https://api.host.org/v1/items?access_token={}&page=2 there", lambda: "eyJ" + key(20) + "." + key(40) + "1"),
+        ("get https://files.host.org/download/2024/{}/data now", lambda: "AKIA" + key(15, "ABCDEFGHIJKLMNOPQRSTUVWXYZ") + "7"),
+    ]
+    docs, want = dict(texts), set()
+    for i in range(75):
+        form, value = forms[i % 5][0], forms[i % 5][1]()
+        docs[10**6 + i] = "notes " + form.format(value)
+        want.add((10**6 + i, value))
+    rows = secrets.find_secrets(docs_frame(spark, docs.items())).collect()
+    assert all((docs[r.doc_id] or "")[r.start : r.end] == r.value for r in rows)
+    assert {(r.doc_id, r.value) for r in rows if r.is_secret and r.doc_id >= 10**6} == want
+    clean = {r.doc_id: r.text for r in secrets.redact(docs_frame(spark, docs.items())).where("doc_id >= 1000000").collect()}
+    assert all(v not in clean[d] and "[SECRET]" in clean[d] for d, v in want)
+
+
 # 7
 
 
