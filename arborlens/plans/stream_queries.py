@@ -96,5 +96,5 @@ def str_tx_ledger(spark, d):
 @query("SELECT CAST(count(*) AS BIGINT) AS rows FROM events")
 def str_sse_progress(spark, d):
     path = new_path(spark, "progress")
-    q = tables.run_into(_events(spark, d).select("event_id"), f"{path}/rows", f"{path}/checkpoint")
-    return tables.progress(spark, q).agg(F.sum("rows").alias("rows"))
+    tables.run_into(_events(spark, d).select("event_id"), f"{path}/rows", f"{path}/checkpoint")
+    return tables.progress(spark, f"{path}/rows").agg(F.sum("rows").alias("rows"))
