@@ -168,11 +168,30 @@ def test_decontamination_equals_brute_force(spark, data, texts):
     assert {r.doc_id for r in kept.collect()} == set(docs) - {d for d, _ in got}
 
 
+def test_decontamination_index_is_exact(spark):
+    """Every pair of one size within the radius, none else, each once."""
+    rng = random.Random(22)
+    items = [(i, rng.choice((8, 9)), rng.getrandbits(64)) for i in range(60)]
+    near = lambda fp: fp ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(22)))
+    windows = [(n, near(fp)) for _, n, fp in items for _ in range(8)] + [(8, rng.getrandbits(64)) for _ in range(60)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    a = spark.createDataFrame([(n, signed(fp)) for n, fp in windows + windows[:9]], "n int, fp long")
+    b = spark.createDataFrame([(i, n, signed(fp)) for i, n, fp in items], "inum long, n int, fp long")
+    for radius in (3, 16):
+        got = [(r.n, r.fp, r.inum) for r in decontam.near_fingerprints(a, b, radius).collect()]
+        want = {(n, signed(fp), i) for n, fp in windows for i, m, item in items if n == m and (fp ^ item).bit_count() <= radius}
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_decontamination_short_items_and_empty_tables(spark):
     bench = spark.createDataFrame([(1, "alpha beta"), (2, None), (3, "..."), (4, "one two three four five six seven"), (4, "one two three four five six seven")], "item_id long, text string")
     docs = docs_frame(spark, [(1, "so ALPHA, beta it is"), (2, "alpha gamma"), (3, None), (None, "one two three four five six seven"), (5, "one two three four five six")])
     got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench, similarity=0.6).collect()}
     assert got == {(1, 1), (None, 4), (5, 4)}
+    odd = docs_frame(spark, [(None, "so ALPHA, beta it is"), (None, "innocent"), (5, "alpha beta"), (5, "innocent"), (6, "fine"), (7, None), (7, ""), (6, "fine")], clash=True)
+    kept = decontam.decontaminate(odd, bench)
+    assert kept.columns == odd.columns
+    assert collections.Counter((r.doc_id, r.text) for r in kept.collect()) == collections.Counter([(None, "innocent"), (5, "innocent"), (6, "fine"), (6, "fine"), (7, None), (7, "")])
     assert decontam.contaminated(docs, bench.where("false")).count() == 0
     assert decontam.contaminated(docs.where("false"), bench).count() == 0
 
