@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlens.llm.work import materialize
+from arborlens.llm.work import marked, materialize, text_keys
 
 _END = re.compile(r"[.!?…。！？]+\s+|\n\s*")
 _WORD = re.compile(r"\S+\s*")
@@ -37,62 +37,73 @@ def sentences(text: str, longest: int = 24) -> list[tuple[int, int]]:
     return out
 
 
-def spans(text: str, run: int = 2, words: int = 15, longest: int = 24) -> Iterator[tuple[int, int, int, int]]:
-    """(first sentence, sentences, two hash words) of each sliding span: the shortest run of at least `run` sentences
-    from there on that holds at least `words` words. Case and white space do not count."""
+def spans(text: str, run: int = 3, words: int = 15, longest: int = 24) -> Iterator[tuple[int, int, int, int]]:
+    """(first sentence, sentences, two hash words) of each sliding span: every run of `run` consecutive sentences, and
+    every shorter one, of two at least, that holds `words` words or is the whole text. Longer repeats are made of these.
+    Case and white space do not count."""
     units = [text[s:e].lower().split() for s, e in sentences(text, longest)]
     joined = [" ".join(u).encode("utf-8", "surrogatepass") for u in units]
     sizes = [len(u) for u in units]
-    end = total = 0
-    for i in range(len(units)):
-        while end < len(units) and (end - i < run or total < words):
-            total += sizes[end]
-            end += 1
-        if end - i < run or total < words:
-            return
-        if sizes[i]:
-            h = xxhash.xxh3_128_digest(b" ".join(joined[i:end]))
-            yield i, end - i, int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
-        total -= sizes[i]
-
-
-def repeated_spans(docs: DataFrame, run: int = 2, words: int = 15, longest: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, first, n): every occurrence but the first, by doc_id and place, of a span that occurs more than once."""
+    for i in range(len(units) - 1):
+        if not sizes[i]:
+            continue
+        total = sizes[i]
+        for n in range(2, min(run, len(units) - i) + 1):
+            total += sizes[i + n - 1]
+            if n == run or total >= words or n == len(units):
+                h = xxhash.xxh3_128_digest(b"\n".join(joined[i : i + n]))
+                yield i, n, int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
+
+
+def repeated_spans(docs: DataFrame, run: int = 3, words: int = 15, longest: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, k1, first, n): every occurrence but the first, by doc_id, text and place, of a span that occurs more than
+    once; k1 is the first of the text's keys.
+
+    Occurrences are counted by half of their hash with partial sums. A bitmap of the halves that occur again then leaves
+    few of the others, and only what it leaves is grouped by the whole hash and joined with its origin.
+    """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "first", "n", "h1", "h2"]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+        names = ["doc_id", "k1", "first", "n", "h1", "h2"]
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64()]
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                rows = [(d, *s) for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for s in spans(t, run, words, longest)]
-                cols = zip(*rows, strict=True) if rows else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
-
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
-    found = materialize(texts.mapInArrow(kernel, "doc_id long, first int, n int, h1 long, h2 long"), "spans")
-    again = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "first")).alias("origin"), F.count(F.lit(1)).alias("times"))
-    again = materialize(again.where("times > 1").drop("times"), "repeated")
-    hits = found.join(again, ["h1", "h2"]).where(F.struct("doc_id", "first") != F.col("origin"))
-    return hits.select("doc_id", "first", "n")
+                rows = [(no, *s) for no, t in enumerate(part.column(2).to_pylist()) for s in spans(t, run, words, longest)]
+                if rows:
+                    no, *cols = zip(*rows, strict=True)
+                    own = part.take(pa.array(no))
+                    yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=names)
+
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_keys(text_col)["k1"].alias("k1"), F.col(text_col).alias("text"))
+    texts = texts.where("doc_id is not null and text is not null")
+    found = materialize(texts.mapInArrow(kernel, "doc_id long, k1 long, first int, n int, h1 long, h2 long"), "spans")
+    often = materialize(found.groupBy("h1").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("h1"), "often")
+    place = F.struct("doc_id", "k1", "first", "n")
+    found = materialize(marked(found, "again", F.col("h1"), often, bits=26).where("again").select("h1", "h2", place.alias("place")), "again")
+    origin = found.groupBy("h1", "h2").agg(F.min("place").alias("origin"), F.max("place").alias("last"))
+    origin = materialize(origin.where("last != origin").drop("last"), "origins")
+    return found.join(origin, ["h1", "h2"]).where(F.col("place") != F.col("origin")).select("place.*")
 
 
 def substring_dedup(
-    docs: DataFrame, run: int = 2, words: int = 15, longest: int = 24, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, run: int = 3, words: int = 15, longest: int = 24, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """doc_id, text, n_sentences, n_removed, removed (character spans) of the documents that lose sentences.
 
-    A span is a run of at least `run` consecutive sentences with at least `words` words; every sentence covered by an
-    occurrence of a repeated span other than the first (smallest doc_id, then place) is removed, and the rest of the
-    text stays as it is. Documents without a repeat are not returned; null texts and null doc_ids are left alone; rows
-    that share a doc_id count as one document. Spans with one hash are first reduced to their origin by a partial
-    aggregate; the join back is between two written tables, so a span in a third of all documents is split.
+    A span is a run of `run` consecutive sentences, or a shorter one, of two at least, that holds `words` words or is
+    the whole text; every sentence covered by an occurrence of a repeated span other than the first (smallest doc_id,
+    then text and place) is removed, and the rest of the text stays as it is. Documents without a repeat are not
+    returned; null texts and null doc_ids are left alone. A document is a doc_id with a text: different texts with one
+    doc_id lose their own sentences only, and rows equal in both are one document, of which every row is returned. A
+    span in a third of all documents is counted by partial sums and its occurrences are split by adaptive execution.
     """
     hits = repeated_spans(docs, run, words, longest, id_col, text_col)
-    cover = hits.groupBy(F.col("doc_id").alias("d")).agg(F.collect_set(F.struct("first", "n")).alias("spans"))
+    cover = hits.groupBy(F.col("doc_id").alias("d"), F.col("k1").alias("k")).agg(F.collect_set(F.struct("first", "n")).alias("spans"))
     cover = materialize(cover, "cover")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
-    rows = rows.join(cover, F.col("doc_id") == F.col("d")).drop("d")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_keys(text_col)["k1"].alias("k1"), F.col(text_col).alias("text")).where("text is not null")
+    rows = marked(rows, "hit", F.col("k1"), cover.select("k")).where("hit").join(cover, (F.col("doc_id") == F.col("d")) & (F.col("k1") == F.col("k")))
+    rows = rows.select("doc_id", "text", "spans")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_sentences", pa.int32()), ("n_removed", pa.int32()), ("removed", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])

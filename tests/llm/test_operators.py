@@ -468,10 +468,11 @@ def test_substring(spark, texts):
     sentence = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(4, 12))).capitalize() + ". "
     passage = "".join(sentence() for _ in range(8))
     long_ = " ".join(f"v{rng.randrange(10**6)}" for _ in range(120))
-    rows = [(1, sentence() + passage + sentence()), (2, sentence() + passage.upper() + "end."), (3, "A b. C d. "), (4, "A b. C d. "), (5, None), (6, ""), (None, passage), (7, "start " + long_ + " stop here. "), (8, "other words first " + long_ + " tail."), (9, passage + passage)]
+    rows = [(1, sentence() + passage + sentence()), (2, sentence() + passage.upper() + "end."), (3, "A b. C d. "), (3, "A b. C d. "), (4, "A  B. c d."), (13, "A b. C d. E. F g. "), (14, "So. C d. E. F g. There."), (5, None), (6, ""), (None, passage), (2, "All. Other words. Here stand."), (7, "start " + long_ + " stop here. "), (8, "other words first " + long_ + " tail."), (9, passage + passage)]
     got = {r.doc_id: r for r in substring.substring_dedup(docs_frame(spark, rows, clash=True)).collect()}
-    assert set(got) == {2, 8, 9}
-    src = dict(rows)
+    assert set(got) == {2, 4, 8, 9, 14}
+    src = dict(rows) | {2: rows[1][1]}
+    assert got[14].text == "So. There." and not got[4].text and src[2] != rows[-4][1]
     for i, r in got.items():
         kept, at = "", 0
         for s in r.removed:
@@ -487,18 +488,13 @@ def test_substring_equals_brute_force(spark, texts):
     seen, want = {}, collections.defaultdict(set)
     for d in sorted(texts):
         units = [" ".join(texts[d][s:e].lower().split()) for s, e in substring.sentences(texts[d])]
-        for i in range(len(units)):
-            if not units[i]:
-                continue
-            n = 1
-            while i + n <= len(units) and (n < 2 or sum(len(u.split()) for u in units[i : i + n]) < 15):
-                n += 1
-            if i + n > len(units):
-                continue
-            key = " ".join(units[i : i + n])
-            if key in seen:
-                want[d] |= set(range(i, i + n))
-            seen.setdefault(key, (d, i))
+        for i in range(len(units) - 1):
+            for n in (2, 3):
+                part = units[i : i + n]
+                if units[i] and len(part) == n and (n == 3 or len(" ".join(part).split()) >= 15 or len(units) == n):
+                    if tuple(part) in seen:
+                        want[d] |= set(range(i, i + n))
+                    seen.setdefault(tuple(part), (d, i))
     got = {r.doc_id: r.n_removed for r in substring.substring_dedup(docs_frame(spark, texts.items())).collect()}
     assert got == {d: len(s) for d, s in want.items()}
 
