@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,10 +13,11 @@ from pyspark.sql import functions as F
 
 from arborlens.llm.components import connected_components
 from arborlens.llm.runs import min_labels, whole_runs
-from arborlens.llm.work import fresh, materialize
+from arborlens.llm.work import fresh, marked, materialize
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 _LANES = 256 * np.arange(8)
+_ODD, _ADD = np.random.default_rng(20240301).integers(0, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mixed(h: np.ndarray, word: int) -> np.ndarray:
@@ -106,9 +108,12 @@ def near_pairs(a: np.ndarray, b: np.ndarray, radius: int, block: int = 256) -> I
                 yield oa[s + i], ob[t + j]
 
 
-def tile_links(fps: DataFrame, radius: int = 3, tile: int = 8192) -> DataFrame:
+def tile_links(fps: DataFrame, radius: int = 3, tile: int | None = None) -> DataFrame:
     """Distinct (node long, fp) -> links (u, v) of nodes that join exactly those within radius, transitively.
 
+    Without `tile` it is 8,192, and more from a million fingerprints on (with their square root, 65,536 at most), so that
+    a fingerprint is sent to fewer tiles.
+
     A tile holds fingerprints whose first words have about equal population counts in both 32-bit halves, split by
     hash into parts of about `tile`; tile pairs whose counts differ by more than radius are never formed. Each pair of
     tiles is one task-sized group; it returns a forest (at most one link a node), never all pairs.
@@ -116,6 +121,7 @@ def tile_links(fps: DataFrame, radius: int = 3, tile: int = 8192) -> DataFrame:
     grain = 1 + radius // 4  # width of a range of population counts
     halves = [F.floor(F.bit_count(x) / grain).cast("int") for x in (F.shiftrightunsigned(F.col("fp")[0], 32), F.col("fp")[0].bitwiseAND(F.lit(0xFFFFFFFF)))]
     cells = materialize(fps.select("node", "fp", halves[0].alias("hi"), halves[1].alias("lo")), "fps")
+    tile = tile or min(65536, max(8192, 8 * math.isqrt(cells.count())))
     sizes = materialize(cells.groupBy("hi", "lo").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("parts")), "cells")
     gap = lambda d: max(0, (abs(d) - 1) * grain + 1)  # noqa: E731  least difference of counts in ranges d apart
     reach = range(-radius, radius + 1)
@@ -136,15 +142,23 @@ def tile_links(fps: DataFrame, radius: int = 3, tile: int = 8192) -> DataFrame:
     pairs = pairs.select("node", "fp", "m", number("hi2", "lo2", F.col("part2")).alias("n"))
     keyed = pairs.select(F.least("m", "n").alias("k1"), F.greatest("m", "n").alias("k2"), (F.col("m") > F.col("n")).cast("int").alias("side"), "node", "fp")
 
+    return _links_within(keyed.select(F.lit(0).cast("long").alias("g"), "k1", "k2", "side", "node", "fp"), radius)
+
+
+def _links_within(keyed: DataFrame, radius: int) -> DataFrame:
+    """(g, k1, k2, side, node, fp) -> links (u, v): pairs of a group (g, k1, k2) within radius, inside it where k1 = k2,
+    else between its sides 0 and 1. A group returns a forest, at most one link a node, never all pairs."""
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, starts in whole_runs(batches, ["k1", "k2"]):
+        for rows, starts in whole_runs(batches, ["g", "k1", "k2"]):
             k1, k2, side, nodes = (rows.column(c).to_numpy() for c in ("k1", "k2", "side", "node"))
             words = rows.column("fp").combine_chunks().flatten().to_numpy().reshape(len(nodes), -1).view(np.uint64)
+            u, v = [], []
             for s, e in zip(starts, [*starts[1:], rows.num_rows], strict=True):
                 ids, fp, same = nodes[s:e], words[s:e], k1[s] == k2[s]
                 cut = len(ids) if same else int(np.count_nonzero(side[s:e] == 0))
                 b = 0 if same else cut
-                if not cut or b == len(ids):
+                if len(ids) < 2 or not cut or b == len(ids):
                     continue
                 order = np.argsort(ids)
                 rank = np.empty(len(ids), np.int64)
@@ -155,9 +169,40 @@ def tile_links(fps: DataFrame, radius: int = 3, tile: int = 8192) -> DataFrame:
                 joined = np.flatnonzero(label != np.arange(len(ids)))
                 if len(joined):
                     ids = ids[order]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[joined]), pa.array(ids[label[joined]])], names=["u", "v"])
-
-    return keyed.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "side").mapInArrow(kernel, "u long, v long")
+                    u.append(ids[joined])
+                    v.append(ids[label[joined]])
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
+
+    return keyed.repartition("g", "k1", "k2").sortWithinPartitions("g", "k1", "k2", "side").mapInArrow(kernel, "u long, v long")
+
+
+def sketches(own: np.ndarray, bands: int, rows: int) -> list[int]:
+    """`bands` hashes of `rows` minima each of the set of shingle hashes, under seeded bijections; none for an empty set.
+    Two sets with Jaccard similarity s share one with probability 1 - (1 - s^rows)^bands."""
+    if not len(own):
+        return []
+    low = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(own), 2048):  # bounded memory at any length
+        z = own[at : at + 2048, None] * _ODD[: bands * rows] + _ADD[: bands * rows]
+        low = np.minimum(low, (z ^ (z >> np.uint64(32))).min(0))
+    key = np.arange(bands, dtype=np.uint64)
+    for r in range(rows):
+        key = _mixed(key ^ low[r::rows], 1)
+    return key.view(np.int64).tolist()
+
+
+def sketched_links(classes: DataFrame, radius: int, tile: int) -> DataFrame:
+    """(node, fp, bands) -> links (u, v) of nodes that join exactly those that share a band and lie within radius,
+    transitively. A band of more than `tile` nodes is split by hash into parts whose pairs are groups of their own."""
+    rows = materialize(classes.select("node", "fp", F.explode("bands").alias("g")), "bands")
+    busy = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    busy = materialize(busy.select(F.col("g").alias("b"), F.ceil(F.col("n") / tile).cast("int").alias("parts")), "busy")
+    rows = marked(rows, "again", F.col("g"), busy.select("b"), bits=26).where("again").join(busy, F.col("g") == F.col("b"))
+    rows = rows.withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int"))
+    rows = rows.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    keyed = rows.select("g", F.least("p", "q").alias("k1"), F.greatest("p", "q").alias("k2"), (F.col("p") > F.col("q")).cast("int").alias("side"), "node", "fp")
+    return _links_within(keyed, radius)
 
 
 def simhash_components(
@@ -182,21 +227,23 @@ def simhash_components(
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def shingle_classes(docs: DataFrame, shingle: int, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, key, node, fp) per row: hash of the text, 64 bits that name its set of shingles, and the set's SimHash."""
+def shingle_classes(docs: DataFrame, shingle: int, width: int, bands: int, band_rows: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, key, node, fp, bands) per row: hash of the text, 64 bits that name its set of shingles, the set's SimHash
+    and its sketches."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, fps = [], []
+            nodes, fps, keys = [], [], []
             for t in b.column(2):
                 own = np.unique(shingle_hashes(t.as_py(), shingle))
                 nodes.append(xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63))
                 fps.append(simhash(own, width))
-            columns = [b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(fps, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "node", "fp"])
+                keys.append(sketches(own, bands, band_rows))
+            columns = [b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "node", "fp", "bands"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(kernel, "doc_id long, key long, node long, fp array<long>")
+    return rows.mapInArrow(kernel, "doc_id long, key long, node long, fp array<long>, bands array<long>")
 
 
 def similar_links(members: DataFrame, radius: int, similarity: float, tile: int) -> DataFrame:
@@ -244,42 +291,52 @@ def similar_links(members: DataFrame, radius: int, similarity: float, tile: int)
 
 
 def simhash_dedup(
-    docs: DataFrame, shingle: int = 5, radius: int = 48, width: int = 3, similarity: float = 0.8, tile: int = 256,
-    id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, shingle: int = 5, radius: int = 48, width: int = 3, similarity: float = 0.8, tile: int = 2048, part: int = 512,
+    bands: int = 14, band_rows: int = 4, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest doc_id. Columns as in docs.
 
     Texts link when their sets of five-word shingles have a Jaccard similarity of at least `similarity`, computed for
     every pair whose SimHashes lie within radius: at 0.8 about 29 to 36 of the 192 bits differ, and in unrelated texts
-    a half. Rows without doc_id are kept as they are and link nothing. Rows are decided by doc_id and text: different
-    texts with one doc_id are different documents, of equal rows one stays. Texts without words are one group.
+    a half. At that radius population counts skip next to nothing, so the tiled comparison runs inside groups that
+    share one of `bands` sketches of `band_rows` minima, and its work grows with the texts and not with their square:
+    a pair at exactly 0.8 shares none with a probability of 0.06 %, one at 0.85 of 0.002 %. Rows without doc_id are kept
+    as they are and link nothing. Rows are decided by doc_id and text: different texts with one doc_id are different
+    documents, of rows equal in both one stays. Texts without words are one group.
     """
     grouped = docs.where(F.col(id_col).isNotNull())
-    rows = materialize(shingle_classes(grouped, shingle, width, id_col, text_col), "fingerprints")
-    classes = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.min(F.struct("doc_id", "key")).alias("first"))
+    rows = materialize(shingle_classes(grouped, shingle, width, bands, band_rows, id_col, text_col), "fingerprints")
+    classes = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.min(F.struct("doc_id", "key")).alias("first"))
     classes = materialize(classes, "classes")
-    groups = connected_components(tile_links(classes.select("node", "fp"), radius))
+    groups = connected_components(sketched_links(classes, radius, tile))
     groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
-    groups = classes.join(groups, "node").select("node", "fp", "root", F.col("first.doc_id").alias("doc_id"), F.col("first.key").alias("key"))
+    groups = classes.join(groups, "node").select("node", "fp", "root", F.col("first.doc_id").alias("i"), F.col("first.key").alias("k"))
     groups = materialize(groups, "candidates")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in b.column(3)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sets, pa.list_(pa.int64()))], names=["root", "node", "fp", "grams"])
+            sets = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "key", "grams"])
 
+    # a candidate's shingles are computed where its text is read, and only they are shuffled
     texts = grouped.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    # merge joins at every size: what they find grows with the documents, so no size of theirs is ever small
-    members = texts.join(groups.hint("merge"), ["doc_id", "key"]).select("root", "node", "fp", "text")
-    members = materialize(members.mapInArrow(grams, "root long, node long, fp array<long>, grams array<long>"), "members")
-    roots = connected_components(similar_links(members, radius, similarity, tile))
-    named = classes.join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
-    kept, text_key, place = fresh(docs, "_kept_id"), fresh(docs, "_text_key"), fresh(docs, "_place")
-    keep = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias(kept), F.col("first.key").alias(text_key))
-    keep = materialize(keep, "kept")
-    same = (F.col(id_col).cast("long") == F.col(kept)) & (F.xxhash64(F.col(text_col)) == F.col(text_key))
-    one = docs.join(keep.hint("merge"), same, "left_semi")
-    text_hash = F.xxhash64(F.col(text_col))
-    nth = F.row_number().over(Window.partitionBy(id_col, text_hash).orderBy(text_hash))
-    one = one.withColumn(place, nth).where(F.col(place) == 1).drop(place)
-    return one.unionByName(docs.where(F.col(id_col).isNull()))
+    texts = marked(texts, "candidate", F.xxhash64("doc_id", "key"), groups.select(F.xxhash64("i", "k").alias("h"))).where("candidate")
+    sets = texts.select("doc_id", "key", "text").mapInArrow(grams, "doc_id long, key long, grams array<long>")
+    members = materialize(sets, "grams").join(groups, (F.col("doc_id") == F.col("i")) & (F.col("key") == F.col("k")))
+    members = materialize(members.dropDuplicates(["node"]).select("root", "node", "fp", "grams"), "members")
+    roots = connected_components(similar_links(members, radius, similarity, part))
+    named = classes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    named = materialize(named, "named")
+    lowest = materialize(named.groupBy("root").agg(F.min("first").alias("kept")), "lowest")
+    named = materialize(named.join(lowest, "root").select(F.col("node").alias("m"), "kept"), "kept")
+    per_row = rows.groupBy("doc_id", "key", "node").agg(F.count(F.lit(1)).alias("n")).join(named, F.col("node") == F.col("m"))
+    gone = F.struct("doc_id", "key") != F.col("kept")
+    # rows that go, or are one of several equal ones; all others stay where they are
+    touched = materialize(per_row.where(gone | (F.col("n") > 1)).select(F.col("doc_id").alias("i"), F.col("key").alias("k"), gone.alias("gone")), "touched")
+    flag, id_, key = fresh(docs, "_touched"), fresh(docs, "_own_id"), fresh(docs, "_text_key")
+    own = docs.withColumns({id_: F.col(id_col).cast("long"), key: F.xxhash64(F.col(text_col))})
+    own = marked(own, flag, F.xxhash64(id_, key), touched.select(F.xxhash64("i", "k").alias("h")))
+    own = own.withColumn(flag, F.col(flag) & F.col(id_).isNotNull())
+    goes = touched.where("gone").select(F.col("i").alias(f"{id_}i"), F.col("k").alias(f"{key}k"))
+    some = own.where(flag).join(goes, (F.col(id_) == F.col(f"{id_}i")) & (F.col(key) == F.col(f"{key}k")), "left_anti")
+    return own.where(~F.col(flag)).unionByName(some.dropDuplicates([id_, key])).select(*docs.columns)
