@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,36 +24,41 @@ def sign_codes(vectors: np.ndarray, tables: int, bits: int) -> np.ndarray:
     return (signs @ (1 << np.arange(bits))).astype(np.int32)
 
 
-def _pair_rows(starts: np.ndarray, ends: np.ndarray, most: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row pairs i < j inside each run, at most about `most` at a time."""
-    for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-        step = max(1, most // max(1, e - s))
-        for a in range(s, e, step):
-            i = np.repeat(np.arange(a, min(e, a + step)), e - s)
-            j = np.tile(np.arange(s, e), min(e, a + step) - a)
-            yield i[i < j], j[i < j]
-
-
-def _small_pairs(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The same for many runs at once, by run length."""
-    size = ends - starts
-    for n in np.unique(size[(size > 1) & (size <= 64)]).tolist():
-        i, j = np.triu_indices(n, 1)
-        at = starts[size == n]
-        for k in range(0, len(at), max(1, 400_000 // len(i))):
-            part = at[k : k + max(1, 400_000 // len(i)), None]
-            yield (part + i).ravel(), (part + j).ravel()
-    big = size > 64
-    yield from _pair_rows(starts[big], ends[big])
+def plan(largest: int, threshold: float, bucket: int = 512, miss: float = 1e-3) -> tuple[int, int]:
+    """(bits, tables): so many bits that a bucket of the largest label holds about `bucket` vectors, and so many tables
+    that a pair right at the threshold shares none with a probability below `miss`."""
+    bits = max(4, math.ceil(math.log2(max(1, largest) / bucket)))
+    same = (1 - math.acos(threshold) / math.pi) ** bits
+    return bits, math.ceil(math.log(miss) / math.log(1 - same))
+
+
+def _near_rows(v: np.ndarray, norm: np.ndarray, cut: int, same: bool, threshold: float, step: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs i < j with a cosine of at least threshold: all pairs where `same`, else those across `cut`. Blocks of a
+    matrix product find the candidates, and their cosines are then computed pair by pair."""
+    n = len(v)
+    for s in range(0, n if same else cut, step):
+        e = min(s + step, n if same else cut)
+        for t in range(s if same else cut, n, step):
+            u = min(t + step, n)
+            i, j = np.nonzero(v[s:e] @ v[t:u].T >= (threshold - 1e-9) * norm[s:e, None] * norm[t:u])
+            i, j = i + s, j + t
+            ahead = i < j
+            i, j = i[ahead], j[ahead]
+            for k in range(0, len(i), 100_000):
+                a, b = i[k : k + 100_000], j[k : k + 100_000]
+                near = np.einsum("ij,ij->i", v[a], v[b]) / (norm[a] * norm[b]) >= threshold
+                yield a[near], b[near]
 
 
 def cosine_links(vectors: DataFrame, threshold: float, tables: int, bits: int, tile: int) -> DataFrame:
     """(id, label, v, weight) distinct vectors -> (id, root, n): links of a forest and, at root = id, the weight linked.
 
-    A bucket (label, dimension, table, code) with more than `tile` vectors is split into parts whose pairs are compared
-    as groups of their own, so no task holds more than two parts. A pair that shares several buckets counts only in
-    its first table. Groups return at most one link and one count a vector.
+    A bucket is a label, a dimension, a table and a code. One with more than `tile` vectors is split into parts whose
+    pairs are compared as groups of their own, so no task holds more than two parts. A pair that shares several buckets
+    counts only in its first table. Groups return at most one link and one count a vector.
     """
+    kind = vectors.schema["v"].dataType.simpleString()
+    exact = pa.list_(pa.float32() if kind == "array<float>" else pa.float64())
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -66,79 +72,81 @@ def cosine_links(vectors: DataFrame, threshold: float, tables: int, bits: int, t
                 for k, code in zip(at.tolist(), codes, strict=True):
                     out[k] = code
             codes = pa.array(list(out), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*b.columns, codes], names=["id", "label", "v", "weight", "codes"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], lists.cast(exact), b.column(3), codes], names=["id", "label", "v", "weight", "codes"])
 
     kinds = vectors.schema
     head = f"id {kinds['id'].dataType.simpleString()}, label {kinds['label'].dataType.simpleString()}"
-    reps = materialize(vectors.mapInArrow(coded, f"{head}, v array<double>, weight long, codes array<int>"), "coded")
-    rows = reps.select("id", "label", F.size("v").alias("dim"), F.posexplode("codes").alias("t", "code"))
-    busy = rows.groupBy("label", "dim", "t", "code").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    busy = materialize(busy.withColumn("parts", F.ceil(F.col("n") / tile).cast("int")), "buckets")
+    reps = materialize(vectors.mapInArrow(coded, f"{head}, v {kind}, weight long, codes array<int>"), "coded")
     keys = ["label", "dim", "t", "code"]
-    rows = rows.join(busy, keys).withColumn("p", F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int"))
+    places = reps.select("label", F.size("v").alias("dim"), F.posexplode("codes").alias("t", "code"))
+    large = places.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile)
+    large = materialize(large.select(*keys, F.ceil(F.col("n") / tile).cast("int").alias("parts")), "large")
+    rows = reps.select("id", "label", F.size("v").alias("dim"), "v", "weight", "codes", F.posexplode("codes").alias("t", "code"))
+    rows = rows.join(large, keys, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("p", F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int"))
     rows = rows.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.withColumns({"p1": F.least("p", "q"), "p2": F.greatest("p", "q"), "side": (F.col("p") > F.col("q")).cast("int")})
-    rows = materialize(rows.withColumn("k", F.xxhash64(*keys)).select("id", "k", *keys, "p1", "p2", "side"), "buckets")
-    rows = rows.join(reps.select("id", "v", "weight", "codes"), "id")
-    group = ["k", "label", "dim", "t", "code", "p1", "p2"]
+    group = [*keys, "p1", "p2"]
+    rows = rows.select("id", "v", "weight", "codes", *group, "side")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, starts in whole_runs(batches, ["k", "label", "dim", "t", "code", "p1", "p2"]):
-            ids, side, table = (rows.column(c).to_numpy() for c in ("id", "side", "t"))
-            p1, p2, dims, weight = (rows.column(c).to_numpy() for c in ("p1", "p2", "dim", "weight"))
+        for rows, starts in whole_runs(batches, group):
+            ids, side, table, dims, weight = (rows.column(c).to_numpy() for c in ("id", "side", "t", "dim", "weight"))
+            p1, p2 = rows.column("p1").to_numpy(), rows.column("p2").to_numpy()
             codes = rows.column("codes").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
             flat = rows.column("v").combine_chunks().flatten().to_numpy()
-            at = np.concatenate(([0], np.cumsum(dims)))
-            ends = np.append(starts[1:], len(ids))
-            label, linked = np.arange(len(ids)), np.zeros(len(ids), np.int64)
-            for dim in np.unique(dims[starts]).tolist():
-                mine = dims[starts] == dim
-                v = np.zeros((len(ids), dim))
-                own = np.flatnonzero(dims == dim)
-                v[own] = flat[at[own][:, None] + np.arange(dim)]
+            at = np.concatenate(([0], np.cumsum(dims, dtype=np.int64)))
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(ids)], strict=True):
+                same = p1[s] == p2[s]
+                cut = e - s if same else int(np.count_nonzero(side[s:e] == 0))
+                if e - s < 2 or not cut or (not same and cut == e - s):
+                    continue
+                v = flat[at[s] : at[e]].reshape(e - s, -1).astype(np.float64)
                 norm = np.sqrt(np.einsum("ij,ij->i", v, v))
-                for i, j in _small_pairs(starts[mine], ends[mine]):
-                    fresh = (p1[i] == p2[i]) | (side[i] != side[j])
-                    i, j = i[fresh], j[fresh]
-                    near = np.einsum("ij,ij->i", v[i], v[j]) / (norm[i] * norm[j]) >= threshold
-                    i, j = i[near], j[near]
-                    if len(i):
-                        first = np.argmax(codes[i] == codes[j], axis=1) == table[i]
-                        i, j = i[first], j[first]
-                        np.add.at(linked, i, weight[j])
-                        np.add.at(linked, j, weight[i])
-                        label = min_labels(len(ids), i, j, label)
-            out = [np.flatnonzero(linked), np.flatnonzero(label != np.arange(len(ids)))]
-            node = np.concatenate([ids[out[0]], ids[out[1]]])
-            root = np.concatenate([ids[out[0]], ids[label[out[1]]]])
-            n = np.concatenate([linked[out[0]], np.zeros(len(out[1]), np.int64)])
-            if len(node):
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root), pa.array(n)], names=["id", "root", "n"])
-
-    return rows.repartition("k", "p1", "p2").sortWithinPartitions(*group, "side").mapInArrow(kernel, "id long, root long, n long")
+                label, linked, own = np.arange(e - s), np.zeros(e - s, np.int64), codes[s:e]
+                for i, j in _near_rows(v, norm, cut, same, threshold):
+                    first = np.argmax(own[i] == own[j], axis=1) == table[s]
+                    i, j = i[first], j[first]
+                    np.add.at(linked, i, weight[s + j])
+                    np.add.at(linked, j, weight[s + i])
+                    label = min_labels(e - s, i, j, label)
+                some, joined = np.flatnonzero(linked), np.flatnonzero(label != np.arange(e - s))
+                out.append((ids[s + some], ids[s + some], linked[some]))
+                out.append((ids[s + joined], ids[s + label[joined]], np.zeros(len(joined), np.int64)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["id", "root", "n"])
+
+    return rows.repartition(*group).sortWithinPartitions(*group, "side").mapInArrow(kernel, "id long, root long, n long")
 
 
 def embedding_dedup(
-    vectors: DataFrame, threshold: float = 0.93, tables: int = 40, bits: int = 14, tile: int = 512,
+    vectors: DataFrame, threshold: float = 0.93, tables: int | None = None, bits: int | None = None, tile: int = 4096,
     id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label",
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row.
 
     Rows link when their labels are equal and not null and their cosine, in double precision, is at least threshold.
-    A pair at exactly 0.93 shares none of the 40 tables with a probability below 0.1 %, one at 0.95 below 1e-5. Vectors
+    Bits and tables follow from the largest label (plan()), so that buckets do not grow with the table: a pair at exactly
+    the threshold shares no table with a probability below 0.1 %. Vectors
     that are null, empty, zero or hold a null or non-finite component link with nothing and form components of their
     own, as do rows without label; vectors of different lengths never link. Equal vectors of one label are one node
     with a weight, so that a group of copies of any size costs nothing. Rows with equal ids are separate rows that link.
     """
     v = F.col("v")
+    # single precision is kept where the table holds it: half the bytes to shuffle, and exact in double precision
+    kind = "array<float>" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "array<double>"
     rows = vectors.select(
-        F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vec_col).cast("array<double>").alias("v")
+        F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vec_col).cast(kind).alias("v")
     )
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & F.exists(v, lambda x: x != 0)
     good = rows.where(usable)
     reps = good.groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("weight"))
     reps = materialize(reps.select("id", "label", "v", "weight"), "vectors")
+    largest = reps.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    own_bits, own_tables = plan(largest, threshold)
+    bits, tables = bits or own_bits, tables or own_tables
     found = materialize(cosine_links(reps, threshold, tables, bits, tile), "found")
     roots = connected_components(found.where("id != root").select(F.col("id").alias("u"), F.col("root").alias("v")))
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))

@@ -30,52 +30,76 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...], share: float, m
     return by.withColumn("target", F.least(F.col("w") * F.lit(level), F.col("cap").cast("double"))).drop("w", "cap")
 
 
-def _rank_key(doc_id: Column, x: Column, rest: Column, source_size: Column) -> Column:
-    """Odds of the document's fixed random number over its inclusion odds, folded into 0..1; 1 where nothing is drawn."""
-    bits = F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("null"))), 1, 13), 16, 10).cast("double")
-    u = (bits + 0.5) / float(1 << 52)
-    p = F.least(rest / source_size * x, F.lit(1 - 1e-9))
-    odds = F.when((rest > 0) & (source_size > 0) & (p > 0), (u / (1 - u)) / (p / (1 - p)))
-    return F.coalesce(odds / (1 + odds), F.lit(1.0))
-
-
 def _size(text_col: str) -> Column:
     return F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long")
 
 
-def _weight(inclusion: Column | None) -> Column:
-    return F.lit(1.0) if inclusion is None else inclusion.cast("double")
+def _appeal(size: Column) -> Column:
+    """A document's relative number of expected copies: the square root of its words, in thousandths (whole numbers, so
+    that sums do not depend on their order)."""
+    return F.floor(F.sqrt(size.cast("double")) * 1000.0).cast("long")
+
+
+def _expected(appeal: Column, level: Column, full: Column, most: int) -> Column:
+    """Expected copies of a document: its appeal times its source's level, at most `most`; exactly that where the source
+    takes all it may."""
+    return F.when(full, F.lit(float(most))).otherwise(F.least(F.coalesce(appeal * level, F.lit(0.0)), F.lit(float(most))))
+
+
+def _rank_key(doc_id: Column, p: Column, seed: str) -> Column:
+    """Odds of the document's fixed random number over its inclusion odds, folded into 0..1; 1 where nothing is drawn."""
+    bits = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double")
+    u = (bits + 0.5) / float(1 << 52)
+    odds = F.when(p > 0, (u / (1 - u)) / (p / (1 - p)))
+    return F.coalesce(odds / (1 + odds), F.lit(1.0))
 
 
 def _cell(r: Column, fan: int, level: int) -> Column:
     return F.least(F.floor(r * float(fan**level)), F.lit(fan**level - 1))
 
 
+def source_levels(sized: DataFrame, sources: DataFrame, most: int) -> DataFrame:
+    """sources with `full` and `level`: expected copies are least(most, appeal x level), and their words add up to the
+    target. Documents that would pass `most` stop there and the rest rises, found from the most appealing on over the
+    distinct sizes of a source (no more than the longest text has words)."""
+    kinds = sized.groupBy(F.col("source").alias("s2"), "size").agg(F.sum("size").alias("words"), F.sum(F.col("appeal") * F.col("size")).alias("pull"))
+    kinds = materialize(kinds.where("size > 0"), "kinds").join(sources.select("sno", "s", "target", "source_size"), F.col("s2").eqNullSafe(F.col("s")))
+    above = Window.partitionBy("sno").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    below = Window.partitionBy("sno").orderBy(F.col("size").desc()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    level = (F.col("target") - most * F.coalesce(F.sum("words").over(above), F.lit(0)).cast("double")) / F.sum("pull").over(below).cast("double")
+    fits = kinds.withColumn("level", level).where(_appeal(F.col("size")) * F.col("level") <= most)
+    found = fits.groupBy(F.col("sno").alias("n")).agg(F.max_by("level", "size").alias("level"))
+    full = (F.col("source_size") > 0) & (F.col("target") >= most * F.col("source_size"))
+    return sources.join(found, F.col("sno") == F.col("n"), "left").drop("n").withColumns({"full": full, "level": F.coalesce("level", F.lit(0.0))})
+
+
 def source_cuts(
-    docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, inclusion: Column | None = None,
+    docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: str = "",
     id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", levels: int = 2, fan: int = 256,
 ) -> tuple[DataFrame, DataFrame]:
-    """The rank key of every row (doc_id, row, sno, size, r), and a row for each source: its sizes, how often it is taken
-    whole, and the last rank key (`end`) and the closing one (`close`) of its sample.
+    """(doc_id, row, sno, size, whole, p, r) of every row: certain whole copies, inclusion probability of one more, and
+    rank key; and a row for each source: its sizes, level, and the last rank key (`end`) and the closing one (`close`) of
+    its sample.
 
     The cut is found by radix: words by `fan` ranges of the rank key, then by `fan` ranges inside the range that holds
     the cut, then row by row inside the last range, so that a source with any share of the rows never meets in one task.
+    Rows of which nothing is drawn take no part in it.
     """
     sized = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), _size(text_col).alias("size"),
-        _weight(inclusion).alias("x"), F.monotonically_increasing_id().alias("row"),
-    )
+        F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), _size(text_col).alias("size"), F.monotonically_increasing_id().alias("row"),
+    ).withColumn("appeal", _appeal(F.col("size")))
     sized = materialize(sized, "sized")
     sources = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    sources = sources.withColumn("whole", copies).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    sources = materialize(sources.withColumnRenamed("source", "s"), "targets")
-    rows = sized.join(sources, F.col("source").eqNullSafe(F.col("s")))
-    rows = rows.select("doc_id", "row", "sno", "size", _rank_key(F.col("doc_id"), F.col("x"), F.col("rest"), F.col("source_size")).alias("r"))
-    rows = materialize(rows, "keyed")
+    sources = materialize(source_levels(sized, sources.withColumnRenamed("source", "s"), most), "levels")
+    rows = sized.join(sources, F.col("source").eqNullSafe(F.col("s"))).withColumn("c", _expected(F.col("appeal"), F.col("level"), F.col("full"), most))
+    rows = rows.select("doc_id", "row", "sno", "size", F.floor("c").cast("long").alias("whole"), (F.col("c") - F.floor("c")).alias("p"))
+    rows = materialize(rows.withColumn("r", _rank_key(F.col("doc_id"), F.col("p"), seed)), "keyed")
+    whole = rows.groupBy("sno").agg(F.sum(F.col("size") * F.col("whole")).alias("certain"))
+    sources = materialize(sources.join(whole, "sno").withColumn("rest", F.col("target") - F.col("certain")).drop("certain"), "targets")
+    drawn = rows.where("p > 0")
     cut = materialize(sources.select("sno", "rest", F.lit(0).cast("long").alias("before"), F.lit(0).cast("long").alias("cell")), "cut")
     for level in range(1, levels + 1):
-        own = rows.withColumn("b", _cell(F.col("r"), fan, level))
+        own = drawn.withColumn("b", _cell(F.col("r"), fan, level))
         own = own.join(cut, "sno").where(F.floor(F.col("b") / fan) == F.col("cell")) if level > 1 else own
         words = materialize(own.groupBy("sno", "b").agg(F.sum("size").alias("n")), "words").join(cut, "sno")
         words = words.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("sno").orderBy("b")))
@@ -83,7 +107,7 @@ def source_cuts(
         last = F.coalesce(F.min(F.when(F.col("upto") > F.col("rest"), at)), F.max(at))
         cut = words.groupBy("sno", "rest").agg(last.alias("at")).select("sno", "rest", F.col("at.n").alias("before"), F.col("at.b").alias("cell"))
         cut = materialize(cut, "cut")
-    own = rows.withColumn("b", _cell(F.col("r"), fan, levels)).join(cut, "sno").where(F.col("b") == F.col("cell"))
+    own = drawn.withColumn("b", _cell(F.col("r"), fan, levels)).join(cut, "sno").where(F.col("b") == F.col("cell"))
     key = F.struct("r", "doc_id", "size", "row")
     upto = F.col("before") + F.sum("size").over(Window.partitionBy("sno").orderBy("r", "doc_id", "size", "row"))
     fits = F.col("upto") <= F.col("rest")
@@ -91,11 +115,11 @@ def source_cuts(
     ends = ends.agg(F.max(F.when(fits, key)).alias("end"), F.max(F.when(fits, F.col("upto"))).alias("upto"))
     ends = materialize(ends.select("sno", "cell", "end", (F.col("rest") - F.coalesce("upto", "before")).alias("gap")), "ends")
     left = F.abs(F.col("gap") - F.col("size"))
-    later = rows.join(ends, "sno").where(~_leading(F.col("r"), key, F.col("cell"), F.col("end"), fan, levels) & (F.col("r") < 1) & (left < F.col("gap")))
+    later = drawn.join(ends, "sno").where(~_leading(F.col("r"), key, F.col("cell"), F.col("end"), fan, levels) & (left < F.col("gap")))
     closing = later.groupBy("sno").agg(F.min(F.struct(left.alias("left"), "r", "doc_id", "size", "row")).alias("close"))
     closing = closing.select("sno", F.struct("close.r", "close.doc_id", "close.size", "close.row").alias("close"))
     cuts = sources.join(ends, "sno", "left").join(materialize(closing, "closing"), "sno", "left")
-    return rows, materialize(cuts.drop("gap"), "cuts")
+    return rows, materialize(cuts.drop("gap", "rest"), "cuts")
 
 
 def _leading(r: Column, key: Column, cell: Column, end: Column, fan: int, levels: int) -> Column:
@@ -107,22 +131,24 @@ def _leading(r: Column, key: Column, cell: Column, end: Column, fan: int, levels
 def mix(docs: DataFrame, fan: int = 256, levels: int = 2, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies per row of docs; options as in source_cuts.
 
-    size counts the text's words (null: 0). Sources in code point order, null last, carry the weights in turn. A source
-    first gets every document as many whole times as its target holds its size; the rest is a Pareto order sample:
-    documents rank by u/(1-u) over p/(1-p), u a fixed hash of doc_id, p the inclusion probability (the rest's share of
-    the source, times `inclusion` where given, below 1), and the leading ones are taken whose words fit the rest; then
-    the one further document that closes the gap best, if it helps. A null doc_id hashes as 'null'; repeated rows are
-    separate rows; reruns agree.
+    size counts the text's words (null: 0). Sources in code point order, null last, carry the weights in turn. A document
+    is expected in the mix as often as the square root of its size says, times a level that makes the words of its
+    source come to the target, and twice at most. The whole copies in that number are certain; the part that is left
+    is its inclusion probability p in a Pareto order sample: documents rank by u/(1-u) over p/(1-p), u a fixed hash of
+    seed and doc_id, and the leading ones are taken whose words fit what the certain copies leave of the target; then
+    the one further document that closes the gap best, if it helps. Where the target is twice the source, every
+    document is taken twice and nothing is drawn. A null doc_id hashes as 'null'; repeated rows are separate rows;
+    documents without words are taken no times; reruns agree.
     """
     rows, cuts = source_cuts(docs, fan=fan, levels=levels, **options)
-    marked = rows.join(cuts.drop("rest", "s"), "sno")
+    placed = rows.join(cuts.drop("s"), "sno")
     extra = _leading(F.col("r"), F.struct("r", "doc_id", "size", "row"), F.col("cell"), F.col("end"), fan, levels) | F.coalesce(F.col("row") == F.col("close.row"), F.lit(False))
-    n = F.col("whole") + extra.cast("long")
-    return marked.select("doc_id", "size", "source_size", "target", (F.col("size") * n).alias("taken"), n.alias("copies"))
+    n = F.when(F.col("size") > 0, F.col("whole") + (extra & (F.col("p") > 0)).cast("long")).otherwise(0).cast("long")
+    return placed.select("doc_id", "size", "source_size", "target", (F.col("size") * n).alias("taken"), n.alias("copies"))
 
 
 def mixed(
-    docs: DataFrame, fan: int = 256, levels: int = 2, inclusion: Column | None = None, id_col: str = "doc_id", source_col: str = "source",
+    docs: DataFrame, fan: int = 256, levels: int = 2, most: int = 2, seed: str = "", id_col: str = "doc_id", source_col: str = "source",
     text_col: str = "text", **options,
 ) -> DataFrame:
     """docs that the mix takes, with `copies`, the number of times (in place of any such column).
@@ -130,17 +156,19 @@ def mixed(
     Each row is decided as it is read, from its own rank key and its source's cut, so no text is shuffled while the
     sources are few; rows with one doc_id and size in a source are taken alike.
     """
-    _, cuts = source_cuts(docs, fan=fan, levels=levels, inclusion=inclusion, id_col=id_col, source_col=source_col, text_col=text_col, **options)
-    id_, size, rank, cut = (fresh(docs, n) for n in ("_mix_id", "_mix_size", "_mix_rank", "_mix_cut"))
+    _, cuts = source_cuts(docs, fan=fan, levels=levels, most=most, seed=seed, id_col=id_col, source_col=source_col, text_col=text_col, **options)
+    id_, size, times, rank, cut = (fresh(docs, n) for n in ("_mix_id", "_mix_size", "_mix_times", "_mix_rank", "_mix_cut"))
     own = docs.withColumns({id_: F.col(id_col).cast("long"), size: _size(text_col)})
     packed = cuts.select(F.struct(*cuts.columns).alias(cut))
     rows = own.join(packed, F.col(source_col).eqNullSafe(F.col(f"{cut}.s")))
     c = lambda n: F.col(f"{cut}.{n}")
-    # a column of its own, since the rank is used several times below
-    rows = rows.withColumn(rank, _rank_key(F.col(id_), _weight(inclusion), c("rest"), c("source_size")))
+    # columns of their own, since each is used several times below
+    rows = rows.withColumn(times, _expected(_appeal(F.col(size)), c("level"), c("full"), most))
+    p = F.col(times) - F.floor(times)
+    rows = rows.withColumn(rank, _rank_key(F.col(id_), p, seed))
     key = F.struct(F.col(rank).alias("r"), F.col(id_).alias("doc_id"), F.col(size).alias("size"))
     part = lambda of: F.when(c(of).isNotNull(), F.struct(c(f"{of}.r").alias("r"), c(f"{of}.doc_id").alias("doc_id"), c(f"{of}.size").alias("size")))
     lead = _leading(F.col(rank), key, c("cell"), part("end"), fan, levels)
     closing = F.coalesce(c("close").isNotNull() & key.eqNullSafe(part("close")), F.lit(False))
-    n = c("whole") + (lead | closing).cast("long")
-    return rows.withColumn("copies", n).where("copies > 0").drop(id_, size, rank, cut)
+    n = F.when(F.col(size) > 0, F.floor(times).cast("long") + ((lead | closing) & (p > 0)).cast("long")).otherwise(0)
+    return rows.withColumn("copies", n).where("copies > 0").drop(id_, size, times, rank, cut)

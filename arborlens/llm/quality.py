@@ -13,7 +13,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborlens.llm.work import materialize
+from arborlens.llm.work import fresh, materialize
 
 #: The score at which the cut lies.
 CUT = 0.3
@@ -125,13 +125,19 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs whose text scores at least 0.3, columns unchanged. Each row is decided by its own text as it is read, so no
-    text is shuffled."""
-    rows = materialize(feature_table(docs, id_col, text_col), "features")
-    weights, cut = fit(materialize(training_rows(rows, labels), "labelled"), **options)
+    """docs whose text scores at least 0.3, columns unchanged, in one pass over the texts: rows are written beside their
+    features, the fit reads the features of labelled rows, and the cut decides each row by its own. No text is shuffled.
+
+    Null and empty texts are scored as texts without words; equal texts stay or go together; rows without doc_id, or
+    with one that others share, are decided like all others. Without labels of both kinds every row stays.
+    """
 
     @F.pandas_udf("array<double>")
     def of(texts: pd.Series) -> pd.Series:
         return texts.map(features)
 
-    return docs.where(strength_of(of(F.col(text_col)), weights) >= cut)
+    f = fresh(docs, "_features")
+    rows = materialize(docs.withColumn(f, of(F.col(text_col))), "features")
+    known = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(f).alias("f"))
+    weights, cut = fit(materialize(training_rows(known, labels), "labelled"), **options)
+    return rows.where(strength_of(F.col(f), weights) >= cut).drop(f)

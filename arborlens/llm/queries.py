@@ -113,30 +113,40 @@ WITH d AS (
   SELECT level FROM levels WHERE level <= level_at ORDER BY n LIMIT 1
 ), t AS (
   SELECT w.source, w.source_size, least(w.w * l.level, CAST(2 * w.source_size AS DOUBLE)) AS target FROM w, l
-), r AS (
-  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t
+), kinds AS (
+  SELECT source, size, CAST(sum(size) AS BIGINT) AS words, CAST(floor(sqrt(CAST(size AS DOUBLE)) * 1000.0) AS BIGINT) AS appeal, count(*) AS n
+  FROM d WHERE size > 0 GROUP BY source, size
+), lv AS (  -- the level if exactly the longer documents are taken twice
+  SELECT k.source, size, appeal,
+    (t.target - 2 * CAST(coalesce(sum(words) OVER (PARTITION BY k.source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE))
+    / CAST(sum(appeal * size * n) OVER (PARTITION BY k.source ORDER BY size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level
+  FROM kinds k JOIN t ON k.source IS NOT DISTINCT FROM t.source
+), lo AS (
+  SELECT source, arg_max(level, size) AS level FROM lv WHERE appeal * level <= 2 GROUP BY source
+), e1 AS (
+  SELECT d.doc_id, d.size, d.u, t.source, t.source_size, t.target,
+    CASE WHEN t.source_size > 0 AND t.target >= 2 * t.source_size THEN 2.0
+      ELSE least(coalesce(floor(sqrt(CAST(d.size AS DOUBLE)) * 1000.0) * coalesce(lo.level, 0.0), 0.0), 2.0) END AS c
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN lo ON lo.source IS NOT DISTINCT FROM t.source
 ), q AS (
-  SELECT *, target - whole * source_size AS rest FROM r
+  SELECT *, CAST(floor(c) AS BIGINT) AS whole, c - floor(c) AS p FROM e1
 ), x AS (
-  SELECT d.doc_id, d.size, q.source, q.source_size, q.target, q.whole, q.rest,
-    CASE WHEN q.rest > 0 AND q.source_size > 0
-      THEN (d.u / (1 - d.u)) / (least(q.rest / q.source_size, 1 - 1e-9) / (1 - least(q.rest / q.source_size, 1 - 1e-9))) END AS odds
-  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
+  SELECT *, target - CAST(sum(size * whole) OVER (PARTITION BY source) AS BIGINT) AS rest, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS odds FROM q
 ), o AS (
   SELECT *, coalesce(odds / (1 + odds), 1.0) AS r, row_number() OVER (PARTITION BY source ORDER BY coalesce(odds / (1 + odds), 1.0), doc_id, size) AS place
   FROM x
 ), c AS (
   SELECT *, CAST(sum(size) OVER (PARTITION BY source ORDER BY place) AS BIGINT) AS upto FROM o
 ), g AS (
-  SELECT *, r < 1 AND upto <= rest AS picked,
-    rest - coalesce(max(CASE WHEN r < 1 AND upto <= rest THEN upto END) OVER (PARTITION BY source), 0) AS gap
+  SELECT *, p > 0 AND upto <= rest AS picked,
+    rest - coalesce(max(CASE WHEN p > 0 AND upto <= rest THEN upto END) OVER (PARTITION BY source), 0) AS gap
   FROM c
 ), f AS (
-  SELECT *, NOT picked AND r < 1 AND abs(gap - size) < gap AS near FROM g
+  SELECT *, NOT picked AND p > 0 AND abs(gap - size) < gap AS near FROM g
 ), e AS (
   SELECT *, near AND row_number() OVER (PARTITION BY source, near ORDER BY abs(gap - size), place) = 1 AS closing FROM f
 )
-SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN picked OR closing THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM e
+SELECT doc_id, size, source_size, target, CAST(CASE WHEN size > 0 THEN size * (whole + CASE WHEN picked OR closing THEN 1 ELSE 0 END) ELSE 0 END AS BIGINT) AS taken FROM e
 """
 
 QUERIES = {

@@ -286,6 +286,28 @@ def test_mixing(spark, data):
     assert mixing.mixed(docs_frame(spark, [(1, "a b"), (2, "c d")], clash=True)).columns == docs_frame(spark, [], clash=True).columns
 
 
+def test_mixing_includes_by_probability(spark):
+    """Over 60 sources with 30 documents of each of six sizes, sizes come in as often as their expected copies say."""
+    sizes = [4, 9, 25, 49, 81, 121]
+    rows = [(1000 * s + 30 * k + j, "w " * n, "en", f"s{s:03d}", 0) for s in range(60) for k, n in enumerate(sizes) for j in range(30)]
+    frame = spark.createDataFrame(rows, DOCS).repartition(4)
+    for share in (0.6, 1.8):
+        times, target = collections.Counter(), share * 30 * sum(sizes)
+        for r in mixing.mix(frame, weights=(1,), share=share).collect():
+            assert r.target == pytest.approx(target) and r.copies <= 2
+            times[r.size] += r.copies
+        over: list[int] = []  # these stop at two copies
+        while True:
+            level = (target - 60 * sum(over)) / (30 * sum(n**1.5 for n in sizes if n not in over))
+            if not (more := [n for n in sizes if n not in over and n**0.5 * level > 2]):
+                break
+            over += more
+        assert bool(over) == (share == 1.8)
+        for n in sizes:
+            assert times[n] / 1800 == pytest.approx(min(2, n**0.5 * level), abs=0.04)
+    assert {r.copies for r in mixing.mix(frame, weights=(1,), share=2.0).collect()} == {2}
+
+
 def test_ranked(spark):
     rows = spark.createDataFrame([(f"s{i:03d}",) for i in range(200)] + [(None,)], "s string").repartition(5)
     got = [(r.s, r["rank"]) for r in mixing.ranked(rows, F.col("s").asc_nulls_last()).orderBy("rank").collect()]
@@ -362,6 +384,8 @@ def test_embeddings(spark, data):
                 pairs.append((i, j))
     want = classes([r[0] for r in rows], pairs)
     assert got == {i: (links[i], want[i], want[i] == i) for i in want}
+    bits, tables = embed_dedup.plan(100_000_000, 0.93)
+    assert (bits, tables) > embed_dedup.plan(1_000, 0.93) and 1e-3 > (1 - (1 - np.arccos(0.93) / np.pi) ** bits) ** tables
     assert embed_dedup.embedding_dedup(frame.where("false")).count() == 0
 
 
@@ -473,6 +497,24 @@ def test_quality(spark, data):
     assert quality.quality_scores(docs.where("false"), labels).count() == 0
 
 
+def test_keep_good(spark, data):
+    """The rows that stay are those whose scores say so, with columns and repeats as they were."""
+    data = data.replace("sf0.001", "sf0.01")
+    docs, labels = table(spark, data, "documents"), table(spark, data, "labels")
+    one = docs.where("doc_id = 1").first().text
+    odd = [(10**6, None), (10**6, one), (10**6, one), (None, one), (None, "$$$ ### !!!"), (10**6 + 1, "")]
+    frame = docs.unionByName(docs_frame(spark, odd)).select("*", *[F.lit(v).alias(k) for k, v in CLASH.items()], F.lit(1).alias("_features"), F.lit(2).alias("f"))
+    scores = {}
+    for r, s in zip(*(sorted(x.collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0)) for x in (docs, quality.quality_scores(docs, labels))), strict=True):
+        scores[r.text] = s.predicted
+    kept = quality.keep_good(frame, labels)
+    assert kept.columns == frame.columns
+    got = collections.Counter((r.doc_id, r.text) for r in kept.collect())
+    assert {k: n for k, n in got.items() if k[0] is not None and k[0] < 10**6} == {(r.doc_id, r.text): 1 for r in docs.collect() if scores[r.text]}
+    assert scores[one] and got[10**6, one] == 2 and got[None, one] == 1 and got[None, "$$$ ### !!!"] == 0
+    assert quality.keep_good(frame, labels.where("false")).count() == frame.count() and quality.keep_good(frame.where("false"), labels).count() == 0
+
+
 # 10
 
 
