@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arborlens.llm.work import materialize, text_or_empty
+from arborlens.llm.work import fresh, marked, materialize, text_keys, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 #: Characters of the private use area: around matches, between two separators or dots, and what stands in for them when
@@ -84,83 +84,130 @@ def base_spans(rows: DataFrame) -> DataFrame:
     return rows.drop(*[f"{x}_{k}" for k in KINDS for x in "pl"])
 
 
+def _shape(value: Column) -> Column:
+    """Digits as 9, runs of letters as a, and whether the digits pass Luhn where they are long enough for a card."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(value), "[0-9]", "9"), r"\p{L}+", "a")
+    n = F.char_length(_digits(value))
+    bad_byte = F.exists(F.split(value, r"[^0-9]+"), lambda p: F.coalesce(p.try_cast("int") > 255, F.char_length(p) > 9))
+    checks = F.concat(F.when((n >= 12) & (n <= 19), F.when(luhn(_digits(value)), "+").otherwise("-")).otherwise(""), F.when(bad_byte, ">").otherwise(""))
+    mail = F.regexp_replace(plain, r"^[^@\s]+@[a9.-]+\.a$", "x@y.a")
+    address = F.regexp_replace(mail, r"^9{1,3}\.9{1,3}\.9{1,3}\.9{1,3}$", "9.9.9.9")
+    return F.concat(address, checks)
+
+
+def _class(value: Column) -> Column:
+    """The coarsest class of a value, for patterns that back off to one word."""
+    return F.when(F.contains(value, F.lit("@")), "@").when(value.rlike("^[0-9+(][0-9 ().-]*$"), "9").when(value.rlike("^[0-9.]+$"), "9.").otherwise("a9")
+
+
 def occurrences(rows: DataFrame) -> DataFrame:
-    """(row, start, end, value, no, patterns): every word that may be an identifier, trimmed of outer punctuation. Where
-    a base span begins in it, the span is the occurrence and `no` its kind; words in which a span only goes on are left
-    out. Its lexical patterns are the two words before it, and the word on either side, digits as 9."""
-    safe = F.translate("text", _MARK, _SAFE)
-    rows = rows.where(F.col("text").rlike("[0-9@]")).select("row", "base", _runs(safe, _WORD).alias("pieces"))
+    """rows with `text` and `base` -> the same with `words`: array of (start, end, value, no, patterns) of everything that
+    may be an identifier.
+
+    That is every word with a digit or an at sign, and every run of two to four such words in a row, trimmed of outer
+    punctuation, outside the base spans; and every base span that begins in such a word, with `no` its kind. The lexical
+    patterns of an occurrence are the two words before it, the word on either side, the word before it with the value's
+    class, and the value's shape.
+    """
+    pieces = F.when(F.col("text").rlike("[0-9@]"), _runs(F.translate("text", _MARK, _SAFE), _WORD)).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumn("pieces", pieces)
     rows = rows.withColumn("places", _places(F.col("pieces")))
     odd = F.filter(F.sequence(F.lit(0), F.greatest(F.size("pieces") - 1, F.lit(0))), lambda i: i % 2 == 1)
-    around = F.transform(
-        odd,
-        lambda i: F.struct(
-            F.get("places", i).alias("start"), F.get("pieces", i).alias("word"), F.get("pieces", i - 1).alias("before"),
-            F.get("pieces", i + 1).alias("after"), F.get("pieces", i - 2).alias("before2"), F.get("pieces", i + 2).alias("after2"),
-        ),
-    )
-    rows = rows.select("row", "base", F.explode(around).alias("o")).select("row", "base", "o.*")
-    core = F.regexp_extract("word", r"^[^0-9A-Za-z+]*+(.*?)[^0-9A-Za-z]*$", 1)
-    rows = rows.withColumn("lead", F.char_length(F.regexp_extract("word", r"^[^0-9A-Za-z+]*", 0))).withColumn("core", core)
-    rows = rows.withColumn("stop", F.col("start") + F.char_length("word"))
-    hit = F.filter("base", lambda b: (b["start"] < F.col("stop")) & (b["end"] > F.col("start")))
-    rows = rows.withColumn("hit", F.get(hit, F.lit(0)))
-    rows = rows.where(F.col("hit").isNull() | (F.col("hit.start") >= F.col("start")))
+    spread = lambda i: F.transform(F.sequence(i, i + 6, F.lit(2)), lambda j: F.struct(i.alias("i"), j.alias("j")))
+    # a run goes on while single blanks part its words
+    near = lambda i, j: (j < F.size("pieces") - 1) & F.forall(F.filter(F.sequence(i, j), lambda k: (k > i) & (k % 2 == 0)), lambda k: F.get("pieces", k) == " ")
+    runs = F.filter(F.flatten(F.transform(odd, spread)), lambda r: near(r["i"], r["j"]))
+    lead = lambda w: F.char_length(F.regexp_extract(w, r"^[^0-9A-Za-z+(]*", 0))
+    tail = lambda w: F.char_length(F.regexp_extract(w, r"[^0-9A-Za-z)]*$", 0))
+    start, end = lambda r: F.get("places", r["i"]) + lead(F.get("pieces", r["i"])), lambda r: F.get("places", r["j"] + 1) - tail(F.get("pieces", r["j"]))
+    own = F.transform(runs, lambda r: F.struct(r["i"].alias("i"), r["j"].alias("j"), start(r).alias("start"), end(r).alias("end"), F.lit(None).cast("int").alias("no")))
+    free = F.filter(own, lambda o: (o["end"] > o["start"]) & ~F.exists("base", lambda b: (b["start"] < o["end"]) & (b["end"] > o["start"])))
+    inside = lambda i, b: (b["start"] >= F.get("places", i)) & (b["start"] < F.get("places", i + 1))
+    first = lambda b: F.get(F.filter(odd, lambda i: inside(i, b)), F.lit(0))
+    last = lambda b: F.coalesce(F.get(F.filter(odd, lambda i: (b["end"] > F.get("places", i)) & (b["end"] <= F.get("places", i + 1))), F.lit(0)), first(b))
+    seeds = F.transform("base", lambda b: F.struct(first(b).alias("i"), last(b).alias("j"), b["start"].alias("start"), b["end"].alias("end"), b["no"].alias("no")))
+    every = F.concat(free, F.filter(seeds, lambda o: o["i"].isNotNull()))
     words = lambda c: F.filter(F.split(F.regexp_replace(F.lower(c), "[0-9]", "9"), r"\s+"), lambda w: w != "")
-    left = F.concat(words(F.coalesce("before2", F.lit(""))), words(F.coalesce("before", F.lit(""))))
-    right = F.concat(words(F.coalesce("after", F.lit(""))), words(F.coalesce("after2", F.lit(""))))
-    one, two = F.coalesce(F.try_element_at(left, F.lit(-1)), F.lit("^")), F.coalesce(F.try_element_at(left, F.lit(-2)), F.lit("^"))
-    next_ = F.coalesce(F.try_element_at(right, F.lit(1)), F.lit("$"))
-    start = F.coalesce(F.col("hit.start"), F.col("start") + F.col("lead"))
-    end = F.coalesce(F.col("hit.end"), F.col("start") + F.col("lead") + F.char_length("core"))
-    value = F.coalesce(F.col("hit.value"), F.col("core"))
-    patterns = F.array(F.concat(two, F.lit(" "), one, F.lit(" _")), F.concat(one, F.lit(" _ "), next_))
-    out = rows.select("row", start.alias("start"), end.alias("end"), F.lower(value).alias("value"), F.col("hit.no").alias("no"), patterns.alias("patterns"))
-    return out.where(F.col("no").isNotNull() | (F.col("value").rlike("[0-9@]") & (F.char_length("value") >= 4)))
-
-
-def discover(found: DataFrame, rounds: int = 3, confidence: float = 0.8, support: int = 3) -> DataFrame:
-    """Occurrences -> (value, no): values that no base pattern knows, with the kind that their contexts give them.
-
-    The graph has a link for each pattern and distinct value that occurs in it. A pattern's confidence in a kind is the
-    share of its values known to be of the kind, if at least `support` are; a value's score is the best confidence of
-    its patterns, and it is known from `confidence` on. Known values then raise other patterns, for `rounds` rounds.
-    Links are distinct and each round adds them up by pattern and by value with partial aggregates between two joins of
-    written tables, so that a frequent word or value is no single task's.
+    piece = lambda i: F.coalesce(F.get("pieces", i), F.lit(""))
+
+    def full(o: Column) -> Column:
+        left = F.concat(words(piece(o["i"] - 2)), words(piece(o["i"] - 1)))
+        right = F.concat(words(piece(o["j"] + 1)), words(piece(o["j"] + 2)))
+        one, two = F.coalesce(F.try_element_at(left, F.lit(-1)), F.lit("^")), F.coalesce(F.try_element_at(left, F.lit(-2)), F.lit("^"))
+        next_ = F.coalesce(F.try_element_at(right, F.lit(1)), F.lit("$"))
+        value = F.substring(F.col("text"), o["start"] + 1, o["end"] - o["start"])
+        patterns = F.array(
+            F.concat_ws(" ", two, one, F.lit("_")), F.concat_ws(" ", one, F.lit("_"), next_),
+            F.concat_ws(" ", one, F.lit("_"), _class(value)), F.concat(F.lit("="), _shape(value)),
+        )
+        return F.struct(o["start"].alias("start"), o["end"].alias("end"), F.lower(value).alias("value"), o["no"].alias("no"), patterns.alias("patterns"))
+
+    return rows.withColumn("words", F.transform(every, full)).drop("pieces", "places")
+
+
+def discover(found: DataFrame, rounds: int = 4, confidence: float = 0.8, prior: float = 2.0, floor: float = 0.5) -> DataFrame:
+    """Occurrences (value, no, patterns) -> (value, no, score): values that no base pattern knows, with the kind that
+    their patterns give them.
+
+    The graph has a link for each pattern and distinct value that occurs in it, and is scored in both directions: a
+    pattern's score for a kind is the sum of its values' scores over their number plus `prior`, so that few values prove
+    little; a value's score for a kind is 1 - product of (1 - score) over its patterns from `floor` on, and 1 for a seed
+    of that kind, 0 for one of another. After `rounds` rounds, values from `confidence` on are found. Links are distinct;
+    each round adds up by pattern and by value with partial sums between joins of written tables, so that a frequent
+    word or value is no single task's.
     """
-    links = found.select("value", F.explode("patterns").alias("pattern")).distinct()
-    links = materialize(links, "links")
+    links = materialize(found.select("value", F.explode("patterns").alias("pattern")).distinct(), "links")
     seeds = materialize(found.where("no is not null").groupBy("value").agg(F.min("no").alias("no")), "seeds")
-    known = seeds
+    kinds = range(len(KINDS))
+    known = materialize(seeds.select("value", *[(F.col("no") == k).cast("double").alias(f"s{k}") for k in kinds]), "known")
+    fixed = known
     for _ in range(rounds):
         joined = links.join(known.withColumnRenamed("value", "v"), F.col("value") == F.col("v"), "left")
-        sums = joined.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), *[F.count(F.when(F.col("no") == k, 1)).alias(f"k{k}") for k in range(len(KINDS))])
-        most = F.greatest(*[F.struct(F.col(f"k{k}").alias("k"), F.lit(k).alias("no")) for k in range(len(KINDS))])
-        strong = sums.withColumn("best", most).where((F.col("best.k") >= support) & (F.col("best.k") / F.col("n") >= confidence))
-        strong = materialize(strong.select(F.col("pattern").alias("p"), F.col("best.no").alias("no"), (F.col("best.k") / F.col("n")).alias("score")), "patterns")
-        scores = links.join(strong, F.col("pattern") == F.col("p")).groupBy("value").agg(F.max(F.struct("score", (-F.col("no")).alias("no"))).alias("b"))
-        fresh = scores.select("value", (-F.col("b.no")).alias("no")).join(seeds.select("value"), "value", "left_anti")
-        known = materialize(seeds.unionByName(fresh.select("value", F.col("no").cast(seeds.schema["no"].dataType))), "known")
-    return known.join(seeds.select("value"), "value", "left_anti")
+        sums = joined.groupBy("pattern").agg(*[(F.sum(F.coalesce(f"s{k}", F.lit(0.0))) / (F.count(F.lit(1)) + prior)).alias(f"r{k}") for k in kinds])
+        strong = materialize(sums.where(F.greatest(*[f"r{k}" for k in kinds]) >= floor).withColumnRenamed("pattern", "p"), "patterns")
+        miss = [F.sum(F.when(F.col(f"r{k}") >= floor, F.log1p(-F.least(f"r{k}", F.lit(0.999)))).otherwise(0.0)) for k in kinds]
+        scores = links.join(strong, F.col("pattern") == F.col("p")).groupBy("value").agg(*[(1 - F.exp(m)).alias(f"s{k}") for k, m in zip(kinds, miss, strict=True)])
+        known = materialize(fixed.unionByName(scores.join(fixed.select("value"), "value", "left_anti")), "known")
+    best = F.greatest(*[F.struct(F.col(f"s{k}").alias("score"), F.lit(-k).alias("no")) for k in kinds])
+    fresh_ = known.join(seeds.select("value"), "value", "left_anti").withColumn("b", best)
+    return fresh_.select("value", (-F.col("b.no")).alias("no"), F.col("b.score").alias("score")).where(F.col("score") >= confidence)
+
+
+def _apart(spans: Column) -> Column:
+    """Of overlapping spans those that begin first, and the longest of them."""
+    order = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
+    none = F.slice(spans, 1, 0)
+    return F.aggregate(order, none, lambda kept, s: F.when((F.size(kept) == 0) | (F.element_at(kept, -1)["end"] <= s["start"]), F.concat(kept, F.array(s))).otherwise(kept))
+
+
+_SPANS = "array<struct<start:int,no:int,end:int,value:string>>"
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """doc_id, base, found per row of docs: base spans, and spans that contexts add, as arrays of (start, no, end, value)
-    with no an index into KINDS; places in code points, end exclusive.
+    """doc_id, base, found per row of docs: base spans, and spans that patterns add, as arrays of (start, no, end, value)
+    with no an index into KINDS; places in code points, end exclusive. options as in discover().
 
-    A null text is empty; rows with equal doc_ids, or none, are separate rows; a text is read whole at any length.
+    Texts are read once: base spans and occurrences are written by row, without the text, and only rows with an
+    occurrence outside the base spans are joined with what is discovered. A null text is empty; rows with equal doc_ids,
+    or none, are separate rows; a text is read whole at any length. Found spans overlap neither base spans nor another.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
-    rows = base_spans(rows)
-    words = materialize(occurrences(rows), "occurrences")
-    base = rows.select("row", "doc_id", "base")
-    named = discover(words, **options)
-    extra = words.where("no is null").drop("no").join(named.withColumnRenamed("value", "v"), F.col("value") == F.col("v"))
-    extra = extra.groupBy(F.col("row").alias("r")).agg(F.array_sort(F.collect_list(F.struct("start", "no", "end", "value"))).alias("found"))
-    extra = materialize(extra, "found")
-    out = base.join(extra, F.col("row") == F.col("r"), "left")
-    kind = "array<struct<start:int,no:int,end:int,value:string>>"
-    return out.select("doc_id", F.col("base").cast(kind).alias("base"), F.coalesce(F.col("found").cast(kind), F.array().cast(kind)).alias("found"))
+    rows = _scanned(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")))
+    return _with_found(rows, **options).select("doc_id", "base", "found")
+
+
+def _scanned(rows: DataFrame) -> DataFrame:
+    rows = occurrences(base_spans(rows)).drop("text").withColumn("row", F.monotonically_increasing_id())
+    return materialize(rows.withColumn("base", F.col("base").cast(_SPANS)), "scanned")
+
+
+def _with_found(rows: DataFrame, **options) -> DataFrame:
+    words = rows.select("row", F.explode("words").alias("w")).select("row", "w.*")
+    named = materialize(discover(words, **options), "named")
+    extra = words.where("no is null").drop("no", "patterns").join(named.withColumnRenamed("value", "v"), F.col("value") == F.col("v"))
+    spans = _apart(F.collect_list(F.struct("start", "no", "end", "value")).cast(_SPANS))
+    extra = materialize(extra.groupBy(F.col("row").alias("r")).agg(spans.alias("found")), "found")
+    out = rows.join(extra, F.col("row") == F.col("r"), "left").drop("r", "words")
+    return out.withColumn("found", F.coalesce("found", F.array().cast(_SPANS)))
 
 
 def spans_text(spans: Column) -> Column:
@@ -174,10 +221,18 @@ def counts(spans: Column) -> dict[str, Column]:
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """doc_id and text with every value that find_pii names in that row replaced by its kind in brackets."""
-    found = find_pii(docs, id_col, text_col, **options).select("doc_id", F.concat("base", "found").alias("s"))
-    one = found.where("doc_id is not null and size(s) > 0").groupBy(F.col("doc_id").alias("d")).agg(F.flatten(F.collect_list("s")).alias("s"))
+    """docs with every span that find_pii names replaced by its kind in brackets, in that row and at that place; all
+    other columns, and null texts, as they are. Rows are matched by their text, so equal texts are cut alike, whatever
+    their doc_ids; texts without a span are not shuffled."""
+    keyed = docs.select(text_keys(text_col)["k1"].alias("doc_id"), text_or_empty(text_col).alias("text"))
+    found = _with_found(_scanned(keyed), **options).select("doc_id", F.array_sort(F.concat("base", "found")).alias("s")).where("size(s) > 0")
+    key, spans, flag = fresh(docs, "_text_key"), fresh(docs, "_spans"), fresh(docs, "_hit")
+    held = materialize(found.groupBy(F.col("doc_id").alias(f"{key}k")).agg(F.first("s").alias(spans)), "spans")
+    rows = marked(docs.withColumn(key, text_keys(text_col)["k1"]), flag, F.col(key), held.select(f"{key}k"))
+    some = rows.where(F.col(flag)).join(held, F.col(key) == F.col(f"{key}k"), "left")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    text = F.aggregate(F.coalesce("s", F.array().cast("array<struct<start:int,no:int,end:int,value:string>>")), F.col(text_col), lambda t, s: F.replace(t, s["value"], F.get(names, s["no"])))
-    rows = docs.join(materialize(one, "spans"), F.col(id_col).cast("long") == F.col("d"), "left")
-    return rows.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    ends = F.concat(F.array(F.lit(0)), F.transform(F.col(spans), lambda s: s["end"]))
+    kept = F.transform(F.col(spans), lambda s, i: F.concat(F.substring(F.col(text_col), F.get(ends, i) + 1, F.greatest(s["start"] - F.get(ends, i), F.lit(0))), F.get(names, s["no"])))
+    rest = F.substring(F.col(text_col), F.element_at(ends, -1) + 1, F.char_length(text_col))
+    some = some.withColumn(text_col, F.when(F.col(spans).isNotNull(), F.concat(F.array_join(kept, ""), rest)).otherwise(F.col(text_col)))
+    return rows.where(~F.col(flag)).select(*docs.columns).unionByName(some.select(*docs.columns))

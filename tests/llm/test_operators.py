@@ -246,21 +246,51 @@ def test_pii_base_spans(spark, texts):
         assert [(s.start, s.no, s.end) for s in r.base] == base_by_re(docs[r.doc_id] or "")
 
 
+def luhn_card(n):
+    body = f"40000000{n:07d}"
+    s = sum(int(x) if i % 2 else (2 * int(x) - 9 if int(x) > 4 else 2 * int(x)) for i, x in enumerate(reversed(body)))
+    return body + str(-s % 10)
+
+
 def test_pii_contexts_discover(spark):
-    def luhn(n):
-        body = f"40000000{n:07d}"
-        s = sum(int(x) if i % 2 else (2 * int(x) - 9 if int(x) > 4 else 2 * int(x)) for i, x in enumerate(reversed(body)))
-        return body + str(-s % 10)
-
-    rows = [(i, f"Please pay card number {luhn(i)} today, said {i}a") for i in range(30)]
-    rows += [(100, "Please pay card number 4111-22x today, or card number 123456789012 now"), (101, "nothing 987654321 here")]
-    got = {r.doc_id: r for r in pii.find_pii(docs_frame(spark, rows)).collect()}
-    assert all(len(got[i].base) == 1 and not got[i].found for i in range(30))
+    rows = [(i, f"Please pay card number {luhn_card(i)} today, said {i}a") for i in range(30)]
+    rows += [(50 + i, f"{'of on it'.split()[i % 3]} +1 ({500 + i}) 555-{1000 + i} {'we he'.split()[i % 2]}") for i in range(30)]
+    rows += [(100, "Please pay card number 4111-22x today, or card number 123456789012 now"), (101, "nothing 987654321 here"), (102, f"see {luhn_card(77)} {luhn_card(78)} there")]
+    rows += [(103, "call +1 (444) 555-1234 10.1.2.3 or 1234567890123456")]
+    frame = docs_frame(spark, rows, clash=True).withColumn("d", F.lit(1))
+    got = {r.doc_id: r for r in pii.find_pii(frame).collect()}
+    assert all(len(got[i].base) == 1 and not got[i].found for i in [*range(30), *range(50, 80)])
     assert [(s.value, s.no) for s in got[100].found] == [("4111-22x", 2), ("123456789012", 2)]
+    assert [(s.value, s.no) for s in got[102].found] == [(luhn_card(77), 2), (luhn_card(78), 2)] and not got[102].base
+    assert [(s.value, s.no) for s in got[103].found] == [("+1 (444) 555-1234", 3)] and [s.no for s in got[103].base] == [1]
     assert not got[101].found
-    text = pii.redact(docs_frame(spark, rows)).where("doc_id = 100").first().text
-    assert text == "Please pay card number [CARD] today, or card number [CARD] now"
-    assert pii.find_pii(docs_frame(spark, [])).count() == 0
+    clean = pii.redact(frame)
+    assert clean.columns == frame.columns
+    text = {r.doc_id: r.text for r in clean.collect()}
+    assert text[100] == "Please pay card number [CARD] today, or card number [CARD] now" and text[102] == "see [CARD] [CARD] there"
+    assert text[103] == "call [PHONE] [IP] or 1234567890123456" and text[0] == "Please pay card number [CARD] today, said 0a"
+    assert pii.find_pii(docs_frame(spark, [])).count() == 0 and pii.redact(docs_frame(spark, [(1, None)])).collect()[0].text is None
+
+
+def test_pii_graph_equals_plain_version(spark):
+    rng = random.Random(24)
+    rows = [(f"v{rng.randrange(40)}", rng.choice([None, None, 0, 2]), [f"p{rng.randrange(12)}" for _ in range(3)]) for _ in range(120)]
+    got = {r.value: (r.no, r.score) for r in pii.discover(spark.createDataFrame(rows, "value string, no int, patterns array<string>"), confidence=0.3, floor=0.2).collect()}
+    links, seeds = {(v, p) for v, _, ps in rows for p in ps}, {}
+    for v, no, _ in rows:
+        if no is not None:
+            seeds[v] = min(no, seeds.get(v, no))
+    known = {v: [float(no == k) for k in range(4)] for v, no in seeds.items()}
+    for _ in range(4):
+        score = {p: [sum(known.get(v, [0] * 4)[k] for v, q in links if q == p) / (sum(q == p for _, q in links) + 2) for k in range(4)] for _, p in links}
+        new = {}
+        for v in {v for v, _ in links} - set(seeds):
+            new[v] = [1 - np.prod([1 - score[p][k] for w, p in links if w == v and score[p][k] >= 0.2] or [1]) for k in range(4)]
+        known = {v: known[v] for v in seeds} | new
+    want = {v: max((s, -k) for k, s in enumerate(x)) for v, x in known.items() if v not in seeds}
+    want = {v: (-k, s) for v, (s, k) in want.items() if s >= 0.3}
+    assert set(got) == set(want) and want
+    assert all(got[v][0] == want[v][0] and got[v][1] == pytest.approx(want[v][1]) for v in want)
 
 
 # 5
