@@ -377,19 +377,54 @@ def test_secrets_in_assignments_and_addresses(spark, texts):
         ("GITHUB_TOKEN={}", lambda: "ghp_" + key(35) + "5"),
         ("see https://api.host.org/v1/items?access_token={}&page=2 there", lambda: "eyJ" + key(20) + "." + key(40) + "1"),
         ("get https://files.host.org/download/2024/{}/data now", lambda: "AKIA" + key(15, "ABCDEFGHIJKLMNOPQRSTUVWXYZ") + "7"),
+        ("AWS_SECRET_ACCESS_KEY={}", lambda: key(39) + "9"),
+        ("DB_PASSWORD={} in use", lambda: key(9) + "7"),
+        ('"client_secret": "{}",', lambda: key(32)),
+        ("X-Api-Key: {}", lambda: key(32, "0123456789abcdef")),
     ]
     docs, want = dict(texts), set()
-    for i in range(75):
-        form, value = forms[i % 5][0], forms[i % 5][1]()
+    for i in range(135):
+        form, value = forms[i % 9][0], forms[i % 9][1]()
         docs[10**6 + i] = "notes " + form.format(value)
         want.add((10**6 + i, value))
     rows = secrets.find_secrets(docs_frame(spark, docs.items())).collect()
     assert all((docs[r.doc_id] or "")[r.start : r.end] == r.value for r in rows)
-    assert {(r.doc_id, r.value) for r in rows if r.is_secret and r.doc_id >= 10**6} == want
+    got = {(r.doc_id, r.value) for r in rows if r.is_secret and r.doc_id >= 10**6}
+    assert not got - want and len(want - got) <= 0.04 * len(want), want - got
+    want &= got
     clean = {r.doc_id: r.text for r in secrets.redact(docs_frame(spark, docs.items())).where("doc_id >= 1000000").collect()}
     assert all(v not in clean[d] and "[SECRET]" in clean[d] for d, v in want)
 
 
+def test_forest_removes_false_positives(spark, data):
+    """On findings planted in other texts with other values, the forest beats the rule that the scanner starts from, at
+    no loss worth naming; it is learnt from planted labels only."""
+    docs = table(spark, data, "documents")
+    words = secrets.dictionary(docs)
+    assert 100 < len(words) <= 500 and "that" in words
+    planted = lambda version, hosts: secrets.with_labels(secrets.labelled_findings(docs, hosts, version), words)
+    model = secrets.train(planted("v1", 60))
+    rows = model.transform(planted("held out", 60).withColumn("v", secrets.array_to_vector("f"))).select("value", "before", "secret", "prediction", "f").collect()
+    at = {n: k for k, n in enumerate(secrets.FEATURES)}
+    share = lambda rows, test: np.mean([test(r) for r in rows])
+    bad, good = [r for r in rows if r.secret == 0], [r for r in rows if r.secret == 1]
+    assert len(bad) > 500 and len(good) > 500
+    rule = lambda r: r.f[at["key_word"]] == 1 or r.f[at["prefix"]] == 1
+    assert share(good, lambda r: r.prediction == 1) > 0.97 and share(bad, lambda r: r.prediction == 1) < 0.03
+    assert share(bad, rule) > 0.1
+    assert all(len({r.f[k] for r in rows}) > 1 for k in range(len(secrets.FEATURES)))  # no constant feature
+
+
+def test_secrets_odd_rows(spark, texts):
+    key = "9f86d081884c7d659a2feaa0c55ad015"
+    docs = list(texts.items()) + [(None, f'api_key = "{key}"'), (None, "innocent"), (10**6, f'api_key = "{key}"'), (10**6, "innocent"), (10**6, f'api_key = "{key}"'), (10**6, None), (10**6, "")]
+    frame = docs_frame(spark, docs, clash=True).withColumnRenamed("text", "body")
+    out = secrets.redact(frame, text_col="body")
+    assert out.columns == frame.columns
+    got = collections.Counter((r.doc_id, r.body) for r in out.where("doc_id is null or doc_id >= 1000000").collect())
+    assert got == collections.Counter({(None, 'api_key = "[SECRET]"'): 1, (None, "innocent"): 1, (10**6, 'api_key = "[SECRET]"'): 2, (10**6, "innocent"): 1, (10**6, None): 1, (10**6, ""): 1})
+
+
 # 7
 
 
