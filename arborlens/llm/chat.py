@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 from collections import deque
@@ -13,7 +14,10 @@ from pyspark.sql import functions as F
 
 from arborlens.llm.work import materialize
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+#: Ranks of a byte-level vocabulary (base64 token and rank a line), which every executor must reach.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Fixed value: how that vocabulary's texts are split before its merges apply.
+SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 START, END = "<|im_start|>", "<|im_end|>"
 WINDOW = (
     "conv_id long, window_no long, formatted string, mask array<struct<start:int,end:int>>, n_repeated int, n_turns int,"
@@ -40,6 +44,15 @@ def parse_turns(formatted: str) -> list[tuple[str, str, int, int]]:
     return [(unescape(m[1]), unescape(m[2]), m.start(2), m.end(2) + len(END)) for m in _TURN.finditer(formatted)]
 
 
+def _encoding(path: str):
+    """The tokenizer of a file of ranks; control strings are ordinary text to it."""
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding(path, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+
 class _Windows:
     """Greedy windows over one conversation's turns as they come; holds one window and the history only."""
 
@@ -108,15 +121,12 @@ def chat_windows(
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(tokenizer)
-        t.encode_special_tokens = True
+        t = _encoding(tokenizer)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
                 formatted = [format_turn(r, x) for r, x in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-                tokens = [len(e) for e in t.encode_batch_fast(formatted, add_special_tokens=False)]
+                tokens = [len(t.encode_ordinary(x)) for x in formatted]
                 yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(formatted), pa.array(tokens, pa.int64())], names=["conv_id", "turn", "role", "formatted", "tokens"])
 
     counted = rows.mapInArrow(count, "conv_id long, turn long, role string, formatted string, tokens long")
