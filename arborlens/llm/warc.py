@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlens.llm.work import materialize
+from arborlens.llm.work import marked, materialize
 
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -53,12 +53,17 @@ def write_warc(pages: DataFrame, path: str, min_payload: int = 0, date: str = "2
         F.coalesce(F.col("html").cast("binary"), F.lit(b"").cast("binary")).alias("payload"),
     )
     rows = rows.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("long")})
-    groups = rows.where((F.col("size") >= min_payload) & F.col("page_id").isNotNull()).groupBy(F.col("digest").alias("d"))
+    light = rows.select("page_id", "url", "digest", "size")  # no payload: decisions need none
+    groups = light.where((F.col("size") >= min_payload) & F.col("page_id").isNotNull()).groupBy(F.col("digest").alias("d"))
     groups = groups.agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     groups = materialize(groups, "payloads")  # written, so that both join sides are plain and a hot payload can be split
-    rows = rows.join(groups, (F.col("digest") == F.col("d")) & (F.col("size") >= min_payload), "left")
-    revisit = F.coalesce(F.col("first") != F.col("page_id"), F.lit(False))
-    rows = rows.select("page_id", "url", "digest", "size", F.when(revisit, F.col("first")).alias("refers"), F.when(~revisit, F.col("payload")).alias("payload"))
+    again = light.where(F.col("size") >= min_payload).join(groups, (F.col("digest") == F.col("d")) & (F.col("page_id") != F.col("first")))
+    again = materialize(again.select("page_id", "url", "digest", "size", F.col("first").alias("refers")), "revisits")
+    keys = again.select(F.col("page_id").alias("p"), F.col("digest").alias("g")).distinct()
+    rows = marked(rows, "may", F.xxhash64("page_id", "digest"), keys.select(F.xxhash64("p", "g").alias("h")))
+    first = rows.where("may").join(keys, (F.col("page_id") == F.col("p")) & (F.col("digest") == F.col("g")), "left_anti")
+    response = rows.where("not may").unionByName(first).select("page_id", "url", "digest", "size", F.lit(None).cast("long").alias("refers"), "payload")
+    rows = response.unionByName(again.withColumn("payload", F.lit(None).cast("binary")))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,14 +111,91 @@ def parse_record(data: bytes) -> dict:
     }
 
 
-def records_in_range(file, start: int, end: int, chunk: int = 1 << 20) -> Iterator[tuple[int, bytes]]:
+class _Member:
+    """One gzip member of a seekable file, from `at` on, decoded as far as asked for."""
+
+    def __init__(self, file, at: int, chunk: int):
+        self.file, self.at, self.chunk, self.used = file, at, chunk, 0
+        self.decoder, self.out = zlib.decompressobj(31), []
+        self.size = 0
+
+    def more(self, chunk: int) -> bool:
+        """Decode the next piece; false when the file ends or the data are no gzip."""
+        self.file.seek(self.at + self.used)
+        data = self.file.read(chunk)
+        if not data:
+            return False
+        self.used += len(data)
+        try:
+            self.out.append(self.decoder.decompress(data))
+        except zlib.error:
+            return False
+        self.size += len(self.out[-1])
+        return True
+
+    @property
+    def end(self) -> int:
+        return self.at + self.used - len(self.decoder.unused_data)
+
+    def record(self) -> bytes | None:
+        """The whole decoded record, if its header is one of a WARC record and its length is what the header says; b"" for
+        an empty member; None otherwise."""
+        head = b""
+        while not self.decoder.eof and b"\r\n\r\n" not in head and len(head) < 1 << 20:
+            if not self.more(4096):
+                return None
+            head = b"".join(self.out)
+            if head and not (head.startswith(b"WARC/") or b"WARC/".startswith(head)):
+                return None
+        if self.decoder.eof and not self.size:
+            return b""
+        start, mark, _ = head.partition(b"\r\n\r\n")
+        f = _fields(start)
+        length = f.get("content-length", "")
+        if not mark or not start.startswith(b"WARC/") or "warc-type" not in f or not (length.isascii() and length.isdigit()):
+            return None
+        whole = len(start) + 8 + int(length)  # two blank lines: behind the header and behind the block
+        while not self.decoder.eof:
+            if self.size > whole or not self.more(self.chunk):
+                return None
+        data = b"".join(self.out)
+        return data if len(data) == whole and data.endswith(b"\r\n\r\n") else None
+
+
+def _chained(file, at: int, links: int, chunk: int) -> bool:
+    """Whether members follow one another from `at` on, for `links` of them or to the end of the file."""
+    for _ in range(links):
+        file.seek(at)
+        magic = file.read(len(MAGIC))
+        if not magic:
+            return True
+        member = _Member(file, at, chunk)
+        if magic != MAGIC or member.record() is None:
+            return False
+        at = member.end
+    return True
+
+
+def records_in_range(file, start: int, end: int, chunk: int = 1 << 20, links: int = 8) -> Iterator[tuple[int, bytes]]:
     """(offset, decoded record) of the records that start in [start, end) of a seekable file; reads past end to finish.
 
-    Candidates are gzip magics; one counts when what it decodes to begins with a WARC version line, so magics inside
-    compressed data, and empty members, are passed over.
+    Candidates are gzip magics. The first one in a range counts when its header decodes to that of a WARC record, its
+    length is what the header says, and the members behind it are sound too, `links` of them or to the end of the file:
+    so a member that a payload holds, stored as it is, is passed over, unless it is one of more than `links` in a row.
+    From then on members follow one another. Empty members are passed over.
     """
-    at = start
+    at, inside = start, start == 0
     while at < end:
+        file.seek(at)
+        if inside and file.read(len(MAGIC)) == MAGIC:
+            member = _Member(file, at, chunk)
+            record = member.record()
+            if record is not None:
+                if record:
+                    yield at, record
+                at = member.end
+                continue
+        inside = False
         file.seek(at)
         window = file.read(min(chunk, end - at) + len(MAGIC) - 1)
         hit = window.find(MAGIC)
@@ -123,29 +205,8 @@ def records_in_range(file, start: int, end: int, chunk: int = 1 << 20) -> Iterat
                 return
             continue
         at += hit
-        file.seek(at)
-        decoder, out, used, valid = zlib.decompressobj(31), [], 0, None
-        while not decoder.eof:
-            data = file.read(chunk if valid else 4096)
-            if not data:
-                valid = False
-                break
-            used += len(data)
-            try:
-                out.append(decoder.decompress(data))
-            except zlib.error:
-                valid = False
-                break
-            if valid is None:
-                first = b"".join(out)
-                if len(first) >= 5 or decoder.eof:
-                    valid = first.startswith(b"WARC/")
-                    if not valid:
-                        break
-        if valid:
-            yield at, b"".join(out)
-            at += used - len(decoder.unused_data)
-        else:
+        inside = _chained(file, at, links, chunk)
+        if not inside:
             at += len(MAGIC)
 
 

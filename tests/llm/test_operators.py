@@ -126,6 +126,22 @@ def test_warc_minimum_and_nested_magic(spark):
         assert [warc.parse_record(d)["payload"] for _, d in found] == bodies
 
 
+def test_warc_members_inside_payloads(spark):
+    """A payload that is itself an archive, stored as it is, gives no records of its own, wherever a range starts."""
+    rng = np.random.default_rng(25)
+    record = lambda body, level: gzip.compress(b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n", level)
+    noise = lambda n: rng.integers(0, 256, n, dtype=np.uint8).tobytes()
+    inner = b"".join(record(noise(900), 6) for _ in range(3))
+    bodies = [noise(70_000), noise(500) + inner + noise(70_000), b"WARC/1.0\r\n", b"", inner, noise(9_000)]
+    whole = b"".join(record(b, 0) for b in bodies)
+    for cuts in ([0], [0, 70_050], [0, 70_900], range(0, len(whole), 997)):
+        edges = [*cuts, len(whole)]
+        found = [r for s, e in zip(edges, edges[1:]) for r in warc.records_in_range(io.BytesIO(whole), s, e)]
+        assert [warc.parse_record(d)["payload"] for _, d in found] == bodies
+    broken = record(b"x" * 50, 6)[:-20] + record(b"y", 6)
+    assert [warc.parse_record(d)["payload"] for _, d in warc.records_in_range(io.BytesIO(broken), 0, len(broken))] == [b"y"]
+
+
 def test_warc_empty(spark):
     path = new_path(spark, "warc")
     warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), path)
@@ -221,6 +237,18 @@ def test_chat_round_trip(spark, data):
     assert chat.format_and_read(turns.where("false")).count() == 0
 
 
+def test_chat_counts_tokens(spark, data):
+    """The same counts as another library's reading of the same vocabulary."""
+    from tokenizers import Tokenizer
+
+    other = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
+    other.encode_special_tokens = True
+    own = chat._encoding(chat.TOKENIZER)
+    texts = [chat.format_turn(r.role, r.text) for r in table(spark, data, "conversations").limit(300).collect()]
+    texts += ["<|endoftext|> I'll  say\n\n it's 2024,\tnaïve ☃ don't" + " " * 9, "a" * 5000, "\n" * 7, ""]
+    assert [len(own.encode_ordinary(t)) for t in texts] == [len(e) for e in other.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 # 4
 
 
