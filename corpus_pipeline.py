@@ -13,23 +13,30 @@ ORACLE_SQL = None
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text the classifier scores at least 0.3; null texts and texts without words score as such texts do,
+    and equal texts stay or go together."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, similarity 0.8): the smallest doc_id; rows without
+    doc_id stay, of rows equal in doc_id and text one."""
     return simhash.simhash_dedup(docs)
 
 
 def _decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item; rows without text stay."""
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def _secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets replaced by [SECRET] and n_chars by the new length; null texts stay null."""
     return secrets.redact(docs)
 
 
 def _mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the mix, with the number of times that it takes each; those that it does not take are left out."""
+    """Documents of the mix, with the number of times that it takes each; those that it does not take, and
+    those without words, are left out. Rows equal in doc_id, source and size are taken alike."""
     return mixing.mixed(docs)
 
 
