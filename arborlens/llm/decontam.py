@@ -133,7 +133,7 @@ def _windows(docs: DataFrame, items: DataFrame, shingle: int, similarity: float,
                             rows.append(no)
                             out.append((s, n, simhash(grams[k][s : s + own]), xxhash.xxh64_intdigest(held) - (1 << 63), held.decode("utf-8", "surrogatepass")))
                 if out:
-                    own = part.take(pa.array(rows))
+                    own = part.select([0, 1]).take(pa.array(rows))
                     columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
                     yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), *columns], names=names)
 

@@ -72,7 +72,7 @@ def repeated_spans(docs: DataFrame, run: int = 3, words: int = 15, longest: int
                 rows = [(no, *s) for no, t in enumerate(part.column(2).to_pylist()) for s in spans(t, run, words, longest)]
                 if rows:
                     no, *cols = zip(*rows, strict=True)
-                    own = part.take(pa.array(no))
+                    own = part.select([0, 1]).take(pa.array(no))
                     yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=names)
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_keys(text_col)["k1"].alias("k1"), F.col(text_col).alias("text"))
