@@ -21,7 +21,9 @@ PREFIXES = r"^(AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|xox[abprs]-|sk_live_|sk-|r
 RUN = r"[A-Za-z0-9_+/.~-]{16,}"
 _PAD = r"(?:={1,2}(?![A-Za-z0-9_+/.~=-]))?"
 _ADDRESS = r"://[^\s\"'`<>]{0,500}"  # a lookbehind needs a bound
-_ASSIGNED = rf"(?<=[\s=:\"'`])(?<=(?i:{KEY_WORDS})[A-Za-z0-9_]{{0,12}}[\"'`]?\s{{0,2}}[:=]>?\s{{0,2}}[\"'`]?)"
+_SET = r"[:=]>?\s{0,2}[\"'`]?"
+#: The cheap lookbehinds come first: few places follow a colon or an equals sign.
+_ASSIGNED = rf"(?<=[\s=:>\"'`])(?<={_SET})(?<=(?i:{KEY_WORDS})[A-Za-z0-9_]{{0,12}}[\"'`]?\s{{0,2}}[:=]>?\s{{0,2}}[\"'`]?)"
 _FIND = (
     rf"(?<![A-Za-z0-9_+/.~-])(?!(?<=:)//)(?={RUN})(?<!{_ADDRESS})({RUN}{_PAD})"
     rf"|(?<![A-Za-z0-9_+.~-])(?=[A-Za-z0-9_+.~-]{{16}})(?<={_ADDRESS})([A-Za-z0-9_+.~-]{{16,}}{_PAD})"
