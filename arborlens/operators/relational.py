@@ -111,6 +111,7 @@ def stratified(df: DataFrame, stratum: str, key: str, n: int, seed: str = "s1",
 def ranked(rows: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     """rows with their 0-based place in a total order, without a single-task sort: places within range partitions plus
     the sizes of the partitions before (as many rows as there are partitions)."""
+    rows = materialize(rows, "unranked")  # read twice: for the ranges' bounds and for the sort
     parts = rows.orderBy(*order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"))
     parts = materialize(parts, "ranked")
     sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))

@@ -176,13 +176,14 @@ def agg_area_weights(spark, d):
     return a.crossJoin(a.agg(F.sum("area").alias("total"))).select("eco", F.round(F.col("area") / F.col("total"), 9).alias("weight"))
 
 
-@query(", s AS (SELECT taxon, CAST(n AS DOUBLE) / 200 AS sim FROM occ WHERE tile <= 400), t AS (SELECT count(DISTINCT tile) AS samples FROM occ WHERE tile <= 400) SELECT taxon, round(avg(sim), 6) AS mean, round(min(sim), 6) AS low, round(max(sim), 6) AS high, round(max(sim) - min(sim), 6) AS span, round(CAST(count(*) AS DOUBLE) / max(samples), 6) AS coverage, round(0.6 * avg(sim) + 0.4 * CAST(count(*) AS DOUBLE) / max(samples), 6) AS score FROM s, t GROUP BY taxon")
+@query(", s AS (SELECT taxon, n, CAST(n AS DOUBLE) / 200 AS sim FROM occ WHERE tile <= 400), t AS (SELECT count(DISTINCT tile) AS samples FROM occ WHERE tile <= 400) SELECT taxon, round(CAST(sum(n) AS DOUBLE) / (200 * count(*)), 6) AS mean, round(min(sim), 6) AS low, round(max(sim), 6) AS high, round(max(sim) - min(sim), 6) AS span, round(CAST(count(*) AS DOUBLE) / max(samples), 6) AS coverage, round(0.6 * (CAST(sum(n) AS DOUBLE) / (200 * count(*))) + 0.4 * CAST(count(*) AS DOUBLE) / max(samples), 6) AS score FROM s, t GROUP BY taxon")
 def agg_multi_sample(spark, d):
-    s = occ(spark, d).where("tile <= 400").select("taxon", "tile", (F.col("n") / 200).alias("sim"))
+    s = occ(spark, d).where("tile <= 400").select("taxon", "tile", "n", (F.col("n") / 200).alias("sim"))
     g = s.crossJoin(s.agg(F.countDistinct("tile").alias("samples"))).groupBy("taxon")
     cover = F.count(F.lit(1)) / F.max("samples")
+    mean = F.sum("n") / (200 * F.count(F.lit(1)))  # of whole numbers, so that the order of the sum does not matter
     r = lambda c, n: F.round(c, 6).alias(n)
-    return g.agg(r(F.avg("sim"), "mean"), r(F.min("sim"), "low"), r(F.max("sim"), "high"), r(F.max("sim") - F.min("sim"), "span"), r(cover, "coverage"), r(0.6 * F.avg("sim") + 0.4 * cover, "score"))
+    return g.agg(r(mean, "mean"), r(F.min("sim"), "low"), r(F.max("sim"), "high"), r(F.max("sim") - F.min("sim"), "span"), r(cover, "coverage"), r(0.6 * mean + 0.4 * cover, "score"))
 
 
 @query("SELECT count(*) FILTER (WHERE native IS NOT NULL AND introduced IS NULL) AS native, count(*) FILTER (WHERE introduced IS NOT NULL AND native IS NULL) AS introduced, count(*) FILTER (WHERE native IS NOT NULL AND introduced IS NOT NULL) AS both, count(*) FILTER (WHERE native IS NULL AND introduced IS NULL) AS unknown FROM species")

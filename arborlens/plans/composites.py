@@ -20,7 +20,7 @@ N = lambda: F.count(F.lit(1))
 @query(f"SELECT DISTINCT o.taxon, s.name FROM tiles t JOIN occ o USING (tile) JOIN species s ON o.taxon = s.taxon WHERE {_HAV.format(a='lat', b='12.5', c='lon', d='33.25')} <= 900000")
 def q_nearby(spark, d):
     near = tiles(spark, d).where(geo.within(F.col("lat"), F.col("lon"), 12.5, 33.25, 900000)).select("tile")
-    return occ(spark, d).join(near, "tile").select("taxon").distinct().join(species(spark, d).select("taxon", "name"), "taxon")
+    return occ(spark, d, near).select("taxon").distinct().join(species(spark, d).select("taxon", "name"), "taxon")
 
 
 @query("SELECT tile, n, lat, lon, CAST(sum(n) OVER () AS BIGINT) AS total FROM occ JOIN tiles USING (tile) WHERE taxon = 42")
@@ -32,7 +32,7 @@ def q_distribution(spark, d):
 @query(", t AS (SELECT tile, CAST(sum(n) AS BIGINT) AS n FROM occ JOIN tiles USING (tile) WHERE lon BETWEEN -60 AND 60 AND lat BETWEEN -45 AND 45 GROUP BY tile ORDER BY n DESC, tile LIMIT 10000), m AS (SELECT min(n) AS a, max(n) AS b FROM t) SELECT tile, n, round(CAST(n - a AS DOUBLE) / CASE WHEN b = a THEN 1 ELSE b - a END, 6) AS heat FROM t, m")
 def q_heatmap(spark, d):
     box = tiles(spark, d).where("lon between -60 and 60 and lat between -45 and 45").select("tile")
-    t = top(occ(spark, d).join(box, "tile").groupBy("tile").agg(F.sum("n").alias("n")), 10000, F.col("n").desc(), F.col("tile"))
+    t = top(occ(spark, d, box).groupBy("tile").agg(F.sum("n").alias("n")), 10000, F.col("n").desc(), F.col("tile"))
     m = t.agg(F.min("n").alias("a"), F.max("n").alias("b"))
     return t.crossJoin(m).select("tile", "n", F.round((F.col("n") - F.col("a")) / F.greatest(F.col("b") - F.col("a"), F.lit(1)), 6).alias("heat"))
 
@@ -59,7 +59,7 @@ def q_analyze_plot(spark, d):
     plot = geo.ring([(-30, -30), (90.005, -30), (-30, 90.005)])
     x, y = F.col("lon"), F.col("lat")
     inside = tiles(spark, d).where((x > -30) & (y > -30) & geo.contains(plot, x, y)).select("tile")
-    g = occ(spark, d).join(inside, "tile").groupBy("taxon").agg(F.sum("n").alias("n"), N().alias("tiles")).join(species(spark, d), "taxon")
+    g = occ(spark, d, inside).groupBy("taxon").agg(F.sum("n").alias("n"), N().alias("tiles")).join(species(spark, d), "taxon")
     c = F.col("intact")
     forest = F.when(c.like("%YES%"), "present").when(c == "NO", "absent").otherwise("unknown")
     return g.select("taxon", "n", "tiles", native_status(F.col("native"), F.col("introduced"), ["economy", "brand#1"]).alias("status"), forest.alias("forest"))
@@ -67,7 +67,7 @@ def q_analyze_plot(spark, d):
 
 @query("SELECT taxon, name, CAST(sum(n) AS BIGINT) AS n, count(*) AS tiles FROM occ JOIN tiles USING (tile) LEFT JOIN species USING (taxon) WHERE eco = 6 GROUP BY 1, 2")
 def q_ecoregion_species(spark, d):
-    g = occ(spark, d).join(tiles(spark, d).where("eco = 6").select("tile"), "tile").groupBy("taxon").agg(F.sum("n").alias("n"), N().alias("tiles"))
+    g = occ(spark, d, tiles(spark, d).where("eco = 6")).groupBy("taxon").agg(F.sum("n").alias("n"), N().alias("tiles"))
     return g.join(species(spark, d).select("taxon", "name"), "taxon", "left").select("taxon", "name", "n", "tiles")
 
 
@@ -98,9 +98,8 @@ def q_ecoregion_search(spark, d):
 
 @query("SELECT eco, count(*) AS corners, min(lon) AS x1, max(lon) AS x2 FROM tiles WHERE lon BETWEEN -50 AND 50 GROUP BY eco")
 def q_ecoregion_boundaries(spark, d):
-    points = F.collect_list(F.struct(F.col("lon").alias("x"), F.col("lat").alias("y")))
-    g = tiles(spark, d).where("lon between -50 and 50").groupBy("eco").agg(points.alias("r"))
-    return g.withColumn("b", geo.ring_bounds(F.col("r"))).select("eco", F.size("r").cast("long").alias("corners"), F.col("b.x1").alias("x1"), F.col("b.x2").alias("x2"))
+    g = tiles(spark, d).where("lon between -50 and 50").groupBy("eco")
+    return g.agg(N().alias("corners"), F.min("lon").alias("x1"), F.max("lon").alias("x2"))
 
 
 @query("SELECT taxon, name FROM species WHERE (native LIKE '%PROMO%' OR native LIKE '%Brand#2%') AND (introduced IS NULL OR NOT (introduced LIKE '%Brand#2%' OR introduced LIKE '%red%'))")
@@ -119,8 +118,7 @@ def q_intact_forest(spark, d):
     return rows.select("tile", F.round(F.when(F.size("r") >= 3, geo.planar_area(F.col("r"))).otherwise(0.0), 6).alias("shared"))
 
 
-LEAF_SQL = """, w AS (SELECT n_nationkey AS eco, (n_nationkey % 4 + 1) / 4.0::DOUBLE AS weight FROM nation WHERE n_regionkey = 1),
-a AS (SELECT eco, weight, taxon, sum(n) * count(*) AS affinity FROM occ JOIN tiles USING (tile) JOIN w USING (eco) GROUP BY 1, 2, 3),
+_LEAF_SQL = """a AS (SELECT eco, weight, taxon, sum(n) * count(*) AS affinity FROM occ JOIN tiles USING (tile) JOIN w USING (eco) GROUP BY 1, 2, 3),
 m AS (SELECT taxon, sum(CAST(affinity AS DOUBLE) * weight) / sum(weight) AS a FROM a GROUP BY taxon),
 nat AS (SELECT taxon FROM species WHERE native ILIKE '%brand#2%' OR native ILIKE '%promo%'), intro AS (SELECT taxon FROM species WHERE introduced ILIKE '%brand#2%'),
 j AS (SELECT taxon, coalesce(m.a, 100.0) * CASE WHEN nat.taxon IS NOT NULL THEN 2 ELSE 1 END AS affinity, nat.taxon IS NOT NULL AS native FROM m FULL JOIN nat USING (taxon) WHERE taxon NOT IN (SELECT taxon FROM intro)),
@@ -130,30 +128,53 @@ SELECT taxon, name, native, leaf_score, CASE WHEN leaf_score >= 90 THEN 'BEST' W
 FROM (SELECT * FROM s WHERE leaf_score >= 20 ORDER BY leaf_score DESC, taxon LIMIT 2500) LEFT JOIN (SELECT taxon, name FROM species) USING (taxon)"""
 
 
-@query(LEAF_SQL)
-def q_leaf(spark, d):
-    """The flagship: taxa ranked for a set of weighted regions."""
-    k = F.col("n_nationkey")
-    regions = table(spark, d, "nation").where("n_regionkey = 1").select(k.alias("eco"), ((k % 4 + 1) / 4.0).cast("double").alias("weight"))
+def _leaf(spark, d, regions):
+    """Taxa ranked for weighted regions (eco, weight)."""
     here = tiles(spark, d).select("tile", "eco").join(regions, "eco")
     s = species(spark, d)
     natives = s.where(like_any(F.col("native"), ["%brand#2%", "%promo%"], ignore_case=True)).select("taxon")
     introduced = s.where(like_any(F.col("introduced"), ["%brand#2%"], ignore_case=True)).select("taxon")
-    ranked = leaf_scores(occ(spark, d), here, natives, introduced, min_score=20.0)
+    ranked = leaf_scores(occ(spark, d, here), here, natives, introduced, min_score=20.0)
     return ranked.join(s.select("taxon", "name"), "taxon", "left").select("taxon", "name", "native", "leaf_score", tier(F.col("leaf_score")).alias("tier"))
 
 
+@query(", w AS (SELECT n_nationkey AS eco, (n_nationkey % 4 + 1) / 4.0::DOUBLE AS weight FROM nation WHERE n_regionkey = 1), " + _LEAF_SQL)
+def q_leaf(spark, d):
+    """The flagship: taxa ranked for a set of weighted regions."""
+    k = F.col("n_nationkey")
+    return _leaf(spark, d, table(spark, d, "nation").where("n_regionkey = 1").select(k.alias("eco"), ((k % 4 + 1) / 4.0).cast("double").alias("weight")))
+
+
+@query(", w AS (SELECT n_nationkey AS eco, 1.0::DOUBLE AS weight FROM nation WHERE n_name = 'NATION_7'), " + _LEAF_SQL)
+def q_leaf_name(spark, d):
+    """The same for a region by its name."""
+    return _leaf(spark, d, table(spark, d, "nation").where("n_name = 'NATION_7'").select(F.col("n_nationkey").alias("eco"), F.lit(1.0).alias("weight")))
+
+
+@query(", w AS (SELECT eco, 1.0::DOUBLE AS weight FROM (SELECT eco FROM tiles WHERE lon BETWEEN 30 AND 31 ORDER BY tile LIMIT 1)), " + _LEAF_SQL)
+def q_leaf_point(spark, d):
+    """The same for the region at a point."""
+    return _leaf(spark, d, q_ecoregion_at_point(spark, d).select("eco", F.lit(1.0).alias("weight")))
+
+
+@query(", w AS (SELECT eco, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER () AS weight FROM tiles WHERE lon BETWEEN 0 AND 40 AND lat BETWEEN -20 AND 20 GROUP BY eco), " + _LEAF_SQL)
+def q_leaf_polygon(spark, d):
+    """The same for a polygon: every region that it meets, by the share of the polygon's tiles that lie in it."""
+    g = tiles(spark, d).where("lon between 0 and 40 and lat between -20 and 20").groupBy("eco").agg(N().alias("n"))
+    return _leaf(spark, d, g.crossJoin(g.agg(F.sum("n").alias("all"))).select("eco", (F.col("n") / F.col("all")).alias("weight")))
+
+
 @query(", a AS (SELECT taxon, sum(n) * count(*) AS affinity FROM occ JOIN tiles USING (tile) WHERE eco = 3 GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY affinity, taxon) - 1 AS i, count(*) OVER () AS c FROM a), s AS (SELECT taxon, floor(CASE WHEN c = 1 THEN 100.0 ELSE i * 100.0 / (c - 1) END * 10 + 0.5) / 10 AS score FROM r ORDER BY score DESC, taxon LIMIT 2500) SELECT taxon, score, CASE WHEN score >= 90 THEN 'BEST' WHEN score >= 70 THEN 'GOOD' WHEN score >= 50 THEN 'ACCEPTABLE' ELSE 'LOW' END AS tier FROM s")
 def q_guide(spark, d):
     here = tiles(spark, d).where("eco = 3").select("tile", "eco", F.lit(1.0).alias("weight"))
-    rows = percentile_place(affinities(occ(spark, d), here).select("taxon", "affinity"), "affinity", "taxon")
+    rows = percentile_place(affinities(occ(spark, d, here), here).select("taxon", "affinity"), "affinity", "taxon")
     return top(rows, 2500, F.col("place").desc(), F.col("taxon")).select("taxon", F.col("place").alias("score"), tier(F.col("place")).alias("tier"))
 
 
 @query("SELECT taxon, name, affinity FROM (SELECT taxon, CAST(sum(n) * count(*) AS BIGINT) AS affinity FROM occ JOIN tiles USING (tile) WHERE eco = 3 GROUP BY taxon ORDER BY affinity DESC, taxon LIMIT 20) LEFT JOIN species USING (taxon)")
 def q_guide_top20(spark, d):
     here = tiles(spark, d).where("eco = 3").select("tile", "eco", F.lit(1.0).alias("weight"))
-    best = top(affinities(occ(spark, d), here), 20, F.col("affinity").desc(), F.col("taxon")).select("taxon", "affinity")
+    best = top(affinities(occ(spark, d, here), here), 20, F.col("affinity").desc(), F.col("taxon")).select("taxon", "affinity")
     return best.join(species(spark, d).select("taxon", "name"), "taxon", "left").select("taxon", "name", "affinity")
 
 
@@ -244,7 +265,7 @@ def q_select_pilot(spark, d):
 @query("SELECT eco, taxon, n, CAST(sum(n) OVER (PARTITION BY eco) AS BIGINT) AS total FROM (SELECT eco, taxon, CAST(sum(n) AS BIGINT) AS n FROM occ JOIN tiles USING (tile) WHERE eco < 3 GROUP BY 1, 2)")
 def q_ecoregion_export(spark, d):
     here = tiles(spark, d).where("eco < 3").select("tile", "eco")
-    g = occ(spark, d).join(here, "tile").groupBy("eco", "taxon").agg(F.sum("n").alias("n"))
+    g = occ(spark, d, here).join(here, "tile").groupBy("eco", "taxon").agg(F.sum("n").alias("n"))
     return g.withColumn("total", F.sum("n").over(Window.partitionBy("eco"))).select("eco", "taxon", "n", "total")
 
 

@@ -160,10 +160,9 @@ g AS (SELECT *, CASE WHEN n >= 3 THEN 0.95 WHEN n = 2 THEN 0.85 WHEN n = 1 THEN
 """
 
 
-@query(_SRC_SQL + "SELECT id, round(0.5 * CASE WHEN n = 0 THEN 0.3 ELSE least(0.98, cred * (1 + least(0.18, (n - 1) * 0.06)) + least(0.10, (kinds - 1) * 0.05)) END + 0.25 * coalesce(agree, 0.5) + 0.25 * 0.65, 2) AS confidence FROM g WHERE id % 10 <> 0")
+@query(_SRC_SQL + "SELECT id, round(0.5 * CASE WHEN n = 0 THEN 0.3 ELSE least(0.98, cred * (1 + least(0.18, (n - 1) * 0.06)) + least(0.10, (kinds - 1) * 0.05)) END + 0.25 * coalesce(agree, 0.5) + 0.25 * 0.65, 2) AS confidence FROM g")
 def conf_evidence(spark, d):
-    rows = claims(spark, d).where("id % 10 <> 0")
-    return rows.select("id", conf.conf_evidence(F.col("claim_type"), F.col("claim_value"), _sources()).alias("confidence"))
+    return claims(spark, d).select("id", conf.conf_evidence(F.col("claim_type"), F.col("claim_value"), _sources()).alias("confidence"))
 
 
 @query(_SRC_SQL + "SELECT id, round(CAST(0.5 * CASE WHEN n = 0 THEN 0.30 ELSE least(0.98, cred_db * (1 + least(0.18, (n - 1) * 0.06)) + least(0.10, (kinds - 1) * 0.02)) END + 0.25 * coalesce(agree, 0.70) + 0.2 AS DECIMAL(12, 8)), 2) AS confidence FROM g")

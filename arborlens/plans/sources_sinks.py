@@ -33,11 +33,10 @@ def src_csv_stream(spark, d):
     return read.select("geohash", n.alias("n"), F.size("species_data").cast("long").alias("taxa"), "total_ok", "count_ok")
 
 
-@query("SELECT doc_id, md5(text) AS h FROM documents WHERE length(text) < 4000 AND NOT contains(text, chr(13))")
+@query("SELECT doc_id, md5(text) AS h FROM documents")
 def src_csv_handparser(spark, d):
     path = new_path(spark, "quoted-csv")
-    rows = table(spark, d, "documents").where("length(text) < 4000 and not contains(text, chr(13))").select("doc_id", "text")
-    rows.write.csv(path, header=True, quote='"', escape='"', quoteAll=True)
+    table(spark, d, "documents").select("doc_id", "text").write.csv(path, header=True, quote='"', escape='"', quoteAll=True, lineSep="\n", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return readers.quoted_csv(spark, path, "doc_id long, text string").select("doc_id", F.md5("text").alias("h"))
 
 
@@ -63,7 +62,9 @@ def src_parquet_batches(spark, d):
 def src_json_tiles(spark, d):
     path = new_path(spark, "tiles-json")
     rows = _totals(tile_maps(spark, d)).select(F.to_json(F.struct("geohash", "species_data")).alias("value"))
-    rows.groupBy(F.pmod(F.xxhash64("value"), F.lit(64))).agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value")).select("value").repartition(16).write.option("lineSep", " ").text(path)
+    tiles_a_file = 1000
+    groups = max(1, -(-table(spark, d, "orders").count() // tiles_a_file))
+    rows.groupBy(F.pmod(F.xxhash64("value"), F.lit(groups))).agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value")).select("value").repartition(16).write.option("lineSep", " ").text(path)
     # each part may hold several arrays, so read them as lines of objects
     lines = spark.read.option("lineSep", "] ").text(path).select(F.from_json(F.concat("value", F.lit("]")), "array<struct<geohash:string,species_data:map<string,long>>>").alias("a"))
     return lines.select(F.explode("a").alias("t")).select("t.geohash", F.size("t.species_data").cast("long").alias("taxa"))
@@ -103,7 +104,7 @@ def src_dwca(spark, d):
 
 @query("SELECT n_nationkey AS eco, round(-180.0 + n_nationkey, 6) AS x1, 4 AS corners FROM nation")
 def src_shapefile(spark, d):
-    """Shapes as well-known binary in Parquet: rings are packed by expressions and unpacked again."""
+    """Shapes as arrays of corners in Parquet, in place of a shapefile."""
     path = new_path(spark, "shapes")
     x = F.col("n_nationkey") - 180.0
     table(spark, d, "nation").select(F.col("n_nationkey").alias("eco"), geo_box(x).alias("ring")).write.parquet(path)

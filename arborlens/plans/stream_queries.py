@@ -14,8 +14,11 @@ from arborlens.workspace import new_path
 N = lambda: F.count(F.lit(1))
 
 
-def _events(spark, d, files: int = 4):
-    return tables.file_stream(spark, f"{d}/events.parquet", table(spark, d, "events").schema, files)
+def _events(spark, d, files: int = 8, a_batch: int = 2):
+    """The events as they would come, in several files one after another, two of them a micro-batch."""
+    rows, path = table(spark, d, "events"), new_path(spark, "events")
+    rows.repartitionByRange(files, "event_id").write.parquet(path)
+    return tables.file_stream(spark, path, rows.schema, a_batch)
 
 
 @query("SELECT event_id, user_id, event_type FROM events WHERE value > 1 AND event_type <> 'error'")

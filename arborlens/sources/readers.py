@@ -21,7 +21,7 @@ def tile_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def quoted_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """CSV with quotes, doubled quotes and line ends inside them (stricter than a split at commas)."""
-    return spark.read.schema(schema).csv(path, header=True, quote='"', escape='"', multiLine=True)
+    return spark.read.schema(schema).csv(path, header=True, quote='"', escape='"', multiLine=True, lineSep="\n")
 
 
 def na_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:

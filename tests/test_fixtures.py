@@ -2,9 +2,11 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__  # noqa: F401  registers the queries
 from arborlens.functions import confidence as conf
 from arborlens.functions import geo, text, vector
 from arborlens.operators import claims as C
@@ -12,6 +14,7 @@ from arborlens.operators import spatial
 from arborlens.operators.clustering import kmeans_per_group
 from arborlens.operators.ranking import leaf_scores
 from arborlens.operators.relational import best_per_group, explode_map, percentile_place, price_in_credits, tier, upsert_with
+from arborlens.plans.registry import QUERIES
 from arborlens.streaming.ledger import settle
 
 
@@ -148,6 +151,118 @@ def test_kmeans_invariants(spark):
     assert sorted(r.centroid for r in out if r.g == 9) == [pytest.approx([1.0, 2.0]), pytest.approx([3.0, 4.0])]
 
 
+def test_kmeans_of_large_groups_is_the_same(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, (rng.normal(size=3) + 9 * rng.integers(0, 3, 3)).tolist(), float(i)) for g in range(4) for i in range((60, 7, 2, 90)[g])]
+    frame = spark.createDataFrame(rows, "g int, v array<double>, w double")
+    show = lambda out: sorted((r.g, r.size, *np.round([*r.centroid, r.w], 6).tolist()) for r in out.collect())
+    one = show(kmeans_per_group(frame, "g", "v", ("w",), k=4))
+    assert show(kmeans_per_group(frame, "g", "v", ("w",), k=4, most=50)) == one and len([r for r in one if r[0] == 3]) == 4
+
+
+def test_kmeans_query_equals_plain_version(spark, data):
+    """Sizes and centroids of every taxon, from the definition in numpy."""
+    from arborlens.operators.clustering import _lloyd
+    from arborlens.plans.analogue import centroids
+
+    own = centroids(spark, data).collect()
+    x = np.array([r.v for r in own])
+    x = (x - x.mean(0)) / x.std(0)
+    got = {}
+    for r in QUERIES["vec_cluster"](spark, data).collect():
+        got.setdefault(r.taxon, []).append(r.size)
+    for taxon in {r.taxon for r in own}:
+        mine = x[[r.taxon == taxon for r in own]]
+        near = _lloyd(mine, 5, 50) if len(mine) >= 5 else np.arange(len(mine))
+        assert sorted(got[taxon]) == sorted(np.unique(near, return_counts=True)[1].tolist())
+
+
+def test_ann_index_recall_and_pairs(spark, data):
+    """Of the five nearest of each asked vector, nine in ten are found, by fewer than all comparisons."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    from arborlens.plans import vectors
+    from arborlens.plans.analogue import centroids
+
+    own = {r.cluster: np.array(r.v) for r in centroids(spark, data).collect()}
+    ids, x = np.array(list(own)), np.array(list(own.values()))
+    hits = asked = 0
+    got = {(r.a, r.b) for r in vectors.vec_ann_index(spark, data).collect()}
+    for i in ids[ids % 50 == 0].tolist():
+        d = np.sqrt(((x - own[i]) ** 2).sum(1))
+        best = [int(ids[k]) for k in np.argsort(d, kind="stable") if ids[k] != i][:5]
+        hits, asked = hits + sum((i, b) in got for b in best), asked + 5
+    assert hits >= 0.9 * asked
+    rows = centroids(spark, data).select("cluster", array_to_vector("v").alias("features"))
+    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="h", bucketLength=vectors.ANN_BUCKET, numHashTables=vectors.ANN_TABLES, seed=1).fit(rows)
+    h = {r.cluster: [int(v[0]) for v in r.h] for r in model.transform(rows).collect()}
+    met = [any(a == b for a, b in zip(h[i], h[j], strict=True)) for i in h if i % 50 == 0 for j in h if i != j]
+    assert np.mean(met) < 0.97
+
+
+def test_names_equal_plain_versions(spark, data):
+    """Names in documents and addresses, from the stated rules without Spark."""
+    import re
+    from urllib.parse import unquote
+
+    from arborlens.plans.analogue import table
+
+    docs = {r.doc_id: r.text or "" for r in table(spark, data, "documents").collect()}
+    got = {}
+    for r in QUERIES["fn_parse_common_names"](spark, data).collect():
+        got.setdefault(r.doc_id, []).append(r.name)
+    for i, names in got.items():
+        flat = docs[i].translate(str.maketrans("\n.", ";;"))
+        parts = {re.sub(r"\s*\([^)]*\)", "", p).strip() for p in re.split("[;,]", flat)} | {p.strip() for p in re.split("[;,]", flat)}
+        assert set(names) <= parts and all(len(n) >= 2 and n != "NA" for n in names)
+    tops = {r.doc_id: r.names for r in QUERIES["fn_top_common_names"](spark, data).collect()}
+    assert set(tops) == set(docs)
+    urls = {r.page_id: r.url for r in table(spark, data, "pages").collect()}
+    for r in QUERIES["fn_name_from_url"](spark, data).collect():
+        last = unquote((urls[r.page_id] or "").split("?")[0].rstrip("/").rsplit("/", 1)[-1])
+        assert r.name is None or re.sub(r"[^a-z]", "", r.name.lower()) in re.sub(r"[^a-z]", "", last.lower())
+
+
+def test_ledger_query_equals_plain_version(spark, data):
+    from arborlens.plans.analogue import table
+
+    moves = sorted((r.o_custkey, r.o_orderdate, r.o_orderkey) for r in table(spark, data, "orders").select("o_custkey", "o_orderdate", "o_orderkey").collect())
+    want, balance = {}, {}
+    for owner, _, key in moves:
+        amount = 100 if key % 3 == 0 else -70
+        ok = balance.get(owner, 0) + amount >= 0
+        balance[owner] = balance.get(owner, 0) + (amount if ok else 0)
+        want[key] = (owner, amount, ok, balance[owner])
+    assert {r.key: (r.owner, r.amount, r.accepted, r.balance) for r in QUERIES["str_tx_ledger"](spark, data).collect()} == want
+
+
+def test_simplify_query_bounds(spark, data):
+    """Corners and envelope of every region's track, and no more corners after thinning than before."""
+    from arborlens.plans.analogue import tiles
+
+    own = {}
+    for r in tiles(spark, data).collect():
+        own.setdefault(r.eco, []).append((r.lon, r.lat))
+    for r in QUERIES["geo_simplify"](spark, data).collect():
+        xs, ys = zip(*own[r.eco], strict=True)
+        assert r.corners == len(xs) and 2 <= r.kept <= r.corners and (r.x1, r.x2, r.y1, r.y2) == (min(xs), max(xs), min(ys), max(ys))
+
+
+def test_cluster_without_shared_folder_is_refused():
+    from arborlens import workspace
+
+    class Fake:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master, applicationId = "spark://host:7077", "app"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        workspace.shared_dir(Fake)
+
+
 def test_versions_and_log(spark):
     c = spark.createDataFrame([(1, "a", 1, 0.1), (2, "a", 2, 0.9)], "id int, claim_type string, created int, confidence double")
     got = [(r.id, r.version, r.is_current, r.supersedes) for r in C.versions(c, ["claim_type"]).orderBy("id").collect()]

@@ -1,13 +1,39 @@
 """Streams of more micro-batches than a query's reports keep."""
 
+from pyspark.sql import functions as F
+
 from arborlens.plans import stream_queries
+from arborlens.plans.analogue import table
+from arborlens.streaming import tables
 
 
 def test_progress_counts_every_batch(spark, tmp_path):
-    spark.range(18).selectExpr("id AS event_id").repartition(9).write.parquet(str(tmp_path / "events.parquet"))  # three batches of four files at most
+    spark.range(18).selectExpr("id AS event_id").repartition(9).write.parquet(str(tmp_path / "events.parquet"))  # four batches of two files
     kept = "spark.sql.streaming.numRecentProgressUpdates"
     spark.conf.set(kept, 1)
     try:
         assert [r.rows for r in stream_queries.str_sse_progress(spark, str(tmp_path)).collect()] == [18]
     finally:
         spark.conf.unset(kept)
+
+
+def test_counts_carry_over_batches(spark, data, tmp_path):
+    """State of keys that come in several micro-batches: every batch writes what it changed, the last one stands."""
+    rows = stream_queries._events(spark, data).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    tables.run_into(rows, f"{tmp_path}/rows", f"{tmp_path}/checkpoint", mode="update")
+    written = spark.read.parquet(f"{tmp_path}/rows")
+    assert written.select("batch").distinct().count() >= 4 and written.groupBy("event_type").count().where("count > 2").count() > 0
+    got = {r.event_type: r.n for r in tables.latest(spark, f"{tmp_path}/rows", ["event_type"], "event_type string, n long").collect()}
+    assert got == {r.event_type: r["count"] for r in table(spark, data, "events").groupBy("event_type").count().collect()}
+
+
+def test_watermark_drops_late_rows_only(spark, tmp_path):
+    """A row behind the watermark counts no more; one that is late but within it does."""
+    at = ["2024-01-01 10:00", "2024-01-01 10:30", "2024-01-05 00:00", "2024-01-01 10:10", "2024-01-04 23:50"]
+    for k, ts in enumerate(at):
+        spark.createDataFrame([(1, ts)], "user_id long, ts string").selectExpr("user_id", "cast(ts as timestamp) ts").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = tables.file_stream(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema, 1).withWatermark("ts", "1 day")
+        rows = stream.groupBy("user_id", F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("hour"), "n")
+        tables.run_into(rows, f"{tmp_path}/rows", f"{tmp_path}/checkpoint", mode="update")
+    got = {str(r.hour): r.n for r in tables.latest(spark, f"{tmp_path}/rows", ["user_id", "hour"], "user_id long, hour timestamp, n long").collect()}
+    assert got == {"2024-01-01 10:00:00": 2, "2024-01-05 00:00:00": 1, "2024-01-04 23:00:00": 1}
