@@ -55,13 +55,16 @@ def marked(rows: DataFrame, name: str, key: Column, keys: DataFrame, bits: int =
     slot = lambda c: F.shiftrightunsigned(c, 64 - bits) + 1
     maps = keys.select(slot(F.col(number)).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket"))
     maps = maps.agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bytes"))
-    bucket, held, at = fresh(rows, "_bucket"), fresh(rows, "_bytes"), fresh(rows, "_slot")
-    maps = materialize(maps.select(F.col("bucket").alias(bucket), F.col("bytes").alias(held)), "bitmap")
+    bucket, held, at = fresh(rows, "_bucket"), fresh(rows, "_words"), fresh(rows, "_slot")
+    # the 4,096 bytes of a bucket as 512 longs, first byte highest, so that a test is one look into an array
+    words = F.transform(F.sequence(F.lit(0), F.lit(511)), lambda i: F.conv(F.hex(F.substring("bytes", i * 8 + 1, F.lit(8))), 16, -10).cast("long"))
+    maps = materialize(maps.select(F.col("bucket").alias(bucket), words.alias(held)), "bitmap")
     rows = rows.withColumn(at, slot(key))
     out = rows.join(F.broadcast(maps), F.bitmap_bucket_number(F.col(at)) == F.col(bucket), "left")
     place = F.bitmap_bit_position(F.col(at))
-    byte = F.conv(F.hex(F.substring(F.col(held), (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = F.coalesce(F.getbit(byte, place.bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
+    word = F.get(held, F.shiftright(place, 6).cast("int"))
+    bit = (7 - F.shiftright(place, 3).bitwiseAND(F.lit(7))) * 8 + place.bitwiseAND(F.lit(7))
+    hit = F.coalesce(F.getbit(word, bit.cast("int")) == 1, F.lit(False))
     return out.withColumn(name, hit).drop(bucket, held, at)
 
 
