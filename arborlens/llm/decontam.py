@@ -185,9 +185,9 @@ def near_items(windows: DataFrame, items: DataFrame, radius: int, similarity: fl
     """(n, wkey, item_id, similarity): distinct windows with the items of their size whose fingerprints lie within
     radius and whose weighted shingle similarity is at least `similarity`. Words are fetched for such pairs only."""
     near = near_fingerprints(windows, items, radius)
-    texts = windows.select("n", "fp", "wkey", "words").join(near.select("n", "fp").distinct(), ["n", "fp"], "left_semi")
+    texts = windows.select("n", "fp", "wkey", "words").join(near.select("n", "fp").distinct().hint("merge"), ["n", "fp"], "left_semi")
     texts = materialize(texts.dropDuplicates(["n", "wkey"]), "words")
-    pairs = texts.join(near, ["n", "fp"]).join(items.select("inum", "item_id", F.col("words").alias("item_words")), "inum")
+    pairs = texts.join(near.hint("merge"), ["n", "fp"]).join(items.select("inum", "item_id", F.col("words").alias("item_words")), "inum")
     pairs = pairs.select("n", "wkey", "item_id", "words", "item_words")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +205,7 @@ def _hits(docs: DataFrame, benchmark: DataFrame, similarity: float, radius: int,
     items = _items(benchmark, shingle, item_col, item_text_col)
     windows = _windows(docs, items, shingle, similarity, id_col, text_col)
     found = near_items(windows, items, radius, similarity, shingle)
-    return windows.select("doc_id", "keys", "start", "n", "wkey").join(found, ["n", "wkey"])
+    return windows.select("doc_id", "keys", "start", "n", "wkey").join(found.hint("merge"), ["n", "wkey"])
 
 
 def contaminated(

@@ -198,7 +198,7 @@ def sketched_links(classes: DataFrame, radius: int, tile: int) -> DataFrame:
     rows = materialize(classes.select("node", "fp", F.explode("bands").alias("g")), "bands")
     busy = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     busy = materialize(busy.select(F.col("g").alias("b"), F.ceil(F.col("n") / tile).cast("int").alias("parts")), "busy")
-    rows = marked(rows, "again", F.col("g"), busy.select("b"), bits=26).where("again").join(busy, F.col("g") == F.col("b"))
+    rows = marked(rows, "again", F.col("g"), busy.select("b"), bits=26).where("again").join(busy.hint("merge"), F.col("g") == F.col("b"))
     rows = rows.withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int"))
     rows = rows.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     keyed = rows.select("g", F.least("p", "q").alias("k1"), F.greatest("p", "q").alias("k2"), (F.col("p") > F.col("q")).cast("int").alias("side"), "node", "fp")
@@ -310,7 +310,8 @@ def simhash_dedup(
     classes = materialize(classes, "classes")
     groups = connected_components(sketched_links(classes, radius, tile))
     groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
-    groups = classes.join(groups, "node").select("node", "fp", "root", F.col("first.doc_id").alias("i"), F.col("first.key").alias("k"))
+    # merge joins at every size: what they find grows with the documents, so no side of theirs stays small
+    groups = classes.join(groups.hint("merge"), "node").select("node", "fp", "root", F.col("first.doc_id").alias("i"), F.col("first.key").alias("k"))
     groups = materialize(groups, "candidates")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,14 +323,14 @@ def simhash_dedup(
     texts = grouped.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     texts = marked(texts, "candidate", F.xxhash64("doc_id", "key"), groups.select(F.xxhash64("i", "k").alias("h"))).where("candidate")
     sets = texts.select("doc_id", "key", "text").mapInArrow(grams, "doc_id long, key long, grams array<long>")
-    members = materialize(sets, "grams").join(groups, (F.col("doc_id") == F.col("i")) & (F.col("key") == F.col("k")))
+    members = materialize(sets, "grams").join(groups.hint("merge"), (F.col("doc_id") == F.col("i")) & (F.col("key") == F.col("k")))
     members = materialize(members.dropDuplicates(["node"]).select("root", "node", "fp", "grams"), "members")
     roots = connected_components(similar_links(members, radius, similarity, part))
-    named = classes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    named = classes.join(roots.hint("merge"), "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     named = materialize(named, "named")
     lowest = materialize(named.groupBy("root").agg(F.min("first").alias("kept")), "lowest")
-    named = materialize(named.join(lowest, "root").select(F.col("node").alias("m"), "kept"), "kept")
-    per_row = rows.groupBy("doc_id", "key", "node").agg(F.count(F.lit(1)).alias("n")).join(named, F.col("node") == F.col("m"))
+    named = materialize(named.join(lowest.hint("merge"), "root").select(F.col("node").alias("m"), "kept"), "kept")
+    per_row = rows.groupBy("doc_id", "key", "node").agg(F.count(F.lit(1)).alias("n")).join(named.hint("merge"), F.col("node") == F.col("m"))
     gone = F.struct("doc_id", "key") != F.col("kept")
     # rows that go, or are one of several equal ones; all others stay where they are
     touched = materialize(per_row.where(gone | (F.col("n") > 1)).select(F.col("doc_id").alias("i"), F.col("key").alias("k"), gone.alias("gone")), "touched")
@@ -338,5 +339,5 @@ def simhash_dedup(
     own = marked(own, flag, F.xxhash64(id_, key), touched.select(F.xxhash64("i", "k").alias("h")))
     own = own.withColumn(flag, F.col(flag) & F.col(id_).isNotNull())
     goes = touched.where("gone").select(F.col("i").alias(f"{id_}i"), F.col("k").alias(f"{key}k"))
-    some = own.where(flag).join(goes, (F.col(id_) == F.col(f"{id_}i")) & (F.col(key) == F.col(f"{key}k")), "left_anti")
+    some = own.where(flag).join(goes.hint("merge"), (F.col(id_) == F.col(f"{id_}i")) & (F.col(key) == F.col(f"{key}k")), "left_anti")
     return own.where(~F.col(flag)).unionByName(some.dropDuplicates([id_, key])).select(*docs.columns)

@@ -74,5 +74,5 @@ def without(docs: DataFrame, gone: DataFrame, text_col: str = "text", *more: str
     gone = gone.select(F.col("k1").alias(f"{keys}1"), F.col("k2").alias(f"{keys}2"))
     rows = marked(docs.withColumn(keys, text_keys(text_col, *more)), flag, F.col(f"{keys}.k1"), gone.select(f"{keys}1"))
     same = (F.col(f"{keys}.k1") == F.col(f"{keys}1")) & (F.col(f"{keys}.k2") == F.col(f"{keys}2"))
-    left = rows.where(flag).join(gone, same, "left_anti")
+    left = rows.where(flag).join(gone.hint("merge"), same, "left_anti")
     return rows.where(~F.col(flag)).unionByName(left).select(*docs.columns)
