@@ -59,10 +59,10 @@ def agg_view_biome(spark, d):
     return joined.join(a.groupBy("biome").agg(F.sum("area").alias("area")), "biome")
 
 
-@query("SELECT n_regionkey AS biome, CAST(sum(n) AS BIGINT) AS n FROM occ JOIN tiles USING (tile) JOIN nation ON eco = n_nationkey WHERE taxon % 50 = 7 GROUP BY 1 HAVING sum(n) >= 10 ORDER BY n DESC, biome LIMIT 5")
+@query("SELECT n_regionkey AS biome, CAST(sum(n) AS BIGINT) AS n FROM occ JOIN tiles USING (tile) JOIN nation ON eco = n_nationkey GROUP BY 1 HAVING sum(n) >= 10 ORDER BY n DESC, biome LIMIT 5")
 def agg_having_topk(spark, d):
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("eco"), F.col("n_regionkey").alias("biome"))
-    rows = occ(spark, d).where("taxon % 50 = 7").join(tiles(spark, d).select("tile", "eco"), "tile").join(n, "eco")
+    rows = occ(spark, d).join(tiles(spark, d).select("tile", "eco"), "tile").join(n, "eco")
     return top(rows.groupBy("biome").agg(F.sum("n").alias("n")).where("n >= 10"), 5, F.col("n").desc(), F.col("biome"))
 
 
@@ -176,9 +176,9 @@ def agg_area_weights(spark, d):
     return a.crossJoin(a.agg(F.sum("area").alias("total"))).select("eco", F.round(F.col("area") / F.col("total"), 9).alias("weight"))
 
 
-@query(", s AS (SELECT taxon, n, CAST(n AS DOUBLE) / 200 AS sim FROM occ WHERE tile <= 400), t AS (SELECT count(DISTINCT tile) AS samples FROM occ WHERE tile <= 400) SELECT taxon, round(CAST(sum(n) AS DOUBLE) / (200 * count(*)), 6) AS mean, round(min(sim), 6) AS low, round(max(sim), 6) AS high, round(max(sim) - min(sim), 6) AS span, round(CAST(count(*) AS DOUBLE) / max(samples), 6) AS coverage, round(0.6 * (CAST(sum(n) AS DOUBLE) / (200 * count(*))) + 0.4 * CAST(count(*) AS DOUBLE) / max(samples), 6) AS score FROM s, t GROUP BY taxon")
+@query(", s AS (SELECT taxon, n, CAST(n AS DOUBLE) / 200 AS sim FROM occ), t AS (SELECT count(DISTINCT tile) AS samples FROM occ) SELECT taxon, round(CAST(sum(n) AS DOUBLE) / (200 * count(*)), 6) AS mean, round(min(sim), 6) AS low, round(max(sim), 6) AS high, round(max(sim) - min(sim), 6) AS span, round(CAST(count(*) AS DOUBLE) / max(samples), 6) AS coverage, round(0.6 * (CAST(sum(n) AS DOUBLE) / (200 * count(*))) + 0.4 * (CAST(count(*) AS DOUBLE) / max(samples)), 6) AS score FROM s, t GROUP BY taxon")
 def agg_multi_sample(spark, d):
-    s = occ(spark, d).where("tile <= 400").select("taxon", "tile", "n", (F.col("n") / 200).alias("sim"))
+    s = occ(spark, d).select("taxon", "tile", "n", (F.col("n") / 200).alias("sim"))
     g = s.crossJoin(s.agg(F.countDistinct("tile").alias("samples"))).groupBy("taxon")
     cover = F.count(F.lit(1)) / F.max("samples")
     mean = F.sum("n") / (200 * F.count(F.lit(1)))  # of whole numbers, so that the order of the sum does not matter

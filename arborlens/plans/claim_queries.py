@@ -18,9 +18,9 @@ def udf_aggregate_text(spark, d):
     return C.aggregate_text(claims(spark, d).where("current"), ["taxon", "claim_type"], "claim_value", "\n", "• ")
 
 
-@query("SELECT taxon, string_agg(claim_type, '; ' ORDER BY corroboration ASC NULLS LAST, confidence DESC, id) AS text FROM claims WHERE id % 2 = 0 GROUP BY taxon")
+@query("SELECT taxon, string_agg(claim_type, '; ' ORDER BY corroboration ASC NULLS LAST, confidence DESC, id) AS text FROM claims GROUP BY taxon")
 def udf_aggregate_ranked(spark, d):
-    return C.aggregate_ranked(claims(spark, d).where("id % 2 = 0"), ["taxon"], "claim_type", "corroboration")
+    return C.aggregate_ranked(claims(spark, d), ["taxon"], "claim_type", "corroboration")
 
 
 @query("SELECT taxon, claim_type, id, claim_value FROM (SELECT *, row_number() OVER (PARTITION BY taxon, claim_type ORDER BY confidence DESC, id) AS k FROM claims) WHERE k = 1")
@@ -109,9 +109,9 @@ def q_incomplete_sponsorships(spark, d):
     return items.join(paid, F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", "items", "done")
 
 
-@query("SELECT o_custkey, o_orderkey, o_totalprice, count(*) AS items FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey % 50 = 3 GROUP BY 1, 2, 3")
+@query("SELECT o_custkey, o_orderkey, o_totalprice, count(*) AS items FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2, 3")
 def q_sponsorship_user(spark, d):
-    o = table(spark, d, "orders").where("o_custkey % 50 = 3").select("o_custkey", "o_orderkey", "o_totalprice")
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
     return o.join(table(spark, d, "lineitem").select("l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey", "o_orderkey", "o_totalprice").agg(N().alias("items"))
 
 
@@ -122,9 +122,9 @@ def q_sponsorship_species(spark, d):
     return rows.groupBy(F.col("l_partkey").alias("taxon")).agg(F.countDistinct("o_custkey").alias("sponsors"), F.round(F.sum("l_extendedprice"), 2).alias("amount"))
 
 
-@query("SELECT o_orderkey, o_orderstatus AS status, count(*) AS items FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey < 200 GROUP BY 1, 2")
+@query("SELECT o_orderkey, o_orderstatus AS status, count(*) AS items FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2")
 def q_sponsorship_tx(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey < 200").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
     return o.join(table(spark, d, "lineitem").select("l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderkey", "status").agg(N().alias("items"))
 
 
@@ -143,9 +143,9 @@ def q_credit_history(spark, d):
     return page(rows, 2, 5, F.col("o_orderdate").desc(), F.col("o_orderkey").desc()).select("o_orderkey", "amount")
 
 
-@query("SELECT doc_id, n_chars FROM documents WHERE doc_id % 9 <> 0 ORDER BY n_chars DESC, doc_id LIMIT 10 OFFSET 10")
+@query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 10 OFFSET 10")
 def q_analyses_list(spark, d):
-    return page(table(spark, d, "documents").where("doc_id % 9 <> 0"), 2, 10, F.col("n_chars").desc(), F.col("doc_id")).select("doc_id", "n_chars")
+    return page(table(spark, d, "documents"), 2, 10, F.col("n_chars").desc(), F.col("doc_id")).select("doc_id", "n_chars")
 
 
 @query("SELECT (SELECT count(*) FROM species) AS species, (SELECT count(*) FROM claims) AS claims, (SELECT count(DISTINCT taxon) FROM claims) AS researched, (SELECT count(CASE WHEN current THEN 1 END) FROM claims) AS current")
