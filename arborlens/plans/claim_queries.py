@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from arborlens.operators import claims as C
@@ -160,12 +161,16 @@ def q_flag_repair(spark, d):
     return rows.agg(F.count_if(F.col("was") != F.col("now")).alias("changed"), F.count_if("now").alias("researched"))
 
 
-@query("SELECT a.id, a.supersedes, b.id IS NOT NULL OR a.supersedes IS NULL AS ok FROM (SELECT id, lag(id) OVER (PARTITION BY taxon ORDER BY created, id) AS supersedes FROM claims) a LEFT JOIN claims b ON a.supersedes = b.id")
+@query(", a AS (SELECT id, lag(id) OVER w AS supersedes, lag(md5(id || ':' || claim_type)) OVER w AS previous FROM claims WINDOW w AS (PARTITION BY taxon ORDER BY created, id)), b AS (SELECT id AS before, md5(id || ':' || CASE WHEN id % 11 = 0 THEN 'altered' ELSE claim_type END) AS found FROM claims) SELECT id, supersedes, supersedes IS NULL OR coalesce(found = previous, false) AS ok FROM a LEFT JOIN b ON supersedes = before")
 def q_archive_history(spark, d):
-    """Each version with the one before it, and whether that one is there."""
-    v = C.versions(claims(spark, d), ["taxon"]).select("id", "supersedes")
-    ids = claims(spark, d).select(F.col("id").alias("before"))
-    return v.join(ids, F.col("supersedes") == F.col("before"), "left").select("id", "supersedes", (F.col("before").isNotNull() | F.col("supersedes").isNull()).alias("ok"))
+    """Each version with the one before it, and whether that one still has the digest that the version recorded; every
+    eleventh was altered after it was archived."""
+    digest = lambda text: F.md5(F.concat_ws(":", F.col("id").cast("string"), text).cast("binary"))
+    rows = claims(spark, d).select("id", "taxon", "claim_type", "created")
+    v = C.versions(rows, ["taxon"]).withColumn("previous", F.lag(digest(F.col("claim_type"))).over(Window.partitionBy("taxon").orderBy("created", "id")))
+    found = rows.select(F.col("id").alias("before"), digest(F.when(F.col("id") % 11 == 0, "altered").otherwise(F.col("claim_type"))).alias("found"))
+    ok = F.col("supersedes").isNull() | F.coalesce(F.col("found") == F.col("previous"), F.lit(False))
+    return v.join(found, F.col("supersedes") == F.col("before"), "left").select("id", "supersedes", ok.alias("ok"))
 
 
 @query("SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS sheet FROM conversations GROUP BY conv_id HAVING md5(string_agg(role, ',' ORDER BY turn)) <> md5('user,assistant')")
