@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlens.llm import chat, decontam, embed_dedup, mixing, pii, quality, secrets, simhash, substring, warc
+from arborlens.llm import chat, decontam, embed_dedup, mixing, pii, quality, secrets, simhash, substring, tokens, warc
 from arborlens.llm.work import new_path, table
 
 
@@ -58,6 +58,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op12_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "tokens")
+    tokens.write_tokens(table(spark, sf_dir, "documents"), path)
+    return tokens.read_documents(spark, path)
+
+
 OP1_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS h, max(page_id) OVER (PARTITION BY sha1(html)) AS first FROM p),
@@ -160,5 +166,6 @@ QUERIES = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_quality": op9_quality,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_token_output": op12_token_output,
 }
 ORACLE_SQL = {"op1_warc": OP1_SQL, "op5_mixing": OP5_SQL, "op7_embedding_dedup": OP7_SQL}
