@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlens.llm import chat, decontam, embed_dedup, mixing, pii, quality, secrets, simhash, substring, tokens, warc
+from arborlens.llm import chat, decontam, embed_dedup, mixing, pii, quality, secrets, simhash, substring, tokens, trie, warc
 from arborlens.llm.work import new_path, table
 
 
@@ -58,6 +58,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = trie.numbered_turns(table(spark, sf_dir, "conversations"))
+    return trie.prefix_trie(trie.with_shared_openings(turns))
+
+
 def op12_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens")
     tokens.write_tokens(table(spark, sf_dir, "documents"), path)
@@ -155,6 +160,45 @@ WITH d AS (
 SELECT doc_id, size, source_size, target, CAST(CASE WHEN size > 0 THEN size * (whole + CASE WHEN picked OR closing THEN 1 ELSE 0 END) ELSE 0 END AS BIGINT) AS taken FROM e
 """
 
+OP11_SQL = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn ASC NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), k AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, max(place) AS n,
+    xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)),
+      lambda a, b: list_reduce([xor(a, b)] || range(8), lambda r, i: xor(r >> 1, CASE WHEN r & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295::BIGINT) % 6 AS h
+  FROM t GROUP BY conv_id
+), c AS (
+  SELECT k.conv_id, k.base, k.h, k.n, least(k.h, coalesce(b.n, 0)) AS taken FROM k LEFT JOIN k b ON k.base = b.conv_id
+), walk AS (
+  SELECT conv_id, taken + place - h AS depth, role, text FROM t JOIN c USING (conv_id) WHERE place > h
+  UNION ALL
+  SELECT c.conv_id, place, role, text FROM t JOIN c ON t.conv_id = c.base WHERE place <= h
+), named AS (
+  SELECT conv_id, depth, length(text) AS size, array_to_string(list(md5(length(role) || ':' || role || text)) OVER (PARTITION BY conv_id ORDER BY depth), ',') AS name FROM walk
+  UNION ALL
+  SELECT conv_id, 0, 0, '' FROM c
+), step AS (
+  SELECT *, lag(name) OVER (PARTITION BY conv_id ORDER BY depth) AS above, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM named
+), node AS (
+  SELECT name, any_value(above) AS above, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM step GROUP BY name
+), child AS (
+  SELECT above, count(*) AS n FROM node WHERE above IS NOT NULL GROUP BY above
+), below AS (  -- every node with each node on the way to it
+  SELECT s.name AS top, (n.n_convs - 1) * n.size AS saved, child.n IS NULL AS leaf
+  FROM node n JOIN step s ON s.conv_id = n.conv_id AND s.depth <= n.depth LEFT JOIN child ON child.above = n.name
+), total AS (
+  SELECT top, CAST(sum(saved) AS BIGINT) AS saved, count(*) FILTER (WHERE leaf) AS leaves FROM below GROUP BY top
+)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(child.n, 0) AS n_children, total.leaves AS n_leaves,
+  total.saved AS saved_tokens, n.ends_sha256
+FROM node n LEFT JOIN node p ON p.name = n.above LEFT JOIN child ON child.above = n.name JOIN total ON total.top = n.name
+"""
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_decontamination": op2_decontamination,
@@ -166,6 +210,7 @@ QUERIES = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_quality": op9_quality,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_token_output": op12_token_output,
 }
-ORACLE_SQL = {"op1_warc": OP1_SQL, "op5_mixing": OP5_SQL, "op7_embedding_dedup": OP7_SQL}
+ORACLE_SQL = {"op1_warc": OP1_SQL, "op5_mixing": OP5_SQL, "op7_embedding_dedup": OP7_SQL, "op11_prefix_trie": OP11_SQL}
