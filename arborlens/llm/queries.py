@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlens.llm import chat, decontam, embed_dedup, mixing, pii, quality, secrets, simhash, substring, tokens, trie, warc
+from arborlens.llm import align, chat, decontam, embed_dedup, mixing, pii, quality, secrets, simhash, substring, tokens, trie, warc
 from arborlens.llm.work import new_path, table
 
 
@@ -69,6 +69,10 @@ def op12_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_documents(spark, path)
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignments(table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS h, max(page_id) OVER (PARTITION BY sha1(html)) AS first FROM p),
@@ -212,5 +216,6 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_token_output": op12_token_output,
+    "op13_token_alignment": op13_token_alignment,
 }
 ORACLE_SQL = {"op1_warc": OP1_SQL, "op5_mixing": OP5_SQL, "op7_embedding_dedup": OP7_SQL, "op11_prefix_trie": OP11_SQL}
