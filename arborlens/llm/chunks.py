@@ -8,8 +8,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 
-#: Behind a character that is neither, before a blank or a line feed: no token of the vocabularies used here reaches across.
-_CUT = re.compile(r"(?<=[^ \n])(?=[ \n])")
+#: Behind a character that is no white space, before a blank or a line feed: no token of the vocabularies used here reaches across.
+_CUT = re.compile(r"(?<=\S)(?=[ \n])")
 
 
 def pieces(text: str, size: int = 1 << 20) -> Iterator[tuple[str, bool]]:
@@ -28,7 +28,7 @@ class Memo:
     """Values of chunks from a function that is called once for each chunk held. It forgets all of them when it holds
     `most` chunks or `most_values` values, so memory is bounded by that and by the chunks of one call."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterator[list[int]]], most: int = 1 << 19, most_values: int = 1 << 23):
+    def __init__(self, encode: Callable[[list[str]], Iterator[list[int]]], most: int = 1 << 18, most_values: int = 1 << 22):
         self.encode, self.most, self.most_values = encode, most, most_values
         self._reset()
 
