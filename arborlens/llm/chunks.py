@@ -28,7 +28,7 @@ class Memo:
     """Values of chunks from a function that is called once for each chunk held. It forgets all of them when it holds
     `most` chunks or `most_values` values, so memory is bounded by that and by the chunks of one call."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterator[list[int]]], most: int = 1 << 18, most_values: int = 1 << 22):
+    def __init__(self, encode: Callable[[list[str]], Iterator[list[int]]], most: int = 1 << 19, most_values: int = 1 << 22):
         self.encode, self.most, self.most_values = encode, most, most_values
         self._reset()
 

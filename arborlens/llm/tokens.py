@@ -34,7 +34,7 @@ MANIFEST = "shard long, block long, first long, n long, file string, at long, co
 PIECE = np.dtype([("doc_no", "<i8"), ("pos", "<i8"), ("n", "<i8"), ("doc_id", "<i8"), ("flags", "<u1")])  # flags: 1 last piece, 2 no doc_id
 
 
-def encoder(path: str, most: int = 1 << 17) -> Callable[[list[str]], Iterator[list[int]]]:
+def encoder(path: str, most: int = 1 << 18) -> Callable[[list[str]], Iterator[list[int]]]:
     """ids of chunks without white space. Where the vocabulary normalizes and splits as this kind does (composed, lower case,
     a pattern, bytes as letters), chunks of Latin letters are split here and only the merges are asked of it, once for each
     word part held; it encodes all others whole."""
@@ -47,6 +47,7 @@ def encoder(path: str, most: int = 1 << 17) -> Callable[[list[str]], Iterator[li
     cuts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
     split = cuts[0] if [c["type"] for c in cuts] == ["Split", "ByteLevel"] and not cuts[1]["use_regex"] and not cuts[1]["add_prefix_space"] else {}
     fits = steps == ["NFC", "Replace", "Lowercase"] and (split.get("behavior"), split.get("invert")) == ("Removed", True)
+    fits = fits and all("<" in t["content"] for t in spec["added_tokens"])
     if fits:
         import regex
 
@@ -56,7 +57,7 @@ def encoder(path: str, most: int = 1 << 17) -> Callable[[list[str]], Iterator[li
 
     def ids(chunk: str) -> list[int]:
         out = []
-        for part in find(unicodedata.normalize("NFC", chunk).lower()):
+        for part in find((chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk)).lower()):
             got = known.get(part)
             if got is None:
                 if len(known) >= most:
@@ -68,7 +69,7 @@ def encoder(path: str, most: int = 1 << 17) -> Callable[[list[str]], Iterator[li
     def encode(new: list[str]) -> Iterator[list[int]]:
         for at in range(0, len(new), 4096):
             some = new[at : at + 4096]
-            simple = [fits and max(c, default="") < "\u0250" and not any(t in c for t in special) for c in some]
+            simple = [fits and (c.isascii() or max(c) < "\u0250") and not ("<" in c and any(t in c for t in special)) for c in some]
             whole = iter(plain([c for c, s in zip(some, simple, strict=True) if not s]))
             for c, s in zip(some, simple, strict=True):
                 yield ids(c) if s else next(whole)
