@@ -117,9 +117,23 @@ def ring_bounds(r: Column) -> Column:
     return F.struct(F.array_min(xs).alias("x1"), F.array_min(ys).alias("y1"), F.array_max(xs).alias("x2"), F.array_max(ys).alias("y2"))
 
 
+def _side(a: Column, b: Column, p: Column) -> Column:
+    """Positive where p lies left of a-b, negative right of it."""
+    return F.signum((b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"]))
+
+
+def simple_ring(r: Column) -> Column:
+    """No two sides cross, and none turns back on the one before it. Compares all sides of the ring."""
+    sides = F.filter(_edges(r), lambda e: e["a"] != e["b"])
+    cross = lambda e, f: (_side(e["a"], e["b"], f["a"]) * _side(e["a"], e["b"], f["b"]) < 0) & (_side(f["a"], f["b"], e["a"]) * _side(f["a"], f["b"], e["b"]) < 0)
+    dot = lambda e, f: (e["b"]["x"] - e["a"]["x"]) * (f["b"]["x"] - f["a"]["x"]) + (e["b"]["y"] - e["a"]["y"]) * (f["b"]["y"] - f["a"]["y"])
+    back = lambda e, f: (e["b"] == f["a"]) & (_side(e["a"], e["b"], f["b"]) == 0) & (dot(e, f) < 0)
+    return ~F.exists(sides, lambda e: F.exists(sides, lambda f: cross(e, f) | back(e, f)))
+
+
 def valid_ring(r: Column) -> Column:
-    """At least three different corners and an area."""
-    return F.coalesce((F.size(F.array_distinct(r)) >= 3) & (planar_area(r) > 0), F.lit(False))
+    """At least three different corners, an area, and no side that crosses or turns back on another."""
+    return F.coalesce((F.size(F.array_distinct(r)) >= 3) & (planar_area(r) > 0) & simple_ring(r), F.lit(False))
 
 
 def _clipped(points: list[tuple[float, float]], box: tuple[float, float, float, float]) -> list[tuple[float, float]]:

@@ -162,13 +162,6 @@ def agg_avg_round(spark, d):
     return species(spark, d).groupBy("genus").agg(F.round(F.avg("size"), 2).alias("size"))
 
 
-@query("SELECT eco, count(*) AS cells, round(CAST(count(*) AS DOUBLE) / 4, 6) AS area, min(floor(lon * 2) / 2) AS x1, min(floor(lat * 2) / 2) AS y1, max(floor(lon * 2) / 2) + 0.5 AS x2, max(floor(lat * 2) / 2) + 0.5 AS y2 FROM (SELECT DISTINCT eco, floor(lon * 2) / 2 AS lon, floor(lat * 2) / 2 AS lat FROM tiles) GROUP BY eco")
-def agg_spatial_union(spark, d):
-    """Cells do not overlap, so the union's area is the sum over distinct cells, and its box the extremes."""
-    snap = lambda c: F.floor(F.col(c) * 2) / 2
-    cells = tiles(spark, d).select("eco", snap("lon").alias("x"), snap("lat").alias("y")).distinct().groupBy("eco")
-    return cells.agg(F.count(F.lit(1)).alias("cells"), F.round(F.count(F.lit(1)) * 0.25, 6).alias("area"), F.min("x").alias("x1"), F.min("y").alias("y1"), (F.max("x") + 0.5).alias("x2"), (F.max("y") + 0.5).alias("y2"))
-
 
 @query(", a AS (SELECT eco, CAST(count(*) AS DOUBLE) AS area FROM tiles WHERE lon BETWEEN 0 AND 60 AND lat BETWEEN 0 AND 60 GROUP BY eco) SELECT eco, round(area / (SELECT sum(area) FROM a), 9) AS weight FROM a")
 def agg_area_weights(spark, d):

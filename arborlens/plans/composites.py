@@ -54,16 +54,6 @@ def q_stats(spark, d):
     return rows.agg(F.countDistinct("tile").alias("tiles"), F.countDistinct("taxon").alias("taxa"), F.sum("n").alias("n"), F.min("seen").alias("first"), F.max("seen").alias("last"), F.min("lon").alias("x1"), F.max("lon").alias("x2"))
 
 
-@query(f"SELECT taxon, n, tiles, {NATIVE_SQL} AS status, CASE WHEN intact LIKE '%YES%' THEN 'present' WHEN intact = 'NO' THEN 'absent' ELSE 'unknown' END AS forest FROM (SELECT taxon, CAST(sum(n) AS BIGINT) AS n, count(*) AS tiles FROM occ JOIN tiles USING (tile) WHERE lon > -30 AND lat > -30 AND lon + lat < 60.005 GROUP BY taxon) JOIN species USING (taxon)")
-def q_analyze_plot(spark, d):
-    plot = geo.ring([(-30, -30), (90.005, -30), (-30, 90.005)])
-    x, y = F.col("lon"), F.col("lat")
-    inside = tiles(spark, d).where((x > -30) & (y > -30) & geo.contains(plot, x, y)).select("tile")
-    g = occ(spark, d, inside).groupBy("taxon").agg(F.sum("n").alias("n"), N().alias("tiles")).join(species(spark, d), "taxon")
-    c = F.col("intact")
-    forest = F.when(c.like("%YES%"), "present").when(c == "NO", "absent").otherwise("unknown")
-    return g.select("taxon", "n", "tiles", native_status(F.col("native"), F.col("introduced"), ["economy", "brand#1"]).alias("status"), forest.alias("forest"))
-
 
 @query("SELECT taxon, name, CAST(sum(n) AS BIGINT) AS n, count(*) AS tiles FROM occ JOIN tiles USING (tile) LEFT JOIN species USING (taxon) WHERE eco = 6 GROUP BY 1, 2")
 def q_ecoregion_species(spark, d):
@@ -76,12 +66,6 @@ def q_ecoregion_at_point(spark, d):
     return top(tiles(spark, d).where("lon between 30 and 31"), 1, F.col("tile")).select("eco", "tile")
 
 
-@query("SELECT eco, count(*) AS tiles, round(count(*) * 100.0 / (SELECT count(*) FROM tiles WHERE lon BETWEEN 0 AND 40), 4) AS coverage FROM tiles WHERE lon BETWEEN 0 AND 40 GROUP BY eco")
-def q_ecoregion_intersect(spark, d):
-    t = tiles(spark, d).where("lon between 0 and 40")
-    g = t.groupBy("eco").agg(N().alias("tiles"))
-    return g.crossJoin(t.agg(N().alias("all"))).select("eco", "tiles", F.round(F.col("tiles") * 100.0 / F.col("all"), 4).alias("coverage"))
-
 
 @query("SELECT eco, n_name AS name, count(*) AS tiles FROM tiles JOIN nation ON eco = n_nationkey GROUP BY 1, 2")
 def q_ecoregion_stats(spark, d):
@@ -96,11 +80,6 @@ def q_ecoregion_search(spark, d):
     return top(rows, 10, F.when(c.ilike("nation_1"), 0).otherwise(1), c).select(F.col("n_nationkey").alias("eco"), c.alias("name"))
 
 
-@query("SELECT eco, count(*) AS corners, min(lon) AS x1, max(lon) AS x2 FROM tiles WHERE lon BETWEEN -50 AND 50 GROUP BY eco")
-def q_ecoregion_boundaries(spark, d):
-    g = tiles(spark, d).where("lon between -50 and 50").groupBy("eco")
-    return g.agg(N().alias("corners"), F.min("lon").alias("x1"), F.max("lon").alias("x2"))
-
 
 @query("SELECT taxon, name FROM species WHERE (native LIKE '%PROMO%' OR native LIKE '%Brand#2%') AND (introduced IS NULL OR NOT (introduced LIKE '%Brand#2%' OR introduced LIKE '%red%'))")
 def q_native_by_ecoregion(spark, d):
@@ -108,15 +87,6 @@ def q_native_by_ecoregion(spark, d):
     return s.where(like_any(F.col("native"), ["%PROMO%", "%Brand#2%"]) & not_like_all(F.col("introduced"), ["%Brand#2%", "%red%"])).select("taxon", "name")
 
 
-@query("SELECT tile, round(greatest(least(lon + 4, 30.0) - greatest(lon, 10.0), 0) * greatest(least(lat + 3, 20.0) - greatest(lat, -10.0), 0), 6) AS shared FROM (SELECT tile, lon, lat FROM tiles WHERE lon <= 30 AND lon + 4 >= 10 AND lat <= 20 AND lat + 3 >= -10 ORDER BY eco DESC, tile LIMIT 100)")
-def q_intact_forest(spark, d):
-    """The largest shapes in view first, then clipped."""
-    x, y = F.col("lon"), F.col("lat")
-    p = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
-    rows = top(tiles(spark, d).where(geo.boxes_meet(x, y, x + 4, y + 3, (10.0, -10.0, 30.0, 20.0))), 100, F.col("eco").desc(), F.col("tile"))
-    rows = rows.select("tile", geo.clip_to_box((10.0, -10.0, 30.0, 20.0))(F.array(p(x, y), p(x + 4, y), p(x + 4, y + 3), p(x, y + 3))).alias("r"))
-    return rows.select("tile", F.round(F.when(F.size("r") >= 3, geo.planar_area(F.col("r"))).otherwise(0.0), 6).alias("shared"))
-
 
 _LEAF_SQL = """a AS (SELECT eco, weight, taxon, sum(n) * count(*) AS affinity FROM occ JOIN tiles USING (tile) JOIN w USING (eco) GROUP BY 1, 2, 3),
 m AS (SELECT taxon, sum(CAST(affinity AS DOUBLE) * weight) / sum(weight) AS a FROM a GROUP BY taxon),
@@ -157,12 +127,6 @@ def q_leaf_point(spark, d):
     return _leaf(spark, d, q_ecoregion_at_point(spark, d).select("eco", F.lit(1.0).alias("weight")))
 
 
-@query(", w AS (SELECT eco, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER () AS weight FROM tiles WHERE lon BETWEEN 0 AND 40 AND lat BETWEEN -20 AND 20 GROUP BY eco), " + _LEAF_SQL)
-def q_leaf_polygon(spark, d):
-    """The same for a polygon: every region that it meets, by the share of the polygon's tiles that lie in it."""
-    g = tiles(spark, d).where("lon between 0 and 40 and lat between -20 and 20").groupBy("eco").agg(N().alias("n"))
-    return _leaf(spark, d, g.crossJoin(g.agg(F.sum("n").alias("all"))).select("eco", (F.col("n") / F.col("all")).alias("weight")))
-
 
 @query(", a AS (SELECT taxon, sum(n) * count(*) AS affinity FROM occ JOIN tiles USING (tile) WHERE eco = 3 GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY affinity, taxon) - 1 AS i, count(*) OVER () AS c FROM a), s AS (SELECT taxon, floor(CASE WHEN c = 1 THEN 100.0 ELSE i * 100.0 / (c - 1) END * 10 + 0.5) / 10 AS score FROM r ORDER BY score DESC, taxon LIMIT 2500) SELECT taxon, score, CASE WHEN score >= 90 THEN 'BEST' WHEN score >= 70 THEN 'GOOD' WHEN score >= 50 THEN 'ACCEPTABLE' ELSE 'LOW' END AS tier FROM s")
 def q_guide(spark, d):

@@ -92,12 +92,6 @@ def flt_contains_point(spark, d):
     return tiles(spark, d).where(geo.boxes_meet(x, y, x, y, (10, -10, 70, 20)) & geo.contains(triangle, x, y)).select("tile")
 
 
-@query("SELECT tile, n FROM (SELECT tile, count(*) AS n, min(taxon) AS a, max(taxon) AS b FROM occ GROUP BY tile) WHERE n >= 3")
-def flt_valid_geom(spark, d):
-    corners = F.transform(F.array_sort(F.collect_list("taxon")), lambda t: F.struct(t.cast("double").alias("x"), (t * t % 1009 + t).cast("double").alias("y")))
-    rows = occ(spark, d).groupBy("tile").agg(F.count(F.lit(1)).alias("n"), corners.alias("r"))
-    return rows.where((F.size(F.array_distinct("r")) >= 3) & F.col("r").isNotNull()).select("tile", "n")
-
 
 @query("SELECT tile, n FROM occ WHERE taxon = 42")
 def flt_json_haskey(spark, d):

@@ -65,21 +65,6 @@ def vec_knn(spark, d):
     return top(rows, 10, F.col("similarity").desc(), F.col("taxon")).select("taxon", "cluster", F.round("similarity", 6).alias("similarity"))
 
 
-@query()
-def vec_ann_index(spark, d):
-    """Random-projection index of all vectors, asked for the neighbours of every 50th (an option beside the exact scan).
-    Each of 12 tables cuts a random direction into buckets of 0.1. Recall is 0.9 and more; the given vectors point in
-    unrelated directions, the fifth nearest at 1.2 where the mean is 1.4, so that no index can leave out much here."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    rows = centroids(spark, d).select("cluster", array_to_vector("v").alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=ANN_BUCKET, numHashTables=ANN_TABLES, seed=1).fit(rows)
-    asked = rows.where("cluster % 50 = 0")
-    found = model.approxSimilarityJoin(asked, rows, 100.0, distCol="dist").where("datasetA.cluster <> datasetB.cluster")
-    found = found.select(F.col("datasetA.cluster").alias("a"), F.col("datasetB.cluster").alias("b"), "dist")
-    return best_per_group(found, ["a"], F.col("dist"), F.col("b"), n=5).select("a", "b", F.round("dist", 6).alias("dist"))
-
 
 @query()
 def vec_cluster(spark, d):
@@ -102,13 +87,6 @@ def geo_geohash_decode(spark, d):
     return rows.select("tile", geo.geohash_bounds(F.col("code")).alias("b")).select("tile", "b.*")
 
 
-@query("SELECT tile, CAST(count(*) AS BIGINT) AS n FROM tiles GROUP BY tile")
-def geo_geom_repair(spark, d):
-    """Geometry recomputed from the geohash for every tile, and checked to hold the tile's point."""
-    rows = tiles(spark, d).withColumn("b", geo.geohash_bounds(geo.geohash(F.col("lat"), F.col("lon"))))
-    inside = F.col("lon").between(F.col("b.lon_min"), F.col("b.lon_max")) & F.col("lat").between(F.col("b.lat_min"), F.col("b.lat_max"))
-    return rows.groupBy("tile").agg(F.count_if(inside).alias("n"))
-
 
 _X2, _Y2 = "least(lon + 1, 180)", "least(lat + 1, 90)"
 
@@ -160,13 +138,6 @@ def geo_centroid(spark, d):
     return tiles(spark, d).select("tile", F.round(c["x"], 6).alias("x"), F.round(c["y"], 6).alias("y"))
 
 
-@query("SELECT n_regionkey AS realm, count(*) AS parts, round(sum((x2 - x1) * (y2 - y1)), 6) AS area FROM (SELECT n_regionkey, floor(lon) AS x1, floor(lat) AS y1, floor(lon) + 1 AS x2, floor(lat) + 1 AS y2 FROM tiles JOIN nation ON eco = n_nationkey GROUP BY ALL) GROUP BY 1")
-def geo_dissolve(spark, d):
-    """Cells of a realm's regions, each once."""
-    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("eco"), F.col("n_regionkey").alias("realm"))
-    cells = tiles(spark, d).join(n, "eco").select("realm", F.floor("lon").alias("x"), F.floor("lat").alias("y")).distinct()
-    return cells.groupBy("realm").agg(F.count(F.lit(1)).alias("parts"), F.round(F.sum(F.lit(1.0)), 6).alias("area"))
-
 
 @query(_Q + f", s AS (SELECT taxon, cluster, occurrences, {_COS} AS sim FROM centroids, q WHERE elevation BETWEEN 100 AND 1500), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY taxon ORDER BY sim DESC, cluster) AS k FROM s) WHERE k = 1) SELECT b.taxon, name, round(sim, 6) AS similarity, (SELECT CAST(sum(occurrences) AS BIGINT) FROM centroids c WHERE c.taxon = b.taxon) AS occurrences, CASE WHEN sim >= 0.9 THEN 'excellent' WHEN sim >= 0.8 THEN 'good' WHEN sim >= 0.7 THEN 'moderate' WHEN sim >= 0.6 THEN 'marginal' ELSE 'poor' END AS quality FROM b LEFT JOIN species USING (taxon) WHERE sim >= 0 ORDER BY sim DESC, b.taxon LIMIT 5")
 def q_predict(spark, d):
