@@ -142,12 +142,13 @@ def _outline(edges: list[tuple[int, int, int, int, int, int]], inside: Callable[
         return []
     cuts = sorted({v for e in flat for v in (e[0], e[2])} | _crossings(np.array([e[:4] for e in flat], np.int64)))
     active: list[tuple] = []
-    at, sides, rows = 0, defaultdict(list), defaultdict(int)
+    at, sides = 0, defaultdict(list)
     open_: dict[tuple, list] = {}  # (source, role) -> the piece that ends at the last cut
     out = []
 
     def close(piece: list) -> None:
-        rows[tuple(piece[:4])] += piece[4]
+        x1, y1, x2, y2, role = piece
+        out.append((x1, y1, x2, y2) if role > 0 else (x2, y2, x1, y1))
 
     for xa, xb in zip(cuts, cuts[1:], strict=False):
         active = [e for e in active if e[2] > xa]
@@ -162,7 +163,7 @@ def _outline(edges: list[tuple[int, int, int, int, int, int]], inside: Callable[
         spans.sort()
         odd: set = set()
         count = [0, 0]
-        now, low, fresh = False, None, {}
+        now, low, covered = False, None, []
         for _, ya, yb, e in spans:
             s = e[4]
             if s in odd:
@@ -175,14 +176,18 @@ def _outline(edges: list[tuple[int, int, int, int, int, int]], inside: Callable[
             if then == now:
                 continue
             now = then
-            if now:
+            if not now:
+                if low[:2] != (ya, yb):
+                    covered.append((low, (ya, yb, e)))
+            elif covered and covered[-1][1][:2] == (ya, yb):
+                low = covered.pop()[0]  # it goes on where the one below ends
+            else:
                 low = (ya, yb, e)
-                continue
-            if (low[0], low[1]) == (ya, yb):
-                continue
-            sides[xa].append((min(low[0], ya), max(low[0], ya), -1))
-            sides[xb].append((min(low[1], yb), max(low[1], yb), 1))
-            for (y0, y1, source), role in ((low, 1), ((ya, yb, e), -1)):
+        fresh: dict[tuple, list] = {}
+        for bottom, top in covered:
+            sides[xa].append((min(bottom[0], top[0]), max(bottom[0], top[0]), -1))
+            sides[xb].append((min(bottom[1], top[1]), max(bottom[1], top[1]), 1))
+            for (y0, y1, source), role in ((bottom, 1), (top, -1)):
                 before = open_.pop((source, role), None)
                 if before is not None and before[2:4] == [xa, y0]:
                     before[2:4] = [xb, y1]
@@ -196,9 +201,6 @@ def _outline(edges: list[tuple[int, int, int, int, int, int]], inside: Callable[
         open_ = fresh
     for piece in open_.values():
         close(piece)
-    for (x1, y1, x2, y2), n in rows.items():
-        if n:
-            out.append((x1, y1, x2, y2) if n > 0 else (x2, y2, x1, y1))
     for x, intervals in sides.items():
         for low, high, n in _net(intervals):
             out.append((x, low, x, high) if n > 0 else (x, high, x, low))

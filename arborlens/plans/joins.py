@@ -160,7 +160,7 @@ def jn_name_fanout(spark, d):
 k AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY dist, box) AS k FROM m)
 SELECT tile, box, round(dist, 6) AS dist, CASE WHEN dist < 10 THEN 'high' WHEN dist < 30 THEN 'medium' ELSE 'low' END AS trust FROM k WHERE k = 1""")
 def jn_nearest(spark, d):
-    """Nearest of a bounded table of reference points."""
+    """The nearest reference point, by growing rings of cells."""
     near = spatial.nearest(tiles(spark, d).select("tile", "lon", "lat"), _boxes(spark, d).select("box", "x1", "y1"), ["tile"], "box")
     dist = F.col("dist")
     trust = F.when(dist < 10, "high").when(dist < 30, "medium").otherwise("low")

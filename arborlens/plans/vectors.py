@@ -6,14 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from arborlens.functions import geo, vector
+from arborlens.operators import ann
 from arborlens.operators.clustering import kmeans_per_group
 from arborlens.operators.relational import best_per_group, top
 from arborlens.plans.analogue import centroids, species, table, tiles
 from arborlens.plans.registry import query
 
-#: Width of a bucket, and tables, of the approximate index.
-ANN_BUCKET, ANN_TABLES = 0.1, 12
-
 _Q = ", q AS (SELECT v AS q FROM centroids WHERE cluster = 0)"
 _DOT = "list_dot_product(v, q)"
 _COS = "list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q)))"
@@ -66,6 +64,18 @@ def vec_knn(spark, d):
 
 
 
+@query(""", a AS (SELECT a.cluster AS a, b.cluster AS b, list_distance(a.v, b.v) AS dist FROM centroids a, centroids b WHERE a.cluster % 50 = 0 AND a.cluster <> b.cluster)
+SELECT a, b, round(dist, 6) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY dist, b) AS k FROM a) WHERE k <= 5""")
+def vec_ann_index(spark, d):
+    """The five nearest of every 50th vector by the index of inverted lists. The given vectors point in unrelated directions,
+    so most lists must be compared; on clustered ones few are."""
+    rows = centroids(spark, d)
+    index, sizes, centres = ann.build(rows.select(F.col("cluster").alias("id"), "v"))
+    asked = rows.where("cluster % 50 = 0").select(F.col("cluster").alias("q"), "v")
+    found, _ = ann.nearest(index, sizes, centres, asked, 5)
+    return found.select(F.col("q").alias("a"), F.col("id").alias("b"), F.round("dist", 6).alias("dist"))
+
+
 @query()
 def vec_cluster(spark, d):
     rows = centroids(spark, d).withColumn("year", F.col("year").cast("double"))

@@ -177,28 +177,42 @@ def test_kmeans_query_equals_plain_version(spark, data):
         assert sorted(got[taxon]) == sorted(np.unique(near, return_counts=True)[1].tolist())
 
 
-def test_ann_index_recall_and_pairs(spark, data):
-    """Of the five nearest of each asked vector, nine in ten are found, by fewer than all comparisons."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+def test_index_of_lists_compares_few_pairs_of_clustered_vectors(spark):
+    """All of the five nearest are found, and under 15 % of pairs are compared."""
+    from arborlens.operators import ann
 
-    from arborlens.plans import vectors
-    from arborlens.plans.analogue import centroids
-
-    own = {r.cluster: np.array(r.v) for r in centroids(spark, data).collect()}
-    ids, x = np.array(list(own)), np.array(list(own.values()))
-    hits = asked = 0
-    got = {(r.a, r.b) for r in vectors.vec_ann_index(spark, data).collect()}
-    for i in ids[ids % 50 == 0].tolist():
-        d = np.sqrt(((x - own[i]) ** 2).sum(1))
-        best = [int(ids[k]) for k in np.argsort(d, kind="stable") if ids[k] != i][:5]
-        hits, asked = hits + sum((i, b) in got for b in best), asked + 5
-    assert hits >= 0.9 * asked
-    rows = centroids(spark, data).select("cluster", array_to_vector("v").alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="h", bucketLength=vectors.ANN_BUCKET, numHashTables=vectors.ANN_TABLES, seed=1).fit(rows)
-    h = {r.cluster: [int(v[0]) for v in r.h] for r in model.transform(rows).collect()}
-    met = [any(a == b for a, b in zip(h[i], h[j], strict=True)) for i in h if i % 50 == 0 for j in h if i != j]
-    assert np.mean(met) < 0.97
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 16)) * 10
+    x = centres[rng.integers(0, 40, 2000)] + rng.normal(size=(2000, 16))
+    x[1990:] = x[0]  # equal vectors
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5001, [])], "id long, v array<double>")
+    index, sizes, middle = ann.build(rows)
+    asked = rows.where("id % 50 = 0").select(F.col("id").alias("q"), "v")
+    found, lists = ann.nearest(index, sizes, middle, asked, 5)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.q, []).append((r.dist, r.id))
+    for q in range(0, 2000, 50):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        want = sorted((d[i], i) for i in range(2000) if i != q)[:5]
+        assert [round(a, 9) for a, _ in sorted(got[q])] == [round(a, 9) for a, _ in want]
+    pairs = lists.join(sizes, "list").agg(F.sum("n")).first()[0]
+    assert pairs < 0.15 * 40 * 2000
+
+
+def test_index_of_lists_parts_long_lists(spark, monkeypatch):
+    from arborlens.operators import ann
+
+    monkeypatch.setattr(ann, "PART", 16)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 4))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    index, sizes, middle = ann.build(rows, lists=3)
+    assert sizes.agg(F.max("parts")).first()[0] > 3
+    found, _ = ann.nearest(index, sizes, middle, rows.where("id < 20").select(F.col("id").alias("q"), "v"), 3, probes=1)
+    got = {(r.q, r.id) for r in found.collect()}
+    want = {(q, int(i)) for q in range(20) for i in np.argsort(((x - x[q]) ** 2).sum(1), kind="stable")[1:4]}
+    assert got == want
 
 
 def test_names_equal_plain_versions(spark, data):
@@ -315,3 +329,23 @@ def test_research_rules(spark):
     assert got == {(1, "x"): "disputed", (1, "y"): "strong", (2, "x"): "weak", (2, "y"): "missing"}
     a = spark.createDataFrame([(1, '["p","q"]', "u"), (2, "plain", None), (3, "[]", None)], "k int, v string, h string")
     assert sorted((r.k, r.claim, r.confidence) for r in C.atomic_claims(a, "k", "v", "h").collect()) == [(1, "p", 0.8), (1, "q", 0.8), (2, "plain", 0.75)]
+
+
+def test_nearest_equals_brute_force(spark):
+    """Sparse, crowded and far places, ties, and places without coordinates; without a cartesian product."""
+    rng = np.random.default_rng(5)
+    points = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.uniform(-100, 100, (200, 2)))] + [(900, 1000.0, -2000.0), (901, None, 0.0)]
+    crowd = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(50, 0.01, (300, 2)))]
+    places = crowd + [(1000, -90.0, -90.0), (1001, 3.0, 4.0), (1002, 3.0, 4.0), (1003, None, None)]
+    p = spark.createDataFrame(points, "k int, lon double, lat double")
+    q = spark.createDataFrame(places, "place int, x1 double, y1 double")
+    near = spatial.nearest(p, q, ["k"], "place")
+    got = {r.k: (r.place, round(r.dist, 9)) for r in near.collect()}
+    for k, x, y in points:
+        if x is None:
+            assert k not in got
+            continue
+        d, place = min((math.sqrt((x - a) ** 2 + (y - b) ** 2), i) for i, a, b in places if a is not None)
+        assert got[k] == (place, round(d, 9))
+    assert spatial.nearest(p, q.where("place < 0"), ["k"], "place").count() == 0
+    assert "Cartesian" not in near._jdf.queryExecution().toString() and "NestedLoop" not in near._jdf.queryExecution().toString()
