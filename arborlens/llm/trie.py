@@ -134,7 +134,8 @@ def _accumulate(nodes: DataFrame) -> DataFrame:
                 out[slot] = values
                 return out
 
-            parent = scattered(table.find(c["p1"], c["p2"]))
+            parent, key = scattered(table.find(c["p1"], c["p2"])), scattered(c["key"])
+            parent[(parent >= 0) & (key[parent] != key)] = -1  # of another shard in this batch, which is summed up later
             depth, conv = scattered(c["depth"]), scattered(c["conv_id"])
             parent[depth == 0] = -1  # the root has no prefix before it
             children, leaves, saved = (scattered(c[f"seed_{x}"]) for x in ("children", "leaves", "saved"))
