@@ -11,6 +11,7 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlens.llm.chunks import pieces
+from arborlens.llm.chunks import byte_letters, encoder, pieces
 from arborlens.llm.runs import whole_runs
 from arborlens.llm.work import materialize, new_path
 
@@ -36,14 +37,6 @@ def chunks_of(text: str) -> list[str]:
     return _CUT.split(text) if _ODD.search(text) else _PLAIN.findall(text)
 
 
-def byte_letters() -> list[str]:
-    """The letter of every byte in byte-level vocabularies: printable Latin-1 characters stand for themselves, and U+0100 and
-    on, in order, for the other bytes."""
-    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = iter(range(256, 512))
-    return [chr(b) if b in own else chr(next(others)) for b in range(256)]
-
-
 def piece_bytes(piece: str) -> bytes:
     m = re.fullmatch(r"<0x([0-9A-Fa-f]{2})>", piece)
     return bytes([int(m[1], 16)]) if m else piece.replace("\u2581", " ").encode()
@@ -113,6 +106,10 @@ class _Chunks:
         #: whether no piece reaches over the start of a chunk, or holds the line feed set before one
         self.parts = not any(re.search("[^\u2581]\u2581|\n", p) for p in names)
         self.before = self.b.encode("\n")
+        self.encode_a = encoder(self.a, specials=False)
+        self.a_len, self.b_len = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
+        #: an id as it stands in the text of groups: of A inside and at the end of its part, of B the same
+        self.shown = [f"{k}{c}" for n, c in ((len(self.a_bytes), ","), (len(self.a_bytes), "|"), (len(self.b_bytes), ","), (len(self.b_bytes), ";")) for k in range(n)]
         self.reset()
 
     def reset(self) -> None:
@@ -126,31 +123,50 @@ class _Chunks:
         coded = self.b.encode(["\n" + c for c in chunks], num_threads=1)
         return [x[n:] if x[:n] == self.before else [] for x in coded]
 
+    def _matrices(self, coded: list[list[int]], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, rows before each chunk, bytes of each chunk)"""
+        ids = np.fromiter(chain.from_iterable(coded), np.int64)
+        ptr = np.concatenate([[0], np.cumsum([len(x) for x in coded])]).astype(np.int64)
+        return ids, ptr, _sums(lengths[ids], ptr)
+
+    def _sound(self, new: list[str], a: list[list[int]], b: list[list[int]]) -> list[bool]:
+        """Whether the tokens of each chunk join to its bytes."""
+        raw = [c.encode() for c in new]
+        sizes = np.array([len(r) for r in raw])
+        whole = b"".join(raw)
+        for coded, table, lengths in ((a, self.a_bytes, self.a_len), (b, self.b_bytes, self.b_len)):
+            ids, _, own = self._matrices(coded, lengths)
+            if not np.array_equal(own, sizes) or b"".join(map(table.__getitem__, ids.tolist())) != whole:
+                break
+        else:
+            return [True] * len(new)
+        join = lambda ids, table: b"".join([table[x] for x in ids])
+        return [join(a[k], self.a_bytes) == r == join(b[k], self.b_bytes) for k, r in enumerate(raw)]
+
     def add(self, new: list[str]) -> None:
-        a, b = [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)], self._encode_b(new)
-        good = []
-        for k, chunk in enumerate(new):
-            raw = chunk.encode()
-            good.append(b"".join([self.a_bytes[x] for x in a[k]]) == raw == b"".join([self.b_bytes[x] for x in b[k]]))
-            if not good[-1]:
-                a[k], b[k] = [], []
-        a_flat, b_flat = [x for ids in a for x in ids], [x for ids in b for x in ids]
-        a_ids, b_ids = np.array(a_flat, np.int64), np.array(b_flat, np.int64)
-        lengths = lambda ids, table: np.fromiter((len(table[x]) for x in ids), np.int64, len(ids))
-        left, right, a_group, b_group, within = align(lengths(a_flat, self.a_bytes), lengths(b_flat, self.b_bytes))
-        a_ptr = np.concatenate([[0], np.cumsum([len(x) for x in a])]).astype(np.int64)
-        b_ptr = np.concatenate([[0], np.cumsum([len(x) for x in b])]).astype(np.int64)
+        a, b = list(self.encode_a(new)), self._encode_b(new)
+        good = self._sound(new, a, b)
+        if not all(good):
+            a, b = ([x if g else [] for x, g in zip(coded, good, strict=True)] for coded in (a, b))
+        (a_ids, a_ptr, _), (b_ids, b_ptr, _) = self._matrices(a, self.a_len), self._matrices(b, self.b_len)
+        left, right, a_group, b_group, within = align(self.a_len[a_ids], self.b_len[b_ids])
         links = a_ids[left] << 32 | b_ids[right]
         link_ptr = np.searchsorted(left, a_ptr)
         groups = int(a_group[-1]) + 1 if len(a_group) else 0
         a_at, b_at = np.searchsorted(a_group, np.arange(groups + 1)), np.searchsorted(b_group, np.arange(groups + 1))
-        sa, sb = list(map(str, a_flat)), list(map(str, b_flat))
-        shown = [",".join(sa[i:j]) + "|" + ",".join(sb[u:v]) for i, j, u, v in zip(a_at[:-1].tolist(), a_at[1:].tolist(), b_at[:-1].tolist(), b_at[1:].tolist(), strict=True)]
         g_ptr = np.searchsorted(a_at[:-1], a_ptr)  # groups before each chunk
+        # the text of groups: every token in its place, with the sign that follows it
+        signs = np.empty(len(a_ids) + len(b_ids), np.int64)
+        ends_a, ends_b = np.zeros(len(a_ids), bool), np.zeros(len(b_ids), bool)
+        ends_a[a_at[1:] - 1], ends_b[b_at[1:] - 1] = True, True
+        na, nb = len(self.a_bytes), len(self.b_bytes)
+        signs[np.arange(len(a_ids)) + b_at[a_group]] = a_ids + na * ends_a
+        signs[np.arange(len(b_ids)) + a_at[b_group + 1]] = 2 * na + b_ids + nb * ends_b
+        shown, at = list(map(self.shown.__getitem__, signs.tolist())), (a_ptr + b_ptr).tolist()
         sizes = np.stack([np.diff(a_ptr), np.diff(b_ptr), np.diff(g_ptr), np.diff(link_ptr), _sums(within, a_ptr)], axis=1)
-        for k, chunk in enumerate(new):
-            self.index[chunk] = len(self.index)
-            self.text.append(";".join(shown[g_ptr[k] : g_ptr[k + 1]]).encode() if good[k] else None)
+        first = len(self.index)
+        self.index.update(zip(new, range(first, first + len(new)), strict=True))
+        self.text += ["".join(shown[i:j])[:-1].encode() if g else None for i, j, g in zip(at, at[1:], good, strict=False)]
         base = self.ptr[-1]
         self.links.frombytes(links.astype(np.int64).tobytes())
         self.ptr.frombytes((link_ptr[1:] + base).astype(np.int64).tobytes())
@@ -174,20 +190,31 @@ class _Block:
     def __init__(self, chunks: _Chunks):
         self.chunks, self.ids, self.sizes, self.shas, self.used, self.held, self.chars = chunks, [], [], [], [], [], 0
 
-    def push(self, doc_id: int | None, text: str) -> None:
-        self.chars += len(text)
-        held, sha, sizes, first = [], hashlib.sha256(), np.zeros(5, np.int64), True
-        for part, _ in pieces(text) if self.chunks.parts else [(text, True)]:
-            own = (" " if first else "") + part
-            numbers = self.chunks.numbers(chunks_of(own) if self.chunks.parts else [own])
+    def push(self, doc_ids: list[int | None], texts: list[str], size: int = 1 << 20) -> None:
+        """Documents in order; the chunks of short ones are looked up together, longer ones come in pieces."""
+        cut = lambda text: chunks_of(text) if self.chunks.parts else [text]
+        short = [cut(" " + t) if t and len(t) <= size else [] for t in texts]
+        numbers, at = self.chunks.numbers(list(chain.from_iterable(short))), 0
+        for doc_id, text, own in zip(doc_ids, texts, short, strict=True):
+            if len(text) <= size:
+                parts = iter([numbers[at : at + len(own)]] if own else [])
+                at += len(own)
+            else:
+                cuts = pieces(" " + text, size) if self.chunks.parts else [(" " + text, True)]
+                parts = (self.chunks.numbers(cut(part)) for part, _ in cuts)
+            self._push(doc_id, parts)
+            self.chars += len(text)
+
+    def _push(self, doc_id: int | None, parts: Iterator[np.ndarray]) -> None:
+        held, sha, sizes = [], hashlib.sha256(), np.zeros(5, np.int64)
+        for numbers in parts:
             shown = [self.chunks.text[k] for k in numbers.tolist()]
-            if None in shown or not text:
+            if None in shown:
                 held = []
                 break
-            sha.update((b"" if first else b";") + b";".join(shown))
+            sha.update(b";" * bool(held) + b";".join(shown))
             sizes += np.frombuffer(self.chunks.sizes, np.int64).reshape(-1, 5)[numbers].sum(axis=0)
             held.append(numbers.astype(np.uint32))
-            first = False
         good = bool(held)
         self.ids.append(doc_id)
         self.sizes += (sizes if good else np.zeros(5, np.int64)).tolist()
@@ -210,7 +237,7 @@ class _Block:
 
 
 def aligned_blocks(
-    docs: DataFrame, byte_level: str = BYTE_LEVEL, piece_model: str = PIECES, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 1 << 24, most_chunks: int = 1 << 18
+    docs: DataFrame, byte_level: str = BYTE_LEVEL, piece_model: str = PIECES, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 1 << 24, most_chunks: int = 1 << 19
 ) -> DataFrame:
     """Written blocks of about block_chars characters of whole texts: each document's sizes and digest and the chunks that it
     consists of, each chunk's links, and the block's distinct id pairs with their numbers of links. A task holds one block."""
@@ -222,13 +249,12 @@ def aligned_blocks(
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 part = whole.slice(at, 64)
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    block.push(doc_id, text)
-                    if block.chars >= block_chars or len(chunks.index) > most_chunks:
-                        yield block.row(number)
-                        if len(chunks.index) > most_chunks:
-                            chunks.reset()
-                        number, block = number + 1, _Block(chunks)
+                block.push(part.column(0).to_pylist(), part.column(1).to_pylist())
+                if block.chars >= block_chars or len(chunks.index) > most_chunks:
+                    yield block.row(number)
+                    if len(chunks.index) > most_chunks:
+                        chunks.reset()
+                    number, block = number + 1, _Block(chunks)
         if block.ids:
             yield block.row(number)
 

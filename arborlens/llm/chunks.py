@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
 from array import array
 from collections.abc import Callable, Iterator
 
@@ -24,6 +26,71 @@ def pieces(text: str, size: int = 1 << 20) -> Iterator[tuple[str, bool]]:
     yield text[at:], True
 
 
+#: Fixed value: how byte-level vocabularies split a text where they name no pattern of their own.
+BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_letters() -> list[str]:
+    """The letter of every byte in byte-level vocabularies: printable Latin-1 characters stand for themselves, and U+0100 and
+    on, in order, for the other bytes."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(others)) for b in range(256)]
+
+
+def _split_of(spec: dict) -> tuple[str | None, bool]:
+    """(pattern of the parts that are merged by themselves, whether texts are composed and in lower case) of the kinds of
+    vocabulary that are known here; no pattern for others."""
+    steps = [s["type"] for s in (spec["normalizer"] or {}).get("normalizers", [])]
+    cut = spec["pre_tokenizer"] or {}
+    cuts = cut.get("pretokenizers", [])
+    if spec["normalizer"] is None and cut.get("type") == "ByteLevel" and cut["use_regex"] and not cut["add_prefix_space"]:
+        return BYTE_LEVEL_SPLIT, False
+    if steps == ["NFC", "Replace", "Lowercase"] and [c["type"] for c in cuts] == ["Split", "ByteLevel"]:
+        split, bytes_ = cuts
+        if (split["behavior"], split["invert"], bytes_["use_regex"], bytes_["add_prefix_space"]) == ("Removed", True, False, False):
+            return split["pattern"].get("Regex"), True
+    return None, False
+
+
+def encoder(own, most: int = 1 << 18, specials: bool = True) -> Callable[[list[str]], Iterator[list[int]]]:
+    """ids of chunks by a tokenizers.Tokenizer. Where it is of a known kind, chunks of Latin letters are split here and only the
+    merges are asked of it, once for each part held (`most` at most); it encodes all others whole, and with specials
+    those that hold a special token."""
+    import regex
+
+    spec = json.loads(own.to_str())
+    pattern, lower = _split_of(spec)
+    special = [t["content"] for t in spec["added_tokens"]] if specials else []
+    fits = pattern is not None and all("<" in t for t in special)
+    find, letters, model = regex.compile(pattern or "").findall, byte_letters(), own.model
+    known: dict[str, list[int]] = {}
+
+    def ids(chunk: str) -> list[int]:
+        out = []
+        if lower:
+            chunk = (chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk)).lower()
+        for part in find(chunk):
+            got = known.get(part)
+            if got is None:
+                if len(known) >= most:
+                    known.clear()
+                got = known[part] = [t.id for t in model.tokenize("".join(map(letters.__getitem__, part.encode())))]
+            out += got
+        return out
+
+    def encode(new: list[str]) -> Iterator[list[int]]:
+        for at in range(0, len(new), 4096):
+            some = new[at : at + 4096]
+            simple = [fits and (c.isascii() or max(c) < "\u0250") and not ("<" in c and any(t in c for t in special)) for c in some]
+            whole = own.encode_batch_fast([c for c, s in zip(some, simple, strict=True) if not s], add_special_tokens=False)
+            whole = iter([e.ids for e in whole])
+            for c, s in zip(some, simple, strict=True):
+                yield ids(c) if s else next(whole)
+
+    return encode
+
+
 class Memo:
     """Values of chunks from a function that is called once for each chunk held. It forgets all of them when it holds
     `most` chunks or `most_values` values, so memory is bounded by that and by the chunks of one call."""

@@ -8,12 +8,10 @@ ans.py) and the index of the documents in it: zlib over pieces of (doc_no, pos,
 
 from __future__ import annotations
 
-import json
 import re
-import unicodedata
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arborlens.llm import ans
-from arborlens.llm.align import byte_letters
-from arborlens.llm.chunks import Memo, pieces
+from arborlens.llm.chunks import Memo, encoder, pieces
 from arborlens.llm.work import materialize, new_path
 
 #: A vocabulary that drops white space, so that a text's ids are those of its chunks; every executor must reach it.
@@ -34,49 +31,6 @@ MANIFEST = "shard long, block long, first long, n long, file string, at long, co
 PIECE = np.dtype([("doc_no", "<i8"), ("pos", "<i8"), ("n", "<i8"), ("doc_id", "<i8"), ("flags", "<u1")])  # flags: 1 last piece, 2 no doc_id
 
 
-def encoder(path: str, most: int = 1 << 18) -> Callable[[list[str]], Iterator[list[int]]]:
-    """ids of chunks without white space. Where the vocabulary normalizes and splits as this kind does (composed, lower case,
-    a pattern, bytes as letters), chunks of Latin letters are split here and only the merges are asked of it, once for each
-    word part held; it encodes all others whole."""
-    from tokenizers import Tokenizer
-
-    own = Tokenizer.from_file(path)
-    plain = lambda new: [e.ids for e in own.encode_batch_fast(new, add_special_tokens=False)]
-    spec = json.loads(own.to_str())
-    steps = [s["type"] for s in (spec["normalizer"] or {}).get("normalizers", [])]
-    cuts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
-    split = cuts[0] if [c["type"] for c in cuts] == ["Split", "ByteLevel"] and not cuts[1]["use_regex"] and not cuts[1]["add_prefix_space"] else {}
-    fits = steps == ["NFC", "Replace", "Lowercase"] and (split.get("behavior"), split.get("invert")) == ("Removed", True)
-    fits = fits and all("<" in t["content"] for t in spec["added_tokens"])
-    if fits:
-        import regex
-
-        find, letters, model = regex.compile(split["pattern"]["Regex"]).findall, byte_letters(), own.model
-        special = [t["content"] for t in spec["added_tokens"]]
-        known: dict[str, list[int]] = {}
-
-    def ids(chunk: str) -> list[int]:
-        out = []
-        for part in find((chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk)).lower()):
-            got = known.get(part)
-            if got is None:
-                if len(known) >= most:
-                    known.clear()
-                got = known[part] = [t.id for t in model.tokenize("".join(map(letters.__getitem__, part.encode())))]
-            out += got
-        return out
-
-    def encode(new: list[str]) -> Iterator[list[int]]:
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            simple = [fits and (c.isascii() or max(c) < "\u0250") and not ("<" in c and any(t in c for t in special)) for c in some]
-            whole = iter(plain([c for c, s in zip(some, simple, strict=True) if not s]))
-            for c, s in zip(some, simple, strict=True):
-                yield ids(c) if s else next(whole)
-
-    return encode
-
-
 def text_ids(texts: list[str], memo: Memo, end: int, size: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, bool]]:
     """(number of the text, ids, whether they are its last) in order, about `size` characters at a time."""
     words: list[str] = []
@@ -148,7 +102,7 @@ def _id_blocks(docs: DataFrame, tokenizer: str, end: int, block: int, id_col: st
 
         own = Tokenizer.from_file(tokenizer)
         kind = "<u2" if own.get_vocab_size() <= 1 << 16 else "<u4"
-        memo = Memo(encoder(tokenizer))
+        memo = Memo(encoder(own))
         shard, cut, doc_no = TaskContext.get().partitionId(), _Blocks(block), 0
 
         def row(no: int, first: int, n: int, ids: np.ndarray, index: np.ndarray) -> pa.RecordBatch:
