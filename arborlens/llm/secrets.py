@@ -20,14 +20,18 @@ PREFIXES = r"^(AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|xox[abprs]-|sk_live_|sk-|r
 #: '=' parts a name from its value and belongs to a run only as padding at its end; in an address '/' parts runs too.
 RUN = r"[A-Za-z0-9_+/.~-]{16,}"
 _PAD = r"(?:={1,2}(?![A-Za-z0-9_+/.~=-]))?"
-_ADDRESS = r"://[^\s\"'`<>]{0,500}"  # a lookbehind needs a bound
+#: Marks of our own: around a candidate, for '/' in an address, around a password in an address; and what a text's own ones become.
+_MARK, _SLASH, _USER, _SAFE = "\ue000", "\ue002", "\ue003", "\ue001"
+#: An address's first part up to '/', and from there each further one, however long the address is.
+_ADDRESS = r"(://[^\s\"'`<>/]*|\G(?!^)[^\s\"'`<>/]*)/"
+_USERINFO = r"(://[^\s/@:\"'`<>]*:)([^\s/@\"'`<>]{4,})(?=@)"
 _SET = r"[:=]>?\s{0,2}[\"'`]?"
 #: The cheap lookbehinds come first: few places follow a colon or an equals sign.
 _ASSIGNED = rf"(?<=[\s=:>\"'`])(?<={_SET})(?<=(?i:{KEY_WORDS})[A-Za-z0-9_]{{0,12}}[\"'`]?\s{{0,2}}[:=]>?\s{{0,2}}[\"'`]?)"
 _FIND = (
-    rf"(?<![A-Za-z0-9_+/.~-])(?!(?<=:)//)(?={RUN})(?<!{_ADDRESS})({RUN}{_PAD})"
-    rf"|(?<![A-Za-z0-9_+.~-])(?=[A-Za-z0-9_+.~-]{{16}})(?<={_ADDRESS})([A-Za-z0-9_+.~-]{{16,}}{_PAD})"
-    rf"|{_ASSIGNED}(?!//)([^\s\"'`<>,;(){{}}\[\]&]{{8,200}})"
+    rf"{_USER}([^{_USER}]+){_USER}"
+    rf"|(?<![A-Za-z0-9_+/.~-])(?!(?<=:)//)(?={RUN})({RUN}{_PAD})"
+    rf"|{_ASSIGNED}(?!//)([^\s\"'`<>,;(){{}}\[\]&{_USER}]{{8,}})"
 )
 FEATURES = (
     "length", "class_changes", "digit_share", "upper_share", "lower_share", "vowel_share", "other_share", "distinct", "hex", "dictionary", "placeholder",
@@ -40,6 +44,9 @@ TEMPLATES = (
     (1, None, "DB_PASSWORD=", "mixed12", ""), (1, None, 'password = "', "mixed20", '"'), (1, None, "Authorization: Bearer ", "jwt", ""),
     (1, None, "aws_secret_access_key = ", "base40", ""), (1, None, "AWS_ACCESS_KEY_ID=", "aws", ""), (1, None, "see ", "aws", " there"), (1, None, "", "ghp", ""),
     (1, None, "GITHUB_TOKEN=", "ghp", ""), (1, None, "https://api.host.net/v1/items?access_token=", "jwt", "&page=2"), (1, None, "https://files.host.net/get/", "aws", "/data"),
+    (1, None, "bot ", "slack", " here"), (1, None, "SLACK_TOKEN=", "slack", ""), (1, None, "registry ", "npm", ""), (1, None, "//registry.host.net/:_authToken=", "npm", ""),
+    (1, None, "clone with ", "glpat", ""), (1, None, "pay ", "stripe", ""), (1, None, "maps key ", "google", ""), (1, None, "https://admin:", "mixed12", "@db.host.net/main"),
+    (0, None, "https://user:", "placeholder", "@host.net/"), (0, None, "proxy http://guest:", "prose", "@10.0.0.1:80"),
     (1, "deploy/prod.env", "CLIENT_SECRET=", "mixed32", ""), (1, "config/settings.py", "AUTH_TOKEN = '", "hex40", "'"), (1, None, "pwd: ", "mixed12", ""),
     (1, None, "export SERVICE_2_SECRET=", "base64", ""), (1, None, '"private_key": "', "base64", '"'), (1, None, "passwd=", "phrase_secret", ""),
     (0, None, "commit ", "hex40", ""), (0, None, "sha256:", "hex64", ""), (0, None, "md5 ", "hex32", " ok"), (0, None, "checksum = ", "hex32", ""), (0, None, "id ", "uuid", ""),
@@ -51,7 +58,6 @@ TEMPLATES = (
 )
 #: Characters of context on either side of a candidate.
 AROUND = 48
-_MARK, _SAFE = "\ue000", "\ue001"
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
@@ -60,9 +66,12 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The text is cut at marks set around the matches, so that pieces alternate and their lengths add up to the places;
     a mark character that stands in the text itself is swapped for another one first, which no candidate holds either.
+    In an address '/' is such a mark for a while, so that it parts runs at any distance from the address's start, and a
+    password before '@' is a candidate. Runs and values are taken to their own end.
     """
-    text = F.translate(F.col(text_col), _MARK, _SAFE)
-    cut = F.regexp_replace(text, _FIND, f"{_MARK}$1$2$3{_MARK}")
+    text = F.translate(F.col(text_col), _MARK + _SLASH + _USER, _SAFE * 3)
+    text = F.when(F.contains(text, F.lit("://")), F.regexp_replace(F.regexp_replace(text, _USERINFO, f"$1{_USER}$2{_USER}"), _ADDRESS, f"$1{_SLASH}")).otherwise(text)
+    cut = F.translate(F.regexp_replace(text, _FIND, f"{_MARK}$1$2$3{_MARK}"), _SLASH, "/")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_keys(text_col, path_col)["k1"].alias("k1"), F.col(path_col).cast("string").alias("path"), cut.alias("marked"))
     rows = rows.where(F.contains("marked", F.lit(_MARK))).select("doc_id", "k1", "path", F.split("marked", _MARK).alias("pieces"))
     # pieces 0, 2, 4, ... lie between candidates 1, 3, 5, ...; one running sum gives every place
@@ -82,7 +91,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.where(F.size("pieces") > 1).withColumn("sums", sums)
     out = rows.select("doc_id", "k1", "path", F.explode(found).alias("c")).select("doc_id", "k1", "path", "c.*")
     named = F.lower("before").rlike(rf"({KEY_WORDS})[a-z0-9_]{{0,12}}[\"'`]?\s*[:=]>?\s*[\"'`]?$")
-    return out.where(F.col("value").rlike("[0-9]") | F.col("value").rlike(PREFIXES) | named)
+    in_address = F.col("before").endswith(":") & F.col("after").startswith("@")
+    return out.where(F.col("value").rlike("[0-9]") | F.col("value").rlike(PREFIXES) | named | in_address)
 
 
 def _share(value: Column, drop: str) -> Column:
@@ -90,11 +100,11 @@ def _share(value: Column, drop: str) -> Column:
 
 
 def dictionary(docs: DataFrame, text_col: str = "text", size: int = 500) -> list[str]:
-    """The `size` most frequent words of four and more letters in all texts: a sketch of bounded memory counts them where
-    they are read, and only sketches are merged. Sorted; ties may fall either way."""
+    """The `size` most frequent words of four and more letters in all texts, sorted; of equally frequent ones the first by
+    code point. Counts are exact and combined before their shuffle; each task keeps its own `size` best of them."""
     words = docs.select(F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(r"(?<!\p{L})\p{L}{4,20}(?!\p{L})"), F.lit(0))).alias("word"))
-    row = words.agg(F.expr(f"approx_top_k(word, {size}, {size * 20})").alias("top")).first()
-    return sorted(r["item"] for r in row["top"] or [])
+    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return sorted(r["word"] for r in counts.orderBy(F.col("n").desc(), "word").limit(size).collect())
 
 
 def with_features(found: DataFrame, words: list[str]) -> DataFrame:
@@ -138,6 +148,8 @@ def _made(kind: Column, h: Column, words: Column) -> Column:
         "hex32": F.left(h, F.lit(32)), "hex40": F.left(h, F.lit(40)), "hex64": F.left(h, F.lit(64)), "base64": F.concat(F.left(base, F.lit(43)), F.lit("=")), "base40": F.left(base, F.lit(40)),
         "mixed12": F.concat(F.left(mixed, F.lit(10)), F.left(digits, F.lit(2))), "mixed20": F.concat(F.left(mixed, F.lit(19)), F.left(digits, F.lit(1))), "mixed32": F.left(mixed, F.lit(32)),
         "jwt": F.concat(F.lit("eyJ"), F.left(mixed, F.lit(24)), F.lit("."), F.substring(mixed, 25, 50)), "aws": F.concat(F.lit("AKIA"), F.upper(F.left(mixed, F.lit(16)))),
+        "slack": F.concat(F.lit("xoxb-"), F.left(digits, F.lit(12)), F.lit("-"), F.left(mixed, F.lit(24))), "npm": F.concat(F.lit("npm_"), F.left(mixed, F.lit(36))),
+        "glpat": F.concat(F.lit("glpat-"), F.left(mixed, F.lit(20))), "stripe": F.concat(F.lit("sk_live_"), F.left(mixed, F.lit(24))), "google": F.concat(F.lit("AIza"), F.left(mixed, F.lit(35))),
         "ghp": F.concat(F.lit("ghp_"), F.left(mixed, F.lit(36))), "phrase_secret": F.concat(F.left(letters, F.lit(5)), F.lit("-"), F.substring(letters, 7, 6)),
         "uuid": uuid, "digits18": F.left(digits, F.lit(18)), "digits16": F.left(digits, F.lit(16)), "slug": slug("-"), "snake": slug("_"),
         "version": F.concat_ws(".", F.left(digits, F.lit(1)), F.substring(digits, 3, 2), F.lit("0-beta"), F.substring(digits, 9, 8)),
@@ -155,14 +167,18 @@ def labelled_findings(docs: DataFrame, hosts: int = 150, version: str = "v1", te
     """doc_id, path, text, secret, from, to: findings whose label is known because they were planted, one for each of
     TEMPLATES in each of `hosts` texts (the documented bound), between words of that text.
 
-    Hosts are the texts first in the order of a hash, and every value follows from it and `version`, so reruns agree.
+    Hosts are the distinct texts first in the order of a hash, and every value follows from it and `version`, so reruns agree.
     Labels come from the template alone, not from any feature.
     """
     text = F.regexp_replace(F.col(text_col), r"[^\p{L}\s.,;:!?]+", " ")  # a host's own identifiers are not labelled, so they go
     own = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(F.lit(version), F.col(text_col)).alias("h"), F.col(path_col).cast("string").alias("source"), F.split(text, r"\s+").alias("w"))
-    own = own.where(F.size("w") >= 8).orderBy("h").limit(hosts)
+    own = own.where(F.size("w") >= 8)
+    # distinct texts first, then the bound: one row a host is broadcast
+    chosen = materialize(own.select("h").distinct().orderBy("h").limit(hosts).withColumnRenamed("h", "c"), "hosts")
+    own = own.join(F.broadcast(chosen), F.col("h") == F.col("c")).drop("c")
+    own = own.groupBy("h").agg(F.min_by(F.struct("source", "w"), F.struct(F.coalesce("source", F.lit("")))).alias("o")).select("h", "o.*")
     kinds = F.array(*[F.struct(F.lit(k).alias("no"), F.lit(label).alias("secret"), F.lit(path).cast("string").alias("path"), F.lit(x).alias("x"), F.lit(kind).alias("kind"), F.lit(y).alias("y")) for k, (label, path, x, kind, y) in enumerate(TEMPLATES)])
-    rows = own.dropDuplicates(["h"]).select("h", "source", "w", F.explode(kinds).alias("t")).select("h", "source", "w", "t.*")
+    rows = own.select("h", "source", "w", F.explode(kinds).alias("t")).select("h", "source", "w", "t.*")
     seed = F.concat_ws(":", F.lit(version), F.col("h").cast("string"), F.col("no").cast("string"))
     rows = rows.withColumn("at", F.pmod(F.xxhash64("h", "no"), F.size("w").cast("long")).cast("int"))
     plain = F.filter(F.transform(F.slice("w", F.pmod(F.col("at") * 7, F.size("w")) + 1, 40), lambda x: F.regexp_replace(F.lower(x), r"[^\p{L}]", "")), lambda x: F.char_length(x) >= 4)
