@@ -46,14 +46,25 @@ def _expected(appeal: Column, level: Column, full: Column, most: int) -> Column:
     return F.when(full, F.lit(float(most))).otherwise(F.least(F.coalesce(appeal * level, F.lit(0.0)), F.lit(float(most))))
 
 
-def _rank_key(doc_id: Column, p: Column, seed: str) -> Column:
-    """Odds of the document's fixed random number over its inclusion odds, folded into 0..1; 1 where nothing is drawn."""
-    bits = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double")
-    u = (bits + 0.5) / float(1 << 52)
+def _draw(doc_id: Column, text_col: str, seed: str) -> Column:
+    """The document's fixed random number in 0..1, from its doc_id and text."""
+    name = F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.md5(text_or_empty(text_col)))
+    return (F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
+def _rank_key(u: Column, p: Column) -> Column:
+    """Odds of the document's random number over its inclusion odds, folded into 0..1; 1 where nothing is drawn."""
     odds = F.when(p > 0, (u / (1 - u)) / (p / (1 - p)))
     return F.coalesce(odds / (1 + odds), F.lit(1.0))
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs, written first where rows could come in another order when they are read again: a row is told from its equals by
+    its place in the input."""
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    return materialize(docs, "docs") if any(n in plan for n in ("Exchange", "Python", "Arrow", "Pandas", "Join")) else docs
+
+
 def _cell(r: Column, fan: int, level: int) -> Column:
     return F.least(F.floor(r * float(fan**level)), F.lit(fan**level - 1))
 
@@ -87,13 +98,14 @@ def source_cuts(
     """
     sized = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), _size(text_col).alias("size"), F.monotonically_increasing_id().alias("row"),
+        _draw(F.col(id_col).cast("long"), text_col, seed).alias("u"),
     ).withColumn("appeal", _appeal(F.col("size")))
     sized = materialize(sized, "sized")
     sources = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     sources = materialize(source_levels(sized, sources.withColumnRenamed("source", "s"), most), "levels")
     rows = sized.join(sources, F.col("source").eqNullSafe(F.col("s"))).withColumn("c", _expected(F.col("appeal"), F.col("level"), F.col("full"), most))
-    rows = rows.select("doc_id", "row", "sno", "size", F.floor("c").cast("long").alias("whole"), (F.col("c") - F.floor("c")).alias("p"))
-    rows = materialize(rows.withColumn("r", _rank_key(F.col("doc_id"), F.col("p"), seed)), "keyed")
+    rows = rows.select("doc_id", "row", "sno", "size", "u", F.floor("c").cast("long").alias("whole"), (F.col("c") - F.floor("c")).alias("p"))
+    rows = materialize(rows.withColumn("r", _rank_key(F.col("u"), F.col("p"))).drop("u"), "keyed")
     whole = rows.groupBy("sno").agg(F.sum(F.col("size") * F.col("whole")).alias("certain"))
     sources = materialize(sources.join(whole, "sno").withColumn("rest", F.col("target") - F.col("certain")).drop("certain"), "targets")
     drawn = rows.where("p > 0")
@@ -135,7 +147,7 @@ def mix(docs: DataFrame, fan: int = 256, levels: int = 2, **options) -> DataFram
     is expected in the mix as often as the square root of its size says, times a level that makes the words of its
     source come to the target, and twice at most. The whole copies in that number are certain; the part that is left
     is its inclusion probability p in a Pareto order sample: documents rank by u/(1-u) over p/(1-p), u a fixed hash of
-    seed and doc_id, and the leading ones are taken whose words fit what the certain copies leave of the target; then
+    seed, doc_id and text, and the leading ones are taken whose words fit what the certain copies leave of the target; then
     the one further document that closes the gap best, if it helps. Where the target is twice the source, every
     document is taken twice and nothing is drawn. A null doc_id hashes as 'null'; repeated rows are separate rows;
     documents without words are taken no times; reruns agree.
@@ -153,22 +165,23 @@ def mixed(
 ) -> DataFrame:
     """docs that the mix takes, with `copies`, the number of times (in place of any such column).
 
-    Each row is decided as it is read, from its own rank key and its source's cut, so no text is shuffled while the
-    sources are few; rows with one doc_id and size in a source are taken alike.
+    Each row is decided as it is read, from its own rank key and place and its source's cut, so no text is shuffled while the
+    sources are few. Rows equal in doc_id and text are told apart by their places, so that the mix takes as many of them
+    as mix() does.
     """
+    docs = _numbered(docs)
     _, cuts = source_cuts(docs, fan=fan, levels=levels, most=most, seed=seed, id_col=id_col, source_col=source_col, text_col=text_col, **options)
-    id_, size, times, rank, cut = (fresh(docs, n) for n in ("_mix_id", "_mix_size", "_mix_times", "_mix_rank", "_mix_cut"))
-    own = docs.withColumns({id_: F.col(id_col).cast("long"), size: _size(text_col)})
+    id_, size, times, rank, cut, row = (fresh(docs, n) for n in ("_mix_id", "_mix_size", "_mix_times", "_mix_rank", "_mix_cut", "_mix_row"))
+    own = docs.withColumns({id_: F.col(id_col).cast("long"), size: _size(text_col), row: F.monotonically_increasing_id(), rank: _draw(F.col(id_col).cast("long"), text_col, seed)})
     packed = cuts.select(F.struct(*cuts.columns).alias(cut))
     rows = own.join(packed, F.col(source_col).eqNullSafe(F.col(f"{cut}.s")))
     c = lambda n: F.col(f"{cut}.{n}")
     # columns of their own, since each is used several times below
     rows = rows.withColumn(times, _expected(_appeal(F.col(size)), c("level"), c("full"), most))
     p = F.col(times) - F.floor(times)
-    rows = rows.withColumn(rank, _rank_key(F.col(id_), p, seed))
-    key = F.struct(F.col(rank).alias("r"), F.col(id_).alias("doc_id"), F.col(size).alias("size"))
-    part = lambda of: F.when(c(of).isNotNull(), F.struct(c(f"{of}.r").alias("r"), c(f"{of}.doc_id").alias("doc_id"), c(f"{of}.size").alias("size")))
-    lead = _leading(F.col(rank), key, c("cell"), part("end"), fan, levels)
-    closing = F.coalesce(c("close").isNotNull() & key.eqNullSafe(part("close")), F.lit(False))
+    rows = rows.withColumn(rank, _rank_key(F.col(rank), p))
+    key = F.struct(F.col(rank).alias("r"), F.col(id_).alias("doc_id"), F.col(size).alias("size"), F.col(row).alias("row"))
+    lead = _leading(F.col(rank), key, c("cell"), c("end"), fan, levels)
+    closing = F.coalesce(F.col(row) == c("close.row"), F.lit(False))
     n = F.when(F.col(size) > 0, F.floor(times).cast("long") + ((lead | closing) & (p > 0)).cast("long")).otherwise(0)
-    return rows.withColumn("copies", n).where("copies > 0").drop(id_, size, times, rank, cut)
+    return rows.withColumn("copies", n).where("copies > 0").drop(id_, size, times, rank, cut, row)
