@@ -24,6 +24,11 @@ def sign_codes(vectors: np.ndarray, tables: int, bits: int) -> np.ndarray:
     return (signs @ (1 << np.arange(bits))).astype(np.int32)
 
 
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that takes their largest component to 0.5 or more, so that no square overflows or vanishes."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1])
+
+
 def plan(largest: int, threshold: float, bucket: int = 512, miss: float = 1e-3) -> tuple[int, int]:
     """(bits, tables): so many bits that a bucket of the largest label holds about `bucket` vectors, and so many tables
     that a pair right at the threshold shares none with a probability below `miss`."""
@@ -68,7 +73,7 @@ def cosine_links(vectors: DataFrame, threshold: float, tables: int, bits: int, t
             for dim in np.unique(sizes).tolist():
                 at = np.flatnonzero(sizes == dim)
                 v = np.stack([np.asarray(lists[k].values) for k in at.tolist()]).astype(np.float64)
-                codes = sign_codes(v, tables, bits)
+                codes = sign_codes(_scaled(v), tables, bits)
                 for k, code in zip(at.tolist(), codes, strict=True):
                     out[k] = code
             codes = pa.array(list(out), pa.list_(pa.int32()))
@@ -103,6 +108,7 @@ def cosine_links(vectors: DataFrame, threshold: float, tables: int, bits: int, t
                 if e - s < 2 or not cut or (not same and cut == e - s):
                     continue
                 v = flat[at[s] : at[e]].reshape(e - s, -1).astype(np.float64)
+                v = _scaled(v)
                 norm = np.sqrt(np.einsum("ij,ij->i", v, v))
                 label, linked, own = np.arange(e - s), np.zeros(e - s, np.int64), codes[s:e]
                 for i, j in _near_rows(v, norm, cut, same, threshold):
