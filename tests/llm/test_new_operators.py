@@ -298,3 +298,91 @@ def test_products_are_those_of_dense_matrices():
             for k in range(len(ptr) - 1):
                 out[row + k, cols[ptr[k] : ptr[k + 1]]] = values[ptr[k] : ptr[k + 1]]
         assert np.array_equal(out, a.astype(int) @ b.astype(int))
+
+
+# mended operators
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def _docs(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], DOCS)
+
+
+def test_secrets_are_taken_to_their_end(spark, texts_of):
+    """Values and addresses of any length, passwords in addresses, issuers' prefixes, and forms that no template has."""
+    from arborlens.llm import secrets
+
+    rng = random.Random(8)
+    letters = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+    value = lambda n: "".join(rng.choice(letters) for _ in range(n - 1)) + "7"
+    long_, far, user = value(240), value(40), value(14)
+    slack, npm = f"xoxb-{rng.randrange(10**11, 10**12)}-{value(24)}", "npm_" + value(36)
+    new = {
+        1: (f'password = "{long_}" and more', long_), 2: (f"see https://files.host.net/{'d/' * 400}get?access_token={far}&x=1", far), 3: (f"use postgres://admin:{user}@db.host.net/main now", user),
+        4: (f"the bot {slack} answers", slack), 5: (f"registry {npm} here", npm), 6: (f"secretKey: '{(own := value(33))}'", own), 7: (f"curl -H 'X-Auth-Token: {(two := value(36))}'", two),
+    }
+    rows = [(i, t, "src") for i, t in enumerate(texts_of)] + [(10**6 + k, f"notes before {t} and after", "src") for k, (t, _) in new.items()]
+    out = {r.doc_id: r.text for r in secrets.redact(_docs(spark, rows)).where("doc_id > 1000000").collect()}
+    for k, (t, v) in new.items():
+        assert not any(v[i : i + 12] in out[10**6 + k] for i in range(len(v) - 11)), (k, out[10**6 + k])
+        assert out[10**6 + k].startswith("notes before ") and out[10**6 + k].endswith(" and after")
+    found = secrets.candidates(_docs(spark, rows)).where("doc_id > 1000000").collect()
+    whole = {r[0]: r[1] for r in rows}
+    assert all(whole[r.doc_id][r.start : r.end] == r.value for r in found)
+
+
+def test_hosts_of_labels_are_distinct_texts(spark, texts_of):
+    from arborlens.llm import secrets
+
+    docs = _docs(spark, [(i, t, "s") for i, t in enumerate(texts_of)] + [(5000 + i, texts_of[0], "s") for i in range(400)])
+    n = len({t for t in texts_of if len(re.split(r"\s+", re.sub(r"[^\w\s.,;:!?]+", " ", t))) >= 8})
+    assert secrets.labelled_findings(docs, hosts=150).select("doc_id").distinct().count() >= 0.95 * min(150, n) * len(secrets.TEMPLATES)
+
+
+def test_dictionary_is_exact(spark):
+    from arborlens.llm import secrets
+
+    docs = _docs(spark, [(1, "delta alpha alpha beta beta gamma", "s"), (2, "Gamma delta zeta", "s"), (3, None, "s")])
+    assert secrets.dictionary(docs, size=3) == ["alpha", "beta", "delta"]
+
+
+def test_mixed_takes_what_mix_takes(spark):
+    """Rows without id, equal rows, and rows with one id."""
+    from arborlens.llm import mixing
+
+    rows = [(None, "four words are here", "s")] * 1000 + [(7, f"text {i % 3} of one id", "t") for i in range(60)] + [(None, f"own text {i} " + "w " * (i % 9), "u") for i in range(400)]
+    docs = _docs(spark, rows).repartition(5)
+    options = {"weights": (1,), "share": 0.4}
+    chosen = mixing.mix(docs, **options).collect()
+    total = collections.Counter()
+    for r in mixing.mixed(docs, **options).collect():
+        total[r.source] += r.copies * len(r.text.split())
+    sizes = collections.Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    target = {r.source_size: r.target for r in chosen}
+    taken = collections.Counter()
+    for r in chosen:
+        taken[r.source_size] += r.taken
+    assert len(target) == 3
+    for s, size in sizes.items():
+        assert total[s] == taken[size] and abs(total[s] - target[size]) <= 12
+
+
+def test_vectors_of_any_magnitude_link(spark):
+    from arborlens.llm import embed_dedup
+
+    rows = [(1, [1e200, 2e200], 0), (2, [1e-200, 2e-200], 0), (3, [1.0, 2.0], 0), (4, [5e-324, 1e-323], 0), (5, [2.0, -1.0], 0), (6, [1e308, -5e307], 0)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (1, 5), 6: (1, 5)}
+
+
+def test_substring_dedup_of_rows_without_id(spark):
+    from arborlens.llm import substring
+
+    text = "First sentence is here. Second one follows it now. Third one ends the run. "
+    rows = [(None, text + "Own words stay alone.", "s"), (None, "Other beginning here. " + text, "s"), (9, text, "s")]
+    got = {(r.doc_id, r.text.strip()) for r in substring.substring_dedup(_docs(spark, rows)).collect()}
+    assert (9, "") in got and len(got) == 2 and any(i is None for i, _ in got)
