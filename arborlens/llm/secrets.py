@@ -46,7 +46,7 @@ TEMPLATES = (
     (1, None, "GITHUB_TOKEN=", "ghp", ""), (1, None, "https://api.host.net/v1/items?access_token=", "jwt", "&page=2"), (1, None, "https://files.host.net/get/", "aws", "/data"),
     (1, None, "bot ", "slack", " here"), (1, None, "SLACK_TOKEN=", "slack", ""), (1, None, "registry ", "npm", ""), (1, None, "//registry.host.net/:_authToken=", "npm", ""),
     (1, None, "clone with ", "glpat", ""), (1, None, "pay ", "stripe", ""), (1, None, "maps key ", "google", ""), (1, None, "https://admin:", "mixed12", "@db.host.net/main"),
-    (0, None, "https://user:", "placeholder", "@host.net/"), (0, None, "proxy http://guest:", "prose", "@10.0.0.1:80"),
+    (0, None, "export ", "env_name", "=on"), (0, None, "", "env_name", "= "), (0, None, "set ", "env_name", " first"), (0, None, "https://user:", "placeholder", "@host.net/"), (0, None, "proxy http://guest:", "prose", "@10.0.0.1:80"),
     (1, "deploy/prod.env", "CLIENT_SECRET=", "mixed32", ""), (1, "config/settings.py", "AUTH_TOKEN = '", "hex40", "'"), (1, None, "pwd: ", "mixed12", ""),
     (1, None, "export SERVICE_2_SECRET=", "base64", ""), (1, None, '"private_key": "', "base64", '"'), (1, None, "passwd=", "phrase_secret", ""),
     (0, None, "commit ", "hex40", ""), (0, None, "sha256:", "hex64", ""), (0, None, "md5 ", "hex32", " ok"), (0, None, "checksum = ", "hex32", ""), (0, None, "id ", "uuid", ""),
@@ -152,6 +152,7 @@ def _made(kind: Column, h: Column, words: Column) -> Column:
         "glpat": F.concat(F.lit("glpat-"), F.left(mixed, F.lit(20))), "stripe": F.concat(F.lit("sk_live_"), F.left(mixed, F.lit(24))), "google": F.concat(F.lit("AIza"), F.left(mixed, F.lit(35))),
         "ghp": F.concat(F.lit("ghp_"), F.left(mixed, F.lit(36))), "phrase_secret": F.concat(F.left(letters, F.lit(5)), F.lit("-"), F.substring(letters, 7, 6)),
         "uuid": uuid, "digits18": F.left(digits, F.lit(18)), "digits16": F.left(digits, F.lit(16)), "slug": slug("-"), "snake": slug("_"),
+        "env_name": F.upper(F.concat_ws("_", word(0), F.left(digits, F.lit(1)), word(1), F.when(F.left(h, F.lit(1)) < "8", "secret").otherwise("token"))),
         "version": F.concat_ws(".", F.left(digits, F.lit(1)), F.substring(digits, 3, 2), F.lit("0-beta"), F.substring(digits, 9, 8)),
         "placeholder": F.concat_ws("_", F.lit("your"), word(0), F.lit("example_here"), F.left(digits, F.lit(1))), "prose": F.concat(word(0), word(1), word(2)),
         "time": F.concat(F.lit("2024-0"), F.left(F.translate(digits, "0", "3"), F.lit(1)), F.lit("-11T0"), F.substring(digits, 3, 1), F.lit(":15:00.000Z")),
