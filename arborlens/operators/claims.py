@@ -27,16 +27,73 @@ def top_claim(claims: DataFrame, keys: Sequence[str], *columns: str) -> DataFram
     return claims.groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.*")
 
 
-def sync_to_species(claims: DataFrame, texts: Sequence[str], numbers: Sequence[str]) -> DataFrame:
-    """One row a taxon: distinct texts of each text type joined by confidence, and the top claim of each number type.
-    A single aggregate over all taxa with a column for each type."""
-    out = []
-    for t in texts:
-        items = F.array_sort(F.collect_list(F.when(F.col("claim_type") == t, F.struct((-F.col("confidence")).alias("c"), "id", "claim_value"))))
-        out.append(F.array_join(F.array_distinct(F.transform(items, lambda x: x["claim_value"])), "; ").alias(t))
-    for t in numbers:
-        out.append(F.min_by(F.when(F.col("claim_type") == t, F.col("claim_value")), F.when(F.col("claim_type") == t, F.struct(-F.col("confidence"), F.col("id")))).alias(t))
-    return claims.groupBy("taxon").agg(*out)
+#: How the claims of each type become a field. text: all, as a list with bullets, the most confident first;
+#: ranked: names by rank; top: of the most confident claim the first key that it has, with its unit.
+SYNC_RULES = (
+    ("popular_common_name", "ranked", ("name",), ""),
+    ("etymology", "top", ("text",), ""),
+    ("synonyms", "ranked", ("name",), ""),
+    ("identification_features", "text", (), ""),
+    ("general_description", "text", (), ""),
+    ("habitat", "text", (), ""),
+    ("elevation_ranges", "top", ("text",), ""),
+    ("ecological_function", "text", (), ""),
+    ("native_adapted_habitats", "text", (), ""),
+    ("conservation_status", "top", ("iucn_status", "text"), ""),
+    ("compatible_soil_types", "text", (), ""),
+    ("climate_tolerance", "text", (), ""),
+    ("tolerances", "text", (), ""),
+    ("associated_species", "text", (), ""),
+    ("growth_form", "top", ("primary", "text"), ""),
+    ("leaf_type", "top", ("type", "text"), ""),
+    ("deciduous_evergreen", "top", ("type", "text"), ""),
+    ("flower_color", "top", ("primary", "text"), ""),
+    ("fruit_type", "top", ("type", "text"), ""),
+    ("bark_characteristics", "text", (), ""),
+    ("maximum_height", "top", ("value", "text"), "m"),
+    ("maximum_diameter", "top", ("value", "text"), "m"),
+    ("lifespan", "top", ("category", "text"), ""),
+    ("maximum_tree_age", "top", ("value", "text"), " years"),
+    ("stewardship_best_practices", "text", (), ""),
+    ("planting_recipes", "text", (), ""),
+    ("pruning_maintenance", "text", (), ""),
+    ("disease_pest_management", "text", (), ""),
+    ("fire_management", "text", (), ""),
+    ("propagation_methods", "text", (), ""),
+    ("cultural_significance", "text", (), ""),
+    ("agroforestry_use_cases", "text", (), ""),
+    ("timber_value", "text", (), ""),
+    ("non_timber_products", "text", (), ""),
+    ("nutritional_caloric_value", "text", (), ""),
+)
+
+
+def sync_to_species(claims: DataFrame, rules: Sequence[tuple] = SYNC_RULES) -> DataFrame:
+    """taxon, synced (its claims), and a column <type>_ai for each rule, from current claims (taxon, claim_type, claim_value as
+    JSON, confidence, id). Unknown confidences and ranks come last, ties follow id; claims of other types count only.
+
+    One aggregate over taxon and type, in which a type's own rule decides what is kept, and one over taxa.
+    """
+    v = F.col("claim_value")
+    key = lambda k: F.get_json_object(v, f"$.{k}")
+    kind, value = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for name, how, keys, unit in rules:
+        own = F.col("claim_type") == name
+        kind = F.when(own, how).otherwise(kind)
+        # a unit belongs to the first key only: the text has its own
+        parts = [F.concat(key(k), F.lit(unit)) if n == 0 and unit else key(k) for n, k in enumerate(keys)]
+        value = F.when(own, F.coalesce(*parts) if parts else F.coalesce(key("text"), v)).otherwise(value)
+    rank = F.when(kind == "ranked", F.coalesce(key("rank").try_cast("int"), F.lit(2147483647))).otherwise(0)
+    order = F.struct(rank.alias("r"), (-F.coalesce("confidence", F.lit(-1.0))).alias("c"), "id")
+    rows = claims.select("taxon", "claim_type", kind.alias("kind"), F.struct(order.alias("o"), value.alias("t")).alias("x"))
+    g = rows.groupBy("taxon", "claim_type", "kind").agg(
+        F.count(F.lit(1)).alias("n"), F.min_by("x.t", "x.o").alias("best"), F.array_sort(F.collect_list(F.when(F.col("kind").isin("text", "ranked") & F.col("x.t").isNotNull(), F.col("x")))).alias("all")
+    )
+    texts = F.transform("all", lambda x: x["t"])
+    listed = F.when(F.size("all") > 0, F.when(F.col("kind") == "text", F.concat(F.lit("• "), F.array_join(texts, "\n\n• "))).otherwise(F.array_join(texts, "; ")))
+    g = g.select("taxon", "claim_type", "n", F.when(F.col("kind") == "top", F.col("best")).otherwise(listed).alias("value"))
+    fields = [F.max(F.when(F.col("claim_type") == name, F.col("value"))).alias(f"{name}_ai") for name, *_ in rules]
+    return g.groupBy("taxon").agg(F.sum("n").alias("synced"), *fields)
 
 
 def versions(claims: DataFrame, keys: Sequence[str]) -> DataFrame:

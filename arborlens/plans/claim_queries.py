@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from arborlens.operators import chains
 from arborlens.operators import claims as C
 from arborlens.operators.relational import page, top
 from arborlens.plans.analogue import claims, species, table
@@ -35,9 +36,36 @@ def udf_primary_name(spark, d):
     return claims(spark, d).where("corroboration is not null").groupBy("taxon").agg(best.alias("name"))
 
 
-@query(", c AS (SELECT taxon, claim_type, claim_value, -confidence AS o, id, row_number() OVER (PARTITION BY taxon, claim_type ORDER BY confidence DESC, id) AS k FROM claims), f AS (SELECT taxon, claim_type, claim_value, min((o, id)) AS m FROM c GROUP BY 1, 2, 3) SELECT t.taxon, coalesce((SELECT string_agg(claim_value, '; ' ORDER BY m) FROM f WHERE f.taxon = t.taxon AND claim_type = 'view'), '') AS view, (SELECT claim_value FROM c WHERE c.taxon = t.taxon AND claim_type = 'purchase' AND k = 1) AS purchase FROM (SELECT DISTINCT taxon FROM claims) t")
+def _typed_sql() -> str:
+    """Claims of all types as JSON, and a column for each rule."""
+    kinds = ", ".join(f"'{r[0]}'" for r in C.SYNC_RULES)
+    cols = []
+    for name, how, keys, unit in C.SYNC_RULES:
+        mine = f"FILTER (WHERE t = '{name}')"
+        if how == "text":
+            e = f"'• ' || string_agg(coalesce(json_extract_string(v, '$.text'), v), chr(10) || chr(10) || '• ' ORDER BY confidence DESC NULLS LAST, id) {mine}"
+        elif how == "ranked":
+            e = f"string_agg(json_extract_string(v, '$.name'), '; ' ORDER BY CAST(json_extract_string(v, '$.rank') AS INTEGER) NULLS LAST, confidence DESC, id) {mine}"
+        else:
+            parts = [f"json_extract_string(b, '$.{k}')" + (f" || '{unit}'" if n == 0 and unit else "") for n, k in enumerate(keys)]
+            e = f"(SELECT coalesce({', '.join(parts)}, NULL) FROM (SELECT arg_min(v, (-confidence, id)) {mine} AS b))"
+        cols.append(f"{e} AS {name}_ai")
+    return f""", k AS (SELECT taxon, id, confidence, [{kinds}][CAST(id % 36 AS INTEGER) + 1] AS t, CASE id % 4
+  WHEN 0 THEN '{{"text":"t' || id || '"}}' WHEN 1 THEN '{{"value":' || id % 90 || ',"type":"k' || id % 7 || '","primary":"p' || id % 3 || '","category":"c' || id % 2 || '"}}'
+  WHEN 2 THEN '{{"name":"n' || id % 11 || '","rank":' || id % 5 || '}}' ELSE '{{"name":"m' || id % 13 || '","iucn_status":"LC","text":"u' || id || '"}}' END AS v FROM claims WHERE current)
+SELECT taxon, count(*) AS synced, {", ".join(cols)} FROM k GROUP BY taxon"""
+
+
+@query(_typed_sql())
 def udf_sync_species(spark, d):
-    return C.sync_to_species(claims(spark, d), ["view"], ["purchase"])
+    """All claim types of each taxon as its fields, and the number of claims; every 36th claim is of no known type."""
+    i = F.col("id")
+    names = F.array(*[F.lit(r[0]) for r in C.SYNC_RULES])
+    c = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    value = F.when(i % 4 == 0, c('{"text":"t', i, '"}')).when(i % 4 == 1, c('{"value":', i % 90, ',"type":"k', i % 7, '","primary":"p', i % 3, '","category":"c', i % 2, '"}'))
+    value = value.when(i % 4 == 2, c('{"name":"n', i % 11, '","rank":', i % 5, "}")).otherwise(c('{"name":"m', i % 13, '","iucn_status":"LC","text":"u', i, '"}'))
+    rows = claims(spark, d).where("current").select("taxon", "id", "confidence", F.get(names, (i % 36).cast("int")).alias("claim_type"), value.alias("claim_value"))
+    return C.sync_to_species(rows)
 
 
 @query("SELECT id, row_number() OVER w AS version, lead(id) OVER w IS NULL AS is_current, lag(id) OVER w AS supersedes FROM claims WINDOW w AS (PARTITION BY taxon, claim_type ORDER BY created, id)")
@@ -161,16 +189,19 @@ def q_flag_repair(spark, d):
     return rows.agg(F.count_if(F.col("was") != F.col("now")).alias("changed"), F.count_if("now").alias("researched"))
 
 
-@query(", a AS (SELECT id, lag(id) OVER w AS supersedes, lag(md5(id || ':' || claim_type)) OVER w AS previous FROM claims WINDOW w AS (PARTITION BY taxon ORDER BY created, id)), b AS (SELECT id AS before, md5(id || ':' || CASE WHEN id % 11 = 0 THEN 'altered' ELSE claim_type END) AS found FROM claims) SELECT id, supersedes, supersedes IS NULL OR coalesce(found = previous, false) AS ok FROM a LEFT JOIN b ON supersedes = before")
+@query("""SELECT id, version, CASE WHEN gone THEN 'missing' WHEN altered THEN 'altered' WHEN max(CAST(altered OR gone AS INTEGER)) OVER (PARTITION BY taxon ORDER BY created, id) = 1 THEN 'broken' ELSE 'ok' END AS state FROM (
+  SELECT id, taxon, created, row_number() OVER (PARTITION BY taxon ORDER BY created, id) AS version, id % 101 = 0 AND id % 103 <> 0 AS altered, id % 103 = 0 AS gone FROM claims)""")
 def q_archive_history(spark, d):
-    """Each version with the one before it, and whether that one still has the digest that the version recorded; every
-    eleventh was altered after it was archived."""
-    digest = lambda text: F.md5(F.concat_ws(":", F.col("id").cast("string"), text).cast("binary"))
-    rows = claims(spark, d).select("id", "taxon", "claim_type", "created")
-    v = C.versions(rows, ["taxon"]).withColumn("previous", F.lag(digest(F.col("claim_type"))).over(Window.partitionBy("taxon").orderBy("created", "id")))
-    found = rows.select(F.col("id").alias("before"), digest(F.when(F.col("id") % 11 == 0, "altered").otherwise(F.col("claim_type"))).alias("found"))
-    ok = F.col("supersedes").isNull() | F.coalesce(F.col("found") == F.col("previous"), F.lit(False))
-    return v.join(found, F.col("supersedes") == F.col("before"), "left").select("id", "supersedes", ok.alias("ok"))
+    """Versions of each taxon's archive, and whether they still hold: every digest covers the one before, so a record that was
+    altered or lost after it was archived shows in all that follow it."""
+    rows = claims(spark, d).select("id", "taxon", "created", "claim_type", "claim_value")
+    digest = chains.content_digest(F.col("id"), F.col("claim_type"), F.col("claim_value"))
+    archived = chains.chained(rows.select("id", "taxon", "created", digest.alias("content")), "taxon", ["created", "id"], "content")
+    value = F.when(F.col("id") % 101 == 0, "altered").otherwise(F.col("claim_value"))
+    found = rows.where("id % 103 <> 0").select("id", "taxon", "created", chains.content_digest(F.col("id"), F.col("claim_type"), value).alias("content"))
+    states = chains.verified(archived, found, "taxon", ["created", "id"], ["id"], "content")
+    version = F.row_number().over(Window.partitionBy("taxon").orderBy("created", "id")).cast("long")
+    return rows.select("id", version.alias("version")).join(states.select("id", "state"), "id")
 
 
 @query("SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS sheet FROM conversations GROUP BY conv_id HAVING md5(string_agg(role, ',' ORDER BY turn)) <> md5('user,assistant')")

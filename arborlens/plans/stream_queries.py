@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from arborlens.plans.analogue import claims, table
 from arborlens.plans.registry import query
-from arborlens.streaming import tables
+from arborlens.plans.scalars import _SRC_SQL, _sources
+from arborlens.streaming import claim_store, tables
 from arborlens.streaming.ledger import settle
 from arborlens.workspace import new_path
 
@@ -44,6 +45,35 @@ def str_highwater_poll(spark, d):
     return out[0].unionByName(out[1])
 
 
+_STORE_SQL = _SRC_SQL + """SELECT c.taxon, c.claim_type, version, c.id, supersedes, is_current, rated,
+round(CASE WHEN rated > 0 THEN CAST(round(CAST(0.5 * CASE WHEN n = 0 THEN 0.30 ELSE least(0.98, cred_db * (1 + least(0.18, (n - 1) * 0.06)) + least(0.10, (kinds - 1) * 0.02)) END + 0.25 * coalesce(agree, 0.70) + 0.2 AS DECIMAL(12, 8)), 2) AS DOUBLE) ELSE c.confidence END, 6) AS confidence
+FROM (
+  SELECT m.*, (SELECT count(*) FROM claims r WHERE r.id % 5 = 4 AND r.taxon = m.taxon AND r.claim_type = m.claim_type AND r.id > m.id AND r.id < coalesce(m.next, r.id + 1)) AS rated FROM (
+    SELECT taxon, claim_type, id, confidence, row_number() OVER w AS version, lag(id) OVER w AS supersedes, lead(id) OVER w AS next, lead(id) OVER w IS NULL AS is_current
+    FROM claims WHERE id % 5 <> 4 WINDOW w AS (PARTITION BY taxon, claim_type ORDER BY id)
+  ) m
+) c JOIN g ON g.id = c.id"""
+
+
+@query(_STORE_SQL.replace("is_current, rated,", "is_current, rated > 0 AS rated,", 1))
+def str_claim_store(spark, d):
+    """Claims created, superseded and rated again by commands that come in three polls, each taken up from the checkpoint of
+    the one before: every version, and which is current."""
+    path, rows = new_path(spark, "store"), claims(spark, d)
+    most = rows.agg(F.max("id")).first()[0] or 0
+    i = F.col("id")
+    commands = rows.select(
+        i.alias("command"), F.when(i % 5 == 4, "recalculate").when(i % 2 == 0, "create").otherwise("supersede").alias("action"), "taxon", "claim_type", "claim_value", "confidence",
+        _sources().alias("sources"), (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=i)).alias("at"),
+    )
+    for poll in range(3):
+        commands.where(F.floor(F.col("command") * 3 / (most + 1)) == poll).write.mode("append").parquet(f"{path}/in")
+        claim_store.run_commands(tables.file_stream(spark, f"{path}/in", commands.schema, 1000), path, f"{path}/checkpoint")
+    state = claim_store.current_state(spark, path)
+    rated = F.col("updated") > F.col("created")
+    return state.select("taxon", "claim_type", "version", "id", "supersedes", "is_current", rated.alias("rated"), F.round("confidence", 6).alias("confidence"))
+
+
 @query("SELECT id, claim_type FROM claims WHERE current")
 def str_full_reload(spark, d):
     path = new_path(spark, "reload")
