@@ -8,7 +8,7 @@ from arborlens.functions import geo
 from arborlens.operators.relational import pick_per_group
 from arborlens.plans.analogue import centroids, claims, occ, species, table, tile_maps, tiles
 from arborlens.plans.registry import query
-from arborlens.sources import readers, writers
+from arborlens.sources import archives, readers, shapes, writers
 from arborlens.workspace import new_path
 
 
@@ -72,14 +72,18 @@ def src_json_tiles(spark, d):
 
 @query("SELECT taxon AS taxon_id, name AS species, lat AS latitude, lon AS longitude, CAST(2017 + tile % 8 AS INTEGER) AS year, tile AS gbif_id FROM tiles JOIN species ON taxon = tile % 500 WHERE tile % 6 <> 0 AND taxon % 2 = 0")
 def src_gbif_zip(spark, d):
-    path = new_path(spark, "occurrences-tsv")
+    """Several archives, each with its occurrences and a member without a line."""
+    path = new_path(spark, "occurrences-zip")
     s = species(spark, d).select("taxon", "name")
     rows = tiles(spark, d).withColumn("taxon", F.col("tile") % 500).join(s, "taxon")
-    rows.select(
-        F.col("tile").alias("gbifID"), F.col("taxon").alias("taxonKey"), F.col("name").alias("scientificName"), F.when(F.col("tile") % 6 != 0, F.col("lat")).alias("decimalLatitude"),
-        F.col("lon").alias("decimalLongitude"), (2017 + F.col("tile") % 8).cast("int").alias("year"),
-    ).write.csv(path, header=True, sep="\t", quote="")
-    return readers.occurrence_tsv(spark, path, s.where("taxon % 2 = 0").select(F.col("taxon").alias("key"), F.col("taxon").alias("taxon_id")))
+    lat = F.when(F.col("tile") % 6 != 0, F.col("lat")).cast("string")
+    line = F.concat_ws("\t", F.col("tile").cast("string"), F.lit("basis"), F.col("taxon").cast("string"), "name", F.coalesce(lat, F.lit("")), F.col("lon").cast("string"), (2017 + F.col("tile") % 8).cast("string"))
+    archive = (F.col("tile") % 7).alias("archive")
+    head = "gbifID\tbasisOfRecord\ttaxonKey\tscientificName\tdecimalLatitude\tdecimalLongitude\tyear"
+    lines = rows.select(archive, F.lit("occurrence.txt").alias("member"), (F.col("tile") + 1).alias("place"), line.alias("line"))
+    heads = rows.select(archive).distinct().select("archive", F.lit("occurrence.txt").alias("member"), F.lit(0).cast("long").alias("place"), F.lit(head).alias("line"))
+    archives.write_zip(lines.unionByName(heads), path, {"rights.txt": ""})
+    return readers.occurrence_zip(spark, path, s.where("taxon % 2 = 0").select(F.col("taxon").alias("key"), F.col("taxon").alias("taxon_id")))
 
 
 @query("SELECT tile FROM tiles WHERE tile % 500 IN (1, 2, 3, 4) AND 2010 + tile % 17 BETWEEN 2017 AND 2024 AND tile % 13 <= 10 AND tile % 11 <> 0")
@@ -91,25 +95,43 @@ def src_gbif_predicate(spark, d):
 
 @query("SELECT CAST(taxon AS VARCHAR) AS id, name, CASE WHEN taxon % 3 = 0 THEN genus END AS country, CASE WHEN taxon % 2 = 0 THEN 'Invasive' END AS invasive FROM species WHERE taxon % 5 <> 0")
 def src_dwca(spark, d):
+    """An archive of a taxon core and two extensions, one with quotes, read by its own description."""
     path = new_path(spark, "dwca")
-    s = species(spark, d)
-    i = F.col("taxon").cast("string").alias("id")
-    write = lambda rows, name: rows.write.csv(f"{path}/{name}", header=True, sep="\t", quote="")
-    write(s.select(i, F.col("name").alias("scientificName"), F.when(F.col("taxon") % 5 == 0, "SYNONYM").otherwise("ACCEPTED").alias("taxonomicStatus")), "taxon")
-    place = s.where("taxon % 3 = 0").withColumn("line", F.explode(F.array(F.lit(1), F.lit(2))))
-    write(place.select(i, "line", F.when(F.col("line") == 2, F.col("genus")).otherwise("old").alias("countryCode")), "distribution")
-    write(s.where("taxon % 2 = 0").select(i, F.lit(1).alias("line"), F.lit("Invasive").alias("isInvasive")), "profile")
-    return readers.darwin_core(spark, f"{path}/taxon", f"{path}/distribution", f"{path}/profile").withColumnRenamed("scientificName", "name")
-
-
-@query("SELECT n_nationkey AS eco, round(-180.0 + n_nationkey, 6) AS x1, 4 AS corners FROM nation")
+    s, t = species(spark, d), F.col("taxon")
+    lines = lambda rows, member, place, *columns, by="\t": rows.select(F.lit("checklist").alias("archive"), F.lit(member).alias("member"), place.cast("long").alias("place"), F.concat_ws(by, *columns).alias("line"))
+    i = t.cast("string")
+    core = lines(s, "taxon.txt", t, i, "name", F.when(t % 5 == 0, "SYNONYM").otherwise("ACCEPTED"))
+    place = s.where("taxon % 3 = 0").withColumn("n", F.explode(F.array(F.lit(1), F.lit(2))))
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    where = lines(place, "distribution.txt", t * 2 + F.col("n"), quoted(i), quoted(F.lit("a, b")), quoted(F.when(F.col("n") == 2, F.col("genus")).otherwise("old")), by=",")
+    traits = lines(s.where("taxon % 2 = 0"), "speciesprofile.txt", t, i, F.lit("Invasive"))
+    archives.write_zip(core.unionByName(where).unionByName(traits), path, {"meta.xml": _META})
+    return readers.darwin_core(spark, path).withColumnRenamed("scientificName", "name")
+
+
+#: The description of the archive that src_dwca writes.
+_META = """<archive xmlns="http://rs.tdwg.org/dwc/text/">
+  <core rowType="http://rs.tdwg.org/dwc/terms/Taxon" fieldsTerminatedBy="\\t" ignoreHeaderLines="0"><files><location>taxon.txt</location></files><id index="0"/>
+    <field index="1" term="http://rs.tdwg.org/dwc/terms/scientificName"/><field index="2" term="http://rs.tdwg.org/dwc/terms/taxonomicStatus"/></core>
+  <extension rowType="http://rs.gbif.org/terms/1.0/Distribution" fieldsTerminatedBy="," fieldsEnclosedBy='"' ignoreHeaderLines="0"><files><location>distribution.txt</location></files><coreid index="0"/>
+    <field index="2" term="http://rs.tdwg.org/dwc/terms/countryCode"/></extension>
+  <extension rowType="http://rs.gbif.org/terms/1.0/SpeciesProfile" fieldsTerminatedBy="\\t" ignoreHeaderLines="0"><files><location>speciesprofile.txt</location></files><coreid index="0"/>
+    <field index="1" term="http://rs.gbif.org/terms/1.0/isInvasive"/></extension>
+</archive>"""
+
+
+@query("SELECT n_nationkey AS eco, n_name AS name, round(-180.0 + n_nationkey, 6) AS x1, CASE WHEN n_nationkey % 3 = 0 THEN 3 ELSE 2 END AS rings, CASE WHEN n_nationkey % 3 = 0 THEN 12 ELSE 8 END AS corners FROM nation")
 def src_shapefile(spark, d):
-    """Shapes as arrays of corners in Parquet, in place of a shapefile."""
+    """Polygons of several rings with their table, out to shapefiles and back by byte ranges."""
     path = new_path(spark, "shapes")
-    x = F.col("n_nationkey") - 180.0
-    table(spark, d, "nation").select(F.col("n_nationkey").alias("eco"), geo_box(x).alias("ring")).write.parquet(path)
-    rows = spark.read.parquet(path)
-    return rows.select("eco", F.round(geo.ring_bounds(F.col("ring"))["x1"], 6).alias("x1"), F.size("ring").alias("corners"))
+    x, k = F.col("n_nationkey") - 180.0, F.col("n_nationkey")
+    hole = F.transform(geo_box(x), lambda p: F.struct((x + (p["x"] - x) / 4 + 0.25).alias("x"), (p["y"] / 4 + 0.25).alias("y")))
+    island = F.transform(geo_box(x + 40), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    rings = F.when(k % 3 == 0, F.array(geo_box(x), hole, island)).otherwise(F.array(geo_box(x), hole))
+    shapes.write_shapefiles(table(spark, d, "nation").select(k.alias("ECO_ID"), F.col("n_name").alias("ECO_NAME"), rings.alias("rings")), path)
+    rows = shapes.read_shapefiles(spark, path, ["ECO_ID", "ECO_NAME"], range_bytes=1000)
+    box = F.round(geo.ring_bounds(F.get("rings", F.lit(0)))["x1"], 6)
+    return rows.select(F.col("ECO_ID").cast("long").alias("eco"), F.col("ECO_NAME").alias("name"), box.alias("x1"), F.size("rings").alias("rings"), F.size(F.flatten("rings")).alias("corners"))
 
 
 def geo_box(x):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arborlens.sources.archives import archive_tables, zip_table
+
 TILE_CSV = "geohash string, species_data string, total_occurrences long, species_count long, _bad string"
 OCCURRENCE_TSV = "gbifID long, taxonKey long, scientificName string, decimalLatitude double, decimalLongitude double, year int"
 
@@ -42,9 +44,9 @@ def tile_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("geohash string, species_data map<string,long>, datetime string").json(path, multiLine=True)
 
 
-def occurrence_tsv(spark: SparkSession, path: str, taxa: DataFrame) -> DataFrame:
-    """Tab-separated occurrences with taxon ids by key; rows without place or year go."""
-    rows = spark.read.schema(OCCURRENCE_TSV).csv(path, header=True, sep="\t", quote="")
+def occurrence_zip(spark: SparkSession, path: str, taxa: DataFrame) -> DataFrame:
+    """Tab-separated occurrences in ZIP archives with taxon ids by key; rows without place or year go."""
+    rows = zip_table(spark, path, OCCURRENCE_TSV, r"(?:.*/)?occurrence\.txt").drop("archive", "member", "place")
     rows = rows.join(taxa.select(F.col("key").alias("taxonKey"), "taxon_id"), "taxonKey")
     rows = rows.select(
         "taxon_id", F.col("scientificName").alias("species"), F.col("decimalLatitude").alias("latitude"), F.col("decimalLongitude").alias("longitude"),
@@ -58,13 +60,12 @@ def occurrence_predicate(rows: DataFrame, keys: list[int], first: int = 2017, la
     return rows.where(F.col("taxonKey").isin(keys) & F.col("decimalLatitude").isNotNull() & F.col("decimalLongitude").isNotNull() & F.col("year").between(first, last) & (F.col("uncertainty") <= uncertainty))
 
 
-def darwin_core(spark: SparkSession, core: str, distribution: str, profile: str) -> DataFrame:
-    """Accepted taxa with the last row of each extension."""
-    read = lambda path, schema: spark.read.schema(schema).csv(path, header=True, sep="\t", quote="")
-    taxa = read(core, "id string, scientificName string, taxonomicStatus string").where("taxonomicStatus <> 'SYNONYM'").drop("taxonomicStatus")
-    place = read(distribution, "id string, line int, countryCode string").groupBy("id").agg(F.max_by("countryCode", "line").alias("country"))
-    traits = read(profile, "id string, line int, isInvasive string").groupBy("id").agg(F.max_by("isInvasive", "line").alias("invasive"))
-    return taxa.join(place, "id", "left").join(traits, "id", "left")
+def darwin_core(spark: SparkSession, path: str) -> DataFrame:
+    """Accepted taxa of a Darwin Core archive with the last row of each extension, in the order of its file."""
+    tables = archive_tables(spark, path)
+    taxa = tables["core"].where("taxonomicStatus <> 'SYNONYM'").select("id", "scientificName")
+    last = lambda name, column, alias: tables[name].groupBy("id").agg(F.max_by(column, "place").alias(alias))
+    return taxa.join(last("Distribution", "countryCode", "country"), "id", "left").join(last("SpeciesProfile", "isInvasive", "invasive"), "id", "left")
 
 
 def kml_polygons(texts: DataFrame, column: str = "value") -> DataFrame:
