@@ -95,6 +95,14 @@ def name_from_url(url: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.url_decode(F.regexp_replace(last, r"%(?![0-9A-Fa-f]{2})", "%25")), r"\.[A-Za-z0-9]+$", ""), "[_+-]+", " "))
 
 
+def uri_quote(column: Column) -> Column:
+    """Percent-encoded UTF-8 but for letters, digits, '_.-~' and '/'."""
+    out = F.url_encode(column)
+    for a, b in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
 def list_items(column: Column, separator: str = ";") -> Column:
     """Trimmed items of a delimited list, without empty ones and NA."""
     return F.filter(F.transform(F.split(column, separator), lambda x: F.trim(x)), lambda x: ~x.isin("", "NA"))

@@ -50,6 +50,27 @@ def fn_name_from_url(spark, d):
     return table(spark, d, "pages").select("page_id", T.name_from_url(F.col("url")).alias("name"))
 
 
+@query("SELECT taxon, CASE WHEN taxon % 3 = 0 THEN habit_ai WHEN taxon % 5 = 0 THEN 'дуб ' || size WHEN taxon % 2 = 0 THEN name ELSE genus END AS display FROM species")
+def fn_display_name(spark, d):
+    """The name that research gave, else the first in Latin script, else the first."""
+    t = F.col("taxon")
+    other = F.concat(F.lit("дуб "), F.col("size").cast("string"))
+    names = F.when(t % 5 == 0, F.array(other, F.lit("樫"))).when(t % 2 == 0, F.array(other, "name", "genus")).otherwise(F.array("genus", other))
+    return species(spark, d).select("taxon", T.display_name(F.when(t % 3 == 0, F.col("habit_ai")), names).alias("display"))
+
+
+@query("SELECT page_id, replace(url_encode(url || '?q=a b+c*d~é'), '%2F', '/') AS quoted FROM pages")
+def fn_uri_quote(spark, d):
+    return table(spark, d, "pages").select("page_id", T.uri_quote(F.concat("url", F.lit("?q=a b+c*d~é"))).alias("quoted"))
+
+
+@query("SELECT id, date_diff('second', created, TIMESTAMP '2025-06-01 00:00:00') // 86400 AS days, date_diff('second', created, TIMESTAMP '2025-06-01 00:00:00') > 86400 * 365 AS stale FROM claims")
+def fn_as_of(spark, d):
+    """Ages at a stated time in place of the clock's, so that a rerun agrees."""
+    age = F.timestamp_diff("second", F.col("created"), F.lit("2025-06-01 00:00:00").cast("timestamp_ntz"))
+    return claims(spark, d).select("id", F.floor(age / 86400).cast("long").alias("days"), (age > 86400 * 365).alias("stale"))
+
+
 @query("SELECT taxon, nullif(regexp_extract(genus || ' - ' || name, '^([A-Z][A-Za-z]+)\\s*-\\s*(.+)$', 1), '') AS code, nullif(regexp_extract(genus || ' - ' || name, '^([A-Z][A-Za-z]+)\\s*-\\s*(.+)$', 2), '') AS label FROM species")
 def fn_koeppen(spark, d):
     k = T.koeppen(F.concat_ws(" - ", "genus", "name"))
