@@ -64,10 +64,9 @@ def src_json_tiles(spark, d):
     rows = _totals(tile_maps(spark, d)).select(F.to_json(F.struct("geohash", "species_data")).alias("value"))
     tiles_a_file = 1000
     groups = max(1, -(-table(spark, d, "orders").count() // tiles_a_file))
-    rows.groupBy(F.pmod(F.xxhash64("value"), F.lit(groups))).agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value")).select("value").repartition(16).write.option("lineSep", " ").text(path)
-    # each part may hold several arrays, so read them as lines of objects
-    lines = spark.read.option("lineSep", "] ").text(path).select(F.from_json(F.concat("value", F.lit("]")), "array<struct<geohash:string,species_data:map<string,long>>>").alias("a"))
-    return lines.select(F.explode("a").alias("t")).select("t.geohash", F.size("t.species_data").cast("long").alias("taxa"))
+    rows = rows.groupBy(F.pmod(F.xxhash64("value"), F.lit(groups)).alias("file")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value"))
+    rows.write.partitionBy("file").text(path)  # one array a file
+    return readers.tile_json(spark, path).select("geohash", F.size("species_data").cast("long").alias("taxa"))
 
 
 @query("SELECT taxon AS taxon_id, name AS species, lat AS latitude, lon AS longitude, CAST(2017 + tile % 8 AS INTEGER) AS year, tile AS gbif_id FROM tiles JOIN species ON taxon = tile % 500 WHERE tile % 6 <> 0 AND taxon % 2 = 0")

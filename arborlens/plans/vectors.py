@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from arborlens.functions import geo, vector
-from arborlens.operators import ann
+from arborlens.operators import ann, lines
 from arborlens.operators.clustering import kmeans_per_group
 from arborlens.operators.relational import best_per_group, top
 from arborlens.plans.analogue import centroids, species, table, tiles
@@ -120,12 +120,33 @@ def geo_intersection(spark, d):
     return rows.select("tile", F.round(F.when(F.size("r") >= 3, geo.planar_area(F.col("r"))).otherwise(0.0), 6).alias("shared"))
 
 
+def _tracks(spark, d):
+    """Each region's track of tiles, numbered by time and tile."""
+    rows = tiles(spark, d).select("eco", "seen", "tile", F.col("lon").alias("x"), F.col("lat").alias("y"))
+    return lines.numbered(rows, "eco", F.to_date("seen"), ["seen", "tile"])
+
+
+_BOUNDS = [F.min, F.min, F.max, F.max]
+
+
 @query()
 def geo_simplify(spark, d):
-    """Corners of each region's track of tiles, before and after thinning, and its envelope."""
-    points = F.transform(F.array_sort(F.collect_list(F.struct("seen", "tile", F.col("lon").alias("x"), F.col("lat").alias("y")))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
-    rows = tiles(spark, d).groupBy("eco").agg(points.alias("r")).withColumn("s", geo.simplify(40.0)(F.col("r"))).withColumn("b", geo.ring_bounds(F.col("r")))
-    return rows.select("eco", F.size("r").alias("corners"), F.size("s").alias("kept"), "b.*")
+    """Corners of each region's track of tiles, before and after thinning by pieces, and its envelope."""
+    points = _tracks(spark, d)
+    kept = lines.thinned(points, "eco", "place", "x", "y", 40.0, 256).groupBy("eco").agg(F.count(F.lit(1)).cast("int").alias("kept"))
+    box = [f(c).alias(n) for f, c, n in zip(_BOUNDS, ("x", "y", "x", "y"), ("x1", "y1", "x2", "y2"), strict=True)]
+    return points.groupBy("eco").agg(F.count(F.lit(1)).cast("int").alias("corners"), *box).join(kept, "eco").select("eco", "corners", "kept", "x1", "y1", "x2", "y2")
+
+
+@query("SELECT eco, count(*) AS corners, min(lon) AS x1, min(lat) AS y1, max(lon) AS x2, max(lat) AS y2, round(sum(length), 6) AS length FROM (SELECT *, coalesce(sqrt(pow(lon - lag(lon) OVER w, 2) + pow(lat - lag(lat) OVER w, 2)), 0) AS length FROM tiles WINDOW w AS (PARTITION BY eco ORDER BY seen, tile)) GROUP BY eco")
+def geo_npoints(spark, d):
+    """Corners, envelope and planar length of each region's track."""
+    points = _tracks(spark, d)
+    after = points.select(F.col("eco").alias("e"), (F.col("place") - 1).alias("p"), F.col("x").alias("u"), F.col("y").alias("v"))
+    steps = points.join(after, (F.col("eco") == F.col("e")) & (F.col("place") == F.col("p")), "left")
+    length = F.coalesce(F.sqrt(F.pow(F.col("u") - F.col("x"), 2) + F.pow(F.col("v") - F.col("y"), 2)), F.lit(0.0))
+    box = [f(c).alias(n) for f, c, n in zip(_BOUNDS, ("x", "y", "x", "y"), ("x1", "y1", "x2", "y2"), strict=True)]
+    return steps.groupBy("eco").agg(F.count(F.lit(1)).alias("corners"), *box, F.round(F.sum(length), 6).alias("length"))
 
 
 @query("SELECT tile FROM tiles WHERE abs(lon) + abs(lat) < 30.005")

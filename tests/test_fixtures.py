@@ -263,6 +263,28 @@ def test_simplify_query_bounds(spark, data):
         assert r.corners == len(xs) and 2 <= r.kept <= r.corners and (r.x1, r.x2, r.y1, r.y2) == (min(xs), max(xs), min(ys), max(ys))
 
 
+def test_thinning_by_pieces_stays_within_tolerance(spark):
+    """Long lines in small pieces: every point lies within the tolerance of the kept line, ends stay, straight runs go."""
+    from arborlens.operators import lines
+
+    rng = np.random.default_rng(6)
+    walk = np.cumsum(rng.normal(size=(900, 2)), axis=0)
+    own = {1: walk.tolist(), 2: [[float(i), 0.0] for i in range(500)], 3: [[0.0, 0.0]], 4: [[0.0, 0.0], [0.0, 0.0], [5.0, 5.0]]}
+    rows = spark.createDataFrame([(k, i, x, y) for k, p in own.items() for i, (x, y) in enumerate(p)] + [(2, 1000, None, 1.0)], "k int, place long, x double, y double")
+    kept = {}
+    for r in lines.thinned(rows, "k", "place", "x", "y", 2.0, 64).collect():
+        kept.setdefault(r.k, []).append((r.place, r.x, r.y))
+    assert len(kept[1]) < 450 and [p[0] for p in sorted(kept[2])][:1] == [0] and len(kept[2]) <= 20 and len(kept[3]) == 1
+    for k, p in own.items():
+        line = sorted(kept[k])
+        assert line[0][0] == 0 and line[-1][0] == len(p) - 1
+        for (i, ax, ay), (j, bx, by) in zip(line, line[1:], strict=False):
+            for x, y in p[i : j + 1]:
+                n = math.hypot(bx - ax, by - ay)
+                d = abs((bx - ax) * (ay - y) - (ax - x) * (by - ay)) / n if n else math.hypot(x - ax, y - ay)
+                assert d <= 2.0 + 1e-9
+
+
 def test_cluster_without_shared_folder_is_refused():
     from arborlens import workspace
 
