@@ -79,11 +79,11 @@ def repeated_spans(docs: DataFrame, run: int = 3, words: int = 15, longest: int
     texts = texts.where("text is not null")
     found = materialize(texts.mapInArrow(kernel, "doc_id long, k1 long, first int, n int, h1 long, h2 long"), "spans")
     often = materialize(found.groupBy("h1").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("h1"), "often")
-    place = F.struct("doc_id", "k1", "first", "n")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "first", "n")  # texts without id come last
     found = materialize(marked(found, "again", F.col("h1"), often, bits=26).where("again").select("h1", "h2", place.alias("place")), "again")
     origin = found.groupBy("h1", "h2").agg(F.min("place").alias("origin"), F.max("place").alias("last"))
     origin = materialize(origin.where(~F.col("last").eqNullSafe(F.col("origin"))).drop("last"), "origins")
-    return found.join(origin, ["h1", "h2"]).where(~F.col("place").eqNullSafe(F.col("origin"))).select("place.*")
+    return found.join(origin, ["h1", "h2"]).where(~F.col("place").eqNullSafe(F.col("origin"))).select("place.doc_id", "place.k1", "place.first", "place.n")
 
 
 def substring_dedup(
@@ -94,7 +94,7 @@ def substring_dedup(
     A span is a run of `run` consecutive sentences, or a shorter one, of two at least, that holds `words` words or is
     the whole text; every sentence covered by an occurrence of a repeated span other than the first (smallest doc_id,
     then text and place) is removed, and the rest of the text stays as it is. Documents without a repeat are not
-    returned; null texts are left alone; a text without doc_id counts as one document, before all others. A document is a doc_id with a text: different texts with one
+    returned; null texts are left alone; a text without doc_id is a document after all others. A document is a doc_id with a text: different texts with one
     doc_id lose their own sentences only, and rows equal in both are one document, of which every row is returned. A
     span in a third of all documents is counted by partial sums and its occurrences are split by adaptive execution.
     """
