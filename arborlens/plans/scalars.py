@@ -64,11 +64,12 @@ def fn_uri_quote(spark, d):
     return table(spark, d, "pages").select("page_id", T.uri_quote(F.concat("url", F.lit("?q=a b+c*d~é"))).alias("quoted"))
 
 
-@query("SELECT id, date_diff('second', created, TIMESTAMP '2025-06-01 00:00:00') // 86400 AS days, date_diff('second', created, TIMESTAMP '2025-06-01 00:00:00') > 86400 * 365 AS stale FROM claims")
+@query("SELECT id, CAST(floor(age / 86400000000) AS BIGINT) AS days, age > 31536000000000 AS stale FROM (SELECT id, epoch_us(TIMESTAMP '2025-06-01 00:00:00') - epoch_us(created) AS age FROM claims)")
 def fn_as_of(spark, d):
-    """Ages at a stated time in place of the clock's, so that a rerun agrees."""
-    age = F.timestamp_diff("second", F.col("created"), F.lit("2025-06-01 00:00:00").cast("timestamp_ntz"))
-    return claims(spark, d).select("id", F.floor(age / 86400).cast("long").alias("days"), (age > 86400 * 365).alias("stale"))
+    """Ages at a stated time in place of the clock's, so that a rerun agrees: whole days that have passed (a claim made later
+    has a negative age), and whether it is more than 365 days, to the microsecond."""
+    age = F.timestamp_diff("microsecond", F.col("created"), F.lit("2025-06-01 00:00:00").cast("timestamp_ntz"))
+    return claims(spark, d).select("id", F.floor(age / 86400000000).cast("long").alias("days"), (age > 86400000000 * 365).alias("stale"))
 
 
 @query("SELECT taxon, nullif(regexp_extract(genus || ' - ' || name, '^([A-Z][A-Za-z]+)\\s*-\\s*(.+)$', 1), '') AS code, nullif(regexp_extract(genus || ' - ' || name, '^([A-Z][A-Za-z]+)\\s*-\\s*(.+)$', 2), '') AS label FROM species")
