@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -112,12 +113,25 @@ def change_log(old: DataFrame, new: DataFrame, key: str, version: str, fields: S
     return both.select(key, F.col(version).alias("version"), rows.alias("c")).select(key, "version", "c.*").where(~F.col("old_value").eqNullSafe(F.col("new_value")))
 
 
+def _exact(value: float) -> Column:
+    return F.lit(Decimal(str(value)))
+
+
+def below_mean(claims: DataFrame, keys: Sequence[str], bound: float) -> DataFrame:
+    """The groups whose mean confidence is below the bound, compared without rounding; unknown confidences do not count."""
+    c = F.col("confidence").try_cast("decimal(18,12)")
+    g = claims.groupBy(*keys).agg(F.sum(c).alias("_s"), F.count(c).alias("_n"))
+    return g.where(F.col("_s") < _exact(bound) * F.col("_n")).select(*keys)
+
+
 def research_context(claims: DataFrame, fields: Sequence[str], good: float = 0.85, weak: float = 0.50, split: float = 0.3) -> DataFrame:
-    """Each taxon's state by field: missing, disputed, strong, weak or fair, in that order."""
-    g = claims.groupBy("taxon").pivot("claim_type", list(fields)).agg(F.struct(F.avg("confidence").alias("avg"), F.min("confidence").alias("low"), F.max("confidence").alias("high")))
+    """Each taxon's state by field: missing, disputed, strong, weak or fair, in that order. Means and spreads are those of
+    decimals, so one that equals a bound is decided by the bound and not by the order in which doubles are added."""
+    c = F.col("confidence").try_cast("decimal(18,12)")
+    g = claims.groupBy("taxon").pivot("claim_type", list(fields)).agg(F.struct(F.sum(c).alias("sum"), F.count(c).alias("n"), F.min(c).alias("low"), F.max(c).alias("high")))
     state = lambda f: (
-        F.when(F.col(f)["avg"].isNull(), "missing").when(F.col(f)["high"] - F.col(f)["low"] > split, "disputed")
-        .when(F.col(f)["avg"] >= good, "strong").when(F.col(f)["avg"] < weak, "weak").otherwise("fair")
+        F.when(F.col(f)["sum"].isNull(), "missing").when(F.col(f)["high"] - F.col(f)["low"] > _exact(split), "disputed")
+        .when(F.col(f)["sum"] >= _exact(good) * F.col(f)["n"], "strong").when(F.col(f)["sum"] < _exact(weak) * F.col(f)["n"], "weak").otherwise("fair")
     )
     rows = g.select("taxon", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), state(f).alias("state")) for f in fields])).alias("s"))
     return rows.select("taxon", "s.*")

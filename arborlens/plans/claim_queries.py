@@ -13,6 +13,8 @@ from arborlens.plans.registry import query
 
 KINDS = ("click", "error", "purchase", "signup", "view")
 N = lambda: F.count(F.lit(1))
+#: A confidence as a decimal, so that a mean does not follow the order in which doubles are added.
+_EXACT = "TRY_CAST(confidence AS DECIMAL(18, 12))"
 
 
 @query("SELECT taxon, claim_type, string_agg('• ' || claim_value, chr(10) ORDER BY confidence DESC, id) AS text FROM claims WHERE current GROUP BY 1, 2")
@@ -82,14 +84,15 @@ def str_scd_log(spark, d):
     return C.change_log(old, new, "taxon", "v", ["name", "family", "native"])
 
 
-@query(", t AS (SELECT DISTINCT taxon FROM claims), f(field) AS (VALUES ('click'), ('error'), ('purchase'), ('signup'), ('view')), g AS (SELECT taxon, claim_type AS field, avg(confidence) AS a, max(confidence) - min(confidence) AS r FROM claims GROUP BY 1, 2) SELECT taxon, field, CASE WHEN a IS NULL THEN 'missing' WHEN r > 0.3 THEN 'disputed' WHEN a >= 0.85 THEN 'strong' WHEN a < 0.5 THEN 'weak' ELSE 'fair' END AS state FROM t CROSS JOIN f LEFT JOIN g USING (taxon, field)")
+@query(f", t AS (SELECT DISTINCT taxon FROM claims), f(field) AS (VALUES ('click'), ('error'), ('purchase'), ('signup'), ('view')), g AS (SELECT taxon, claim_type AS field, sum({_EXACT}) AS s, count({_EXACT}) AS n, max({_EXACT}) - min({_EXACT}) AS r FROM claims GROUP BY 1, 2) SELECT t.taxon, f.field, CASE WHEN s IS NULL THEN 'missing' WHEN r > 0.3 THEN 'disputed' WHEN s >= 0.85 * n THEN 'strong' WHEN s < 0.5 * n THEN 'weak' ELSE 'fair' END AS state FROM t CROSS JOIN f LEFT JOIN g ON t.taxon IS NOT DISTINCT FROM g.taxon AND f.field = g.field")
 def q_queue_context(spark, d):
     return C.research_context(claims(spark, d), KINDS)
 
 
-@query("SELECT taxon, claim_type AS field FROM claims GROUP BY 1, 2 HAVING avg(confidence) < 0.6")
+@query(f"SELECT taxon, claim_type AS field FROM claims GROUP BY 1, 2 HAVING sum({_EXACT}) < 0.6 * count({_EXACT})")
 def q_queue_gaps(spark, d):
-    return claims(spark, d).groupBy("taxon", F.col("claim_type").alias("field")).agg(F.avg("confidence").alias("a")).where("a < 0.6").drop("a")
+    """Fields whose mean confidence is below 0.6, exactly."""
+    return C.below_mean(claims(spark, d), ["taxon", "claim_type"], 0.6).withColumnRenamed("claim_type", "field")
 
 
 @query(", r AS (SELECT p_partkey AS id, p_brand AS b, p_type AS t FROM part) SELECT id, b AS claim, CASE WHEN id % 2 = 0 THEN 0.80 ELSE 0.70 END::DOUBLE AS confidence FROM r WHERE id % 3 <> 0 UNION ALL SELECT id, t, CASE WHEN id % 2 = 0 THEN 0.80 ELSE 0.70 END::DOUBLE FROM r WHERE id % 3 <> 0 UNION ALL SELECT id, b, 0.75::DOUBLE FROM r WHERE id % 3 = 0")
