@@ -144,7 +144,7 @@ def _messy(spark, d) -> DataFrame:
 @query(f", m AS ({_MESSY_SQL}) SELECT tile, CASE WHEN kind = 1 THEN 2 ELSE 1 END AS parts, round(w * h * CASE WHEN kind = 1 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END, 6) AS area, CASE WHEN kind = 1 THEN 6 ELSE 4 END AS corners FROM m")
 def geo_geom_repair(spark, d):
     """Repaired shapes: a ring that crosses itself falls into parts, spikes and repeated corners go."""
-    paths = overlay.dissolve(_messy(spark, d).select("tile", F.array("r").alias("rings")), ["tile"], CELL)
+    paths = overlay.repair(_messy(spark, d).select("tile", F.array("r").alias("rings")), ["tile"], CELL)
     return _shape_rows(paths, ["tile"]).select("tile", F.col("rings_less_holes").alias("parts"), "area", "corners")
 
 
