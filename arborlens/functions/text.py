@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,12 +22,18 @@ WELL_KNOWN = ("frangipani", "plumeria", "temple tree", "temple flower", "pagoda
 COMMON_TERMS = ("flower", "tree", "jasmine", "rose")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is computed once however often it occurs."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def script_language(name: Column) -> Column:
     """Language that the script of a name stands for, null for Latin ones."""
-    return (
+    other = name.rlike("[\\u0400-\\u04FF\\u3000-\\u9FFF\\uF900-\\uFAFF\\u0600-\\u06FF\\u0900-\\u097F\\u0E00-\\u0E7F]")
+    return F.when(other, (
         F.when(name.rlike("[\\u0400-\\u04FF]"), "ru").when(name.rlike("[\\u3000-\\u9FFF\\uF900-\\uFAFF]"), "ja").when(name.rlike("[\\u0600-\\u06FF]"), "ar")
         .when(name.rlike("[\\u0900-\\u097F]"), "hi").when(name.rlike("[\\u0E00-\\u0E7F]"), "th")
-    )
+    ))
 
 
 def _pieces(blob: Column) -> Column:
@@ -42,38 +50,50 @@ def parse_common_names(blob: Column) -> Column:
     codes = F.create_map(*[F.lit(x) for k, v in LANGUAGE_CODES.items() for x in (k, v)])
     marked = r"^(.+?)\s*(?:\(([^)]+)\)|\[([^\]]+)\])\s*$"
 
-    def entry(n: Column) -> Column:
-        marker = F.trim(F.concat(F.regexp_extract(n, marked, 2), F.regexp_extract(n, marked, 3)))
+    def marked_entry(n: Column, marker: Column) -> Column:
         keep = (marker == "") | F.lower(marker).isin(*KEPT_MARKERS)
-        name = F.when(keep, n).otherwise(F.trim(F.regexp_extract(n, marked, 1)))
         code = F.when(~keep, F.try_element_at(codes, F.lower(marker)))
-        return F.struct(name.alias("name"), F.coalesce(code, script_language(name)).alias("language_code"))
+        name = F.when(keep, n).otherwise(F.trim(F.regexp_extract(n, marked, 1)))
+        return _let(name, lambda v: F.struct(v.alias("name"), F.coalesce(code, script_language(v)).alias("language_code")))
 
+    def entry(n: Column) -> Column:
+        marker = F.trim(F.concat(F.regexp_extract(n, marked, 2), F.regexp_extract(n, marked, 3)))
+        plain = F.struct(n.alias("name"), script_language(n).alias("language_code"))
+        return F.when(F.contains(n, F.lit(")")) | F.contains(n, F.lit("]")), _let(marker, lambda m: marked_entry(n, m))).otherwise(plain)
+
+    # equal names are neighbours in an order by name, language and place: no name is compared with all before it
     entries = F.filter(F.transform(_pieces(blob), entry), lambda e: F.char_length(e["name"]) >= 2)
-    same = lambda a, b: (F.lower(a["name"]) == F.lower(b["name"])) & a["language_code"].eqNullSafe(b["language_code"])
-    none = F.array().cast("array<struct<name:string,language_code:string>>")
-    firsts = F.aggregate(entries, none, lambda done, e: F.when(F.exists(done, lambda x: same(x, e)), done).otherwise(F.array_append(done, e)))
+    keyed = F.sort_array(F.transform(entries, lambda e, i: F.struct(F.lower(e["name"]).alias("low"), e["language_code"].alias("language_code"), i.alias("i"), e["name"].alias("name"))))
+    same = lambda a, b: (a["low"] == b["low"]) & a["language_code"].eqNullSafe(b["language_code"])
+    firsts = _let(keyed, lambda k: F.filter(k, lambda x, i: (i == 0) | ~same(x, F.get(k, i - 1))))
+    firsts = F.sort_array(F.transform(firsts, lambda x: F.struct(x["i"].alias("i"), x["name"].alias("name"), x["language_code"].alias("language_code"))))
     return F.transform(firsts, lambda e, i: F.struct(e["name"].alias("name"), e["language_code"].alias("language_code"), i.alias("position")))
 
 
+def _without_brackets(name: Column) -> Column:
+    return F.trim(F.when(F.contains(name, F.lit("(")), F.regexp_replace(name, r"\s*\(.*?\)\s*", "")).otherwise(name))
+
+
 def name_score(name: Column, index: Column) -> Column:
     """Earlier, shorter, unmarked and well-known names first."""
-    plain = F.trim(F.regexp_replace(name, r"\s*\(.*?\)\s*", ""))
-    low, size = F.lower(plain), F.char_length(plain)
-    terms = F.lit(False)
-    for t in COMMON_TERMS:
-        terms = terms | F.contains(low, F.lit(t))
-    return (
-        1000 - index + F.when(index == 0, 5000).when(index == 1, 1000).when(index == 2, 500).otherwise(0) + F.when(size < 15, (15 - size) * 20).otherwise(0)
-        + F.when(F.contains(name, F.lit("(")), 0).otherwise(200) + F.when(low.isin(*WELL_KNOWN), 2000).otherwise(0) + F.when(terms, 100).otherwise(0)
-    )
+
+    def score(size: Column, low: Column) -> Column:
+        terms = F.lit(False)
+        for t in COMMON_TERMS:
+            terms = terms | F.contains(low, F.lit(t))
+        return (
+            1000 - index + F.when(index == 0, 5000).when(index == 1, 1000).when(index == 2, 500).otherwise(0) + F.when(size < 15, (15 - size) * 20).otherwise(0)
+            + F.when(F.contains(name, F.lit("(")), 0).otherwise(200) + F.when(low.isin(*WELL_KNOWN), 2000).otherwise(0) + F.when(terms, 100).otherwise(0)
+        )
+
+    return _let(_without_brackets(name), lambda plain: _let(F.lower(plain), lambda low: score(F.char_length(plain), low)))
 
 
 def scored_names(blob: Column) -> Column:
     """Array of names by descending score, ties in the order of the text."""
     names = F.filter(F.transform(F.split(blob, "[;,]"), lambda n: F.trim(n)), lambda n: n != "")
     scored = F.transform(names, lambda n, i: F.struct((-name_score(n, i)).alias("s"), i.alias("i"), n.alias("name")))
-    return F.transform(F.array_sort(scored), lambda x: x["name"])
+    return F.transform(F.sort_array(scored), lambda x: x["name"])
 
 
 def display_name(preferred: Column, names: Column) -> Column:
@@ -171,13 +191,9 @@ def claim_hash(taxon: Column, claim_type: Column, value: Column) -> Column:
 def top_common_names(blob: Column, most: int = 5, longest: int = 200) -> Column:
     """The best names of a list joined by commas: the three best scored, then names of new roots in languages not yet
     there, then any of new roots; cut at `longest` characters with dots behind."""
-    root = lambda n: F.trim(F.regexp_replace(F.lower(n), r"\s*\(.*?\)\s*", ""))
-    language = lambda n: F.lower(F.regexp_extract(n, r"\((.*?)\)", 1))
-    names = scored_names(blob)
+    root = lambda n: _without_brackets(F.lower(n))
+    language = lambda n: F.when(F.contains(n, F.lit("(")), F.lower(F.regexp_extract(n, r"\((.*?)\)", 1))).otherwise("")
     state = lambda chosen, roots, langs: F.struct(chosen.alias("chosen"), roots.alias("roots"), langs.alias("langs"))
-    first = F.slice(names, 1, 3)
-    marked = F.filter(F.transform(first, language), lambda x: x != "")
-    begin = state(F.array_distinct(first), F.transform(first, root), marked)
     add = lambda s, n, langs: state(F.array_append(s["chosen"], n), F.array_append(s["roots"], root(n)), langs)
     room = lambda s, n: (F.size(s["chosen"]) < most) & ~F.array_contains(s["roots"], root(n))
 
@@ -188,8 +204,14 @@ def top_common_names(blob: Column, most: int = 5, longest: int = 200) -> Column:
     def rest(s: Column, n: Column) -> Column:
         return F.when(room(s, n) & ~F.array_contains(s["chosen"], n), add(s, n, s["langs"])).otherwise(s)
 
-    later = F.filter(F.transform(names, lambda n, i: F.when(i >= 3, n)), lambda n: n.isNotNull())
-    chosen = F.aggregate(names, F.aggregate(later, begin, diverse), rest)["chosen"]
+    def choose(names: Column) -> Column:
+        first = F.slice(names, 1, 3)
+        marked = F.filter(F.transform(first, language), lambda x: x != "")
+        begin = state(F.array_distinct(first), F.transform(first, root), marked)
+        later = F.slice(names, 4, F.greatest(F.size(names) - 3, F.lit(0)))
+        return F.aggregate(names, F.aggregate(later, begin, diverse), rest)["chosen"]
+
+    chosen = _let(scored_names(blob), choose)
     line = F.array_join(chosen, ", ")
-    line = F.when(F.char_length(line) > longest, F.concat(F.left(line, F.lit(longest)), F.lit("..."))).otherwise(line)
+    line = _let(line, lambda v: F.when(F.char_length(v) > longest, F.concat(F.left(v, F.lit(longest)), F.lit("..."))).otherwise(v))
     return F.when(F.coalesce(blob, F.lit("")) == "", "").otherwise(line)

@@ -238,6 +238,28 @@ def test_names_equal_plain_versions(spark, data):
         assert r.name is None or re.sub(r"[^a-z]", "", r.name.lower()) in re.sub(r"[^a-z]", "", last.lower())
 
 
+def test_names_of_long_lists(spark):
+    """Equal names without case, in one language, at any distance; and no step that compares a name with all before it."""
+    from pyspark.sql import functions as F
+
+    from arborlens.functions import text as T
+
+    names = [f"n{i % 1500}" if i % 2 else f"N{i % 1500} (French)" for i in range(6000)] + ["Oak [Trade]", "oak [trade]", "дуб", "Дуб (Russian)", "x", "NA", "Ash ()", "a(b) (german)"]
+    want, seen = [], set()
+    for n in names:
+        code = "fr" if n.endswith("(French)") else "ru" if "уб" in n else "de" if n.endswith("(german)") else None
+        name = n.rsplit(" (", 1)[0] if n.endswith(("(French)", "(Russian)", "(german)")) else n
+        if len(name) >= 2 and name != "NA" and (name.lower(), code) not in seen:
+            seen.add((name.lower(), code))
+            want.append((name, code, len(want)))
+    rows = spark.createDataFrame([("; ".join(names),), (None,), ("",), ("a, b",)], "t string").select(T.parse_common_names(F.col("t")).alias("n"), T.top_common_names(F.col("t")).alias("top"))
+    got = rows.collect()
+    assert [tuple(x) for x in got[0].n] == want
+    assert [r.n for r in got[1:]] == [None, [], []] and [r.top for r in got[1:]] == ["", "", "a, b"]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "exists(" not in plan and plan.count("split(t") <= 2  # names are cut once for each column
+
+
 def test_ledger_query_equals_plain_version(spark, data):
     from arborlens.plans.analogue import table
 
