@@ -52,10 +52,13 @@ def merged(store: DataFrame, commands: DataFrame) -> DataFrame:
         F.col("at").alias("updated"), F.coalesce("_before", "_top").alias("supersedes"), F.lit(False).alias("is_current"),
     )
     both = old.unionByName(new)
-    # a rating concerns the last version made at or before its turn
-    rated = rows.where("action = 'recalculate'").select(*_KEY, F.col("at").alias("_at"), F.col("command").alias("_c"))
-    pairs = both.join(rated, _KEY).where((F.col("created") < F.col("_at")) | ((F.col("created") == F.col("_at")) & (F.col("id") < F.col("_c"))))
-    hit = pairs.groupBy(*_KEY, "_at", "_c").agg(F.max("version").alias("version")).groupBy(*_KEY, "version").agg(F.max("_at").alias("_rated"))
+    # a rating concerns the last version made before its turn: one walk over claims and ratings of a key in their order, not
+    # every pair of them
+    rated = rows.where("action = 'recalculate' and at is not null").select(*_KEY, F.col("at").alias("_at"), F.col("command").alias("_c"), F.lit(0).alias("_made"), F.lit(None).cast("long").alias("version"))
+    turns = both.where("created is not null").select(*_KEY, F.col("created").alias("_at"), F.col("id").alias("_c"), F.lit(1).alias("_made"), "version").unionByName(rated)
+    so_far = Window.partitionBy(*_KEY).orderBy("_at", "_c", "_made").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    turns = turns.withColumn("version", F.max("version").over(so_far)).where("_made = 0 and version is not null")
+    hit = turns.groupBy(*_KEY, "version").agg(F.max("_at").alias("_rated"))
     last = F.max("version").over(Window.partitionBy(*_KEY))
     out = both.join(hit, [*_KEY, "version"], "left").withColumn("is_current", F.col("version") == last)
     again = F.col("_rated").isNotNull()

@@ -91,3 +91,26 @@ def test_chain_of_digests(spark):
     got = {(r.k, r.i): r.state for r in chains.verified(archived.where("k is not null"), found, "k", ["i"], ["k", "i"], "content").collect()}
     assert [got[1, i] for i in range(6)] == ["ok", "ok", "ok", "altered", "broken", "broken"]
     assert [got[2, i] for i in range(6)] == ["ok", "missing", *["broken"] * 4]
+
+
+def test_ratings_of_a_key_are_not_paired_with_its_claims(spark):
+    """2,000 ratings among 2,000 claims of one key: each rates the last claim before it, and no step makes all pairs."""
+    import datetime as dt
+
+    from arborlens.streaming import claim_store
+
+    start = dt.datetime(2024, 1, 1)
+    at = lambda i: start + dt.timedelta(seconds=i // 2)  # noqa: E731  # two commands a second: ties follow the number
+    kinds = ["recalculate" if i % 4 in (0, 3) else "create" for i in range(4000)]
+    rows = [(i, k, 1, "view", "v", 0.5, [], at(i)) for i, k in enumerate(kinds)] + [(5000, "recalculate", 1, "view", None, None, None, None)]
+    out = claim_store.merged(spark.createDataFrame([], claim_store.CLAIM), spark.createDataFrame(rows, claim_store.COMMAND))
+    want, current = {}, None
+    for i, k in enumerate(kinds):
+        if k == "create":
+            current = i
+            want[i] = at(i)
+        elif current is not None:
+            want[current] = max(want[current], at(i))
+    assert {r.id: r.updated for r in out.collect()} == want
+    assert [r.id for r in out.where("is_current").collect()] == [max(want)]
+    assert "_made" in out._jdf.queryExecution().optimizedPlan().toString()
