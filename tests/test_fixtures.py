@@ -238,6 +238,12 @@ def test_names_equal_plain_versions(spark, data):
         assert r.name is None or re.sub(r"[^a-z]", "", r.name.lower()) in re.sub(r"[^a-z]", "", last.lower())
 
 
+def test_entries_of_maps_are_counted_without_distinct(spark, data):
+    """A map has a key once, so no task holds all pairs of tile and taxon a second time."""
+    plan = QUERIES["agg_map_explode_sum"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "distinct" not in plan.lower()
+
+
 def test_names_of_long_lists(spark):
     """Equal names without case, in one language, at any distance; and no step that compares a name with all before it."""
     from pyspark.sql import functions as F
