@@ -30,7 +30,8 @@ def leaf_scores(
     mean = affinities(occurrences, regions).groupBy("taxon").agg((F.sum(F.col("affinity") * F.col("weight")) / F.sum("weight")).alias("a"))
     rows = mean.join(natives.select("taxon", F.lit(True).alias("native")), "taxon", "full").join(introduced.select("taxon"), "taxon", "left_anti")
     native = F.coalesce("native", F.lit(False))
-    value = F.coalesce("a", F.lit(float(absent_affinity))) * F.when(native, 2).otherwise(1)
+    # to nine decimals, as the order in which doubles are added must not part equal means
+    value = F.round(F.coalesce("a", F.lit(float(absent_affinity))) * F.when(native, 2).otherwise(1), 9)
     rows = percentile_place(rows.select("taxon", value.alias("affinity"), native.alias("native")), "affinity", "taxon")
     rows = rows.withColumnRenamed("place", "leaf_score").where(F.col("leaf_score") >= min_score)
     return rows.orderBy(F.col("leaf_score").desc(), "taxon").limit(limit)

@@ -46,3 +46,24 @@ def test_means_and_spreads_at_a_bound(spark, tmp_path, turn):
     assert (states[1], states[3], states[4], states[5], states[6], states[8], states[9]) == ("fair", "strong", "fair", "fair", "weak", "strong", "fair")
     for name in ("q_queue_gaps", "q_queue_context"):
         same(QUERIES[name](spark, str(tmp_path)), duck.execute(ORACLE_SQL[name]))
+
+
+def test_a_tasks_share_of_occurrences_is_bounded(spark, data, duck, monkeypatch):
+    """Partitions follow from the rows, and the results stay."""
+    from arborlens.plans import analogue
+
+    monkeypatch.setattr(analogue, "ROWS_A_TASK", 500)
+    rows = analogue.table(spark, data, "lineitem").count()
+    assert analogue.occ(spark, data).rdd.getNumPartitions() == -(-rows // 500) > spark.sparkContext.defaultParallelism
+    same(QUERIES["agg_map_explode_sum"](spark, data), duck.execute(ORACLE_SQL["agg_map_explode_sum"]))
+
+
+def test_equal_means_are_not_parted_by_rounding(spark):
+    """0.1 + 0.2 and 0.3 as weights give one mean: taxa follow their number."""
+    from arborlens.operators.ranking import leaf_scores
+
+    occ = spark.createDataFrame([(1, 2, 1), (2, 2, 1), (3, 2, 1), (1, 1, 1)], "tile long, taxon long, n long")
+    eco = spark.createDataFrame([(1, 1, 0.1), (2, 2, 0.2), (3, 3, 0.7)], "tile long, eco long, weight double")
+    none = spark.createDataFrame([], "taxon long")
+    got = {r.taxon: (r.affinity, r.leaf_score) for r in leaf_scores(occ, eco, none, none).collect()}
+    assert got == {1: (1.0, 0.0), 2: (1.0, 100.0)}
