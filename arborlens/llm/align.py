@@ -144,7 +144,9 @@ class _Chunks:
         return [join(a[k], self.a_bytes) == r == join(b[k], self.b_bytes) for k, r in enumerate(raw)]
 
     def add(self, new: list[str]) -> None:
-        a, b = list(self.encode_a(new)), self._encode_b(new)
+        ids, n = self.encode_a(new)
+        ids, ends = ids.tolist(), np.cumsum(n).tolist()
+        a, b = [ids[i:j] for i, j in zip([0, *ends], ends, strict=False)], self._encode_b(new)
         good = self._sound(new, a, b)
         if not all(good):
             a, b = ([x if g else [] for x, g in zip(coded, good, strict=True)] for coded in (a, b))

@@ -8,20 +8,23 @@ ans.py) and the index of the documents in it: zlib over pieces of (doc_no, pos,
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arborlens.llm import ans
-from arborlens.llm.chunks import Memo, encoder, pieces
+from arborlens.llm.chunks import encoder, pieces
 from arborlens.llm.work import materialize, new_path
 
 #: A vocabulary that drops white space, so that a text's ids are those of its chunks; every executor must reach it.
@@ -31,31 +34,41 @@ MANIFEST = "shard long, block long, first long, n long, file string, at long, co
 PIECE = np.dtype([("doc_no", "<i8"), ("pos", "<i8"), ("n", "<i8"), ("doc_id", "<i8"), ("flags", "<u1")])  # flags: 1 last piece, 2 no doc_id
 
 
-def text_ids(texts: list[str], memo: Memo, end: int, size: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, bool]]:
-    """(number of the text, ids, whether they are its last) in order, about `size` characters at a time."""
-    words: list[str] = []
-    spans: list[tuple[int, int, bool]] = []
-    held = 0
+def _groups(texts: pa.Array, size: int) -> Iterator[tuple[int, pa.Array, bool]]:
+    """(number of the first text, texts or the piece of one, whether they end with it) of about `size` bytes each."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy())
+    at = 0
+    while at < len(texts):
+        before = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
+        if ends[at] - before > size:
+            for part, last in pieces(texts[at].as_py(), size):
+                yield at, pa.array([part]), last
+        else:
+            yield at, texts.slice(at, to - at), True
+        at = to
 
-    def done() -> Iterator[tuple[int, np.ndarray, bool]]:
-        values, lens = memo(words)
-        ends = np.concatenate([[0], np.cumsum(lens)])
-        at = 0
-        for no, n, last in spans:
-            ids = values[ends[at] : ends[at + n]]
-            at += n
-            yield no, np.append(ids, np.uint32(end)) if last else ids, last
-
-    for no, text in enumerate(texts):
-        for part, last in pieces(text, size):
-            own = [w for w in part.replace("\n", " ").split(" ") if w]
-            words += own
-            spans.append((no, len(own), last))
-            held += len(part)
-            if held >= size:
-                yield from done()
-                words, spans, held = [], [], 0
-    yield from done()
+
+def text_ids(texts: list[str] | pa.Array, memo: Callable[..., tuple[np.ndarray, np.ndarray]], end: int, size: int = 1 << 22) -> Iterator[tuple[int, np.ndarray, bool]]:
+    """(number of the text, ids, whether they are its last) in order, about `size` bytes at a time: Arrow cuts the texts and
+    numbers their different words, whose ids `memo` gives."""
+    for no, group, last in _groups(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), size):
+        words = pc.split_pattern(pc.replace_substring(group, "\n", " "), " ")
+        coded = words.flatten().dictionary_encode()
+        values, n = memo(coded.dictionary, coded.indices.to_numpy())
+        ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum(pc.list_value_length(words).to_numpy())].tolist()
+        for k, (a, b) in enumerate(zip([0, *ends], ends, strict=False)):
+            yield no + k, np.append(values[a:b], np.uint32(end)) if last else values[a:b], last
+
+
+@lru_cache(maxsize=1)
+def _held(tokenizer: str, changed: int) -> tuple[Callable[..., tuple[np.ndarray, np.ndarray]], str]:
+    """The encoder and the kind of ids of a vocabulary file as last changed. A Python worker keeps them from task to task: the
+    ids are the same whichever task asks, so the vocabulary is read and frequent words are merged once a worker."""
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(tokenizer)
+    return encoder(own, most=1 << 19), "<u2" if own.get_vocab_size() <= 1 << 16 else "<u4"
 
 
 class _Blocks:
@@ -98,11 +111,7 @@ def _id_blocks(docs: DataFrame, tokenizer: str, end: int, block: int, id_col: st
     rows = rows.repartitionByRange("doc_id", key).sortWithinPartitions("doc_id", key, "text")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        own = Tokenizer.from_file(tokenizer)
-        kind = "<u2" if own.get_vocab_size() <= 1 << 16 else "<u4"
-        memo = Memo(encoder(own))
+        memo, kind = _held(tokenizer, os.stat(tokenizer).st_mtime_ns)
         shard, cut, doc_no = TaskContext.get().partitionId(), _Blocks(block), 0
 
         def row(no: int, first: int, n: int, ids: np.ndarray, index: np.ndarray) -> pa.RecordBatch:
@@ -110,17 +119,15 @@ def _id_blocks(docs: DataFrame, tokenizer: str, end: int, block: int, id_col: st
             packed += [pa.array([x], pa.binary()) for x in (ids.astype(kind).tobytes(), zlib.compress(index.tobytes(), 1))]
             return pa.RecordBatch.from_arrays(packed, names=["shard", "block", "first", "n", "ids", "pieces"])
 
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                ids_of, base, pos, now = batch.column(0).to_pylist(), doc_no, 0, -1
-                for no, ids, last in text_ids(batch.column(1).to_pylist(), memo, end):
-                    pos = 0 if no != now else pos
-                    now = no
-                    for done in cut.push(base + no, pos, ids_of[no], ids, last):
-                        yield row(*done)
-                    pos += len(ids)
-                doc_no += batch.num_rows
+        for batch in batches:
+            ids_of, pos, now = batch.column(0).to_pylist(), 0, -1
+            for no, ids, last in text_ids(batch.column(1), memo, end):
+                pos = 0 if no != now else pos
+                now = no
+                for done in cut.push(doc_no + no, pos, ids_of[no], ids, last):
+                    yield row(*done)
+                pos += len(ids)
+            doc_no += batch.num_rows
         if cut.held:
             yield row(*cut.close())
 

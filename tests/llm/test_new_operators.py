@@ -158,6 +158,48 @@ def test_chunks_give_the_ids_of_whole_texts(texts_of):
             assert got[no] == own.encode(text, add_special_tokens=False).ids + [1], text[:80]
 
 
+def test_frequent_chunks_are_encoded_once():
+    """However many rare ones pass by: a memo that is full keeps what was asked for last."""
+    from tokenizers import Tokenizer
+
+    encode, asked = encoder(Tokenizer.from_file(tokens.TOKENIZER)), collections.Counter()
+
+    def counted(chunks):
+        asked.update(chunks)
+        return encode(chunks)
+
+    memo = Memo(counted, most=100)
+    for k in range(50):
+        assert len(list(tokens.text_ids([f"common words {k}rare{j}" for j in range(40)], memo, 1))) == 40
+    assert asked["common"] == asked["words"] == 1 and len(asked) == 2 + 50 * 40 and len(memo.index) <= 100
+
+
+def test_a_worker_keeps_its_vocabulary():
+    assert tokens._held(tokens.TOKENIZER, 1)[0] is tokens._held(tokens.TOKENIZER, 1)[0]
+    assert tokens._held(tokens.TOKENIZER, 1)[0] is not tokens._held(tokens.TOKENIZER, 2)[0]
+
+
+@pytest.mark.parametrize("path,specials", [(tokens.TOKENIZER, True), (align.BYTE_LEVEL, False)])
+def test_encoder_gives_the_ids_of_the_tokenizer(path, specials):
+    """Each character up to U+0370 and some beyond, in words, between marks and beside what composes with it."""
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(path)
+    own.encode_special_tokens = not specials
+    signs = [c for c in map(chr, [*range(0x370), 0x1E96, 0x2028, 0x212B, 0x2C65, 0x3000, 0x4E2D, 0xFB01, 0x1F600])]
+    chunks = [x for c in signs for x in (c, f"Ab{c}", f"{c}cD.", f"x{c}1{c}", f"'S{c}")] + ["", "H\u0331", "E\u0301a", "it's'Ll", "a<|endoftext|>b", "<|ENDOFTEXT|>", "12a345", "word", "word"]
+    chunks += [f" {c}" for c in chunks] if not specials else []
+    encode = encoder(own, most=70, specials=specials)
+    whole = [e.ids for e in own.encode_batch_fast(chunks, add_special_tokens=False)]
+    ids, n = encode(chunks)
+    ends = np.cumsum(n).tolist()
+    assert [ids[a:b].tolist() for a, b in zip([0, *ends], ends, strict=False)] == whole
+    which = np.array([5, 5, len(chunks) - 1, 0, 700])
+    ids, n = encode(chunks, which)
+    assert ids.tolist() == [x for k in which for x in whole[k]] and n.tolist() == [len(whole[k]) for k in which]
+    assert encode([])[0].tolist() == []
+
+
 def test_pieces_join():
     text = "ab c\nd  efg h " * 50
     for size in (1, 7, 100):
