@@ -58,35 +58,43 @@ class Table:
 
 
 def encode_block(ids: np.ndarray, table: Table, lanes: int = 256, every: int = 128) -> bytes:
-    n, bits = len(ids), np.uint64(table.bits)
+    return encode_blocks([ids], table, lanes, every)[0]
+
+
+def encode_blocks(blocks: list[np.ndarray], table: Table, lanes: int = 256, every: int = 128) -> list[bytes]:
+    """Blocks of one number of ids, side by side; each is coded as if by itself."""
+    n, bits, room, shift = len(blocks[0]), np.uint64(table.bits), np.uint64(63 - table.bits), np.uint64(32)
     steps = -(-n // lanes)
-    freq, low = table.freq[ids], table.low[ids]
-    if n and not freq.all():
+    if n and not all(table.freq[ids].all() for ids in blocks):
         raise ValueError("an id without a frequency")
-    full = freq << np.uint64(63 - table.bits)
-    x = np.full(lanes, LOW, np.uint64)
-    words, kept, counts = [], [], np.zeros(steps, np.int64)
-    shift = np.uint64(32)
+    dealt = np.zeros((len(blocks), steps * lanes), np.uint32)
+    for k, ids in enumerate(blocks):
+        dealt[k, :n] = ids
+    dealt = dealt.reshape(len(blocks), steps, lanes).swapaxes(0, 1)
+    x = np.full((len(blocks), lanes), LOW, np.uint64)
+    words, over, kept = np.empty(dealt.shape, np.uint32), np.zeros(dealt.shape, bool), []
     for s in range(steps - 1, -1, -1):
-        a, b = s * lanes, min(n, (s + 1) * lanes)
-        f, at = freq[a:b], x[: b - a]
-        over = at >= full[a:b]
-        out = at[over]
-        words.append(out.astype(np.uint32))  # the lower 32 bits
-        counts[s] = len(out)
-        at = np.where(over, at >> shift, at)
+        m = min(n - s * lanes, lanes)
+        own, at = dealt[s, :, :m], x[:, :m]
+        f = table.freq[own]
+        full = np.greater_equal(at, f << room, out=over[s, :, :m])
+        words[s, :, :m] = at  # the lower 32 bits
+        at = np.where(full, at >> shift, at)
         q = at // f
-        x[: b - a] = (q << bits) + (at - q * f) + low[a:b]
+        x[:, :m] = (q << bits) + (at - q * f) + table.low[own]
         if s % every == 0:
             kept.append(x.copy())
-    stream = np.concatenate(words[::-1]) if words else np.zeros(0, np.uint32)
-    before = np.concatenate([[0], np.cumsum(counts)])[:-1][::every] if steps else np.zeros(0, np.int64)
-    raw = ids.astype("<u4")
-    checks = [zlib.crc32(raw[k * every * lanes : (k + 1) * every * lanes].tobytes()) for k in range(len(kept))]
-    head = struct.pack(_HEAD, MAGIC, n, lanes, table.bits, every, len(kept), len(stream), table.crc, zlib.crc32(raw.tobytes()))
-    states = np.concatenate(kept[::-1]) if kept else np.zeros(0, np.uint64)
-    body = head + before.astype("<u4").tobytes() + np.array(checks, "<u4").tobytes() + states.astype("<u8").tobytes() + stream.astype("<u4").tobytes()
-    return body + struct.pack("<I", zlib.crc32(body))
+    out = []
+    for k, ids in enumerate(blocks):
+        stream = words[:, k][over[:, k]]
+        before = (np.cumsum(over[:, k].sum(1)) - over[:, k].sum(1))[::every]
+        raw = ids.astype("<u4")
+        checks = [zlib.crc32(raw[i * every * lanes : (i + 1) * every * lanes].tobytes()) for i in range(len(kept))]
+        head = struct.pack(_HEAD, MAGIC, n, lanes, table.bits, every, len(kept), len(stream), table.crc, zlib.crc32(raw.tobytes()))
+        states = np.concatenate([x[k] for x in kept[::-1]]) if kept else np.zeros(0, np.uint64)
+        body = head + before.astype("<u4").tobytes() + np.array(checks, "<u4").tobytes() + states.astype("<u8").tobytes() + stream.astype("<u4").tobytes()
+        out.append(body + struct.pack("<I", zlib.crc32(body)))
+    return out
 
 
 def segments(data: bytes) -> int:
@@ -116,20 +124,28 @@ def decode_block(data: bytes, table: Table, first: int = 0, last: int | None = N
     if first >= last:
         return np.zeros(0, np.uint32)
     begin, end = first * every * lanes, min(n, last * every * lanes)
-    out = np.empty(end - begin, np.uint32)
-    x, place = states[first].astype(np.uint64), int(before[first])
+    # segments side by side; only the last may have fewer steps, the last of them for fewer lanes
+    some, steps = last - first, -(-(end - begin) // lanes) - (last - first - 1) * every
+    out = np.empty((some, every, lanes), np.uint32)
+    x, place, starts = states[first:last].astype(np.uint64).reshape(-1), before[first:last].astype(np.int64), np.arange(some + 1) * lanes
     mask, shift, b, slots = np.uint64((1 << bits) - 1), np.uint64(32), np.uint64(bits), table.ids
-    for a in range(begin, end, lanes):
-        m = min(end, a + lanes) - a
+    for s in range(every if some > 1 else steps):
+        m = (some - (s >= steps)) * lanes if s != steps - 1 else end - begin - (some - 1) * every * lanes - s * lanes + (some - 1) * lanes
         at = x[:m]
         slot = at & mask
         got = slots[slot]
-        out[a - begin : a - begin + m] = got
+        whole = m // lanes
+        out[:whole, s] = got[: whole * lanes].reshape(whole, lanes)
+        if m % lanes:
+            out[whole, s, : m % lanes] = got[whole * lanes :]
         at = table.freq[got] * (at >> b) + slot - table.low[got]
         short = np.flatnonzero(at < LOW)
-        at[short] = (at[short] << shift) | stream[place : place + len(short)]
-        place += len(short)
+        bounds = np.searchsorted(short, starts)
+        taken = np.diff(bounds)
+        at[short] = (at[short] << shift) | stream[np.arange(len(short)) + np.repeat(place - bounds[:-1], taken)]
+        place += taken
         x[:m] = at
+    out = out.reshape(-1)[: end - begin]
     size = every * lanes
     for k in range(first, last):
         if zlib.crc32(out[k * size - begin : (k + 1) * size - begin].astype("<u4").tobytes()) != checks[k]:

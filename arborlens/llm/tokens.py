@@ -138,6 +138,19 @@ def _ids(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4")
 
 
+def _coded(batches: Iterator[pa.RecordBatch], table: ans.Table, lanes: int, every: int, most: int = 8) -> Iterator[tuple[dict, bytes]]:
+    """Each row of blocks and its coded ids, up to `most` blocks of one size at a time."""
+    for whole in batches:
+        sizes, at = whole.column("n").to_pylist(), 0
+        while at < len(sizes):
+            to = at + 1
+            while to < min(len(sizes), at + most) and sizes[to] == sizes[at]:
+                to += 1
+            rows = whole.slice(at, to - at).to_pylist()
+            yield from zip(rows, ans.encode_blocks([_ids(r["ids"], r["n"]) for r in rows], table, lanes, every), strict=True)
+            at = to
+
+
 def _store(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path if ":/" in path else f"file://{path}"))
 
@@ -180,24 +193,21 @@ def write_tokens(
         table, out, was, name, at = ans.Table(freq, bits), None, None, "", 0
         fs, root = _store(path)
         fs.create_dir(f"{root}/blocks", recursive=True)
-        for whole in batches:
-            for k in range(whole.num_rows):
-                r = whole.slice(k, 1).to_pylist()[0]
-                if out is None or was != (r["shard"], r["block"] - 1):  # a file holds blocks that follow one another
-                    if out is not None:
-                        out.close()
-                    name = f"{r['shard']:08d}-{r['block']:08d}-{uuid.uuid4().hex}.rans"
-                    out, at = fs.open_output_stream(f"{root}/blocks/{name}"), len(FILE)
-                    out.write(FILE)
-                was = (r["shard"], r["block"])
-                coded = ans.encode_block(_ids(r["ids"], r["n"]), table, lanes, every)
-                index = r["pieces"] + zlib.crc32(r["pieces"]).to_bytes(4, "little")
-                out.write(coded)
-                out.write(index)
-                row = [*was, r["first"], r["n"], name, at, len(coded), len(index)]
-                at += len(coded) + len(index)
-                kinds = [pa.int64()] * 4 + [pa.string()] + [pa.int64()] * 3
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=[x.split()[0] for x in MANIFEST.split(", ")])
+        for r, coded in _coded(batches, table, lanes, every):
+            if out is None or was != (r["shard"], r["block"] - 1):  # a file holds blocks that follow one another
+                if out is not None:
+                    out.close()
+                name = f"{r['shard']:08d}-{r['block']:08d}-{uuid.uuid4().hex}.rans"
+                out, at = fs.open_output_stream(f"{root}/blocks/{name}"), len(FILE)
+                out.write(FILE)
+            was = (r["shard"], r["block"])
+            index = r["pieces"] + zlib.crc32(r["pieces"]).to_bytes(4, "little")
+            out.write(coded)
+            out.write(index)
+            row = [*was, r["first"], r["n"], name, at, len(coded), len(index)]
+            at += len(coded) + len(index)
+            kinds = [pa.int64()] * 4 + [pa.string()] + [pa.int64()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=[x.split()[0] for x in MANIFEST.split(", ")])
         if out is not None:
             out.close()
 

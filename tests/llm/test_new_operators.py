@@ -126,6 +126,19 @@ def test_blocks_decode(n, most):
         assert np.array_equal(ans.decode_block(data, t, k, k + 1), ids[k * 1024 : (k + 1) * 1024])
 
 
+@pytest.mark.parametrize("n", [0, 7, 8, 31, 32, 33, 60, 65, 4000])
+def test_blocks_side_by_side_are_those_by_themselves(n):
+    rng = np.random.default_rng(n)
+    blocks = [((rng.zipf(1.3, n) - 1) % 900).astype(np.uint32) for _ in range(3)]
+    t = ans.Table(ans.quantize(np.bincount(np.concatenate(blocks), minlength=900)), 18)
+    coded = ans.encode_blocks(blocks, t, lanes=8, every=4)
+    assert coded == [ans.encode_block(ids, t, lanes=8, every=4) for ids in blocks]
+    for ids, data in zip(blocks, coded, strict=True):
+        for a in range(0, ans.segments(data), 3):  # several segments from any checkpoint
+            for b in (a + 1, a + 2, ans.segments(data)):
+                assert np.array_equal(ans.decode_block(data, t, a, b), ids[a * 32 : b * 32])
+
+
 def test_damage_is_seen():
     ids = np.arange(3000, dtype=np.uint32) % 40
     t = ans.Table(ans.quantize(np.bincount(ids)), 18)
