@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlens.llm.chunks import byte_letters, encoder, pieces
+from arborlens.llm.chunks import byte_letters, list_encoder, pieces
 from arborlens.llm.runs import whole_runs
 from arborlens.llm.work import materialize, new_path
 
@@ -106,7 +106,7 @@ class _Chunks:
         #: whether no piece reaches over the start of a chunk, or holds the line feed set before one
         self.parts = not any(re.search("[^\u2581]\u2581|\n", p) for p in names)
         self.before = self.b.encode("\n")
-        self.encode_a = encoder(self.a, specials=False)
+        self.encode_a = list_encoder(self.a, specials=False)
         self.a_len, self.b_len = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         #: an id as it stands in the text of groups: of A inside and at the end of its part, of B the same
         self.shown = [f"{k}{c}" for n, c in ((len(self.a_bytes), ","), (len(self.a_bytes), "|"), (len(self.b_bytes), ","), (len(self.b_bytes), ";")) for k in range(n)]
@@ -144,9 +144,7 @@ class _Chunks:
         return [join(a[k], self.a_bytes) == r == join(b[k], self.b_bytes) for k, r in enumerate(raw)]
 
     def add(self, new: list[str]) -> None:
-        ids, n = self.encode_a(new)
-        ids, ends = ids.tolist(), np.cumsum(n).tolist()
-        a, b = [ids[i:j] for i, j in zip([0, *ends], ends, strict=False)], self._encode_b(new)
+        a, b = list(self.encode_a(new)), self._encode_b(new)
         good = self._sound(new, a, b)
         if not all(good):
             a, b = ([x if g else [] for x, g in zip(coded, good, strict=True)] for coded in (a, b))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from array import array
 from collections.abc import Callable, Iterator
 from itertools import repeat
@@ -36,6 +37,8 @@ WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: which lower case makes two; on them both patterns need no look ahead and miss no character.
 _SIMPLE = "[!-~\u00a1-\u012f\u0131-\u024f]*\\z"
 _END = "\x1f"  # no simple chunk holds it
+#: What Arrow splits by, and the pattern of simple chunks, for each known pattern.
+_ARROW = {BYTE_LEVEL_SPLIT: (BYTE_LEVEL_SPLIT.removesuffix(r"|\s+(?!\S)|\s+"), rf"\A ?{_SIMPLE}"), WORD_SPLIT: (WORD_SPLIT, rf"\A{_SIMPLE}")}
 
 
 def byte_letters() -> list[str]:
@@ -46,29 +49,68 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(others)) for b in range(256)]
 
 
-def _split_of(spec: dict) -> tuple[str, str, bool] | None:
-    """(pattern of the parts that are merged by themselves, pattern of simple chunks, whether texts are composed and in lower
-    case) of the kinds of vocabulary that are known here."""
+def _split_of(spec: dict) -> tuple[str | None, bool]:
+    """(pattern of the parts that are merged by themselves, whether texts are composed and in lower case) of the kinds of
+    vocabulary that are known here; no pattern for others."""
     steps = [s["type"] for s in (spec["normalizer"] or {}).get("normalizers", [])]
     cut = spec["pre_tokenizer"] or {}
     cuts = cut.get("pretokenizers", [])
     if spec["normalizer"] is None and cut.get("type") == "ByteLevel" and cut["use_regex"] and not cut["add_prefix_space"]:
-        return BYTE_LEVEL_SPLIT.removesuffix(r"|\s+(?!\S)|\s+"), rf"\A ?{_SIMPLE}", False
+        return BYTE_LEVEL_SPLIT, False
     if steps == ["NFC", "Replace", "Lowercase"] and [c["type"] for c in cuts] == ["Split", "ByteLevel"]:
         split, bytes_ = cuts
         if (split["behavior"], split["invert"], bytes_["use_regex"], bytes_["add_prefix_space"]) == ("Removed", True, False, False):
-            return (WORD_SPLIT, rf"\A{_SIMPLE}", True) if split["pattern"].get("Regex") == WORD_SPLIT else None
-    return None
+            return split["pattern"].get("Regex"), True
+    return None, False
+
+
+def list_encoder(own, most: int = 1 << 18, specials: bool = True) -> Callable[[list[str]], Iterator[list[int]]]:
+    """ids of chunks by a tokenizers.Tokenizer. Where it is of a known kind, chunks of Latin letters are split here and only the
+    merges are asked of it, once for each part held (`most` at most); it encodes all others whole, and with specials
+    those that hold a special token."""
+    import regex
+
+    spec = json.loads(own.to_str())
+    pattern, lower = _split_of(spec)
+    special = [t["content"] for t in spec["added_tokens"]] if specials else []
+    fits = pattern is not None and all("<" in t for t in special)
+    find, letters, model = regex.compile(pattern or "").findall, byte_letters(), own.model
+    known: dict[str, list[int]] = {}
+
+    def ids(chunk: str) -> list[int]:
+        out = []
+        if lower:
+            chunk = (chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk)).lower()
+        for part in find(chunk):
+            got = known.get(part)
+            if got is None:
+                if len(known) >= most:
+                    known.clear()
+                got = known[part] = [t.id for t in model.tokenize("".join(map(letters.__getitem__, part.encode())))]
+            out += got
+        return out
+
+    def encode(new: list[str]) -> Iterator[list[int]]:
+        for at in range(0, len(new), 4096):
+            some = new[at : at + 4096]
+            simple = [fits and (c.isascii() or max(c) < "\u0250") and not ("<" in c and any(t in c for t in special)) for c in some]
+            whole = own.encode_batch_fast([c for c, s in zip(some, simple, strict=True) if not s], add_special_tokens=False)
+            whole = iter([e.ids for e in whole])
+            for c, s in zip(some, simple, strict=True):
+                yield ids(c) if s else next(whole)
+
+    return encode
 
 
 def encoder(own, most: int = 1 << 18, specials: bool = True) -> Callable[..., tuple[np.ndarray, np.ndarray]]:
-    """A function that gives, by a tokenizers.Tokenizer, all ids of chunks in a row and how many each has; of the chunks with
-    the numbers `which`, if given. Where the vocabulary is of a known kind, Arrow splits simple chunks and only the merges
-    are asked of the tokenizer, once for each part held (`most` at most, and those of one call); it encodes all others whole,
-    and with specials those that hold a special token."""
+    """Like list_encoder(), for many chunks at once: a function that gives, by a tokenizers.Tokenizer, all ids of chunks in a
+    row and how many each has; of the chunks with the numbers `which`, if given. Where the vocabulary is of a known kind,
+    Arrow splits simple chunks and only the merges are asked of the tokenizer, once for each part held (`most` at most, and
+    those of one call); it encodes all others whole, and with specials those that hold a special token."""
     spec = json.loads(own.to_str())
     special = [t["content"] for t in spec["added_tokens"]] if specials else []
-    kind, letters, model = _split_of(spec), dict(enumerate(byte_letters())), own.model
+    pattern, lower = _split_of(spec)
+    kind, letters, model = _ARROW.get(pattern), dict(enumerate(byte_letters())), own.model
 
     def merge(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids, lens = array("I"), array("q")
@@ -101,7 +143,7 @@ def encoder(own, most: int = 1 << 18, specials: bool = True) -> Callable[..., tu
         values = []
         if simple.any():
             some = chunks if simple.all() else chunks.filter(pa.array(simple))
-            some = pc.replace_substring_regex(pc.utf8_lower(some) if kind[2] else some, kind[0], rf"\0{_END}")
+            some = pc.replace_substring_regex(pc.utf8_lower(some) if lower else some, kind[0], rf"\0{_END}")
             split = pc.split_pattern(some, _END)
             parts = split.flatten().dictionary_encode()
             ids, n = parts_held(parts.dictionary, parts.indices.to_numpy())
