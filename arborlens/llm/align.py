@@ -11,7 +11,7 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlens.llm.chunks import byte_letters, list_encoder, pieces
+from arborlens.llm.chunks import byte_letters, list_encoder, pieces, spread
 from arborlens.llm.runs import whole_runs
 from arborlens.llm.work import materialize, new_path
 
@@ -88,8 +88,33 @@ def align(a_len: np.ndarray, b_len: np.ndarray, block: int = 1 << 22) -> tuple[n
     return join(left), join(right), a_group, b_group, join(within)
 
 
+def _together(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """(first, behind the last) of runs whose lengths add up to `most` at most; what is longer stands alone."""
+    first = total = 0
+    for k, n in enumerate(lengths):
+        if k > first and total + n > most:
+            yield first, k
+            first, total = k, 0
+        total += n
+    if lengths:
+        yield first, len(lengths)
+
+
+class _Numbers(dict):
+    """The number of each chunk that is asked for: one not held yet gets the next number, and is put down in `new`."""
+
+    def __init__(self, held: list[str]):
+        super().__init__(zip(held, range(len(held)), strict=True))
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        number = self[chunk] = len(self)
+        self.new.append(chunk)
+        return number
+
+
 class _Chunks:
-    """Alignments of distinct chunks, each computed once: sizes, links (A id << 32 | B id) and groups as text."""
+    """Alignments of distinct chunks, each computed once while it is held: sizes, links (A id << 32 | B id) and groups as text."""
 
     def __init__(self, byte_level: str, piece_model: str):
         import sentencepiece
@@ -106,17 +131,31 @@ class _Chunks:
         #: whether no piece reaches over the start of a chunk, or holds the line feed set before one
         self.parts = not any(re.search("[^\u2581]\u2581|\n", p) for p in names)
         self.before = self.b.encode("\n")
-        self.encode_a = list_encoder(self.a, specials=False)
+        self.encode_a = list_encoder(self.a, most=1 << 15, specials=False)
         self.a_len, self.b_len = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         #: an id as it stands in the text of groups: of A inside and at the end of its part, of B the same
         self.shown = [f"{k}{c}" for n, c in ((len(self.a_bytes), ","), (len(self.a_bytes), "|"), (len(self.b_bytes), ","), (len(self.b_bytes), ";")) for k in range(n)]
-        self.reset()
-
-    def reset(self) -> None:
-        self.index: dict[str, int] = {}
-        self.text: list[bytes | None] = []  # None: the bytes differ
+        self.index = _Numbers([])
+        self.text: list[bytes] = []  # empty: the bytes differ
         self.links, self.ptr = array("q"), array("q", [0])
         self.sizes = array("q")  # n_a, n_b, n_groups, n_links, n_group_links of each
+        self.asked = np.zeros(0, np.int64)  # how often each occurred; what was before a trim counts half
+
+    def full(self, most: int) -> bool:
+        return len(self.index) > most or len(self.links) > 8 * most
+
+    def trim(self, most: int) -> None:
+        """Keep the chunks that occurred most often, and more than once: `most` chunks and 8 * most links at most. All get new
+        numbers."""
+        ptr, sizes = np.frombuffer(self.ptr, np.int64), np.frombuffer(self.sizes, np.int64).reshape(-1, 5)
+        order = np.argsort(-self.asked, kind="stable")[:most]
+        keep = np.sort(order[(self.asked[order] > 1) & (np.cumsum(np.diff(ptr)[order]) <= 8 * most)])
+        n = ptr[keep + 1] - ptr[keep]
+        names, links = list(self.index), np.frombuffer(self.links, np.int64)[spread(ptr[keep], n)]
+        self.index = _Numbers([names[k] for k in keep.tolist()])
+        self.text = [self.text[k] for k in keep.tolist()]
+        self.links, self.ptr = array("q", links.tobytes()), array("q", np.concatenate([[0], np.cumsum(n)]).astype(np.int64).tobytes())
+        self.sizes, self.asked = array("q", sizes[keep].tobytes()), self.asked[keep] >> 1
 
     def _encode_b(self, chunks: list[str]) -> list[list[int]]:
         n = len(self.before)
@@ -129,26 +168,17 @@ class _Chunks:
         ptr = np.concatenate([[0], np.cumsum([len(x) for x in coded])]).astype(np.int64)
         return ids, ptr, _sums(lengths[ids], ptr)
 
-    def _sound(self, new: list[str], a: list[list[int]], b: list[list[int]]) -> list[bool]:
-        """Whether the tokens of each chunk join to its bytes."""
-        raw = [c.encode() for c in new]
-        sizes = np.array([len(r) for r in raw])
-        whole = b"".join(raw)
-        for coded, table, lengths in ((a, self.a_bytes, self.a_len), (b, self.b_bytes, self.b_len)):
-            ids, _, own = self._matrices(coded, lengths)
-            if not np.array_equal(own, sizes) or b"".join(map(table.__getitem__, ids.tolist())) != whole:
-                break
-        else:
-            return [True] * len(new)
-        join = lambda ids, table: b"".join([table[x] for x in ids])
-        return [join(a[k], self.a_bytes) == r == join(b[k], self.b_bytes) for k, r in enumerate(raw)]
-
     def add(self, new: list[str]) -> None:
         a, b = list(self.encode_a(new)), self._encode_b(new)
-        good = self._sound(new, a, b)
-        if not all(good):
+        (a_ids, a_ptr, a_own), (b_ids, b_ptr, b_own) = self._matrices(a, self.a_len), self._matrices(b, self.b_len)
+        raw, good = [c.encode() for c in new], [True] * len(new)
+        sizes, whole = np.array([len(r) for r in raw]), b"".join(raw)
+        join = lambda ids, table: b"".join(map(table.__getitem__, ids))
+        # whether the tokens of each chunk join to its bytes: of all at once, else one by one
+        if not (np.array_equal(a_own, sizes) and np.array_equal(b_own, sizes) and join(a_ids.tolist(), self.a_bytes) == whole == join(b_ids.tolist(), self.b_bytes)):
+            good = [join(a[k], self.a_bytes) == r == join(b[k], self.b_bytes) for k, r in enumerate(raw)]
             a, b = ([x if g else [] for x, g in zip(coded, good, strict=True)] for coded in (a, b))
-        (a_ids, a_ptr, _), (b_ids, b_ptr, _) = self._matrices(a, self.a_len), self._matrices(b, self.b_len)
+            (a_ids, a_ptr, _), (b_ids, b_ptr, _) = self._matrices(a, self.a_len), self._matrices(b, self.b_len)
         left, right, a_group, b_group, within = align(self.a_len[a_ids], self.b_len[b_ids])
         links = a_ids[left] << 32 | b_ids[right]
         link_ptr = np.searchsorted(left, a_ptr)
@@ -164,109 +194,129 @@ class _Chunks:
         signs[np.arange(len(b_ids)) + a_at[b_group + 1]] = 2 * na + b_ids + nb * ends_b
         shown, at = list(map(self.shown.__getitem__, signs.tolist())), (a_ptr + b_ptr).tolist()
         sizes = np.stack([np.diff(a_ptr), np.diff(b_ptr), np.diff(g_ptr), np.diff(link_ptr), _sums(within, a_ptr)], axis=1)
-        first = len(self.index)
-        self.index.update(zip(new, range(first, first + len(new)), strict=True))
-        self.text += ["".join(shown[i:j])[:-1].encode() if g else None for i, j, g in zip(at, at[1:], good, strict=False)]
+        self.text += ["".join(shown[i:j])[:-1].encode() if g else b"" for i, j, g in zip(at, at[1:], good, strict=False)]
         base = self.ptr[-1]
         self.links.frombytes(links.astype(np.int64).tobytes())
         self.ptr.frombytes((link_ptr[1:] + base).astype(np.int64).tobytes())
         self.sizes.frombytes(sizes.astype(np.int64).tobytes())
 
-    def numbers(self, chunks: list[str]) -> np.ndarray:
-        new = set(chunks).difference(self.index)
-        if new:
-            self.add(list(new))
-        return np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
+    def numbers(self, chunks: list[str], size: int = 1 << 16) -> np.ndarray:
+        """New chunks are aligned `size` characters at a time, as that takes some hundred bytes for each."""
+        out = np.fromiter(map(self.index.__getitem__, chunks), np.uint32, len(chunks))
+        new, self.index.new = self.index.new, []
+        for a, b in _together([len(c) for c in new], size):
+            self.add(new[a:b])
+        return out
 
 
 _BLOCK = (
-    "block long, doc_ids array<bigint>, sizes array<bigint>, shas array<string>, used array<bigint>, occurrences binary, chunk_ptr binary, chunk_pairs binary, pairs binary, counts binary"
+    "block long, doc_ids array<bigint>, sizes array<bigint>, shas array<string>, used array<bigint>, occurrences binary, chunk_links binary, chunk_pairs binary, pairs binary, counts binary"
 )
 
 
+def _packed(numbers: np.ndarray, most: int) -> bytes:
+    """Numbers below `most` in two bytes each where they fit, else in four."""
+    return numbers.astype("<u2" if most <= 1 << 16 else "<u4").tobytes()
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4")
+
+
 class _Block:
     """Documents of one block: their sizes and digests, and the numbers of their chunks."""
 
     def __init__(self, chunks: _Chunks):
-        self.chunks, self.ids, self.sizes, self.shas, self.used, self.held, self.chars = chunks, [], [], [], [], [], 0
-
-    def push(self, doc_ids: list[int | None], texts: list[str], size: int = 1 << 20) -> None:
-        """Documents in order; the chunks of short ones are looked up together, longer ones come in pieces."""
-        cut = lambda text: chunks_of(text) if self.chunks.parts else [text]
-        short = [cut(" " + t) if t and len(t) <= size else [] for t in texts]
-        numbers, at = self.chunks.numbers(list(chain.from_iterable(short))), 0
-        for doc_id, text, own in zip(doc_ids, texts, short, strict=True):
-            if len(text) <= size:
-                parts = iter([numbers[at : at + len(own)]] if own else [])
-                at += len(own)
-            else:
-                cuts = pieces(" " + text, size) if self.chunks.parts else [(" " + text, True)]
-                parts = (self.chunks.numbers(cut(part)) for part, _ in cuts)
-            self._push(doc_id, parts)
-            self.chars += len(text)
-
-    def _push(self, doc_id: int | None, parts: Iterator[np.ndarray]) -> None:
-        held, sha, sizes = [], hashlib.sha256(), np.zeros(5, np.int64)
-        for numbers in parts:
-            shown = [self.chunks.text[k] for k in numbers.tolist()]
-            if None in shown:
-                held = []
-                break
+        self.chunks, self.ids, self.shas, self.used, self.held, self.chars = chunks, [], [], [], [], 0
+
+    def push(self, doc_ids: list[int | None], texts: list[str], size: int = 1 << 18) -> None:
+        """Documents in order, of `size` characters at most, whose chunks are looked up together; a longer document comes alone
+        and is taken in pieces."""
+        self.chars += sum(map(len, texts))
+        if len(texts[0]) > size and self.chunks.parts:
+            self._push_long(doc_ids[0], texts[0], size)
+            return
+        own = [[] if not t else chunks_of(" " + t) if self.chunks.parts else [" " + t] for t in texts]
+        numbers = self.chunks.numbers(list(chain.from_iterable(own)))
+        shown, at = list(map(self.chunks.text.__getitem__, numbers.tolist())), 0
+        for doc_id, end in zip(doc_ids, accumulate(map(len, own)), strict=True):
+            part = shown[at:end]
+            good = bool(part) and all(part)
+            self._put(doc_id, hashlib.sha256(b";".join(part)) if good else None, [numbers[at:end]] if good else [])
+            at = end
+
+    def _push_long(self, doc_id: int | None, text: str, size: int) -> None:
+        held, sha = [], hashlib.sha256()
+        for part, _ in pieces(" " + text, size):
+            numbers = self.chunks.numbers(chunks_of(part))
+            shown = list(map(self.chunks.text.__getitem__, numbers.tolist()))
+            if not all(shown):
+                self._put(doc_id, None, [])
+                return
             sha.update(b";" * bool(held) + b";".join(shown))
-            sizes += np.frombuffer(self.chunks.sizes, np.int64).reshape(-1, 5)[numbers].sum(axis=0)
-            held.append(numbers.astype(np.uint32))
-        good = bool(held)
+            held.append(numbers)
+        self._put(doc_id, sha, held)
+
+    def _put(self, doc_id: int | None, sha, held: list[np.ndarray]) -> None:
         self.ids.append(doc_id)
-        self.sizes += (sizes if good else np.zeros(5, np.int64)).tolist()
-        self.shas.append(sha.hexdigest() if good else "")
+        self.shas.append(sha.hexdigest() if sha else "")
         self.used.append(sum(map(len, held)))
         self.held += held
 
     def row(self, number: int) -> pa.RecordBatch:
         every = np.concatenate(self.held) if self.held else np.zeros(0, np.uint32)
-        known, occurrences, times = np.unique(every, return_inverse=True, return_counts=True)
+        sizes, ends = np.frombuffer(self.chunks.sizes, np.int64).reshape(-1, 5), np.concatenate([[0], np.cumsum(self.used)]).astype(np.int64)
+        sizes = np.stack([_sums(sizes[:, c][every], ends) for c in range(5)], axis=1)
+        times = np.bincount(every, minlength=len(self.chunks.text))
+        self.chunks.asked = times + np.pad(self.chunks.asked, (0, len(times) - len(self.chunks.asked)))
+        known = np.flatnonzero(times)
+        occurrences = (np.cumsum(times > 0) - 1)[every]
         ptr, links = np.frombuffer(self.chunks.ptr, np.int64), np.frombuffer(self.chunks.links, np.int64)
-        first, n = ptr[known], ptr[known + 1] - ptr[known]
-        take = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
-        pairs, chunk_pairs = np.unique(links[take], return_inverse=True)
-        counts = np.bincount(chunk_pairs, np.repeat(times, n), minlength=len(pairs)).astype(np.int64)
-        pack = lambda x, kind: x.astype(kind).tobytes()
-        row = [number, self.ids, self.sizes, self.shas, self.used, pack(occurrences, "<u4"), pack(np.concatenate([[0], np.cumsum(n)]), "<i8"), pack(chunk_pairs, "<u4"), pack(pairs, "<i8"), pack(counts, "<i8")]
+        n = ptr[known + 1] - ptr[known]
+        pairs, chunk_pairs = np.unique(links[spread(ptr[known], n)], return_inverse=True)
+        counts = np.bincount(chunk_pairs, np.repeat(times[known], n), minlength=len(pairs)).astype("<i8")
+        row = [number, self.ids, sizes.ravel(), self.shas, self.used, _packed(occurrences, len(known)), n.astype("<u4").tobytes(), _packed(chunk_pairs, len(pairs)), pairs.astype("<i8").tobytes(), counts.tobytes()]
         kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64())] + [pa.binary()] * 5
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=[x.split()[0] for x in _BLOCK.split(", ")])
 
 
 def aligned_blocks(
-    docs: DataFrame, byte_level: str = BYTE_LEVEL, piece_model: str = PIECES, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 1 << 24, most_chunks: int = 1 << 19
+    docs: DataFrame, byte_level: str = BYTE_LEVEL, piece_model: str = PIECES, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 1 << 22, most_chunks: int = 1 << 18
 ) -> DataFrame:
     """Written blocks of about block_chars characters of whole texts: each document's sizes and digest and the chunks that it
-    consists of, each chunk's links, and the block's distinct id pairs with their numbers of links. A task holds one block."""
+    consists of, each chunk's links, and the block's distinct id pairs with their numbers of links. A task holds one block, and
+    the alignments of about most_chunks chunks and eight times as many links: when they are more, the block ends and the
+    frequent ones stay, up to half."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, chunks = TaskContext.get().partitionId() << 32, _Chunks(byte_level, piece_model)
-        block = _Block(chunks)
+        block, size = _Block(chunks), max(1, min(1 << 18, block_chars >> 4))
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 part = whole.slice(at, 64)
-                block.push(part.column(0).to_pylist(), part.column(1).to_pylist())
-                if block.chars >= block_chars or len(chunks.index) > most_chunks:
-                    yield block.row(number)
-                    if len(chunks.index) > most_chunks:
-                        chunks.reset()
-                    number, block = number + 1, _Block(chunks)
+                ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
+                for a, b in _together([len(t) for t in texts], size):
+                    block.push(ids[a:b], texts[a:b], size)
+                    if block.chars >= block_chars or chunks.full(most_chunks):
+                        yield block.row(number)
+                        if chunks.full(most_chunks):
+                            chunks.trim(most_chunks // 2)
+                        number, block = number + 1, _Block(chunks)
         if block.ids:
             yield block.row(number)
 
     path = new_path(docs.sparkSession, "aligned")
-    rows.mapInArrow(kernel, _BLOCK).write.option("compression", "zstd").parquet(path)
+    # Spark's writer and reader hold the rows of a file together, which number few and are long
+    rows.mapInArrow(kernel, _BLOCK).write.option("compression", "zstd").option("maxRecordsPerFile", 4).parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
 def _pair_rows(blocks: DataFrame) -> DataFrame:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for r in whole.to_pylist():
+            for k in range(whole.num_rows):
+                r = whole.slice(k, 1).to_pylist()[0]
                 pairs, counts = np.frombuffer(r["pairs"], "<i8"), np.frombuffer(r["counts"], "<i8")
                 for at in range(0, len(pairs), 1 << 16):
                     p = pairs[at : at + (1 << 16)]
@@ -306,17 +356,20 @@ def alignments(docs: DataFrame, **options) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(row, names=["k", "total", "best"])
 
     answers = back.repartition("block").sortWithinPartitions("block", "pair").mapInArrow(pack, "k long, total binary, best binary")
-    joined = blocks.drop("pairs", "counts").join(answers, F.col("block") == F.col("k"), "left")
+    # the few answers of a partition are hashed, so that the blocks pass by one at a time and are not sorted
+    joined = blocks.drop("pairs", "counts").join(answers.hint("shuffle_hash"), F.col("block") == F.col("k"), "left")
     out = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_group_links long, n_best long, count_sum long, groups_sha256 string"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(whole.num_rows):
                 r = whole.slice(k, 1).to_pylist()[0]
-                at, pair = np.frombuffer(r["chunk_ptr"], "<i8"), np.frombuffer(r["chunk_pairs"], "<u4")
+                at = np.concatenate([[0], np.cumsum(np.frombuffer(r["chunk_links"], "<u4"))]).astype(np.int64)
+                pair = _unpacked(r["chunk_pairs"], int(at[-1]))
                 total, best = np.frombuffer(r["total"] or b"", "<i8"), np.frombuffer(r["best"] or b"", "u1")
                 sums, bests = _sums(total[pair], at), _sums(best[pair].astype(np.int64), at)
-                used, chunk = np.concatenate([[0], np.cumsum(r["used"])]).astype(np.int64), np.frombuffer(r["occurrences"], "<u4")
+                used = np.concatenate([[0], np.cumsum(r["used"])]).astype(np.int64)
+                chunk = _unpacked(r["occurrences"], int(used[-1]))
                 sizes = np.array(r["sizes"], np.int64).reshape(-1, 5)
                 columns = [pa.array(r["doc_ids"], pa.int64()), *[pa.array(sizes[:, c]) for c in range(5)]]
                 columns += [pa.array(_sums(bests[chunk], used)), pa.array(_sums(sums[chunk], used)), pa.array(r["shas"], pa.string())]

@@ -343,6 +343,51 @@ def test_alignment_of_null_ids_and_repeated_rows(spark):
     assert got == collections.Counter({(None, *one[1:7], n, one[8]): 2, (4, *one[1:7], n, one[8]): 1, (4, *[0] * 7, ""): 1})
 
 
+def _words(n):
+    rng = random.Random(11)
+    return ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(4, 12))) for _ in range(n)]
+
+
+def test_alignment_blocks_end_inside_a_batch(spark):
+    """A block holds block_chars characters and one document more at most, and few blocks lie in a file."""
+    words = _words(30000)
+    texts = {k: " ".join(words[k * 200 : k * 200 + 200]) for k in range(150)}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    blocks = align.aligned_blocks(frame, block_chars=9000, most_chunks=3000).select("doc_ids", F.input_file_name().alias("file")).collect()
+    assert sorted(i for b in blocks for i in b.doc_ids) == sorted(texts)
+    assert max(sum(len(texts[i]) for i in b.doc_ids) for b in blocks) <= 9000 + max(map(len, texts.values()))
+    assert max(collections.Counter(b.file for b in blocks).values()) <= 4
+
+
+def test_alignment_of_many_new_chunks_takes_little_memory():
+    """Besides what stays held, memory for new chunks does not follow their number."""
+    import tracemalloc
+
+    chunks = align._Chunks(align.BYTE_LEVEL, align.PIECES)
+    new = [" " + w for w in _words(40000)]
+    tracemalloc.start()
+    try:
+        chunks.numbers(new)
+        held, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert peak - held < 15e6, (held, peak)
+
+
+def test_trimmed_alignments_are_those_of_all():
+    """Chunks that a trim keeps, and those that come again after it."""
+    words = [" " + w for w in _words(300)]
+    chunks = align._Chunks(align.BYTE_LEVEL, align.PIECES)
+    of = lambda numbers: [(chunks.text[k], list(chunks.sizes[5 * k : 5 * k + 5]), list(chunks.links[chunks.ptr[k] : chunks.ptr[k + 1]])) for k in numbers.tolist()]
+    all_ = of(chunks.numbers(words))
+    block = align._Block(chunks)
+    block.push([1, 2], ["".join(words[:120])[1:] + "".join(words[50:100]), "".join(words[60:90])[1:]])
+    block.row(0)
+    chunks.trim(40)
+    assert {*words[61:90]} <= {*chunks.index} <= {*words[50:100]} and len(chunks.index) == 40 == len(chunks.text)
+    assert of(chunks.numbers(words)) == all_
+
+
 def test_products_are_those_of_dense_matrices():
     rng = np.random.default_rng(3)
     for block in (1, 5, 1000):
